@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import bisect
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,7 +214,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
             files.move(draft, name)
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [name], "n_docs": [writer.entries], "n_ids": [writer.ids]})
 
-    found = rows.mapInArrow(write, "shard int, path string, n_docs long, n_ids long").collect()
+    found = rows.mapInArrow(write, "shard long, path string, n_docs long, n_ids long").collect()
     start, manifest = 0, []
     for row in sorted(found):
         manifest.append((row.shard, row.path, row.n_docs, row.n_ids, start))
@@ -239,7 +238,7 @@ def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
                             yield rows.take()
         yield rows.take()
 
-    shards = spark.createDataFrame(manifest, "shard int, path string, n_docs long, n_ids long, start long")
+    shards = spark.createDataFrame(manifest, "shard long, path string, n_docs long, n_ids long, start long")
     return shards.select("path", "start").repartition(max(1, len(manifest))).mapInArrow(read, "doc_id long, start long, ids binary")
 
 
