@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isopleth.llm.sstable import token_ids
 
@@ -27,6 +33,12 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm.warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
-#: White space on which str.split and the tokenizer may differ; texts with any are encoded in one piece.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+from isopleth.llm.common import ODD_SPACE
+
 _LOADED: dict[tuple[str, int], "WordTokens"] = {}
 
 
@@ -32,7 +31,7 @@ class WordTokens:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if _ODD_SPACE.search(text):
+        if ODD_SPACE.search(text):
             return self._library([text])[0]
         words = text.split()
         parts = list(map(self.known.get, words))
