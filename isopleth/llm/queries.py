@@ -27,6 +27,13 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm import cotrain
+
+    docs = _table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isopleth.llm.packing import pack
 
@@ -39,6 +46,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.apply_rules(docs, quality.fit_field(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
