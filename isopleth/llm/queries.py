@@ -53,6 +53,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_rules(docs, quality.fit_field(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from isopleth.llm.bytebpe import digest_bpe
+
+    return digest_bpe(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {name: run for name, run in globals().items() if name.startswith("op") and callable(run)}
 
