@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isopleth.llm.common import Rows, text_or_empty
-from isopleth.llm.tokens import WordTokens
+from isopleth.llm.tokens import WordTokens, by_size
 
 
 class BestFit:
@@ -72,12 +72,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
         fit, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 32
         rows, step = Rows(PIECES, 5000), 4 * capacity
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    number, offset = fit.place(len(part) // 4)
-                    rows.add(key, piece, at // 4, len(part) // 4, zlib.crc32(part), base + number, offset)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for some in by_size(texts):
+                for key, ids in zip(keys[some], encoder.encode_all(texts[some])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        number, offset = fit.place(len(part) // 4)
+                        rows.add(key, piece, at // 4, len(part) // 4, zlib.crc32(part), base + number, offset)
                 if rows.full():
                     yield rows.take()
         yield rows.take()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.llm.common import Rows, filesystem, new_folder, shuffle_partitions, text_or_empty
-from isopleth.llm.tokens import WordTokens
+from isopleth.llm.tokens import WordTokens, by_size
 
 MAGIC = b"ISOSST01"
 FOOTER = struct.Struct("<QIQIQQI4x8s")
@@ -199,15 +199,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
         wide, end = encoder.tokenizer.get_vocab_size() > 65536 or end_id > 65535, struct.pack("<I", end_id)
         writer = None
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if writer is None:
-                    files, base = filesystem(folder)
-                    files.create_dir(base, recursive=True)
-                    name = f"{base}/shard-{context.partitionId():06d}.sst"
-                    draft = f"{base}/_draft-{context.partitionId()}-{context.taskAttemptId()}"
-                    sink = files.open_output_stream(draft)
-                    writer = ShardWriter(sink, wide)
-                writer.add(key_bytes(key), encoder.encode(text) + end)
+            if writer is None and batch.num_rows:
+                files, base = filesystem(folder)
+                files.create_dir(base, recursive=True)
+                name = f"{base}/shard-{context.partitionId():06d}.sst"
+                draft = f"{base}/_draft-{context.partitionId()}-{context.taskAttemptId()}"
+                sink = files.open_output_stream(draft)
+                writer = ShardWriter(sink, wide)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for some in by_size(texts):
+                for key, ids in zip(keys[some], encoder.encode_all(texts[some])):
+                    writer.add(key_bytes(key), ids + end)
         if writer is not None:
             writer.close()
             sink.close()

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from isopleth.llm import packing, sstable
-from isopleth.llm.tokens import WordTokens
+from isopleth.llm.tokens import WordTokens, by_size
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, start long"
@@ -27,10 +27,22 @@ def plain(text, end):
 
 
 def test_remembered_words_equal_the_library():
-    encoder = WordTokens(VOCABULARY, limit=3)
-    for _, text, _ in ROWS:
-        assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == plain(text, 0)[:-1]
-    assert len(encoder.known) <= 4
+    more = ["The end. (the END!). a.b.c it's don't! I\u0307 \u0130 K. \u212a x\u0301 \xe9. 1234 5a6 b7. A!! \u2026. .... \u0663\u0664 \u1e9e \x00 \u3000 \xa0y", "a \u0301b c"]
+    for limit in (4, 1000):
+        encoder = WordTokens(VOCABULARY, limit)
+        for text in [r[1] for r in ROWS] + more + more[::-1]:
+            assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == plain(text, 0)[:-1], text
+    assert len(encoder.known) <= 500
+
+
+def test_remembered_words_equal_the_library_on_documents():
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    expected = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder = WordTokens(VOCABULARY, 5000)
+    assert [ids for some in by_size(texts, 100_000) for ids in encoder.encode_all(texts[some])] == expected
 
 
 def test_token_ids(spark):
