@@ -27,6 +27,12 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm.ngramjoin import near_components
+
+    return near_components(_table(spark, sf_dir, "documents"), percent=90, words=3)
+
+
 def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isopleth.llm import cotrain
 
