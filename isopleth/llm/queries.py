@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm.linededup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isopleth.llm.fingerprints import fingerprint_edits
 
