@@ -33,6 +33,12 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op4_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isopleth.llm.mixing import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isopleth.llm.ngramjoin import near_components
 
