@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -27,6 +29,9 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> dict[str, Query]:
+    for name in ("retrieval", "tables", "texts", "streams"):
+        if importlib.util.find_spec(f"isopleth.plans.{name}"):
+            importlib.import_module(f"isopleth.plans.{name}")
     return _QUERIES
 
 
