@@ -48,7 +48,7 @@ def forward_fill(df: DataFrame, partition: str, order: list[str], value: str, na
 
 def sliding_count(df: DataFrame, key: str, time: str, seconds: int, most: int) -> DataFrame:
     """Per row the key's rows in the last `seconds`, up to and including it, whether they reach `most`, and for how long it must wait."""
-    at = F.unix_micros(F.col(time))
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     frame = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
     out = df.withColumn("_at", at).withColumn("n_recent", F.count("*").over(frame)).withColumn("_oldest", F.min("_at").over(frame))
     wait = F.ceil((F.col("_oldest") + seconds * 1_000_000 - F.col("_at")) / 1_000_000).cast("long")
