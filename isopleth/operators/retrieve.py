@@ -38,7 +38,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (), que
     columns = [id_col, vector, *(f.name for f in fields)] + ([same[1]] if same and same[1] not in keep else [])
     for block in range(blocks):
         part = (rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows).toPandas()
-        matrix = np.array([np.asarray(v, np.float64) for v in part[vector]]).reshape(len(part), -1)
+        matrix = np.array([np.asarray(v, np.float64) for v in part[vector]]) if len(part) else np.zeros((0, 1))
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         unit, names = matrix / np.where(norms == 0, 1, norms), part[query_id].to_numpy()
         groups = part[same[0]].to_numpy() if same else None
