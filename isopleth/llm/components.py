@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from isopleth.llm.common import cut
 
 
-def _hooked(pairs: DataFrame, smaller_only: bool) -> DataFrame:
+#: Links up to which the least neighbours are broadcast; beyond it they come by a shuffled join.
+BROADCAST_ROWS = 250_000
+
+
+def _hooked(pairs: DataFrame, smaller_only: bool, few: bool) -> DataFrame:
     """Each node's neighbours hang on the least of the node and its neighbours.
 
     smaller_only: a node counts smaller neighbours alone and hangs itself too (small star); otherwise the larger
@@ -18,7 +22,7 @@ def _hooked(pairs: DataFrame, smaller_only: bool) -> DataFrame:
     else:
         near = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
     least = near.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-    hung = near.join(least, "node")
+    hung = near.join(F.broadcast(least) if few else least, "node")
     if smaller_only:
         hung = hung.select(F.col("other").alias("a"), F.col("least").alias("b")).union(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
     else:
@@ -38,7 +42,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(pairs)
     while before[0]:
-        pairs = cut(_hooked(_hooked(pairs, False), True))
+        few = before[0] <= BROADCAST_ROWS
+        pairs = cut(_hooked(_hooked(pairs, False, few), True, few))
         after = mark(pairs)
         if tuple(after) == tuple(before):
             break
