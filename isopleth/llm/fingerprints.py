@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from isopleth.llm.common import ODD_SPACE, WORD, Rows, shuffle_partitions, text_or_empty
 
 K, WORDS, SPACE = 256, 5, 1 << 48
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+_ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(WORD)
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def words_of(text: str) -> list[str]:
     """Runs of anything but ASCII white space, A-Z in lower case."""
-    text = text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+    text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).decode("utf-8", "surrogatepass")
     return _WORD.findall(text) if ODD_SPACE.search(text) else text.split()
 
 

@@ -23,14 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import WORD, cut, shuffle_partitions, text_or_empty
+from isopleth.llm.common import cut, shuffle_partitions, text_or_empty
 from isopleth.llm.fingerprints import WordHashes, words_of
+from isopleth.llm.tokens import by_size
 
 #: Slots of the three predictors, gates, steps of the adaptive map, decisions learnt at once.
 SLOTS = (1 << 20, 1 << 20, 1 << 20)
 SHIFT = np.uint64(64 - 20)
 GATES, STEPS, BATCH = 32, 33, 1 << 18
-VOCABULARY = 131_072
+VOCABULARY = 262_144
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,6 +67,7 @@ class Code:
         self.index = {w: i + 2 for i, w in enumerate(words)}
         self.starts, self.lengths, nodes, self.bits = huffman([end + 1, rest + 1, *counts])
         self.nodes = nodes.astype(np.int32)
+        self.hashes = np.concatenate([np.zeros(2, np.uint64), WordHashes(len(words) + 1).of(words)])
         self.byte_codes = huffman([c + 1 for c in byte_counts])
         self.inner = len(words) + 2  # byte nodes are numbered from here
 
@@ -106,15 +108,17 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def decisions(code: Code, texts: list[list[str]], memo: WordHashes):
-    """(slots of the three predictors, bits, text of each decision; the escaped words) of some texts, word by word."""
+    """(slots of the three predictors, bits, text of each decision; escaped words; symbol and text of each token) of some texts."""
     words = [w for t in texts for w in t]
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     inside = np.ones(int(sizes.sum()), bool)
     inside[np.cumsum(sizes) - 1] = False
-    symbols, hashes = np.zeros(len(inside), np.int64), np.zeros(len(inside), np.uint64)
+    symbols = np.zeros(len(inside), np.int64)
     found = code.index.get
     symbols[inside] = [found(w, 1) for w in words]
-    hashes[inside] = memo.of(words)
+    escaped = [words[i] for i in ((np.cumsum(inside) - 1)[symbols == 1]).tolist()]
+    hashes = np.take(code.hashes, symbols)
+    hashes[symbols == 1] = memo.of(escaped)
     before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])  # a text begins after an end, whose hash is 0
     before2 = np.concatenate([np.zeros(1, np.uint64), before[:-1]])
     before2[before == 0] = 0
@@ -124,8 +128,7 @@ def decisions(code: Code, texts: list[list[str]], memo: WordHashes):
     turned = nodes.astype(np.uint64) * _M
     slots = [nodes, ((np.take(before, owner) + turned) * np.uint64(0xC2B2AE3D27D4EB4F) >> SHIFT).astype(np.int32), ((np.take(both, owner) + turned) * np.uint64(0xD6E8FEB86659FD93) >> SHIFT).astype(np.int32)]
     home = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    escaped = (np.cumsum(inside) - 1)[symbols == 1]
-    return slots, np.take(code.bits, place), np.take(home, owner), [words[i] for i in escaped]
+    return slots, np.take(code.bits, place), np.take(home, owner), escaped, symbols, home
 
 
 class Mixer:
@@ -136,6 +139,7 @@ class Mixer:
         self.weights = np.tile(np.array([0.3, 0.4, 0.4, 0.0], np.float32), (GATES, 1))
         self.seen = np.zeros((GATES * STEPS, 2))
         self.total = 0
+        self.batches, self.steep = [0, 0], np.zeros((2, 4, GATES))
 
     def prepare(self) -> "Mixer":
         """Ready to score: logits and how well known each slot is, and the map's refined probabilities."""
@@ -170,8 +174,10 @@ class Mixer:
         error, curve = bits - p, p * (1 - p)
         for i, x in enumerate([*logits, np.float32(1)]):
             slope = np.bincount(gate, error * x, GATES)
-            steep = np.bincount(gate, curve * x * x, GATES)
-            self.weights[:, i] += (0.3 * slope / (steep + 20)).astype(np.float32)
+            if self.batches[level] % 8 == 0:  # how steep the loss is only sets the step's size
+                self.steep[level, i] = np.bincount(gate, curve * x * x, GATES)
+            self.weights[:, i] += (0.3 * slope / (self.steep[level, i] + 20)).astype(np.float32)
+        self.batches[level] += 1
         self.seen += np.bincount(2 * step + bits, minlength=2 * GATES * STEPS).reshape(-1, 2)
         for c, s in zip(self.counts, slots):
             np.add.at(c.reshape(-1), 2 * s + bits, np.float32(1))
@@ -248,7 +254,7 @@ def learn(docs: DataFrame, code_of, salts: int = 8) -> Mixer:
         for batch in batches:
             texts = [words_of(t) for t in batch.column(0).to_pylist()]
             for a, b in runs(texts):
-                slots, bits, _, escaped = decisions(code, texts[a:b], memo)
+                slots, bits, _, escaped, _, _ = decisions(code, texts[a:b], memo)
                 mixer.learn_all(slots, bits, 1)
                 distinct = Counter(escaped)
                 lengths, bits, slots = code.spelled(list(distinct))
@@ -262,7 +268,7 @@ def learn(docs: DataFrame, code_of, salts: int = 8) -> Mixer:
     parts = docs.select(text_or_empty().alias("text")).mapInArrow(run, "name string, tile long, salt long, data binary")
     rows = cut(_add_up(_add_up(parts, ["name", "tile", "salt"]), ["name", "tile"]))
     mixer, unpack = Mixer(), zstandard.ZstdDecompressor()
-    for row in rows.toLocalIterator():
+    for row in rows.collect():
         values = np.frombuffer(unpack.decompress(row.data), "<f8")
         if row.name == "weights":
             mixer.total = int(values[-1])
@@ -276,10 +282,18 @@ def learn(docs: DataFrame, code_of, salts: int = 8) -> Mixer:
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows of docs."""
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    words = F.explode(F.regexp_extract_all(F.translate(text_or_empty(), letters, letters.lower()), F.lit(f"({WORD})"), F.lit(1)))
-    return docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """(word, c) over all rows of docs; words are counted within runs of texts before they are shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for some in by_size(texts, 16_000_000):
+                found = Counter()
+                for text in texts[some]:
+                    found.update(words_of(text))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
+
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _byte_counts(counts: DataFrame, common: int) -> list[int]:
@@ -334,22 +348,22 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [words_of(t) for t in raw]
             for a, b in runs(texts):
-                slots, bits, home, escaped = decisions(code, texts[a:b], memo)
+                slots, bits, home, escaped, symbols, of = decisions(code, texts[a:b], memo)
                 values = np.bincount(home, mixer.log2(slots, bits, 1), b - a) * math.log10(2)
                 distinct = list(dict.fromkeys(escaped))
                 lengths, bits, slots = code.spelled(distinct)
                 spelled = np.bincount(np.arange(len(distinct)).repeat(lengths), mixer.log2(slots, bits, 0), len(distinct)) * math.log10(2)
                 spelled = dict(zip(distinct, spelled.tolist()))
-                out = []
+                seen = (np.take(found, symbols) > 0) & (symbols != 1)
+                n_known, n_tokens = np.bincount(of[seen], minlength=b - a).tolist(), np.bincount(of, minlength=b - a).tolist()
+                sums = np.bincount(of, np.where(symbols != 1, np.take(logs, symbols), 0.0), b - a).tolist()
+                values, out = values.tolist(), []
                 for i in range(a, b):
-                    symbols = [code.index.get(w, 1) for w in texts[i]]
-                    known = np.array([s for s in symbols if s != 1] + [0], np.int64)
-                    n_known = int((found[known] > 0).sum())
                     held = ids[i] is None or zlib.crc32(str(ids[i]).encode()) % 7 == 2
-                    out.append((uid, f" {uid}", 0, 0.0, ids[i], held, len(symbols) + 1, n_known, float(logs[known].sum()), float(values[i - a]), len(raw[i].encode("utf-8", "surrogatepass"))))
-                    rare = Counter(w for w, s in zip(texts[i], symbols) if s == 1)
-                    out += [(uid, w, c, spelled[w], None, None, None, None, None, None, None) for w, c in rare.items()]
-                    uid += 1
+                    out.append((uid + i - a, f" {uid + i - a}", 0, 0.0, ids[i], held, n_tokens[i - a], n_known[i - a], sums[i - a], values[i - a], len(raw[i].encode("utf-8", "surrogatepass"))))
+                rare = Counter(zip(of[symbols == 1].tolist(), escaped))
+                out += [(uid + i, w, c, spelled[w], None, None, None, None, None, None, None) for (i, w), c in rare.items()]
+                uid += b - a
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     scored = rows.mapInArrow(run, "uid long, word string, tf long, spelled double, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, bytes long")
