@@ -45,35 +45,32 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     """The ids of a word of one character per byte: from single bytes, the adjacent pair of lowest rank, leftmost first, is merged until none has a rank."""
 
     def rank(piece: Column) -> Column:
-        return F.element_at(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int") + 1)[piece]
+        return F.coalesce(F.element_at(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int") + 1)[piece], F.lit(NO_RANK))
 
-    def merge(pieces: Column, _: Column) -> Column:
-        n = F.size(pieces)
-        pairs = F.transform(
-            F.sequence(F.lit(1), n - 1),
-            lambda i: F.struct(F.coalesce(rank(F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1))), F.lit(NO_RANK)).alias("rank"), i.alias("at")),
+    def merge(pieces: Column, at: Column) -> Column:
+        return F.concat(
+            F.slice(pieces, F.lit(1), at - 1),
+            F.array(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))),
+            F.slice(pieces, at + 2, F.size(pieces)),
         )
-        merged = F.transform(
-            F.array(F.array_min(pairs)),
-            lambda best: F.when(best["rank"] == NO_RANK, F.array().cast("array<string>")).otherwise(
-                F.concat(
-                    F.slice(pieces, F.lit(1), best["at"] - 1),
-                    F.array(F.concat(F.element_at(pieces, best["at"]), F.element_at(pieces, best["at"] + 1))),
-                    F.slice(pieces, best["at"] + 2, n),
-                )
-            ),
-        )
-        return F.when(n < 2, pieces).otherwise(F.flatten(F.array(F.get(merged, F.lit(0)))))
+
+    def step(pieces: Column, _: Column) -> Column:
+        # a value that is needed more than once is the variable of a transform of one element
+        joined = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)))
+        places = F.transform(F.array(F.transform(joined, rank)), lambda found: F.when(F.array_min(found) < NO_RANK, F.array_position(found, F.array_min(found)).cast("int")).otherwise(F.lit(0)))
+        merged = F.transform(places, lambda at: F.when(at > 0, merge(pieces, at)).otherwise(F.array().cast("array<string>")))
+        return F.element_at(merged, 1)
+
+    def guarded(acc: Column, i: Column) -> Column:
+        """An empty array marks that no pair had a rank; the pieces before it are kept."""
+        next_ = F.transform(F.array(step(acc["pieces"], i)), lambda m: F.when(F.size(m) == 0, state(acc["pieces"], F.lit(True))).otherwise(state(m, F.size(m) < 2)))
+        return F.when(acc["done"], acc).otherwise(F.element_at(next_, 1))
 
     def state(pieces: Column, done: Column) -> Column:
         return F.struct(pieces.alias("pieces"), done.alias("done"))
 
-    def step(acc: Column, i: Column) -> Column:
-        merged = F.transform(F.array(merge(acc["pieces"], i)), lambda m: F.when(F.size(m) == 0, state(acc["pieces"], F.lit(True))).otherwise(state(m, F.size(m) < 2)))
-        return F.when(acc["done"], acc).otherwise(F.get(merged, F.lit(0)))
-
     split = F.split(word, "")
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), state(split, F.length(word) < 2), step, lambda acc: acc["pieces"])
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), state(split, F.length(word) < 2), guarded, lambda acc: acc["pieces"])
     return F.transform(folded, rank)
 
 
