@@ -44,7 +44,8 @@ ZONES = [
 
 def portal(url: Column) -> Column:
     """The portal that a URL's host belongs to."""
-    return suffix_match(None, url_host(F.trim(url)), PORTALS)
+    # a transform of one element reads the host once for all domains
+    return F.element_at(F.transform(F.array(url_host(F.trim(url))), lambda host: suffix_match(host, PORTALS)), 1)
 
 
 def region(name: Column) -> Column:

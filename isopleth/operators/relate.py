@@ -56,7 +56,7 @@ def sliding_count(df: DataFrame, key: str, time: str, seconds: int, most: int) -
     return out.withColumn("blocked", blocked).withColumn("retry_after", F.when(blocked, wait)).drop("_at", "_oldest")
 
 
-def suffix_match(df: DataFrame, host: Column, domains: list[tuple[str, str]]) -> Column:
+def suffix_match(host: Column, domains: list[tuple[str, str]]) -> Column:
     """The name of the first domain that a host equals or is below."""
     found = F.lit(None).cast("string")
     for domain, name in reversed(domains):
