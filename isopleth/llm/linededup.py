@@ -5,8 +5,8 @@
    falls with its length count, about 96 of them, which keeps the minima.
 2. Banding: the twelve lines of the affine plane of nine points are bands of three minima, so any five agreeing minima
    contain a whole band. For J >= 0.8, that is missed in one to two of a hundred pairs.
-3. In each bucket of a band, every line is paired with the bucket's most copied line and with one that the bucket's own
-   hash order draws, so a bucket of n lines gives at most 2 n pairs; pairs are verified by the exact Jaccard similarity of their character 5-shingles, at 0.8.
+3. In each bucket of a band, every line is first paired with the bucket's most copied line and with one that the bucket's own
+   hash order draws; then all other pairs of the bucket that no link joins so far follow, in blocks. Pairs are verified by the exact Jaccard similarity of their character 5-shingles, at 0.8.
 4. Distributed union-find joins the verified pairs; the first line of a component by (document, line number) stays.
 """
 
@@ -21,6 +21,8 @@ SHINGLE, SIGNED, MINIMA, SAMPLE = 5, 8, 9, 96
 BANDS = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6)]
 POSITIVE = (1 << 63) - 1
 LOW_BITS = (1 << 57) - 1
+#: Lines of a bucket that are compared as one group.
+BLOCK = 512
 #: Rows that may be broadcast; beyond it a shuffled join is taken.
 BROADCAST_ROWS = 500_000
 
@@ -66,22 +68,48 @@ def signatures(lines: DataFrame) -> DataFrame:
     return found.select(number.alias("p"), "code", *(F.when(F.col(f"m{j}").isNotNull(), F.hash(f"m{j}")).alias(f"m{j}") for j in range(MINIMA)))
 
 
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(p, q), p > q: pairs to verify."""
+def keyed(signed: DataFrame) -> DataFrame:
+    """(p, key): the buckets of each line."""
     keys = [
         F.when(sum(F.col(f"m{j}").isNotNull().cast("int") for j in band) >= 2, F.xxhash64(F.lit(number), *(F.coalesce(f"m{j}", F.lit(-1)) for j in band)))
         for number, band in enumerate(BANDS)
     ]
-    rows = signed.select("p", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    return signed.select("p", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+
+
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """key, n, top (the most copied line), end, drawn (a line by the bucket's own order) of each bucket of several lines."""
     turned = F.expr(f"p ^ (key & {POSITIVE}L)")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("top"), F.max("p").alias("end"), F.min(turned).alias("drawn")).where("n > 1")
-    buckets = cut(buckets.select("key", "n", "top", "end", F.expr(f"drawn ^ (key & {POSITIVE}L)").alias("drawn")))
+    return cut(buckets.select("key", "n", "top", "end", F.expr(f"drawn ^ (key & {POSITIVE}L)").alias("drawn")))
+
+
+def hub_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(p, q), p > q: each line of a bucket with its two chosen ones."""
     large = cut(buckets.where("n > 2").select("key", "top", "drawn"))
     spread = rows.join(_maybe_broadcast(large), "key").select("p", F.explode(F.array("top", "drawn")).alias("q"))
     pairs = buckets.where("n = 2").select(F.col("end").alias("p"), F.col("top").alias("q")).union(spread)
     return pairs.where("p <> q").select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).distinct()
 
 
+def other_pairs(rows: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(p, q), p > q: all other pairs of a bucket but those that links join already. labels: p, component; done: pairs compared.
+
+    A bucket's lines are dealt into blocks, and each pair of blocks is a group of its own, so none has more than about
+    block * block pairs.
+    """
+    large = cut(buckets.where("n > 3").select("key", "top", "drawn"))
+    left = rows.join(_maybe_broadcast(large), "key").where("p <> top and p <> drawn").select("p", "key")
+    left = cut(left.join(_maybe_broadcast(labels), "p", "left").select("p", "key", F.coalesce("component", "p").alias("c")))
+    open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    open_ = cut(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    dealt = left.join(_maybe_broadcast(open_), "key").withColumn("own", F.expr("cast(pmod(xxhash64(p), blocks) as int)"))
+    one = dealt.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "p", "c")
+    two = dealt.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("p").alias("q"), F.col("c").alias("d"))
+    pairs = one.join(two, ["key", "i", "j"]).where("c <> d and (i < j or p > q)")
+    return pairs.select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).distinct().join(done, ["p", "q"], "left_anti")
+
+
 def shingle_array(norm: str) -> Column:
     """The distinct character shingles of a line; a shorter line is its own."""
     return F.when(F.char_length(norm) < SHINGLE, F.array(F.col(norm))).otherwise(F.array_distinct(F.regexp_extract_all(norm, F.lit("(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))))
@@ -105,8 +133,14 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     path = new_folder(docs.sparkSession, "signatures")
     signatures(lines).write.parquet(path)
     signed = docs.sparkSession.read.parquet(path)
-    pairs = cut(candidate_pairs(signed))
+    rows = keyed(signed)
+    buckets = buckets_of(rows)
+    pairs = cut(hub_pairs(rows, buckets))
     links = cut(verified(docs, signed, pairs))
+    found = components(links).select(F.col("node").alias("code"), F.xxhash64("component").alias("component"))
+    labels = cut(signed.select("p", "code").join(_maybe_broadcast(cut(found)), "code").select("p", "component"))
+    others = cut(other_pairs(rows, buckets, labels, pairs))
+    links = links.union(cut(verified(docs, signed, others)))
     gone = cut(components(links).where("component <> node").select(F.col("node").alias("code")))
     kept = signed.select("code").join(_maybe_broadcast(gone), "code", "left_anti")
     places = kept.select(F.floor(F.col("code") / F.lit(PLACES).cast("decimal(10,0)")).cast("long").alias("_id"), F.pmod("code", F.lit(PLACES).cast("decimal(10,0)")).cast("int").alias("pos"))

@@ -80,3 +80,44 @@ def test_recall_on_documents(spark):
     extra = len(lines(got) - lines(expected))
     dropped = sum(len(t.split("\n")) for _, t in rows) - sum(len(t.split("\n")) for t in expected.values())
     assert extra <= 0.02 * dropped
+
+
+def variants(seed, families, length, far, near_by):
+    """A template, and pairs of lines that are near each other (near_by edits) but not the template (far edits)."""
+    rng = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+
+    def edited(line, n):
+        line = list(line)
+        for at in rng.sample(range(len(line)), n):
+            line[at] = rng.choice("0123456789")
+        return "".join(line)
+
+    base = "".join(rng.choice(letters) for _ in range(length)) + "q"
+    lines = [base] * 5
+    for _ in range(families):
+        one = edited(base, far)
+        lines += [one, edited(one, near_by)]
+    rng.shuffle(lines)
+    return [(i, line) for i, line in enumerate(lines)]
+
+
+def test_every_pair_of_a_bucket_is_compared(spark):
+    signed = spark.createDataFrame([(i, *[5] * ld.MINIMA) for i in range(30)], ["p", *(f"m{j}" for j in range(ld.MINIMA))])
+    rows = ld.keyed(signed)
+    buckets = ld.buckets_of(rows)
+    first = ld.cut(ld.hub_pairs(rows, buckets))
+    labels = spark.createDataFrame([(3, 100), (4, 100), (5, 100)], "p long, component long")
+    others = {tuple(r) for r in ld.other_pairs(rows, buckets, labels, first, block=4).collect()}
+    done = {tuple(r) for r in first.collect()}
+    joined = {(4, 3), (5, 3), (5, 4)}
+    assert not others & done and not others & joined
+    assert others | done | joined == {(p, q) for p in range(30) for q in range(p)}
+
+
+def test_near_lines_that_no_hub_is_near_to(spark):
+    rows = variants(1, 150, 200, 7, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in ld.dedup_lines(docs).collect() if r.n_kept}
+    expected = {k for k, t in brute(rows).items() if t}
+    assert expected <= got and len(got - expected) <= 0.02 * (len(rows) - len(expected))
