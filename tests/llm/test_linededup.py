@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from isopleth.llm import linededup as ld
 from tests.llm.test_components import plain
 
@@ -121,3 +123,19 @@ def test_near_lines_that_no_hub_is_near_to(spark):
     got = {r.doc_id for r in ld.dedup_lines(docs).collect() if r.n_kept}
     expected = {k for k, t in brute(rows).items() if t}
     assert expected <= got and len(got - expected) <= 0.02 * (len(rows) - len(expected))
+
+
+def test_pairs_at_the_threshold_share_a_bucket(spark):
+    rng, rows = random.Random(2), []
+    letters = "abcdefghijklmnopqrstuvwxyz   "
+    while len(rows) < 3000:
+        one = "a" + "".join(rng.choice(letters) for _ in range(rng.choice([38, 78, 198, 398]))) + "b"
+        two = list(one)
+        for _ in range(max(1, int(len(one) * rng.uniform(0.012, 0.024)))):
+            two[rng.randrange(1, len(one) - 1)] = rng.choice("0123456789")
+        a, b = sets(one), sets("".join(two))
+        if near(a, b) and len(a & b) < 0.82 * len(a | b):
+            rows += [(len(rows), one), (len(rows) + 1, "".join(two))]
+    keys = ld.keyed(ld.signatures(ld.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))).withColumn("p", (F.col("code") / ld.PLACES).cast("long")))
+    pairs = keys.groupBy("key", F.floor(F.col("p") / 2).alias("pair")).agg(F.count("*").alias("n")).where("n > 1")
+    assert pairs.select("pair").distinct().count() >= 0.99 * len(rows) / 2
