@@ -2,7 +2,8 @@
 
 1. Each distinct line (in lower case, without blanks around it) gets twenty minima of the hashed character 5-shingles
    that are verified later, one per residue class of the hash, in one pre-aggregated pass over all shingles. Of a long
-   line only hashes below a bound that falls with its length count, about 160 of them, which keeps the minima.
+   line only hashes below a bound that falls with its length count, about 160 of them; where a minimum is missing then,
+   as in lines of few distinct shingles, the line is signed again over all of its shingles.
 2. Banding: fifteen bands of four minima, each minimum in three. Of pairs of J = 0.8, 0.75 % share no band, of J = 0.86 0.1 %.
 3. In each bucket of a band, every line is first paired with the bucket's most copied line and with one that the bucket's own
    hash order draws; then all other pairs of the bucket that no link joins so far follow, in blocks. Pairs are verified by the exact Jaccard similarity of their character 5-shingles, at 0.8.
@@ -20,6 +21,8 @@ SHINGLE, MINIMA, SAMPLE = 5, 20, 160
 BANDS = [(x, 5 + (x + y) % 5, 10 + (x + 2 * y) % 5, 15 + (x + 3 * y) % 5) for y in range(3) for x in range(5)]
 POSITIVE = (1 << 63) - 1
 LOW_BITS = (1 << 57) - 1
+#: Minima of a line up to which one in a band is enough for a key.
+FEW = 10
 #: Lines of a bucket that are compared as one group.
 BLOCK = 512
 #: Rows that may be broadcast; beyond it a shuffled join is taken.
@@ -53,24 +56,44 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return places_of(docs).select("code", norm_of().alias("norm")).where("norm <> ''").withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), F.col("norm"))})
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: code of its first place, p (its number: the more copies the lower), minima m0 to m19."""
-    distinct = lines.groupBy("h1", "h2").agg(F.min("code").alias("code"), F.count("*").alias("copies"))
-    shingles = lines.select("h1", "h2", F.encode("norm", "UTF-16BE").alias("units"))
+def minima_of(lines: DataFrame, names: list[str], sampled: bool) -> DataFrame:
+    """The minima m0 to m19 of norm by names; sampled: of a long line, of hashes below its bound alone."""
+    shingles = lines.select(*names, F.encode("norm", "UTF-16BE").alias("units"))
     shingles = shingles.withColumn("n", F.greatest(F.lit(1), F.floor(F.length("units") / 2).cast("int") - (SHINGLE - 1)))
-    shingles = shingles.select("h1", "h2", "n", "units", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-    shingles = shingles.select("h1", "h2", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE})) & {POSITIVE}L").alias("h"), F.expr(f"if(n <= {SAMPLE}, {POSITIVE}L, ({POSITIVE}L div n) * {SAMPLE})").alias("most"))
-    shingles = shingles.where("h < most").select("h1", "h2", "h", F.expr(f"cast(h % {MINIMA} as int)").alias("j"))
-    minima = shingles.groupBy("h1", "h2").agg(*(F.min(F.expr(f"if(j = {j}, h, null)")).alias(f"m{j}") for j in range(MINIMA)))
+    shingles = shingles.select(*names, "n", "units", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    shingles = shingles.select(*names, F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE})) & {POSITIVE}L").alias("h"), F.expr(f"if(n <= {SAMPLE}, {POSITIVE}L, ({POSITIVE}L div n) * {SAMPLE})").alias("most"))
+    shingles = (shingles.where("h < most") if sampled else shingles).select(*names, "h", F.expr(f"cast(h % {MINIMA} as int)").alias("j"))
+    minima = shingles.groupBy(*names).agg(*(F.min(F.expr(f"if(j = {j}, h, null)")).alias(f"m{j}") for j in range(MINIMA)))
+    return minima.select(*names, *(F.when(F.col(f"m{j}").isNotNull(), F.hash(f"m{j}")).alias(f"m{j}") for j in range(MINIMA)))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """One row per distinct line: code of its first place, p (its number: the more copies the lower), minima m0 to m19.
+
+    A long line that lacks a minimum, as one of few distinct shingles does, is thin: it is still to be signed again.
+    """
+    distinct = lines.groupBy("h1", "h2").agg(F.min("code").alias("code"), F.count("*").alias("copies"), F.max(F.octet_length("norm")).alias("size"))
+    minima = minima_of(lines, ["h1", "h2"], True)
     number = F.expr(f"shiftleft(cast(62 - least(62, floor(log2(copies))) as bigint), 57) | (h1 & {LOW_BITS}L)")
     found = distinct.join(minima, ["h1", "h2"], "left")
-    return found.select(number.alias("p"), "code", *(F.when(F.col(f"m{j}").isNotNull(), F.hash(f"m{j}")).alias(f"m{j}") for j in range(MINIMA)))
+    lacks = F.expr(" or ".join(f"m{j} is null" for j in range(MINIMA)))
+    return found.select(number.alias("p"), "code", ((F.col("size") > SAMPLE) & lacks).alias("thin"), *(f"m{j}" for j in range(MINIMA)))
+
+
+def thin_signatures(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """p, code and the minima of thin lines over all of their shingles."""
+    thin = cut(signed.where("thin").select("p", "code"))
+    texts = places_of(docs).where(F.octet_length("line") > SAMPLE).join(_maybe_broadcast(thin), "code").select("p", "code", norm_of().alias("norm"))
+    again = minima_of(texts, ["p", "code"], False)
+    return again.select("p", "code", *(f"m{j}" for j in range(MINIMA)))
 
 
 def keyed(signed: DataFrame) -> DataFrame:
-    """(p, key): the buckets of each line."""
+    """(p, key): the buckets of each line. Bands with one minimum count for lines of few minima alone."""
+    there = lambda places: sum(F.col(f"m{j}").isNotNull().cast("int") for j in places)
+    few = there(range(MINIMA)) <= FEW
     keys = [
-        F.when(sum(F.col(f"m{j}").isNotNull().cast("int") for j in band) >= 2, F.xxhash64(F.lit(number), *(F.coalesce(f"m{j}", F.lit(-1)) for j in band)))
+        F.when((there(band) >= 2) | few & (there(band) == 1), F.xxhash64(F.lit(number), *(F.coalesce(f"m{j}", F.lit(-1)) for j in band)))
         for number, band in enumerate(BANDS)
     ]
     return signed.select("p", F.explode(F.array_compact(F.array(*keys))).alias("key"))
@@ -132,6 +155,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     path = new_folder(docs.sparkSession, "signatures")
     signatures(lines).write.parquet(path)
     signed = docs.sparkSession.read.parquet(path)
+    signed = signed.where("not thin").drop("thin").union(cut(thin_signatures(docs, signed)))
     rows = keyed(signed)
     buckets = buckets_of(rows)
     pairs = cut(hub_pairs(rows, buckets))

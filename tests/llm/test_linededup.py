@@ -139,3 +139,10 @@ def test_pairs_at_the_threshold_share_a_bucket(spark):
     keys = ld.keyed(ld.signatures(ld.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))).withColumn("p", (F.col("code") / ld.PLACES).cast("long")))
     pairs = keys.groupBy("key", F.floor(F.col("p") / 2).alias("pair")).agg(F.count("*").alias("n")).where("n > 1")
     assert pairs.select("pair").distinct().count() >= 0.99 * len(rows) / 2
+
+
+def test_lines_of_few_distinct_shingles(spark):
+    pairs = [("-" * 10, "-" * 12), ("buy now! " * 60, "buy now! " * 61), ("contacts", "contacts."), ("x" * 30000, "x" * 29999), ("ab cd " * 3000, "ab cd " * 2000 + "ab")]
+    rows = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)] + [(702, "y" * 30000 + "\n" + "y" * 29999)]
+    found = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows) and found[702] == "y" * 30000
