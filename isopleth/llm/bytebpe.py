@@ -1,15 +1,18 @@
 """Byte-level BPE: encoding by a fold of ranked merges in Spark's higher-order functions, decoding by joined pieces.
 
-The plan is narrow, without a shuffle. A first step cuts texts into words and passes on, with each document, the words
-that its task has not met before; higher-order functions fold the merges over the byte arrays of those words, with the
-ranks as a literal map; a last step looks up each document's words and digests ids and decoded bytes.
+The plan is narrow, one stage without a shuffle. A first step cuts texts into words and passes on, with each document,
+the numbers of its words and the words that its task has not met before; higher-order functions fold the merges over
+the bytes of those words, with the ranks as a literal map; a last step joins the ids of each document's words. Spark
+runs the three steps of a partition in one task, one after the other on the same rows, so the last step knows all words
+of a row when it comes; the row also says how many words were known before it, and a mismatch ends the task.
 """
 
 import base64
 import hashlib
-import heapq
 import json
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -19,7 +22,10 @@ from pyspark.sql import functions as F
 from isopleth.llm.common import Rows, text_or_empty
 from isopleth.llm.tokens import by_size
 
-BUCKETS, NO_RANK = 8192, 1 << 30
+#: Places of the literal rank map, each a small map of the pairs whose hash falls in it.
+BUCKETS = 16384
+#: Marks a merge after which no pair of a lower rank can arise.
+SAFE = "\x01"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -28,133 +34,161 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
+def mark(rank: int) -> str:
+    """A piece as one character; characters order as ranks do (surrogates are left out)."""
+    return chr(rank + 2 if rank + 2 < 0xD800 else rank + 0x802)
+
+
+def ranks_of(marks: str) -> np.ndarray:
+    """The ranks of a string of piece characters."""
+    codes = np.frombuffer(marks.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.where(codes < 0xD800, codes - 2, codes - 0x802)
+
+
+def merges_of(ranks: dict[bytes, int]) -> dict[str, str]:
+    """The merged piece of each pair of adjacent pieces that make a piece; with SAFE where all pieces made of it rank above it."""
+    pairs, unsafe = {}, set()
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                pairs[mark(a) + mark(b)] = rank
+                unsafe.update(x for x in (a, b) if x > rank)
+    return {pair: mark(rank) + ("" if rank in unsafe else SAFE) for pair, rank in pairs.items()}
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal: an array of small maps, each of the pieces whose hash falls in its place.
+    """The merges as a literal: an array of small maps, as Spark searches a map from its start."""
+    buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for pair, merged in merges_of(ranks).items():
+        buckets[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS][pair] = merged
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: the variable of a transform of one element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    A piece is a string of one character per byte (ISO-8859-1), as map keys must be strings.
+
+def fold_merges(word: Column, merges: Column) -> Column:
+    """The pieces of a word, given as its bytes' pieces: the adjacent pair of lowest rank, leftmost first, is merged until none has a rank.
+
+    The state holds the pieces and, for each adjacent pair, the piece that it would make. After a merge only the two
+    pairs beside it are looked up again. Where the same pair comes again and no lower rank can arise, all its places
+    are merged in one step, as one place at a time would do.
     """
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        key = piece.decode("latin-1")
-        found = xxhash.xxh64_intdigest(key.encode(), 42)
-        buckets[(found - (1 << 64) if found >> 63 else found) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
+    def found(pieces: Column, i: Column) -> Column:
+        pair = F.substring(pieces, i, F.lit(2))
+        return F.element_at(merges, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)[pair]
+
+    def made(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: found(pieces, i))
+
+    def state(pieces: Column, pairs: Column) -> Column:
+        return F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
+
+    def step(acc: Column, _: Column) -> Column:
+        pieces, pairs = acc["pieces"], acc["pairs"]
+
+        def merge(at: Column) -> Column:
+            best, pair = F.element_at(pairs, at), F.substring(pieces, at, F.lit(2))
+            new, rest = F.substring(best, 1, 1), F.substring(pieces, at + 2, F.length(pieces))
+            others = F.exists(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.coalesce(F.element_at(pairs, i) == best, F.lit(False)) & (F.substring(pieces, i, F.lit(2)) != pair))
+            every = F.contains(rest, pair) & F.endswith(best, F.lit(SAFE)) & ~others
+
+            def one(after: Column) -> Column:
+                return state(
+                    after,
+                    F.when(F.length(after) < 2, F.array().cast("array<string>")).otherwise(
+                        F.transform(
+                            F.sequence(F.lit(1), F.length(after) - 1),
+                            lambda i: F.when(i < at - 1, F.element_at(pairs, i)).when(i > at, F.element_at(pairs, i + 1)).otherwise(found(after, i)),
+                        )
+                    ),
+                )
 
-def fold_merges(word: Column, ranks: Column) -> Column:
-    """The ids of a word of one character per byte: from single bytes, the adjacent pair of lowest rank, leftmost first, is merged until none has a rank."""
+            def all_places(after: Column) -> Column:
+                return state(after, F.when(F.length(after) < 2, F.array().cast("array<string>")).otherwise(made(after)))
 
-    def rank(piece: Column) -> Column:
-        return F.coalesce(F.element_at(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int") + 1)[piece], F.lit(NO_RANK))
+            before = F.substring(pieces, F.lit(1), at - 1)
+            return F.when(every, let(F.concat(before, F.replace(F.substring(pieces, at, F.length(pieces)), pair, new)), all_places)).otherwise(let(F.concat(before, new, rest), one))
 
-    def merge(pieces: Column, at: Column) -> Column:
-        return F.concat(
-            F.slice(pieces, F.lit(1), at - 1),
-            F.array(F.concat(F.element_at(pieces, at), F.element_at(pieces, at + 1))),
-            F.slice(pieces, at + 2, F.size(pieces)),
+        # without a rank left the pairs are emptied, which ends the fold
+        return F.when(F.size(pairs) == 0, acc).otherwise(
+            let(F.array_position(pairs, F.array_min(pairs)).cast("int"), lambda at: F.when(at > 0, merge(at)).otherwise(state(pieces, F.array().cast("array<string>"))))
         )
 
-    def step(pieces: Column, _: Column) -> Column:
-        # a value that is needed more than once is the variable of a transform of one element
-        joined = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: F.concat(F.element_at(pieces, i), F.element_at(pieces, i + 1)))
-        places = F.transform(F.array(F.transform(joined, rank)), lambda found: F.when(F.array_min(found) < NO_RANK, F.array_position(found, F.array_min(found)).cast("int")).otherwise(F.lit(0)))
-        merged = F.transform(places, lambda at: F.when(at > 0, merge(pieces, at)).otherwise(F.array().cast("array<string>")))
-        return F.element_at(merged, 1)
-
-    def guarded(acc: Column, i: Column) -> Column:
-        """An empty array marks that no pair had a rank; the pieces before it are kept."""
-        next_ = F.transform(F.array(step(acc["pieces"], i)), lambda m: F.when(F.size(m) == 0, state(acc["pieces"], F.lit(True))).otherwise(state(m, F.size(m) < 2)))
-        return F.when(acc["done"], acc).otherwise(F.element_at(next_, 1))
-
-    def state(pieces: Column, done: Column) -> Column:
-        return F.struct(pieces.alias("pieces"), done.alias("done"))
-
-    split = F.split(word, "")
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), state(split, F.length(word) < 2), guarded, lambda acc: acc["pieces"])
-    return F.transform(folded, rank)
-
-
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one very long word, with a heap of pairs over a linked list."""
-    n = len(word)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and after[i] < n:
-            found = ranks.get(word[i : end[after[i]]])
-            if found is not None:
-                heapq.heappush(heap, (found, i, end[after[i]]))
-
-    for i in range(n):
-        offer(i)
-    gone = bytearray(n)
-    while heap:
-        _, i, until = heapq.heappop(heap)
-        if gone[i] or after[i] >= n or end[after[i]] != until or end[i] == until:
-            continue
-        j = after[i]
-        gone[j], end[i], after[i] = 1, end[j], after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        offer(i)
-        offer(before[i])
-    ids, i = [], 0
-    while i < n:
-        ids.append(ranks[word[i : end[i]]])
-        i = after[i]
-    return ids
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 400_000, longest: int = 256) -> DataFrame:
-    """One row per document: finish(id, ids by word) of whole texts.
-
-    `remembered` bounds the words that a task keeps: where it is reached both Python steps forget all of them at the same row.
-    Words of over `longest` bytes are merged by merge_long in the last step, as the fold's time grows with the square of
-    a word's length. Row order within a task is that of the input, and a task that runs again gives the same rows.
+    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word)), state(word, made(word)), step, lambda acc: acc["pieces"]))
+
+
+class Numbers(dict):
+    """The numbers of words, in the order in which they first came."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+ROWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("numbers", pa.binary()), ("new", pa.list_(pa.string()))])
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 400_000) -> DataFrame:
+    """One row per document: finish(id, number of ids, ids as decimal numbers joined by commas, decoded bytes) of whole texts.
+
+    `remembered` bounds the words that a task keeps: where a document would pass it, both Python steps forget all of
+    them before that document (`at` is 0 then). Row order within a task is that of the input, and a task that runs
+    again gives the same rows.
     """
     words = regex.compile(pattern).findall
+    singles = read_ranks(ranks_path)
+    singles = {b: mark(singles[bytes([b])]) for b in range(256)}
 
     def new_words(batches):
-        seen: set[str] = set()
+        known = Numbers()
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for some in by_size(texts.to_pylist()):
                 out = []
-                for text in texts.slice(some.start, some.stop - some.start).to_pylist():
-                    own = set(words(text))
-                    new = own - seen
-                    forget = len(seen) + len(new) > remembered
-                    if forget:
-                        seen, new = set(), own
-                    seen |= new
-                    new = sorted(new)
-                    out.append((forget, new, [w.encode().decode("latin-1") if len(w) <= longest else "" for w in new]))
-                n = some.stop - some.start
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(some.start, n), texts.slice(some.start, n), pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.list_(pa.string()))],
-                    ["id", "text", "forget", "new", "raw"],
-                )
+                for key, text in zip(keys[some], texts.slice(some.start, some.stop - some.start).to_pylist()):
+                    found = words(text)
+                    if len(known) > remembered:
+                        known = Numbers()
+                    at = len(known)
+                    numbers = array("i", map(known.__getitem__, found))
+                    new = []
+                    if len(known) > at:
+                        order = np.frombuffer(numbers, np.int32)
+                        fresh, first = np.unique(order, return_index=True)
+                        new = [found[i].encode().decode("latin-1").translate(singles) for i in first[fresh >= at].tolist()]
+                    out.append((key, at, numbers.tobytes(), new))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
 
     def assemble(batches):
-        known: dict[str, list[int]] = {}
-        ranks, rows = None, Rows(schema, 500)
+        ranks = read_ranks(ranks_path)
+        piece_of = {mark(rank): piece for piece, rank in ranks.items()}
+        name_of = {mark(rank): str(rank) for rank in ranks.values()}
+        counts, names, pieces, rows = array("q"), [], [], Rows(schema, 500)
         for batch in batches:
-            for key, text, forget, new, ids in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "forget", "new", "ids"))):
-                if forget:
-                    known.clear()
-                known.update(zip(new, ids))
-                if None in ids:
-                    ranks = ranks or read_ranks(ranks_path)
-                    known.update((w, merge_long(w.encode(), ranks)) for w, x in zip(new, ids) if x is None)
-                rows.add(*finish(key, list(map(known.__getitem__, words(text)))))
+            for key, at, numbers, new in zip(*(batch.column(c).to_pylist() for c in ("id", "at", "numbers", "new"))):
+                if at == 0:
+                    counts, names, pieces = array("q"), [], []
+                if at != len(names):
+                    raise ValueError("rows did not come in the order in which their words were numbered")
+                counts.extend(map(len, new))
+                names += [",".join(map(name_of.__getitem__, w)) for w in new]
+                pieces += [b"".join(map(piece_of.__getitem__, w)) for w in new]
+                order = np.frombuffer(numbers, np.int32)
+                own = order.tolist()
+                total = int(np.frombuffer(counts, np.int64)[order].sum()) if own else 0
+                rows.add(*finish(key, total, ",".join(map(names.__getitem__, own)), b"".join(map(pieces.__getitem__, own))))
                 if rows.full():
                     yield rows.take()
         yield rows.take()
 
     literal = rank_literal(read_ranks(ranks_path))
-    first = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).mapInArrow(new_words, "id long, text string, forget boolean, new array<string>, raw array<string>")
-    folded = first.select("id", "text", "forget", "new", F.transform("raw", lambda w: F.when(w != "", fold_merges(w, literal))).alias("ids"))
+    first = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).mapInArrow(new_words, "id long, at long, numbers binary, new array<string>")
+    folded = first.select("id", "at", "numbers", F.transform("new", lambda w: fold_merges(w, literal)).alias("new"))
     return folded.mapInArrow(assemble, ddl)
 
 
@@ -167,13 +201,8 @@ def digest_bpe(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     A missing text counts as empty; repeated rows, repeated and missing identifiers are encoded like any other; an
     empty table gives no rows; other columns are ignored.
     """
-    pieces: dict[int, bytes] = {}
-
-    def finish(key, by_word):
-        if not pieces:
-            pieces.update((rank, piece) for piece, rank in read_ranks(ranks_path).items())
-        ids = [i for word in by_word for i in word]
-        decoded = b"".join(map(pieces.__getitem__, ids))
-        return key, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+    def finish(key, total, ids, decoded):
+        return key, total, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
     return encode(docs, ranks_path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", DIGEST)
