@@ -24,8 +24,8 @@ from isopleth.llm.tokens import by_size
 
 #: Places of the literal rank map, each a small map of the pairs whose hash falls in it.
 BUCKETS = 16384
-#: Marks a merge after which no pair of a lower rank can arise.
-SAFE = "\x01"
+#: Stands for a pair that makes no piece; sorts after all pieces.
+NONE = "\U0010ffff"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,34 +34,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def mark(rank: int) -> str:
-    """A piece as one character; characters order as ranks do (surrogates are left out)."""
-    return chr(rank + 2 if rank + 2 < 0xD800 else rank + 0x802)
+def marks_of(ranks: dict[bytes, int]) -> dict[bytes, str]:
+    """Each piece as one character; characters order as ranks do (surrogates are left out).
 
-
-def ranks_of(marks: str) -> np.ndarray:
-    """The ranks of a string of piece characters."""
-    codes = np.frombuffer(marks.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(codes < 0xD800, codes - 2, codes - 0x802)
-
-
-def merges_of(ranks: dict[bytes, int]) -> dict[str, str]:
-    """The merged piece of each pair of adjacent pieces that make a piece; with SAFE where all pieces made of it rank above it."""
-    pairs, unsafe = {}, set()
+    An odd code point tells that all pieces made of this one rank above it, so that merging to it brings no lower rank.
+    """
+    unsafe = set()
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
             if a is not None and b is not None:
-                pairs[mark(a) + mark(b)] = rank
                 unsafe.update(x for x in (a, b) if x > rank)
-    return {pair: mark(rank) + ("" if rank in unsafe else SAFE) for pair, rank in pairs.items()}
+    codes = {piece: 2 * rank + 2 + (rank not in unsafe) for piece, rank in ranks.items()}
+    return {piece: chr(code if code < 0xD800 else code + 0x800) for piece, code in codes.items()}
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The merges as a literal: an array of small maps, as Spark searches a map from its start."""
+    """The ranks as a literal: the piece that each pair of pieces makes, in an array of small maps, as Spark searches a map from its start."""
     buckets: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
-    for pair, merged in merges_of(ranks).items():
-        buckets[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS][pair] = merged
+    marks = marks_of(ranks)
+    for piece, made in marks.items():
+        for k in range(1, len(piece)):
+            a, b = marks.get(piece[:k]), marks.get(piece[k:])
+            if a and b:
+                buckets[xxhash.xxh64_intdigest((a + b).encode(), 42) % BUCKETS][a + b] = made
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
 
 
@@ -70,20 +66,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_merges(word: Column, merges: Column) -> Column:
+def fold_merges(word: Column, ranks: Column) -> Column:
     """The pieces of a word, given as its bytes' pieces: the adjacent pair of lowest rank, leftmost first, is merged until none has a rank.
 
-    The state holds the pieces and, for each adjacent pair, the piece that it would make. After a merge only the two
-    pairs beside it are looked up again. Where the same pair comes again and no lower rank can arise, all its places
-    are merged in one step, as one place at a time would do.
+    The state is two strings: the pieces, and for each adjacent pair the piece that it makes. After a merge only the
+    two pairs beside it are looked up again. Where the same pair comes again and no lower rank can arise, all its
+    places are merged in one step, as one place at a time would do.
     """
 
-    def found(pieces: Column, i: Column) -> Column:
-        pair = F.substring(pieces, i, F.lit(2))
-        return F.element_at(merges, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)[pair]
+    def part(text: Column, start, length=None) -> Column:
+        return F.substring(text, F.lit(start) if isinstance(start, int) else start, F.length(text) if length is None else F.lit(length) if isinstance(length, int) else length)
 
-    def made(pieces: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: found(pieces, i))
+    def made(pieces: Column, i: Column) -> Column:
+        pair = part(pieces, i, 2)
+        return F.coalesce(F.element_at(ranks, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)[pair], F.lit(NONE))
+
+    def all_made(pieces: Column) -> Column:
+        return F.when(F.length(pieces) < 2, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(pieces) - 1), lambda i: made(pieces, i)), ""))
 
     def state(pieces: Column, pairs: Column) -> Column:
         return F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
@@ -91,35 +90,20 @@ def fold_merges(word: Column, merges: Column) -> Column:
     def step(acc: Column, _: Column) -> Column:
         pieces, pairs = acc["pieces"], acc["pairs"]
 
-        def merge(at: Column) -> Column:
-            best, pair = F.element_at(pairs, at), F.substring(pieces, at, F.lit(2))
-            new, rest = F.substring(best, 1, 1), F.substring(pieces, at + 2, F.length(pieces))
-            others = F.exists(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.coalesce(F.element_at(pairs, i) == best, F.lit(False)) & (F.substring(pieces, i, F.lit(2)) != pair))
-            every = F.contains(rest, pair) & F.endswith(best, F.lit(SAFE)) & ~others
-
-            def one(after: Column) -> Column:
-                return state(
-                    after,
-                    F.when(F.length(after) < 2, F.array().cast("array<string>")).otherwise(
-                        F.transform(
-                            F.sequence(F.lit(1), F.length(after) - 1),
-                            lambda i: F.when(i < at - 1, F.element_at(pairs, i)).when(i > at, F.element_at(pairs, i + 1)).otherwise(found(after, i)),
-                        )
-                    ),
-                )
-
-            def all_places(after: Column) -> Column:
-                return state(after, F.when(F.length(after) < 2, F.array().cast("array<string>")).otherwise(made(after)))
-
-            before = F.substring(pieces, F.lit(1), at - 1)
-            return F.when(every, let(F.concat(before, F.replace(F.substring(pieces, at, F.length(pieces)), pair, new)), all_places)).otherwise(let(F.concat(before, new, rest), one))
+        def merge(best: Column, at: Column) -> Column:
+            before, pair, rest = part(pieces, 1, at - 1), part(pieces, at, 2), part(pieces, at + 2)
+            others = F.exists(F.sequence(F.lit(1), F.length(pairs)), lambda i: (part(pairs, i, 1) == best) & (part(pieces, i, 2) != pair))
+            every = F.contains(rest, pair) & (F.ascii(best) % 2 == 1) & ~others
+            left = lambda after: F.when(at > 1, made(after, at - 1)).otherwise("")
+            right = lambda after: F.when(at < F.length(after), made(after, at)).otherwise("")
+            one = let(F.concat(before, best, rest), lambda after: state(after, F.concat(part(pairs, 1, at - 2), left(after), right(after), part(pairs, at + 2))))
+            return F.when(every, let(F.concat(before, F.replace(part(pieces, at), pair, best)), lambda after: state(after, all_made(after)))).otherwise(one)
 
-        # without a rank left the pairs are emptied, which ends the fold
-        return F.when(F.size(pairs) == 0, acc).otherwise(
-            let(F.array_position(pairs, F.array_min(pairs)).cast("int"), lambda at: F.when(at > 0, merge(at)).otherwise(state(pieces, F.array().cast("array<string>"))))
-        )
+        # where no pair has a rank the pairs are emptied, which ends the fold
+        lowest = let(F.array_min(F.split(pairs, "")), lambda best: F.when(best == NONE, state(pieces, F.lit(""))).otherwise(let(F.call_function("instr", pairs, best), lambda at: merge(best, at))))
+        return F.when(pairs == "", acc).otherwise(lowest)
 
-    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word)), state(word, made(word)), step, lambda acc: acc["pieces"]))
+    return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word)), state(word, all_made(word)), step, lambda acc: acc["pieces"]))
 
 
 class Numbers(dict):
@@ -133,16 +117,17 @@ class Numbers(dict):
 ROWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("numbers", pa.binary()), ("new", pa.list_(pa.string()))])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 1_000_000, together: int = 4) -> DataFrame:
     """One row per document: finish(id, number of ids, ids as decimal numbers joined by commas, decoded bytes) of whole texts.
 
-    `remembered` bounds the words that a task keeps: where a document would pass it, both Python steps forget all of
+    Up to `together` partitions of docs are read by one task, as long as every core has one: the more text a task reads,
+    the fewer words are folded twice. `remembered` bounds the words that a task keeps: where a document would pass it, both Python steps forget all of
     them before that document (`at` is 0 then). Row order within a task is that of the input, and a task that runs
     again gives the same rows.
     """
     words = regex.compile(pattern).findall
-    singles = read_ranks(ranks_path)
-    singles = {b: mark(singles[bytes([b])]) for b in range(256)}
+    marks = marks_of(read_ranks(ranks_path))
+    singles = {b: marks[bytes([b])] for b in range(256)}
 
     def new_words(batches):
         known = Numbers()
@@ -166,8 +151,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
 
     def assemble(batches):
         ranks = read_ranks(ranks_path)
-        piece_of = {mark(rank): piece for piece, rank in ranks.items()}
-        name_of = {mark(rank): str(rank) for rank in ranks.values()}
+        marks = marks_of(ranks)
+        piece_of, name_of = {m: piece for piece, m in marks.items()}, {m: str(ranks[piece]) for piece, m in marks.items()}
         counts, names, pieces, rows = array("q"), [], [], Rows(schema, 500)
         for batch in batches:
             for key, at, numbers, new in zip(*(batch.column(c).to_pylist() for c in ("id", "at", "numbers", "new"))):
@@ -187,7 +172,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
         yield rows.take()
 
     literal = rank_literal(read_ranks(ranks_path))
-    first = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text")).mapInArrow(new_words, "id long, at long, numbers binary, new array<string>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // together))
+    first = rows.mapInArrow(new_words, "id long, at long, numbers binary, new array<string>")
     folded = first.select("id", "at", "numbers", F.transform("new", lambda w: fold_merges(w, literal)).alias("new"))
     return folded.mapInArrow(assemble, ddl)
 
