@@ -46,6 +46,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A beginning of column names that no column of df has."""
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem = f"_{stem}"
+    return stem
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -5,48 +5,46 @@
    line only hashes below a bound that falls with its length count, about 160 of them; where a minimum is missing then,
    as in lines of few distinct shingles, the line is signed again over all of its shingles.
 2. Banding: fifteen bands of four minima, each minimum in three. Of pairs of J = 0.8, 0.75 % share no band, of J = 0.86 0.1 %.
-3. In each bucket of a band, every line is first paired with the bucket's most copied line and with one that the bucket's own
-   hash order draws; then all other pairs of the bucket that no link joins so far follow, in blocks. Pairs that agree in nine minima (at J = 0.8 all but one in
-   ten thousand do) are verified by the exact Jaccard similarity of their character 5-shingles, at 0.8.
-4. Distributed union-find joins the verified pairs; the first line of a component by (document, line number) stays.
+   In buckets of up to 32 lines each line meets each. Lines of larger buckets are keyed again by 36 bands of six minima,
+   which takes apart what only templates or common words brought together (of pairs of J = 0.8 that meet in large buckets
+   alone, 4 % share none of these, simulated). In buckets of these bands that are still larger, each line meets two hubs first; all
+   pairs that links do not join by then follow, in salted blocks.
+3. Pairs that agree in nine minima (at J = 0.8 all but one in ten thousand do) are verified by the exact Jaccard
+   similarity of their character 5-shingles, at 0.8.
+4. Distributed union-find joins the verified pairs; the first line of a component by (document, text, line number) stays.
+
+Lines are named by 128 bits of hashes, in pairs by 64 of them; shingles are compared by 64-bit hashes.
 """
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import cut, new_folder, text_or_empty
+from isopleth.llm.common import cut, fresh_name, named, new_folder, text_or_empty
 from isopleth.llm.components import components
 
 SHINGLE, MINIMA, SAMPLE = 5, 20, 160
 #: Fifteen bands of four minima, from three orthogonal squares of order 5: each minimum is in three, two bands share one at most.
 BANDS = [(x, 5 + (x + y) % 5, 10 + (x + 2 * y) % 5, 15 + (x + 3 * y) % 5) for y in range(3) for x in range(5)]
+#: Bands of six minima for the lines of large buckets.
+DEEP = [tuple(sorted(random.Random(number).sample(range(MINIMA), 6))) for number in range(36)]
 POSITIVE = (1 << 63) - 1
-LOW_BITS = (1 << 57) - 1
 #: Minima in which a pair must agree to be compared; at J = 0.8 one pair in ten thousand agrees in fewer.
 AGREE = 9
 #: Minima of a line up to which one in a band is enough for a key.
 FEW = 10
-#: Lines of a bucket that are compared as one group.
-BLOCK = 512
-#: Rows that may be broadcast; beyond it a shuffled join is taken.
-BROADCAST_ROWS = 500_000
-
-
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """df must be cut, so that counting it is cheap."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
+#: Lines of a bucket that all meet each other; of a larger one, lines that are compared as one block.
+SMALL, BLOCK = 32, 512
+#: Bytes that may be broadcast; beyond it a shuffled join is taken.
+BROADCAST_BYTES = 16 << 20
 #: Blanks around a line, besides the line feeds that end it.
 BLANKS = " \t\r\x0b\x0c"
-#: Places of lines within a document are below this.
-PLACES = 10**9
 
 
-def places_of(docs: DataFrame) -> DataFrame:
-    """code (orders lines by document and place) and line of every line of documents with an identifier."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line")).where("doc_id is not null")
-    return rows.select((F.col("doc_id").cast("decimal(28,0)") * F.lit(PLACES).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)").alias("code"), "line")
+def _maybe_broadcast(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """df must be cut, so that counting it is cheap."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
 def norm_of(line: str = "line") -> Column:
@@ -55,84 +53,94 @@ def norm_of(line: str = "line") -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """code, norm, h1, h2 of each line with more than blanks."""
-    return places_of(docs).select("code", norm_of().alias("norm")).where("norm <> ''").withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), F.col("norm"))})
+    """doc_id, version (a hash of the whole text), pos, norm, h1, h2 of each line with more than blanks, of documents with an identifier."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.posexplode(F.split(text_or_empty(), "\n")).alias("pos", "line")).where("doc_id is not null")
+    rows = rows.select("doc_id", "version", "pos", norm_of().alias("norm")).where("norm <> ''")
+    return rows.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(1), F.col("norm"))})
 
 
-def minima_of(lines: DataFrame, names: list[str], sampled: bool) -> DataFrame:
-    """The minima m0 to m19 of norm by names; sampled: of a long line, of hashes below its bound alone."""
-    shingles = lines.select(*names, F.encode("norm", "UTF-16BE").alias("units"))
+def minima_of(lines: DataFrame, sampled: bool) -> DataFrame:
+    """One row per distinct line (h1, h2): the least doc_id, copies, size in bytes, minima m0 to m19; sampled: of a long line, of hashes below its bound alone."""
+    names = ("h1", "h2", "doc_id", "size", "n")
+    shingles = lines.select("h1", "h2", "doc_id", F.octet_length("norm").alias("size"), F.encode("norm", "UTF-16BE").alias("units"))
     shingles = shingles.withColumn("n", F.greatest(F.lit(1), F.floor(F.length("units") / 2).cast("int") - (SHINGLE - 1)))
-    shingles = shingles.select(*names, "n", "units", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
-    shingles = shingles.select(*names, F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE})) & {POSITIVE}L").alias("h"), F.expr(f"if(n <= {SAMPLE}, {POSITIVE}L, ({POSITIVE}L div n) * {SAMPLE})").alias("most"))
-    shingles = (shingles.where("h < most") if sampled else shingles).select(*names, F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"cast(h % {MINIMA} as int)").alias("j"))
-    return shingles.groupBy(*names).agg(*(F.min(F.expr(f"if(j = {j}, h, null)")).alias(f"m{j}") for j in range(MINIMA)))
+    shingles = shingles.select(*names, "units", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    most = f"if(n <= {SAMPLE}, {POSITIVE}L, ({POSITIVE}L div n) * {SAMPLE})" if sampled else f"{POSITIVE}L"
+    shingles = shingles.select(*names, "i", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE})) & {POSITIVE}L").alias("h")).where(f"i = 0 or h <= {most}")
+    shingles = shingles.select("h1", "h2", "doc_id", "size", F.expr("if(i = 0, 1L, 0L)").alias("one"), F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"if(h <= {most}, cast(h % {MINIMA} as int), -1)").alias("j"))
+    return shingles.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("doc_id"), F.sum("one").alias("copies"), F.max("size").alias("size"), *(F.min(F.expr(f"if(j = {j}, h, null)")).alias(f"m{j}") for j in range(MINIMA))
+    )
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: code of its first place, p (its number: the more copies the lower), minima m0 to m19.
+    """One row per distinct line: p (its name in pairs), h2, doc_id, copies, minima m0 to m19, thin.
 
     A long line that lacks a minimum, as one of few distinct shingles does, is thin: it is still to be signed again.
     """
-    distinct = lines.groupBy("h1", "h2").agg(F.min("code").alias("code"), F.count("*").alias("copies"), F.max(F.octet_length("norm")).alias("size"))
-    minima = minima_of(lines, ["h1", "h2"], True)
-    number = F.expr(f"shiftleft(cast(62 - least(62, floor(log2(copies))) as bigint), 57) | (h1 & {LOW_BITS}L)")
-    found = distinct.join(minima, ["h1", "h2"], "left")
     lacks = F.expr(" or ".join(f"m{j} is null" for j in range(MINIMA)))
-    return found.select(number.alias("p"), "code", ((F.col("size") > SAMPLE) & lacks).alias("thin"), *(f"m{j}" for j in range(MINIMA)))
+    return minima_of(lines, True).select(F.col("h1").alias("p"), "h2", "doc_id", "copies", ((F.col("size") > SAMPLE) & lacks).alias("thin"), *(f"m{j}" for j in range(MINIMA)))
 
 
 def thin_signatures(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """p, code and the minima of thin lines over all of their shingles."""
-    thin = cut(signed.where("thin").select("p", "code"))
-    texts = places_of(docs).where(F.octet_length("line") > SAMPLE).join(_maybe_broadcast(thin), "code").select("p", "code", norm_of().alias("norm"))
-    again = minima_of(texts, ["p", "code"], False)
-    return again.select("p", "code", *(f"m{j}" for j in range(MINIMA)))
+    """p, h2, doc_id, copies and the minima of thin lines over all of their shingles, from the first document of each."""
+    thin = cut(signed.where("thin").select("p", "h2", "doc_id", "copies"))
+    homes = _maybe_broadcast(cut(thin.select(F.col("doc_id").alias("home")).distinct()))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(homes, F.col("doc_id") == F.col("home"), "left_semi")
+    names = _maybe_broadcast(thin.select("p", "h2", "doc_id"), 32)
+    lines = lines_of(some).where(F.octet_length("norm") > SAMPLE).withColumnRenamed("h1", "p").join(names, ["p", "h2", "doc_id"], "left_semi").withColumnRenamed("p", "h1")
+    again = minima_of(lines, False).select(F.col("h1").alias("p"), "h2", *(f"m{j}" for j in range(MINIMA)))
+    return thin.join(again, ["p", "h2"]).select("p", "h2", "doc_id", "copies", *(f"m{j}" for j in range(MINIMA)))
 
 
-def keyed(signed: DataFrame) -> DataFrame:
+def keyed(signed: DataFrame, bands: list[tuple[int, ...]] = BANDS) -> DataFrame:
     """(p, key): the buckets of each line. Bands with one minimum count for lines of few minima alone."""
     there = lambda places: sum(F.col(f"m{j}").isNotNull().cast("int") for j in places)
     few = there(range(MINIMA)) <= FEW
     keys = [
         F.when((there(band) >= 2) | few & (there(band) == 1), F.xxhash64(F.lit(number), *(F.coalesce(f"m{j}", F.lit(-1)) for j in band)))
-        for number, band in enumerate(BANDS)
+        for number, band in enumerate(bands)
     ]
     return signed.select("p", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
 def buckets_of(rows: DataFrame) -> DataFrame:
-    """key, n, top (the most copied line), end, drawn (a line by the bucket's own order) of each bucket of several lines."""
-    turned = F.expr(f"p ^ (key & {POSITIVE}L)")
+    """key, n, top (the bucket's first line), end, drawn (a line by the bucket's own order) of each bucket of several lines."""
+    turned = F.expr("p ^ key")
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("top"), F.max("p").alias("end"), F.min(turned).alias("drawn")).where("n > 1")
-    return cut(buckets.select("key", "n", "top", "end", F.expr(f"drawn ^ (key & {POSITIVE}L)").alias("drawn")))
+    return cut(buckets.select("key", "n", "top", "end", F.expr("drawn ^ key").alias("drawn")))
 
 
-def hub_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(p, q), p > q: each line of a bucket with its two chosen ones."""
-    large = cut(buckets.where("n > 2").select("key", "top", "drawn"))
-    spread = rows.join(_maybe_broadcast(large), "key").select("p", F.explode(F.array("top", "drawn")).alias("q"))
-    pairs = buckets.where("n = 2").select(F.col("end").alias("p"), F.col("top").alias("q")).union(spread)
-    return pairs.where("p <> q").select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).distinct()
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.where("p <> q").select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q"))
 
 
-def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs that agree in at least AGREE minima, as six bits of each tell: agreeing minima are never taken for others."""
-    parts = [" | ".join(f"shiftleft(cast(coalesce(hash(m{j}) & 63, 0) as bigint), {6 * (j - at)})" for j in range(at, at + 10)) for at in range(0, MINIMA, 10)]
-    own, other = ([F.expr(part).alias(f"{name}{i}") for i, part in enumerate(parts)] for name in "st")
-    both = pairs.join(signed.select("p", *own), "p").join(signed.select(F.col("p").alias("q"), *other), "q")
-    agree = " + ".join(f"if((shiftright(s{j // 10} ^ t{j // 10}, {6 * (j % 10)}) & 63) = 0, 1, 0)" for j in range(MINIMA))
-    return both.where(f"{agree} >= {AGREE}").select("p", "q")
+def small_pairs(rows: DataFrame, buckets: DataFrame, small: int = SMALL) -> DataFrame:
+    """(p, q), p > q: all pairs of the buckets of up to `small` lines; a row per bucket that they share."""
+    two = buckets.where("n = 2").select(F.col("end").alias("p"), F.col("top").alias("q"))
+    some = cut(buckets.where(f"n between 3 and {small}").select("key"))
+    members = cut(rows.join(_maybe_broadcast(some), "key"))
+    return _pairs(two.union(members.alias("a").join(members.alias("b"), F.expr("a.key = b.key and a.p > b.p")).select("a.p", F.col("b.p").alias("q"))))
 
 
-def other_pairs(rows: DataFrame, buckets: DataFrame, labels: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(p, q), p > q: all other pairs of a bucket but those that links join already. labels: p, component; done: pairs compared.
+def large_members(rows: DataFrame, buckets: DataFrame, small: int = SMALL) -> DataFrame:
+    """p, key, top, drawn of the lines of larger buckets."""
+    large = cut(buckets.where(f"n > {small}").select("key", "top", "drawn"))
+    return cut(rows.join(_maybe_broadcast(large, 32), "key").select("p", "key", "top", "drawn"))
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(p, q), p > q: each line of a large bucket with its two hubs."""
+    return _pairs(members.select("p", F.explode(F.array("top", "drawn")).alias("q"))).distinct()
+
+
+def other_pairs(members: DataFrame, labels: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(p, q), p > q: all other pairs of large buckets but those that links join already. labels: p, component; done: pairs compared.
 
     A bucket's lines are dealt into blocks, and each pair of blocks is a group of its own, so none has more than about
     block * block pairs.
     """
-    large = cut(buckets.where("n > 3").select("key", "top", "drawn"))
-    left = rows.join(_maybe_broadcast(large), "key").where("p <> top and p <> drawn").select("p", "key")
+    left = members.where("p <> top and p <> drawn").select("p", "key")
     left = cut(left.join(_maybe_broadcast(labels), "p", "left").select("p", "key", F.coalesce("component", "p").alias("c")))
     open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = cut(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
@@ -140,64 +148,110 @@ def other_pairs(rows: DataFrame, buckets: DataFrame, labels: DataFrame, done: Da
     one = dealt.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "p", "c")
     two = dealt.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("p").alias("q"), F.col("c").alias("d"))
     pairs = one.join(two, ["key", "i", "j"]).where("c <> d and (i < j or p > q)")
-    return pairs.select(F.greatest("p", "q").alias("p"), F.least("p", "q").alias("q")).distinct().join(done, ["p", "q"], "left_anti")
+    return _pairs(pairs.select("p", "q")).distinct().join(done, ["p", "q"], "left_anti")
+
+
+def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The distinct pairs that agree in at least AGREE minima, as six bits of each tell: agreeing minima are never taken for others."""
+    parts = [" | ".join(f"shiftleft(cast(coalesce(hash(m{j}) & 63, 0) as bigint), {6 * (j - at)})" for j in range(at, at + 10)) for at in range(0, MINIMA, 10)]
+    own, other = ([F.expr(part).alias(f"{name}{i}") for i, part in enumerate(parts)] for name in "st")
+    both = pairs.distinct().join(signed.select("p", *own), "p").join(signed.select(F.col("p").alias("q"), *other), "q")
+    agree = " + ".join(f"if((shiftright(s{j // 10} ^ t{j // 10}, {6 * (j % 10)}) & 63) = 0, 1, 0)" for j in range(MINIMA))
+    return both.where(f"{agree} >= {AGREE}").select("p", "q").distinct()
 
 
-def shingle_array(norm: str) -> Column:
-    """The distinct character shingles of a line; a shorter line is its own."""
-    return F.when(F.char_length(norm) < SHINGLE, F.array(F.col(norm))).otherwise(F.array_distinct(F.regexp_extract_all(norm, F.lit("(?s)(?=(.{%d}))" % SHINGLE), F.lit(1))))
+def shingle_hashes(norm: str) -> Column:
+    """The hashes of the distinct character shingles of a line; a shorter line is its own."""
+    units = F.encode(norm, "UTF-32")
+    each = F.transform(F.sequence(F.lit(0), F.char_length(norm) - SHINGLE), lambda i: F.xxhash64(F.substring(units, 4 * i + 1, F.lit(4 * SHINGLE))))
+    return F.when(F.char_length(norm) < SHINGLE, F.array(F.xxhash64(units))).otherwise(F.array_distinct(each))
 
 
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): codes of lines whose Jaccard similarity is at least 0.8."""
-    named = cut(pairs.select(F.explode(F.array("p", "q")).alias("p")).distinct())
-    codes = cut(signed.select("p", "code").join(_maybe_broadcast(named), "p"))
-    texts = cut(places_of(docs).join(_maybe_broadcast(codes), "code").select("p", "code", norm_of().alias("norm")))
-    left, right = texts.select("p", F.col("code").alias("a"), F.col("norm").alias("x")), texts.select(F.col("p").alias("q"), F.col("code").alias("b"), F.col("norm").alias("y"))
-    both = pairs.join(left, "p").join(right, "q")
+    """(a, b): the pairs of lines whose Jaccard similarity is at least 0.8. A line's text comes from its first document."""
+    ends = cut(pairs.select(F.explode(F.array("p", "q")).alias("p")).distinct())
+    homes = cut(signed.select("p", "doc_id").join(_maybe_broadcast(ends), "p", "left_semi"))
+    texts = lines_of(docs).select(F.col("h1").alias("p"), "doc_id", "norm").join(_maybe_broadcast(homes), ["p", "doc_id"], "left_semi")
+    texts = texts.select("p", "norm").dropDuplicates(["p"])
+    both = pairs.join(texts.withColumnRenamed("norm", "x"), "p").join(texts.select(F.col("p").alias("q"), F.col("norm").alias("y")), "q")
     # exists() over one struct computes either array once; common / (all - common) >= 0.8
-    near = F.exists(F.array(F.struct(shingle_array("x").alias("s"), shingle_array("y").alias("t"))), lambda v: 18 * F.size(F.array_intersect(v["s"], v["t"])) >= 8 * (F.size(v["s"]) + F.size(v["t"])))
-    return both.where(near).select("a", "b")
+    sets = F.array(F.struct(shingle_hashes("x").alias("s"), shingle_hashes("y").alias("t")))
+    near = F.exists(sets, lambda v: 18 * F.size(F.array_intersect(v["s"], v["t"])) >= 8 * (F.size(v["s"]) + F.size(v["t"])))
+    return both.where(near).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, keep): for each document with lines to keep, their places in ascending order."""
-    lines = lines_of(docs)
-    path = new_folder(docs.sparkSession, "signatures")
-    signatures(lines).write.parquet(path)
-    signed = docs.sparkSession.read.parquet(path)
-    signed = signed.where("not thin").drop("thin").union(cut(thin_signatures(docs, signed)))
+def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): links between near-equal distinct lines."""
     rows = keyed(signed)
     buckets = buckets_of(rows)
-    pairs = cut(alike(hub_pairs(rows, buckets), signed))
+    large = cut(large_members(rows, buckets).select("p").distinct())
+    deep = keyed(signed.join(_maybe_broadcast(large), "p", "left_semi"), DEEP)
+    deep_buckets = buckets_of(deep)
+    members = large_members(deep, deep_buckets)
+    first = small_pairs(rows, buckets).union(small_pairs(deep, deep_buckets)).union(hub_pairs(members))
+    pairs = cut(alike(first, signed))
     links = cut(verified(docs, signed, pairs))
-    found = components(links).select(F.col("node").alias("code"), F.xxhash64("component").alias("component"))
-    labels = cut(signed.select("p", "code").join(_maybe_broadcast(cut(found)), "code").select("p", "component"))
-    others = cut(alike(other_pairs(rows, buckets, labels, pairs), signed))
-    links = links.union(cut(verified(docs, signed, others)))
-    gone = cut(components(links).where("component <> node").select(F.col("node").alias("code")))
-    kept = signed.select("code").join(_maybe_broadcast(gone), "code", "left_anti")
-    places = kept.select(F.floor(F.col("code") / F.lit(PLACES).cast("decimal(10,0)")).cast("long").alias("_id"), F.pmod("code", F.lit(PLACES).cast("decimal(10,0)")).cast("int").alias("pos"))
-    return places.groupBy("_id").agg(F.sort_array(F.collect_list("pos")).alias("_keep"))
+    if members.isEmpty():
+        return links
+    labels = cut(components(links).select(F.col("node").alias("p"), "component"))
+    others = cut(alike(other_pairs(members, labels, pairs), signed))
+    return links if others.isEmpty() else links.union(cut(verified(docs, signed, others)))
+
+
+def gone_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, gone): for each text with lines to drop, their places in it."""
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "signatures")
+    signatures(lines_of(docs)).write.parquet(path)
+    signed = spark.read.parquet(path)
+    signed = signed.where("not thin").drop("thin").union(cut(thin_signatures(docs, signed)))
+    found = cut(components(near_links(docs, signed)).select(F.col("node").alias("p"), "component"))
+    # lines that are copied or joined to others, by the name of what they are one of
+    near = signed.select("p", "h2", "copies").join(_maybe_broadcast(found), "p", "left").where("copies > 1 or component is not null")
+    near = cut(near.select("p", "h2", F.coalesce("component", "p").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")))
+    places = lines_of(docs).select("doc_id", "version", "pos", F.col("h1").alias("p"), "h2").join(_maybe_broadcast(near, 40), ["p", "h2"]).select("doc_id", "version", "pos", "c", "c2")
+    places = cut(places)
+    first = cut(places.groupBy("c", "c2").agg(F.min(F.struct("doc_id", "version", "pos")).alias("first")))
+    gone = places.join(_maybe_broadcast(first, 64), ["c", "c2"]).where(F.struct("doc_id", "version", "pos") != F.col("first"))
+    return gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone"))
+
+
+def later_copies(docs: DataFrame, mark: str) -> DataFrame:
+    """docs with a column that is true of rows with the identifier and the text of an earlier row; of such rows any one is first."""
+    ids = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(f"{mark}id")))
+    if ids.isEmpty():
+        return docs.withColumn(mark, F.lit(False))
+    ids, number, version, least = _maybe_broadcast(ids), f"{mark}number", f"{mark}version", f"{mark}least"
+    same = docs["doc_id"].cast("long") == F.col(f"{mark}id")
+    # numbered rows are written first, so that the numbers stay
+    some = cut(docs.join(ids, same, "left_semi").withColumns({number: F.monotonically_increasing_id(), version: F.xxhash64("text"), f"{mark}doc": F.col("doc_id").cast("long")}))
+    firsts = some.groupBy(f"{mark}doc", version).agg(F.min(number).alias(least))
+    some = some.join(firsts, [f"{mark}doc", version]).withColumn(mark, F.col(number) > F.col(least)).select(*map(named, docs.columns), mark)
+    return docs.join(ids, same, "left_anti").withColumn(mark, F.lit(False)).select(*map(named, docs.columns), mark).union(some)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text without the lines that repeat, or nearly repeat, an earlier line of any document; n_lines, n_kept.
 
-    Earlier is by doc_id and line number. Lines of blanks alone always stay and are not counted. A missing text stays
-    missing; a document without an identifier is left as it is; rows with the same identifier share their places; an
-    empty table gives no rows; other columns stay as they are.
+    Earlier is by doc_id, then by a hash of the text (of rows with the same identifier), then by line number. Lines of
+    blanks alone always stay and are not counted. A missing text stays missing; a document without an identifier is
+    left as it is; of rows with the same identifier and text one keeps its lines; an empty table gives no rows; other
+    columns stay as they are, whatever their names.
     """
-    kept = _maybe_broadcast(cut(kept_lines(docs)))
-    joined = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left")
+    name = fresh_name(docs, "line_")
+    gone = cut(gone_lines(docs).select(F.col("doc_id").alias(f"{name}doc"), F.col("version").alias(f"{name}version"), F.col("gone").alias(f"{name}gone")))
+    rows, total = gone.agg(F.count("*"), F.coalesce(F.sum(F.size(f"{name}gone")), F.lit(0))).first()
+    few = 64 * rows + 4 * total <= BROADCAST_BYTES
+    marked = later_copies(docs, f"{name}copy")
+    there = (marked["doc_id"].cast("long") == gone[f"{name}doc"]) & (F.xxhash64(marked["text"]) == gone[f"{name}version"])
+    joined = marked.join(F.broadcast(gone) if few else gone, there, "left")
     blank = lambda line: F.btrim(line, F.lit(BLANKS)) == ""
-    keep = F.coalesce("_keep", F.array().cast("array<int>"))
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda line, i: blank(line) | F.array_contains(keep, i)), "\n")
-    known = F.col("doc_id").isNotNull()
+    lines, dropped = F.split("text", "\n"), F.col(f"{name}gone")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped), lambda i: F.element_at(lines, i + 1))
+    left = F.when(F.col(f"{name}copy"), F.array_join(F.filter(lines, blank), "\n")).when(dropped.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     count = F.coalesce(F.size(F.filter(lines, lambda line: ~blank(line))), F.lit(0))
+    count = F.when(F.col("text").isNull(), 0).otherwise(count)
     columns = [c for c in docs.columns if c not in ("text", "n_lines", "n_kept")]
     return joined.select(
-        *(docs[c] for c in columns), F.when(known, left).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(count).alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).when(known, F.coalesce(F.size("_keep"), F.lit(0))).otherwise(count).alias("n_kept"),
+        *map(named, columns), left.alias("text"), count.alias("n_lines"),
+        F.when(F.col(f"{name}copy"), 0).otherwise(count - F.coalesce(F.size(dropped), F.lit(0))).alias("n_kept"),
     )

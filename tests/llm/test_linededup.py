@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from isopleth.llm import linededup as ld
@@ -106,15 +107,47 @@ def variants(seed, families, length, far, near_by):
 
 def test_every_pair_of_a_bucket_is_compared(spark):
     signed = spark.createDataFrame([(i, *[5] * ld.MINIMA) for i in range(30)], ["p", *(f"m{j}" for j in range(ld.MINIMA))])
+    every = {(p, q) for p in range(30) for q in range(p)}
     rows = ld.keyed(signed)
     buckets = ld.buckets_of(rows)
-    first = ld.cut(ld.hub_pairs(rows, buckets))
+    assert {tuple(r) for r in ld.small_pairs(rows, buckets).collect()} == every
+    assert not ld.large_members(rows, buckets).count() and not ld.small_pairs(rows, buckets, small=20).count()
+    members = ld.large_members(rows, buckets, small=20)
+    first = ld.cut(ld.hub_pairs(members))
     labels = spark.createDataFrame([(3, 100), (4, 100), (5, 100)], "p long, component long")
-    others = {tuple(r) for r in ld.other_pairs(rows, buckets, labels, first, block=4).collect()}
+    others = {tuple(r) for r in ld.other_pairs(members, labels, first, block=4).collect()}
     done = {tuple(r) for r in first.collect()}
     joined = {(4, 3), (5, 3), (5, 4)}
     assert not others & done and not others & joined
-    assert others | done | joined == {(p, q) for p in range(30) for q in range(p)}
+    assert others | done | joined == every
+
+
+def probe(spark, seed, shared, own):
+    """Pairs of lines of one template: (lines kept, lines that brute force keeps, lines)."""
+    rng, lines = random.Random(seed), []
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    base = "".join(rng.choice(letters) for _ in range(shared))
+    for _ in range(400):
+        mine = "".join(rng.choice(letters) for _ in range(own - 1)) + "x"
+        lines += [base + mine, base + mine[:-1] + "y"]
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    got = {r.doc_id for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_kept}
+    return got, {k for k, t in brute(rows).items() if t}, rows
+
+
+@pytest.mark.parametrize("shared,own", [(150, 26), (160, 19)])
+def test_templated_lines(spark, shared, own):
+    got, expected, rows = probe(spark, shared, shared, own)
+    assert expected <= got and len(rows) - len(got) >= 0.95 * (len(rows) - len(expected))
+
+
+def test_repeated_identifiers_and_clashing_names(spark):
+    rows = [(1, "this line goes on and goes on for long"), (2, "an unlike and unique line"), (2, "this line goes on and goes on for lonk"), (3, "same\n\nrow"), (3, "same\n\nrow"), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, `_keep` int, line_gone int, `a.b` int")
+    found = ld.dedup_lines(docs)
+    assert set(found.columns) == {*docs.columns, "n_lines", "n_kept"}
+    assert sorted(((r.doc_id, r.text, r.n_kept) for r in found.collect()), key=str) == sorted([(1, rows[0][1], 1), (2, rows[1][1], 1), (2, "", 0), (3, "same\n\nrow", 2), (3, "", 0), (3, None, 0), (3, None, 0)], key=str)
 
 
 def test_near_lines_that_no_hub_is_near_to(spark):
@@ -136,7 +169,8 @@ def test_pairs_at_the_threshold_share_a_bucket(spark):
         a, b = sets(one), sets("".join(two))
         if near(a, b) and len(a & b) < 0.82 * len(a | b):
             rows += [(len(rows), one), (len(rows) + 1, "".join(two))]
-    keys = ld.keyed(ld.signatures(ld.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))).withColumn("p", (F.col("code") / ld.PLACES).cast("long")))
+    signed = ld.signatures(ld.lines_of(spark.createDataFrame(rows, "doc_id long, text string")))
+    keys = ld.keyed(signed.withColumn("p", F.col("doc_id")))
     pairs = keys.groupBy("key", F.floor(F.col("p") / 2).alias("pair")).agg(F.count("*").alias("n")).where("n > 1")
     assert pairs.select("pair").distinct().count() >= 0.99 * len(rows) / 2
 
