@@ -162,9 +162,10 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def shingle_hashes(norm: str) -> Column:
     """The hashes of the distinct character shingles of a line; a shorter line is its own."""
-    units = F.encode(norm, "UTF-32")
-    each = F.transform(F.sequence(F.lit(0), F.char_length(norm) - SHINGLE), lambda i: F.xxhash64(F.substring(units, 4 * i + 1, F.lit(4 * SHINGLE))))
-    return F.when(F.char_length(norm) < SHINGLE, F.array(F.xxhash64(units))).otherwise(F.array_distinct(each))
+    at = lambda units, i: F.xxhash64(F.substring(units, 4 * i + 1, F.lit(4 * SHINGLE)))
+    last = F.greatest(F.char_length(norm) - SHINGLE, F.lit(0))
+    # the variable of a transform of one element is the line in UTF-32, encoded once
+    return F.element_at(F.transform(F.array(F.encode(norm, "UTF-32")), lambda units: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: at(units, i)))), 1)
 
 
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
