@@ -58,7 +58,7 @@ def region(name: Column) -> Column:
 def zone(south: Column, north: Column, west: Column, east: Column) -> Column:
     """The zone of a box's centre; a box over most of the globe is global."""
     inside = in_boxes((south + north) / 2, (west + east) / 2, ZONES)
-    return F.when((north - south > 150) & (east - west > 300), "Global").otherwise(F.coalesce(inside, F.lit("Unknown")))
+    return F.when((north - south > 150) & (east - west > 300), "Global").otherwise(F.coalesce(inside, F.lit("Global")))
 
 
 def phase(name: Column, access: Column, link: Column, direct: list[str] = ()) -> Column:

@@ -64,8 +64,9 @@ def asks_for_variables(text: Column) -> Column:
 
 
 def slugify(text: Column, most: int = 60) -> Column:
-    """Runs of anything but ASCII letters and digits become one underscore; none at the ends."""
-    return F.left(F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""), F.lit(most))
+    """Lower case; runs of anything but ASCII letters and digits become one underscore; none at the ends, also after the cut; export where nothing is left."""
+    plain = F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.rtrim(F.when(plain == "", "export").otherwise(F.left(plain, F.lit(most))), F.lit("_"))
 
 
 def is_variable_name(text: Column) -> Column:

@@ -11,7 +11,12 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> Da
     """
     counts = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     marked = ranked.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "id"], "left").join(counts, "query_id")
-    marked = marked.withColumn("rel", F.coalesce("rel", F.lit(0))).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("rank") <= F.col("k"))
+    return marked_metrics(marked.withColumn("rel", F.coalesce("rel", F.lit(0))), ks)
+
+
+def marked_metrics(marked: DataFrame, ks: list[int]) -> DataFrame:
+    """The same where each ranked item is marked: query_id, rank, rel (0 or 1), n_relevant. Relevant pairs are never formed."""
+    marked = marked.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("rank") <= F.col("k"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_relevant", F.col("k")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     found = marked.groupBy("query_id", "k", "n_relevant").agg(
         F.max("rel").cast("double").alias("hit"), F.max(F.col("rel") / F.col("rank")).alias("mrr"),

@@ -72,25 +72,28 @@ def in_boxes(lat: Column, lon: Column, boxes: list[tuple]) -> Column:
     return found
 
 
-def best_fuzzy(names: DataFrame, catalog: DataFrame, least: float = 0.4) -> DataFrame:
+def best_fuzzy(names: DataFrame, catalog: DataFrame, least: float = 0.4, block: int = 2000) -> DataFrame:
     """The best catalog name for each name: name, match, score (ties by match).
 
-    The score is shared words over the larger number of words, at least 0.7 where one name contains the other, 1 where they are equal. The catalog is a
-    short list (its size is checked) that every task gets; candidates are not paired through a cross join but by its array.
+    The score is shared words over the larger number of words, at least 0.7 where one name contains the other, 1 where they
+    are equal. The catalog is laid out in blocks of names; each name meets each block once, as one array, and hands
+    on its best of the block, so the plan does not grow with the catalog and no pairs are formed.
     """
-    entries = [r[0] for r in catalog.select(catalog.columns[0]).where(F.col(catalog.columns[0]).isNotNull()).distinct().limit(10_001).collect()]
-    if len(entries) > 10_000:
-        raise ValueError("a catalog of over 10,000 names is not a short list")
+    entry = catalog.select(F.col(catalog.columns[0]).alias("m")).where("m is not null").distinct()
+    blocks = max(1, -(-entry.count() // block))
+    words_of = lambda c: F.array_distinct(F.split(c, r"\s+"))
+    parts = entry.select("m", F.lower(F.trim("m")).alias("e")).select(F.struct("m", "e", words_of(F.col("e")).alias("w")).alias("x"), F.pmod(F.xxhash64("m"), F.lit(blocks)).alias("b"))
+    parts = parts.groupBy("b").agg(F.collect_list("x").alias("entries"))
     column = names.columns[0]
-    low = F.lower(F.trim(column))
-    words = F.array_distinct(F.split(low, r"\s+"))
-
-    def scored(entry: str) -> Column:
-        own = sorted(set(entry.lower().split()))
-        ratio = F.size(F.array_intersect(words, F.array(*map(F.lit, own)))) / F.greatest(F.size(words), F.lit(len(own)))
-        inside = F.lit(entry.lower()).contains(low) | low.contains(entry.lower())
-        value = F.when(low == entry.lower(), 1.0).when(inside, F.greatest(ratio, F.lit(0.7))).otherwise(ratio)
-        return F.struct((-F.round(value, 6)).alias("s"), F.lit(entry).alias("m"))
-
-    best = F.array_min(F.array(*map(scored, sorted(entries))))
-    return names.where(F.col(column).isNotNull()).select(F.col(column).alias("name"), best.alias("b")).where(F.col("b.s") <= -least).select("name", F.col("b.m").alias("match"), (-F.col("b.s")).alias("score"))
+    rows = names.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct()
+    rows = rows.select("name", F.lower(F.trim("name")).alias("low")).withColumn("words", words_of(F.col("low"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = rows.join(F.broadcast(parts) if blocks <= 10 else parts, "b")
+
+    def scored(x: Column) -> Column:
+        ratio = F.size(F.array_intersect(F.col("words"), x["w"])) / F.greatest(F.size("words"), F.size(x["w"]))
+        inside = F.contains(x["e"], F.col("low")) | F.contains(F.col("low"), x["e"])
+        value = F.when(F.col("low") == x["e"], 1.0).when(inside, F.greatest(ratio, F.lit(0.7))).otherwise(ratio)
+        return F.struct((-F.round(value, 6)).alias("s"), x["m"].alias("m"))
+
+    best = met.select("name", F.array_min(F.transform("entries", scored)).alias("b")).groupBy("name").agg(F.min("b").alias("b")).where(F.col("b.s") <= -least)
+    return names.select(F.col(column).alias("name")).join(best, "name").select("name", F.col("b.m").alias("match"), (-F.col("b.s")).alias("score"))

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one pass over the points; more go in further blocks.
-BLOCK = 2048
+#: Query vectors in one block, points in one pack, and blocks that may be broadcast.
+BLOCK, PACK, BLOCKS = 1024, 8192, 16
 
 
 def cosine(a: str, b: str) -> Column:
@@ -20,46 +20,82 @@ def cosine(a: str, b: str) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _packed(rows: DataFrame, number: str, size: int) -> DataFrame:
+    """number, data: runs of up to `size` rows of the same number as one binary value each, in the order of a partition."""
+
+    def run(batches):
+        held, key, count = [], None, 0
+
+        def close():
+            table = pa.Table.from_batches(held).combine_chunks()
+            return pa.RecordBatch.from_pydict({"number": pa.array([key], pa.int32()), "data": pa.array([_ipc(table.to_batches()[0])], pa.binary())})
+
+        for batch in batches:
+            numbers, at = batch.column(0).to_numpy(), 0
+            while at < batch.num_rows:
+                same = int(np.argmax(np.append(numbers[at:] != numbers[at], True)))
+                if held and (numbers[at] != key or count >= size):
+                    yield close()
+                    held, count = [], 0
+                key, take = int(numbers[at]), min(same, size - count if held else size)
+                held.append(batch.slice(at, take))
+                at, count = at + take, count + take
+        if held:
+            yield close()
+
+    return rows.withColumnRenamed(number, "number").mapInArrow(run, "number int, data binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (), query_id: str = "query_id", vector: str = "embedding", id_col: str = "id", same=None) -> DataFrame:
     """The k points most alike by cosine to each query: query_id, id, score (6 places), rank from 1, and `keep` columns.
 
-    Queries come in blocks of bounded size; per block the points are read once, each batch of points is scored as one matrix product
-    and hands on its own k best per query, so the shuffle carries k rows per query and task at most. same: an optional
-    (query column, point column) pair that must be equal.
+    Queries are packed into blocks, points into packs, each one binary row; a pack meets every block once, as one matrix
+    product that hands on k rows per query at most. So the points are read once whatever the number of queries, nothing
+    comes to the driver but the queries' count, and the shuffle carries k rows per query and pack. Blocks are
+    broadcast while they are few; beyond BLOCKS they come by a shuffled join. same: an optional (query column, point
+    column) pair that must be equal. Vectors must have one length; a missing one matches nothing.
     """
-    spark = points.sparkSession
     fields = [f for f in points.schema.fields if f.name in keep]
     wanted = [query_id, vector] + ([same[0]] if same else [])
     rows = queries.select(*wanted).where(F.col(vector).isNotNull())
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    found = None
+    blocks = max(1, -(-rows.count() // BLOCK))
     ddl = ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"id {points.schema[id_col].dataType.simpleString()}", "score double", *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
-    columns = [id_col, vector, *(f.name for f in fields)] + ([same[1]] if same and same[1] not in keep else [])
-    for block in range(blocks):
-        part = (rows.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block) if blocks > 1 else rows).toPandas()
-        matrix = np.array([np.asarray(v, np.float64) for v in part[vector]]) if len(part) else np.zeros((0, 1))
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        unit, names = matrix / np.where(norms == 0, 1, norms), part[query_id].to_numpy()
-        groups = part[same[0]].to_numpy() if same else None
-
-        def best(batches, unit=unit, names=names, groups=groups):
-            for batch in batches:
-                frame = batch.to_pandas()
-                if not len(frame) or not len(names):
-                    continue
-                vectors = np.stack([np.asarray(v, np.float64) for v in frame[vector]])
-                size = np.linalg.norm(vectors, axis=1, keepdims=True)
-                scores = np.round(unit @ (vectors / np.where(size == 0, 1, size)).T, 6) + 0.0
+    columns = list(dict.fromkeys([id_col, vector, *(f.name for f in fields), *([same[1]] if same else [])]))
+    numbered = rows.select(F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"), *wanted).repartition(blocks, "_block").sortWithinPartitions("_block")
+    asked = _packed(numbered, "_block", 1 << 30).withColumnRenamed("data", "queries")
+    packs = _packed(points.where(F.col(vector).isNotNull()).select(F.lit(0).alias("_pack"), *columns), "_pack", PACK).select("data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("number"))
+    both = packs.join(F.broadcast(asked) if blocks <= BLOCKS else asked, "number").select("queries", "data")
+
+    def best(batches):
+        for batch in batches:
+            for block, pack in zip(batch.column(0), batch.column(1)):
+                q, p = (pa.ipc.open_stream(pa.py_buffer(x.as_py())).read_all() for x in (block, pack))
+                names, ids = q[query_id].to_pandas().to_numpy(), p[id_col].to_pandas().to_numpy()
+                left, right = _matrix(q[vector]), _matrix(p[vector])
+                left, right = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n) for m in (left, right))
+                by_id = np.argsort(ids, kind="stable")
+                scores = np.round(left @ right[by_id].T, 6) + 0.0
                 if same:
-                    scores[groups[:, None] != frame[same[1]].to_numpy()[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(frame[id_col].to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-                q, c = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
-                out = pd.DataFrame({"query_id": names[q], "id": frame[id_col].to_numpy()[c], "score": scores[q, c], **{f.name: frame[f.name].to_numpy()[c] for f in fields}})
+                    scores[q[same[0]].to_pandas().to_numpy()[:, None] != p[same[1]].to_pandas().to_numpy()[by_id][None, :]] = -np.inf
+                # of equal scores the smaller ids come first, as points are in their order
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                at, c = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
+                out = pd.DataFrame({"query_id": names[at], "id": ids[by_id[c]], "score": scores[at, c], **{f.name: p[f.name].to_pandas().to_numpy()[by_id[c]] for f in fields}})
                 yield pa.RecordBatch.from_pandas(out[np.isfinite(out["score"])], preserve_index=False)
 
-        scored = points.where(F.col(vector).isNotNull()).select(*columns).mapInArrow(best, ddl)
-        found = scored if found is None else found.unionByName(scored)
+    found = both.mapInArrow(best, ddl)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -1,6 +1,6 @@
 """Aggregations: chunk statistics, dataset summaries, facets, rollups of progress."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,31 @@ def chunk_stats8(cells: DataFrame, keys: list[str], value: str, exact: bool = Tr
     return found.select(*keys, *(F.round(c, 6).alias(n) for c, n in zip(stats, names)), "n_cells")
 
 
+def group_stats8(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same statistics, exactly, for few groups that may each hold most of the cells.
+
+    Equal values are counted before anything is shuffled by group; percentiles come from running counts over a group's
+    sorted distinct values, which spill, so no group is held in memory.
+    """
+    v = F.col(value).cast("double")
+    counts = cells.where(finite(value)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
+    within = Window.partitionBy(*keys)
+    running = counts.withColumn("_below", F.sum("_c").over(within.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_below", F.coalesce("_below", F.lit(0))).withColumn("_n", F.sum("_c").over(within))
+    at = lambda share: F.lit(share) * (F.col("_n") - 1)
+    here = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_c")), F.col("_v")))
+    shares = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    found = running.groupBy(*keys).agg(
+        F.sum("_c").alias("n_cells"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum(F.col("_v") * F.col("_v") * F.col("_c")).alias("_q"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        *(here(F.floor(at(p))).alias(f"_l{n}") for n, p in shares.items()), *(here(F.ceil(at(p))).alias(f"_h{n}") for n, p in shares.items()),
+    )
+    n = F.col("n_cells")
+    mean = F.col("_s") / n
+    part = lambda p: F.lit(p) * (n - 1) - F.floor(F.lit(p) * (n - 1))
+    stats = {"mean": mean, "std": F.sqrt(F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))), "min": F.col("min"), "max": F.col("max")}
+    stats |= {name: F.col(f"_l{name}") + (F.col(f"_h{name}") - F.col(f"_l{name}")) * part(p) for name, p in shares.items()} | {"range": F.col("max") - F.col("min")}
+    return found.select(*keys, *(F.round(c, 6).alias(name) for name, c in stats.items()), "n_cells")
+
+
 def joined(value: str, separator: str = ", ") -> Column:
     """Distinct values in ascending order as one string; missing and empty ones are left out."""
     return F.array_join(F.array_sort(F.collect_set(F.nullif(F.col(value).cast("string"), F.lit("")))), separator)
@@ -75,5 +100,8 @@ def progress_rollup(progress: DataFrame, key: str) -> DataFrame:
 def distinct_values(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
     """Per column the number of distinct values and what to keep of them: the value, the list, or only the count."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x")).select("x.*")
-    per = long.where("value is not null").groupBy("name", "value").count().groupBy("name").agg(F.count("*").alias("n_values"), F.min("value").alias("one"), F.slice(F.array_sort(F.collect_list("value")), 1, most).alias("some"))
+    values = long.where("value is not null").select("name", "value").distinct()
+    first = values.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("value"))).where(F.col("r") <= most)
+    some = first.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("some"))
+    per = values.groupBy("name").agg(F.count("*").alias("n_values"), F.min("value").alias("one")).join(some, "name")
     return per.select("name", "n_values", F.when(F.col("n_values") == 1, F.col("one")).when(F.col("n_values") <= most, F.array_join("some", "|")).alias("kept"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isopleth.functions import models, texts
+from isopleth.functions import descriptions, models, texts
 from isopleth.operators import retrieve
 from isopleth.plans.registry import register
 
@@ -19,6 +19,54 @@ def search(questions: DataFrame, chunks: DataFrame, top_k: int = 10, embed: mode
     return kept.select("query_id", "id", "score", "source", "variable", F.col("mmr_rank").alias("rank")).join(questions, "query_id")
 
 
+def search_all(questions: DataFrame, chunks: DataFrame, variants: DataFrame | None = None, top_k: int = 10, sources: int = 4, embed: models.Embed = models.hashed_embedding, rerank: models.Rerank | None = models.lexical_overlap) -> DataFrame:
+    """The whole plan: query_id, id, score, source, variable, rank.
+
+    1. The question, its variants (query_id, n, text) and a text per topic where it has several are searched at once.
+    2. Their ranked lists are fused, the question's own list with full weight, variants with 0.6, topics with 0.9.
+    3. Quotas by source and variable; sources are filled up; data go before summaries.
+    4. The best are put in order again by a model that reads question and chunk together, where one is given.
+    5. Marginal relevance picks the last list.
+    """
+    own = questions.select("query_id", F.lit(0).alias("list_id"), F.col("question").alias("text"))
+    topics = questions.select("query_id", F.posexplode(descriptions.topic_queries(texts.topics(F.col("question")))).alias("n", "text")).select("query_id", (100 + F.col("n")).alias("list_id"), "text")
+    asked = own.unionByName(topics)
+    if variants is not None:
+        asked = asked.unionByName(variants.select("query_id", F.col("n").cast("int").alias("list_id"), "text"))
+    # a search has a number of its own, and its list is told apart again afterwards
+    asked = asked.withColumn("search", F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_id").cast("string"))).withColumn("embedding", models.embedded(F.col("text"), embed))
+    keep = ["source", "variable", "dataset", "is_summary"]
+    hits = retrieve.knn(asked, chunks, 60, keep, query_id="search").withColumnRenamed("query_id", "search")
+    lists = hits.join(asked.select("search", "query_id", "list_id"), "search").drop("search")
+    weights = {0: 1.0, **{n: 0.6 for n in range(1, 100)}, **{n: 0.9 for n in range(100, 120)}}
+    fused = retrieve.rrf_fuse(lists, weights).drop("rrf")
+    kept = retrieve.diversity_quota(fused)
+    filled = retrieve.min_source_backfill(kept, fused, sources).drop("backfilled")
+    boosted = retrieve.data_boost(filled).where(F.col("place") <= 5 * top_k)
+    if rerank:
+        read = boosted.join(chunks.select("id", "text"), "id").join(questions, "query_id")
+        read = read.withColumn("again", models.reranked(F.col("question"), F.col("text"), rerank)).drop("text", "question")
+        order = Window.partitionBy("query_id").orderBy(F.desc("again"), "place")
+        boosted = read.withColumn("place", F.row_number().over(order)).drop("again")
+    picked = retrieve.mmr(boosted.where(F.col("place") <= 3 * top_k).drop("place"), 2 * top_k).where(F.col("mmr_rank") <= top_k)
+    return picked.select("query_id", "id", "score", "source", "variable", F.col("mmr_rank").alias("rank"))
+
+
+def with_retry(found: DataFrame, again: DataFrame) -> DataFrame:
+    """found, and of a second search only hits whose (source, variable) the first lacks, ranked behind it."""
+    new = again.join(found.select("query_id", "source", "variable").distinct(), ["query_id", "source", "variable"], "left_anti")
+    last = found.groupBy("query_id").agg(F.max("rank").alias("last"))
+    placed = new.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).join(last, "query_id", "left")
+    return found.unionByName(placed.withColumn("rank", (F.coalesce("last", F.lit(0)) + F.col("r")).cast("int")).select(*found.columns))
+
+
+def expanded(questions: DataFrame, generate: models.Generate, most: int = 3) -> DataFrame:
+    """Up to `most` other wordings of each question, as a model writes them line by line; lines of up to ten characters are no wordings."""
+    answer = F.udf(lambda q: generate(f"Write {most} other wordings of this question, one on each line:\n{q}"), "string")
+    lines = F.filter(F.transform(F.split(answer("question"), "\n"), lambda x: F.trim(x)), lambda line: F.char_length(line) > 10)
+    return questions.select("query_id", F.posexplode(F.slice(lines, 1, most)).alias("n", "text")).select("query_id", (F.col("n") + 1).alias("n"), "text")
+
+
 def prompts(found: DataFrame, chunks: DataFrame, most: int = 15) -> DataFrame:
     """One prompt per question: its type, its topics and at most `most` chunks as documents with their scores."""
     documents = found.where(F.col("rank") <= most).join(chunks.select("id", "text"), "id")
@@ -40,14 +88,25 @@ def weak_questions(found: DataFrame, least: int = 3, score: float = 0.2) -> Data
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best")).where((F.col("n") < least) | (F.col("best") < score))
 
 
-@register("rag_search")
-def rag_search(spark, sf_dir):
-    """The plan over documents: the first turn of every 50th conversation is a question; rows only, as models have no SQL twin."""
+def _asked(spark, sf_dir):
+    """The first turn of every 50th conversation is a question, documents are chunks."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 50 = 0")
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     questions = turns.withColumn("n", first).where("n = 1").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chunks = docs.select(
-        F.col("doc_id").alias("id"), "source", F.col("lang").alias("variable"), F.concat(F.lit("d"), F.col("doc_id") % 7).alias("dataset"), (F.col("doc_id") % 11 == 0).alias("is_summary"), models.embedded(F.col("text")).alias("embedding")
+        F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("variable"), F.concat(F.lit("d"), F.col("doc_id") % 7).alias("dataset"), (F.col("doc_id") % 11 == 0).alias("is_summary"), models.embedded(F.col("text")).alias("embedding")
     )
-    return search(questions, chunks).select("query_id", "id", "score", "source", "variable", "rank")
+    return questions, chunks
+
+
+@register("rag_search")
+def rag_search(spark, sf_dir):
+    """The short plan over documents; rows only, as models have no SQL twin."""
+    return search(*_asked(spark, sf_dir)).select("query_id", "id", "score", "source", "variable", "rank")
+
+
+@register("rag_search_all")
+def rag_search_all(spark, sf_dir):
+    """The whole plan over documents; rows only."""
+    return search_all(*_asked(spark, sf_dir))

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> dict[str, Query]:
-    for name in ("retrieval", "tables", "texts", "streams", "answer"):
+    for name in ("retrieval", "tables", "texts", "streams", "answer", "evaluation", "records", "ingest"):
         if importlib.util.find_spec(f"isopleth.plans.{name}"):
             importlib.import_module(f"isopleth.plans.{name}")
     return _QUERIES

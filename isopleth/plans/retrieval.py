@@ -150,8 +150,10 @@ SELECT query_id, CAST(k AS INTEGER) AS k, CAST(max(rel) AS DOUBLE) AS hit, round
 def retrieval_metrics(spark, sf_dir):
     """Ranking metrics where vectors of the query's label are relevant."""
     points = _points(spark, sf_dir).select("id", "label")
-    relevant = points.where("id % 50 = 0").withColumnRenamed("id", "query_id").join(points, "label").select("query_id", "id")
-    return evaluate.ranking_metrics(_nearest(spark, sf_dir, 10), relevant, [3, 5, 10])
+    counts = points.groupBy("label").agg(F.count("*").alias("n_relevant"))
+    own = points.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("own")).join(counts.withColumnRenamed("label", "own"), "own")
+    marked = _nearest(spark, sf_dir, 10).join(own, "query_id").withColumn("rel", (F.col("label") == F.col("own")).cast("int"))
+    return evaluate.marked_metrics(marked, [3, 5, 10])
 
 
 @register("label_centroids", "SELECT label, CAST(pos - 1 AS INTEGER) AS pos, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2")

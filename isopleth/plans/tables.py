@@ -44,7 +44,7 @@ def series_by_station(spark, sf_dir):
     pairs = lambda columns: F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns)))
     rows = rows.withColumn("a", pairs(["l_quantity", "l_extendedprice", "l_discount"])).withColumn("b", pairs(["l_returnflag", "l_linestatus"]))
     rows = rows.select(F.col("a.name").alias("variable"), F.col("b.name").alias("station_col"), F.col("b.value").alias("station"), F.col("a.value").alias("v"))
-    return summarize.chunk_stats8(rows, ["variable", "station_col", "station"], "v")
+    return summarize.group_stats8(rows, ["variable", "station_col", "station"], "v")
 
 
 @register("csv_block_chunks", f"""WITH numbered AS (SELECT event_id // 1000 AS block, value AS v FROM events) SELECT CAST(block AS BIGINT) AS block, {STATS} FROM numbered WHERE isfinite(v) GROUP BY 1""")
@@ -173,10 +173,10 @@ def override_coalesce(spark, sf_dir):
     return relate.first_found(suppliers, [(own, "s_suppkey", "v"), (regions, "s_nationkey", "r_name")], F.col("s_name"), "target").select("s_suppkey", "target")
 
 
-@register("sibling_fanout", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_acctbal > 9000")
+@register("sibling_fanout", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def sibling_fanout(spark, sf_dir):
     """One row per sibling of the same key."""
-    return _read(spark, sf_dir, "customer").where("c_acctbal > 9000").join(_read(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
+    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
 
 
 @register("duplicate_url", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place > 1")
@@ -188,10 +188,10 @@ def duplicate_url(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", place.alias("place")).where("place > 1")
 
 
-@register("sync_anti", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+@register("sync_anti", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def sync_anti(spark, sf_dir):
-    """Datasets that have no source row yet."""
-    return _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "supplier").where("s_acctbal > 5000"), F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_nationkey", "n_name")
+    """Datasets that have no source row yet: customers without an urgent order."""
+    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @register("cited_pairs", """WITH pairs AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 100 = 0) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE EXISTS (SELECT 1 FROM pairs WHERE a = l_partkey AND b = l_suppkey)""")

@@ -33,11 +33,11 @@ def url_format(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", texts.url_format(url).alias("format"))
 
 
-@register("url_name", f"WITH p AS (SELECT page_id, list_filter(string_split({URL}, '/'), lambda x: x <> '') AS parts FROM pages) SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1) AS host, upper(left(parts[-1], 1)) || lower(substr(parts[-1], 2)) AS name FROM p JOIN pages USING (page_id) WHERE regexp_matches(parts[-1], '^[A-Za-z0-9]+$')")
+@register("url_name", f"""WITH p AS (SELECT page_id, list_filter(string_split({URL}, '/'), lambda x: x <> '')[-1] AS last FROM pages), w AS (SELECT page_id, string_split(trim(regexp_replace(regexp_replace(last, '\\.[A-Za-z0-9]+$', ''), '[-_.]+', ' ', 'g')), ' ') AS words FROM p)
+SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, array_to_string(list_transform(words, lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') AS name FROM w JOIN pages USING (page_id)""")
 def url_name(spark, sf_dir):
     """X11: a title from a URL's last segment."""
-    pages = _read(spark, sf_dir, "pages").withColumn("last", F.element_at(F.filter(F.split(texts.url_path(F.col("url")), "/"), lambda s: s != ""), -1))
-    return pages.where("last rlike '^[A-Za-z0-9]+$'").select("page_id", texts.url_host(F.col("url")).alias("host"), texts.dataset_name(F.col("url")).alias("name"))
+    return _read(spark, sf_dir, "pages").select("page_id", texts.url_host(F.col("url")).alias("host"), texts.dataset_name(F.col("url")).alias("name"))
 
 
 @register("portal_suffix", f"""WITH h AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'data.psl.noaa.gov' WHEN 1 THEN 'ecmwf.int' ELSE lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) END AS host FROM pages)
@@ -49,7 +49,7 @@ def portal_suffix(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", texts.url_host(url).alias("host"), catalog.portal(url).alias("portal"))
 
 
-@register("slugify", "SELECT DISTINCT p_name, left(regexp_replace(regexp_replace(p_name, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 60) AS slug, regexp_matches(p_name, '^[A-Za-z][A-Za-z0-9_]{0,59}$') AS sane FROM part")
+@register("slugify", "SELECT DISTINCT p_name, rtrim(left(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_'), 60), '_') AS slug, regexp_matches(p_name, '^[A-Za-z][A-Za-z0-9_]{0,59}$') AS sane FROM part")
 def slugify(spark, sf_dir):
     """Slugs and whether a name is a variable's."""
     return _read(spark, sf_dir, "part").select("p_name", texts.slugify(F.col("p_name")).alias("slug"), texts.is_variable_name(F.col("p_name")).alias("sane")).distinct()
@@ -92,7 +92,7 @@ def phase_classifier(spark, sf_dir):
 
 
 @register("bbox_zone", f"""WITH b AS (SELECT event_id, (user_id * 7) % 160 - 80 AS south, (event_id * 13) % 340 - 170 AS west, (event_id % 5) * 40 AS size FROM events), c AS (SELECT event_id, south, west, size, south + size / 2.0 AS lat, west + size AS lon FROM b)
-SELECT event_id, CASE WHEN size > 150 AND size * 2 > 300 THEN 'Global' ELSE coalesce({_case([(z[:4], z[4]) for z in catalog.ZONES], lambda z: f"lat BETWEEN {z[0]} AND {z[1]} AND lon BETWEEN {z[2]} AND {z[3]}")}, 'Unknown') END AS zone FROM c""")
+SELECT event_id, CASE WHEN size > 150 AND size * 2 > 300 THEN 'Global' ELSE coalesce({_case([(z[:4], z[4]) for z in catalog.ZONES], lambda z: f"lat BETWEEN {z[0]} AND {z[1]} AND lon BETWEEN {z[2]} AND {z[3]}")}, 'Global') END AS zone FROM c""")
 def bbox_zone(spark, sf_dir):
     """The zone of a box's centre."""
     south, west, size = (F.col("user_id") * 7) % 160 - 80, (F.col("event_id") * 13) % 340 - 170, (F.col("event_id") % 5) * 40

@@ -2,13 +2,14 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.operators.summarize import chunk_stats8
 
 # Tokens that mean a missing value, besides the empty one.
-MISSING = ["mq", "MQ", "Mq", "/", "---", "--", "-", "NULL", "null", "n/a", "N/A", "NaN", "nan", "NA"]
+MISSING = ["mq", "MQ", "Mq", "/", "---", "--", "NULL", "null", "n/a", "N/A", "NaN", "nan", "NA"]
 # Chunk and sample sizes.
 BLOCK_ROWS, SAMPLE_ROWS, STATIONS = 10_000, 100, 100
 TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd"]
@@ -23,36 +24,76 @@ def sniff(lines: list[str], tab_file: bool = False) -> tuple[str, str | None]:
     prefix = next((p for p in ("#", "//") if any(line.startswith(p) for line in lines)), None)
     line = next((line for line in lines if line.strip() and not (prefix and line.startswith(prefix))), "")
     best = max(",;|\t", key=line.count)
-    if line.count(best) >= 2 or (line.count(best) == 1 and "  " not in line.strip()):
+    if line.count(best) >= 2:
         return best, prefix
     return (r"\s+", prefix) if "  " in line.strip() else ("\t" if tab_file else ",", prefix)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A file's or folder's rows as strings under the header's names, with _row (order within the files) and _file.
+def _heads(spark: SparkSession, path) -> list:
+    """(file, first twenty lines) of each file, by one pass in which only a file's first split gives lines."""
 
-    Missing-value tokens become null; rows with too few or too many fields keep what fits; comment lines go.
+    def first(batches):
+        counts: dict[str, int] = {}
+        for batch in batches:
+            rows = [(f, v) for f, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if counts.setdefault(f, 0) < 20 and not counts.__setitem__(f, counts[f] + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["file", "value"])
+
+    lines = spark.read.text(path, recursiveFileLookup=True).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value")
+    heads: dict[str, list[str]] = {}
+    for r in lines.mapInArrow(first, "file string, value string").collect():
+        heads.setdefault(r.file, []).append(r.value)
+    return sorted(heads.items())
+
+
+def layouts(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """The rows of all files, one frame per different header and separator: strings under the header's names, _file, _row (order in a file), _block.
+
+    Missing-value tokens become null; rows with too few or too many fields keep what fits; comment lines go. _block
+    counts runs of BLOCK_ROWS rows from each file's beginning.
     """
-    head = [r.value for r in spark.read.text(path).limit(20).collect()]
-    separator, prefix = sniff(head, path.endswith(".tsv"))
-    split = separator if separator == r"\s+" else re.escape(separator)
-    header = next((line for line in head if line.strip() and not (prefix and line.startswith(prefix))), "")
-    names = [n.strip().strip('"') or f"column_{i}" for i, n in enumerate(re.split(split, header.strip()))]
+    groups: dict[tuple, list[str]] = {}
+    for file, head in _heads(spark, path):
+        separator, prefix = sniff(head, file.endswith(".tsv"))
+        split = separator if separator == r"\s+" else re.escape(separator)
+        header = next((line for line in head if line.strip() and not (prefix and line.startswith(prefix))), "")
+        names = [n.strip().strip('"') or f"column_{i}" for i, n in enumerate(re.split(split, header.strip()))]
+        names = [n if n not in names[:i] else f"{n}_{i}" for i, n in enumerate(names)]
+        groups.setdefault((separator, prefix, header.strip(), tuple(names)), []).append(file)
+    return [_rows(spark, files, *layout) for layout, files in sorted(groups.items(), key=str)]
+
+
+def _rows(spark: SparkSession, files: list[str], separator: str, prefix: str | None, header: str, names: tuple[str, ...]) -> DataFrame:
+    where = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")]
     if separator == r"\s+":
-        rows = spark.read.text(path).select(F.split(F.trim("value"), split).alias("f"), F.trim("value").alias("line"), F.col("_metadata.file_path").alias("_file"))
-        rows = rows.where((F.col("line") != "") & (F.col("line") != header.strip()) & (~F.col("line").startswith(prefix) if prefix else F.lit(True)))
-        rows = rows.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), "_file")
+        rows = spark.read.text(files).select(F.split(F.trim("value"), separator).alias("f"), F.trim("value").alias("line"), *where)
+        rows = rows.where((F.col("line") != "") & (F.col("line") != header) & (~F.col("line").startswith(prefix) if prefix else F.lit(True)))
+        rows = rows.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), "_file", "_start", "_row")
     else:
-        schema = ", ".join(f"`{n}` string" for n in names)
+        schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
         options = {"comment": prefix[0]} if prefix else {}
-        rows = spark.read.schema(schema).csv(path, sep=separator, header=False, mode="PERMISSIVE", **options).withColumn("_file", F.col("_metadata.file_path"))
-        rows = rows.where(~F.coalesce(F.trim(names[0]) == names[0], F.lit(False)))
-    value = lambda c: F.when(~F.trim(c).isin(*MISSING, ""), F.trim(c)).alias(c)
-    return rows.select(*(value(n) for n in names), "_file", F.monotonically_increasing_id().alias("_row"))
+        rows = spark.read.schema(schema).csv(files, sep=separator, header=True, enforceSchema=True, mode="PERMISSIVE", **options).select("*", *where)
+    firsts = rows.groupBy("_file", "_start").agg(F.min("_row").alias("_first"))
+    value = lambda c: F.when(~F.trim(f"`{c}`").isin(*MISSING, ""), F.trim(f"`{c}`")).alias(c)
+    # a split's rows follow each other; splits of a file are far apart
+    block = F.col("_start") + F.floor((F.col("_row") - F.col("_first")) / BLOCK_ROWS)
+    return rows.join(firsts, ["_file", "_start"]).select(*(value(n) for n in names), "_file", "_row", block.alias("_block"))
+
+
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The rows of all files in one frame; files with other headers are aligned by name."""
+    frames = layouts(spark, path)
+    found = frames[0]
+    for frame in frames[1:]:
+        found = found.unionByName(frame, allowMissingColumns=True)
+    return found
 
 
 def as_time(value: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in TIME_FORMATS))
+    """A time written in one of the known forms, from a bare year to a time of day; of a decimal year the year counts."""
+    whole = F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in TIME_FORMATS))
+    month = F.when(value.rlike(r"^\d{4}-\d{2}$"), F.try_to_timestamp(F.concat(value, F.lit("-01")), F.lit("yyyy-MM-dd")))
+    year = F.when(value.rlike(r"^(1[6-9]|20|21)\d\d(\.\d+)?$"), F.try_to_timestamp(F.concat(F.left(value, F.lit(4)), F.lit("-01-01")), F.lit("yyyy-MM-dd")))
+    return F.coalesce(whole, month, year)
 
 
 def classify(rows: DataFrame) -> dict[str, str]:
@@ -100,7 +141,7 @@ def chunks(rows: DataFrame) -> DataFrame:
         stations = [c for c in likely if 1 < exact[c] <= STATIONS]
     long = rows.withColumn("x", _long(rows, numeric, "variable", "value"))
     long = long.withColumn("s", _long(rows, stations, "col", "station")) if stations else long.withColumn("s", F.struct(F.lit(None).cast("string").alias("col"), F.lit(None).cast("string").alias("station")))
-    block = F.lit(None).cast("long") if times else F.floor(F.col("_row") / BLOCK_ROWS)
+    block = F.lit(None).cast("long") if times else F.col("_block").cast("long")
     time = F.col(times[0]) if times else F.lit(None).cast("string")
     long = long.select("_file", F.col("x.variable").alias("variable"), F.col("s.col").alias("station_col"), F.col("s.station").alias("station"), block.alias("block"), F.expr("try_cast(x.value AS double)").alias("v"), time.alias("t"), "_row")
     keys = ["_file", "variable", "station_col", "station", "block"]

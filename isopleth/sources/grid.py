@@ -18,12 +18,28 @@ TIME_STEPS, PLACES = 90, 40
 _TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
 
-def _open(path: str):
+def _place(path: str):
+    """The file system and the plain path of a URI or path."""
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path.split(":", 1)[1].lstrip("/"))
-    return fs.FileSystem.from_uri(path)[0].open_input_file(fs.FileSystem.from_uri(path)[1])
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str):
+    """A file opened for reading at any place."""
+    system, plain = _place(path)
+    return system.open_input_file(plain)
+
+
+def write_file(path: str, pieces) -> None:
+    """Writes a file from pieces of bytes; its folder is made where it is missing."""
+    system, plain = _place(path)
+    system.create_dir(plain.rsplit("/", 1)[0])
+    with system.open_output_stream(plain) as out:
+        for piece in pieces:
+            out.write(piece)
 
 
 class _Reader:
@@ -69,7 +85,9 @@ def netcdf_header(source) -> dict:
         ids = [r.int() for _ in range(r.int())]
         own, kind, size, begin = r.attributes(), r.int(), r.int(), r.offset()
         variables.append({"name": name, "dims": ids, "attributes": own, "type": _TYPES[kind], "size": size, "begin": begin, "record": bool(ids) and dims[ids[0]][1] == 0})
-    stride = sum(v["size"] for v in variables if v["record"])
+    own = [np.dtype(v["type"]).itemsize * math.prod(dims[d][1] for d in v["dims"][1:]) for v in variables if v["record"]]
+    # records are padded to four bytes, but for those of a file's only record variable
+    stride = own[0] if len(own) == 1 else sum(size + -size % 4 for size in own)
     return {"dims": [(n, size or records) for n, size in dims], "attributes": attributes, "variables": variables, "stride": stride}
 
 
@@ -100,7 +118,7 @@ def _values(source, header, variable) -> np.ndarray:
     return _read_slab(source, header, variable, [0] * len(variable["dims"]), [header["dims"][d][1] for d in variable["dims"]])
 
 
-def scan_netcdf(spark: SparkSession, path: str) -> DataFrame:
+def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per slab with finite cells: file, variable, unit, slab, dims, starts, lows and highs of coordinates, values (doubles).
 
     Only numeric variables over at least one dimension that are no coordinates; fill values are NaN. A file that can't be read gives one row with its error.
@@ -111,7 +129,7 @@ def scan_netcdf(spark: SparkSession, path: str) -> DataFrame:
             for name in batch.column("path").to_pylist():
                 rows, error = [], None
                 try:
-                    with _open(name) as source:
+                    with open_file(name) as source:
                         h = netcdf_header(source)
                     coordinates = {d for d, _ in h["dims"]}
                     for v in h["variables"]:
@@ -128,30 +146,38 @@ def scan_netcdf(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.string())], ["file", "variable", "starts", "counts", "error"])
 
+    def filled(row: dict, out: dict) -> dict | None:
+        """A slab's row; none without finite cells."""
+        with open_file(row["file"]) as source:
+            h = netcdf_header(source)
+            v = next(x for x in h["variables"] if x["name"] == row["variable"])
+            cells = _read_slab(source, h, v, row["starts"], row["counts"]).astype(np.float64)
+            fill = (v["attributes"].get("_FillValue") or v["attributes"].get("missing_value") or [None])[0]
+            if fill is not None:
+                cells[cells == fill] = np.nan
+            cells = cells * (v["attributes"].get("scale_factor") or [1])[0] + (v["attributes"].get("add_offset") or [0])[0]
+            dims = [h["dims"][d][0] for d in v["dims"]]
+            known = {x["name"]: x for x in h["variables"]}
+            lows, highs = [], []
+            for dim, start, count in zip(dims, row["starts"], row["counts"]):
+                there = _values(source, h, known[dim])[start : start + count].astype(float) if dim in known else np.array([np.nan])
+                lows.append(float(there.min()))
+                highs.append(float(there.max()))
+        if not np.isfinite(cells).any():
+            return None
+        return out | {"unit": v["attributes"].get("units"), "dims": dims, "lows": lows, "highs": highs, "values": cells.ravel().tolist()}
+
     def slabs(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 out = {"file": row["file"], "variable": row["variable"], "unit": None, "dims": None, "starts": row["starts"], "lows": None, "highs": None, "values": None, "error": row["error"]}
                 if row["error"] is None:
-                    with _open(row["file"]) as source:
-                        h = netcdf_header(source)
-                        v = next(x for x in h["variables"] if x["name"] == row["variable"])
-                        cells = _read_slab(source, h, v, row["starts"], row["counts"]).astype(np.float64)
-                        fill = (v["attributes"].get("_FillValue") or v["attributes"].get("missing_value") or [None])[0]
-                        if fill is not None:
-                            cells[cells == fill] = np.nan
-                        cells = cells * (v["attributes"].get("scale_factor") or [1])[0] + (v["attributes"].get("add_offset") or [0])[0]
-                        out["dims"] = [h["dims"][d][0] for d in v["dims"]]
-                        known = {x["name"]: x for x in h["variables"]}
-                        lows, highs = [], []
-                        for dim, start, count in zip(out["dims"], row["starts"], row["counts"]):
-                            there = _values(source, h, known[dim])[start : start + count].astype(float) if dim in known else np.array([np.nan])
-                            lows.append(float(there.min()))
-                            highs.append(float(there.max()))
-                    if not np.isfinite(cells).any():
-                        continue
-                    out |= {"unit": v["attributes"].get("units"), "lows": lows, "highs": highs, "values": cells.ravel().tolist()}
-                yield pa.RecordBatch.from_pylist([out], schema=_SLABS)
+                    try:
+                        out = filled(row, out)
+                    except Exception as failed:  # noqa: BLE001  one bad slab is one row
+                        out["error"] = f"{type(failed).__name__}: {failed}"
+                if out:
+                    yield pa.RecordBatch.from_pylist([out], schema=_SLABS)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     planned = files.mapInArrow(headers, "file string, variable string, starts array<long>, counts array<long>, error string")
@@ -203,39 +229,52 @@ def tiff_header(source) -> dict:
     return found
 
 
-def scan_geotiff(spark: SparkSession, path: str) -> DataFrame:
+def scan_geotiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per strip of an uncompressed one-band GeoTIFF with finite cells: like scan_netcdf, with row and column bounds as latitudes and longitudes."""
 
     def plan(batches):
         for batch in batches:
             for name in batch.column("path").to_pylist():
-                with _open(name) as source:
-                    h = tiff_header(source)
-                n = len(h["offsets"])
-                yield pa.RecordBatch.from_pydict({"file": [name] * n, "strip": list(range(n))})
+                n, error = 1, None
+                try:
+                    with open_file(name) as source:
+                        h = tiff_header(source)
+                    if "offsets" not in h or h["compression"][0] != 1 or h["bands"][0] != 1:
+                        error = "only uncompressed files of one band in strips are read"
+                    else:
+                        n = len(h["offsets"])
+                except Exception as failed:  # noqa: BLE001  one bad file is one row
+                    error = f"{type(failed).__name__}: {failed}"
+                yield pa.RecordBatch.from_pydict({"file": [name] * n, "strip": list(range(n)), "error": pa.array([error] * n, pa.string())})
+
+    def filled(row: dict, out: dict) -> dict | None:
+        with open_file(row["file"]) as source:
+            h = tiff_header(source)
+            source.seek(h["offsets"][row["strip"]])
+            kind = np.dtype(h["order"] + {1: "u", 2: "i", 3: "f"}[h["format"][0]] + str(h["bits"][0] // 8))
+            cells = np.frombuffer(source.read(h["sizes"][row["strip"]]), kind).astype(np.float64)
+        width, per = h["width"][0], h.get("rows_per_strip", h["height"])[0]
+        if h.get("nodata"):
+            cells[cells == float(h["nodata"])] = np.nan
+        if not np.isfinite(cells).any():
+            return None
+        first = row["strip"] * per
+        last = first + len(cells) // width
+        (sx, sy), (_, _, _, x, y, _) = h.get("scale", [1.0, 1.0])[:2], h.get("tie", [0.0] * 6)[:6]
+        return out | {"starts": [first, 0], "lows": [y - last * sy, x], "highs": [y - first * sy, x + width * sx], "values": cells.tolist()}
 
     def strips(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                with _open(row["file"]) as source:
-                    h = tiff_header(source)
-                    out = {"file": row["file"], "variable": "band_1", "unit": None, "dims": ["lat", "lon"], "error": None}
-                    if h["compression"][0] != 1 or h["bands"][0] != 1:
-                        yield pa.RecordBatch.from_pylist([out | {"starts": [], "error": "only uncompressed files of one band are read"}], schema=_SLABS)
-                        continue
-                    source.seek(h["offsets"][row["strip"]])
-                    kind = np.dtype(h["order"] + {1: "u", 2: "i", 3: "f"}[h["format"][0]] + str(h["bits"][0] // 8))
-                    cells = np.frombuffer(source.read(h["sizes"][row["strip"]]), kind).astype(np.float64)
-                width, per = h["width"][0], h.get("rows_per_strip", h["height"])[0]
-                if h.get("nodata"):
-                    cells[cells == float(h["nodata"])] = np.nan
-                if not np.isfinite(cells).any():
-                    continue
-                first = row["strip"] * per
-                last = first + len(cells) // width
-                (sx, sy), (_, _, _, x, y, _) = h.get("scale", [1.0, 1.0])[:2], h.get("tie", [0.0] * 6)[:6]
-                yield pa.RecordBatch.from_pylist([out | {"starts": [first, 0], "lows": [y - last * sy, x], "highs": [y - first * sy, x + width * sx], "values": cells.tolist()}], schema=_SLABS)
+                out = {"file": row["file"], "variable": "band_1", "unit": None, "dims": ["lat", "lon"], "starts": [], "error": row["error"]}
+                if row["error"] is None:
+                    try:
+                        out = filled(row, out)
+                    except Exception as failed:  # noqa: BLE001
+                        out["error"] = f"{type(failed).__name__}: {failed}"
+                if out:
+                    yield pa.RecordBatch.from_pylist([out], schema=_SLABS)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    planned = files.mapInArrow(plan, "file string, strip long").repartition(spark.sparkContext.defaultParallelism)
+    planned = files.mapInArrow(plan, "file string, strip long, error string").repartition(spark.sparkContext.defaultParallelism)
     return planned.mapInArrow(strips, "file string, variable string, unit string, dims array<string>, starts array<long>, lows array<double>, highs array<double>, values array<double>, error string")

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Columns that come first, in this order, where they are present.
-FIRST_COLUMNS = ["rank", "score", "source_id", "dataset_name", "variable", "long_name", "unit", "hazard_type", "time_start", "time_end", "lat_min", "lat_max", "lon_min", "lon_max", "stats_mean", "stats_std", "stats_min", "stats_max", "stats_p10", "stats_median", "stats_p90", "stats_range"]
+FIRST_COLUMNS = [
+    "rank", "score", "source_id", "dataset_name", "variable", "long_name", "standard_name", "units", "unit", "time_start", "time_end", "temporal_frequency",
+    "lat_min", "lat_max", "lon_min", "lon_max", "stats_mean", "stats_min", "stats_max", "stats_std", "region_country", "spatial_coverage", "hazard_type", "impact_sector",
+]
 JSON_ROWS = 50_000
 
 
