@@ -20,12 +20,14 @@ ODD_SPACE = re.compile("[%s]" % "".join(map(chr, (0x1C, 0x1D, 0x1E, 0x1F, 0x85,
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset, as in tests on one machine, is a new temporary folder taken.
+    Only where that is unset on one machine, as in tests, is a new temporary folder taken; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty() and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()

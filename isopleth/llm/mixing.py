@@ -6,15 +6,19 @@ bytes, which is averaged with its share of the corpus among such words. Three pr
 the word (or byte) before; with the two before. Their logits are added with weights that a gate picks by what is known
 of the contexts, and an adaptive map from the mixed logit to observed frequencies refines the result.
 
-Learning is online within a task: each small batch of decisions is predicted with what was learnt before it, then
-weights, map and counts learn from it. Tasks' counts are added and their weights averaged over all training documents;
-each task sends a table of fixed size, so what is gathered grows with the input.
+Learning is online within a part: training documents are dealt by hash into parts of about PART tokens, in each part in
+a fixed order, and each small batch of decisions is predicted with what the part learnt before it, then weights, map and
+counts learn from it. Parts' counts are added and their weights averaged over all training documents in a fixed order,
+so the result does not depend on how the input is partitioned. Word counts grow with the input without a bound; the
+context tables have `slots` places each, which is what every task holds in memory, and share places beyond that.
+Texts are worked on in runs of a bounded number of words; a longer text is several runs that carry on its contexts.
 """
 
 import heapq
 import math
 import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ from isopleth.llm.tokens import by_size
 #: Slots of the three predictors, gates, steps of the adaptive map, decisions learnt at once.
 SLOTS = (1 << 20, 1 << 20, 1 << 20)
 SHIFT = np.uint64(64 - 20)
-GATES, STEPS, BATCH = 32, 33, 1 << 18
-VOCABULARY = 262_144
+GATES, STEPS, BATCH = 32, 33, 1 << 14
+VOCABULARY, PART, RUN = 262_144, 1 << 22, 30_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,30 +51,41 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         bit[j] = 1
         heapq.heappush(heap, (a + b, new))
         new += 1
-    starts, nodes, bits, root = [], [], [], new - 1
-    for symbol in range(n):
-        starts.append(len(nodes))
-        path, at = [], symbol
-        while at != root:
-            path.append((up[at] - n, bit[at]))
-            at = up[at]
-        nodes += [x for x, _ in reversed(path)]
-        bits += [x for _, x in reversed(path)]
-    starts = np.array(starts, np.int64)
-    return starts, np.diff(np.append(starts, len(nodes))), np.array(nodes, np.int64), np.array(bits, np.uint8)
+    up, bit, root = np.array(up, np.int32), np.array(bit, np.uint8), new - 1
+    at, steps = np.arange(n, dtype=np.int32), []
+    while (at != root).any():  # all codes at once, from their ends to the root
+        open_ = np.flatnonzero(at != root)
+        steps.append((open_, up[at[open_]] - n, bit[at[open_]]))
+        at[open_] = up[at[open_]]
+    lengths = np.zeros(n, np.int64)
+    for open_, _, _ in steps:
+        lengths[open_] += 1
+    starts = np.cumsum(lengths) - lengths
+    nodes, bits = np.zeros(int(lengths.sum()), np.int64), np.zeros(int(lengths.sum()), np.uint8)
+    for back, (open_, node, value) in enumerate(steps, 1):
+        place = starts[open_] + lengths[open_] - back
+        nodes[place], bits[place] = node, value
+    return starts, lengths, nodes, bits
 
 
 class Code:
     """The binary decisions of tokens. Symbols: 0 the end of a text, 1 the escape, from 2 the vocabulary."""
 
     def __init__(self, words: list[str], counts: list[int], end: int, rest: int, byte_counts: list[int]):
-        self.index = {w: i + 2 for i, w in enumerate(words)}
+        self.words, self.places = pa.array(words, pa.string()), None
         self.starts, self.lengths, nodes, self.bits = huffman([end + 1, rest + 1, *counts])
         self.nodes = nodes.astype(np.int32)
         self.hashes = np.concatenate([np.zeros(2, np.uint64), WordHashes(len(words) + 1).of(words)])
         self.byte_codes = huffman([c + 1 for c in byte_counts])
         self.inner = len(words) + 2  # byte nodes are numbered from here
 
+    @property
+    def index(self) -> dict[str, int]:
+        """The symbols of words, built where texts are read and never sent."""
+        if self.places is None:
+            self.places = {w: i + 2 for i, w in enumerate(self.words.to_pylist())}
+        return self.places
+
     def spelled(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(number of decisions per word; bits, slots of the decisions) of spelling words outside the vocabulary.
 
@@ -107,27 +122,34 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(len(owner), dtype=np.int32) + shift, owner
 
 
-def decisions(code: Code, texts: list[list[str]], memo: WordHashes):
-    """(slots of the three predictors, bits, text of each decision; escaped words; symbol and text of each token) of some texts."""
-    words = [w for t in texts for w in t]
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+def decisions(code: Code, texts: list["Piece"], memo: WordHashes):
+    """(slots of the three predictors, bits, text of each decision; escaped words; symbol and text of each token) of some runs of texts."""
+    words = [w for t in texts for w in t.words]
+    sizes = np.array([len(t.words) + t.ends for t in texts], np.int64)
     inside = np.ones(int(sizes.sum()), bool)
-    inside[np.cumsum(sizes) - 1] = False
+    inside[(np.cumsum(sizes) - 1)[[t.ends for t in texts]]] = False
     symbols = np.zeros(len(inside), np.int64)
     found = code.index.get
     symbols[inside] = [found(w, 1) for w in words]
     escaped = [words[i] for i in ((np.cumsum(inside) - 1)[symbols == 1]).tolist()]
     hashes = np.take(code.hashes, symbols)
     hashes[symbols == 1] = memo.of(escaped)
-    before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])  # a text begins after an end, whose hash is 0
-    before2 = np.concatenate([np.zeros(1, np.uint64), before[:-1]])
-    before2[before == 0] = 0
+    before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])[: len(hashes)]
+    before2 = np.concatenate([np.zeros(1, np.uint64), before[:-1]])[: len(hashes)]
+    first = np.cumsum(sizes) - sizes
+    for at, size, text in zip(first.tolist(), sizes.tolist(), texts):
+        # a text begins after nothing, a later run of it after the two words before
+        last, last2 = np.concatenate([memo.of(text.before), np.zeros(2, np.uint64)])[:2]
+        if size > 0:
+            before[at], before2[at] = last, last2
+        if size > 1:
+            before2[at + 1] = last
     both = before * np.uint64(3) + before2 * _M
     place, owner = spread(code.starts[symbols], code.lengths[symbols])
     nodes = np.take(code.nodes, place)
     turned = nodes.astype(np.uint64) * _M
     slots = [nodes, ((np.take(before, owner) + turned) * np.uint64(0xC2B2AE3D27D4EB4F) >> SHIFT).astype(np.int32), ((np.take(both, owner) + turned) * np.uint64(0xD6E8FEB86659FD93) >> SHIFT).astype(np.int32)]
-    home = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    home = np.repeat(np.array([t.number for t in texts], np.int32), sizes)
     return slots, np.take(code.bits, place), np.take(home, owner), escaped, symbols, home
 
 
@@ -189,22 +211,38 @@ class Mixer:
 
     def log2(self, slots, bits, level: int) -> np.ndarray:
         """log2 of the probability of each decision."""
-        logits = [np.take(x, s) for x, s in zip(self.logits, slots)]
-        _, mixed, step = self._mix(logits, np.take(self.known[1], slots[1]), np.take(self.known[2], slots[2]), level)
-        p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * np.take(self.refined, step)
-        return np.log2(np.where(bits, p, 1 - p))
-
-
-def runs(texts: list[list[str]], most: int = 30_000):
-    """Runs of texts with about `most` words together."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+        out = np.empty(len(bits), np.float64)
+        for at in range(0, len(bits), BATCH):
+            some, these = [s[at : at + BATCH] for s in slots], bits[at : at + BATCH]
+            logits = [np.take(x, s) for x, s in zip(self.logits, some)]
+            _, mixed, step = self._mix(logits, np.take(self.known[1], some[1]), np.take(self.known[2], some[2]), level)
+            p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * np.take(self.refined, step)
+            out[at : at + BATCH] = np.log2(np.where(these, p, 1 - p))
+        return out
+
+
+class Piece(NamedTuple):
+    """A run of a text's words: the text's number, up to two words before it, the nearest first, whether the text ends with it."""
+
+    number: int
+    words: list[str]
+    before: list[str]
+    ends: bool
+
+
+def runs(texts, most: int = RUN):
+    """Runs of texts, given as lists of words, with about `most` words together; a longer text is cut."""
+    some, size = [], 0
+    for number, words in enumerate(texts):
+        for at in range(0, max(len(words), 1), most):
+            piece = Piece(number, words[at : at + most], words[max(0, at - 2) : at][::-1], at + most >= len(words))
+            some.append(piece)
+            size += len(piece.words) + piece.ends
+            if size >= most:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
 
 
 def in_training(column: str = "doc_id") -> Column:
@@ -221,54 +259,69 @@ def _pieces(mixer: Mixer, tile: int = 1 << 16):
     yield "seen", 0, mixer.seen
 
 
+PIECES = pa.schema([("name", pa.string()), ("tile", pa.int64()), ("salt", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
+PIECES_DDL = "name string, tile long, salt long, part long, data binary"
+
+
 def _add_up(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums packed arrays by key as they stream by, so a task holds one sum at a time."""
+    """Sums packed arrays by key in the order of parts as they stream by, so a task holds one sum at a time."""
 
     def run(batches):
-        name, total = None, None
+        name, total, first = None, None, 0
         pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        out = lambda: pa.RecordBatch.from_pydict({"name": [name[0]], "tile": [name[1]], "salt": [0 if len(name) < 3 else name[2]], "data": [pack.compress(total.tobytes())]}, schema=PIECES)
+        out = lambda: pa.RecordBatch.from_pydict({"name": [name[0]], "tile": [name[1]], "salt": [0 if len(name) < 3 else name[2]], "part": [first], "data": [pack.compress(total.tobytes())]}, schema=PIECES)
         for batch in batches:
-            for *key, data in zip(*(batch.column(c).to_pylist() for c in (*keys, "data"))):
+            for *key, part, data in zip(*(batch.column(c).to_pylist() for c in (*keys, "part", "data"))):
                 values = np.frombuffer(unpack.decompress(data), "<f8")
                 if key != name:
                     if name is not None:
                         yield out()
-                    name, total = key, values.copy()
+                    name, total, first = key, values.copy(), part
                 else:
                     total += values
         if name is not None:
             yield out()
 
-    return rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(run, "name string, tile long, salt long, data binary")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "part").mapInArrow(run, PIECES_DDL)
 
 
-PIECES = pa.schema([("name", pa.string()), ("tile", pa.int64()), ("salt", pa.int64()), ("data", pa.binary())])
+def learn(docs: DataFrame, code_of, tokens: int, salts: int = 8) -> Mixer:
+    """Learns from all rows of docs (doc_id, text); what comes to the driver is one table of fixed size (about 18 MB unpacked)."""
 
+    def run(batches):
+        mixer, memo, code, part = Mixer(), WordHashes(), code_of.value, None
 
-def learn(docs: DataFrame, code_of, salts: int = 8) -> Mixer:
-    """Learns from all rows of docs (text); what comes to the driver is one table of fixed size (about 18 MB unpacked)."""
+        def close():
+            pack = zstandard.ZstdCompressor(level=1)
+            for name, tile, values in _pieces(mixer):
+                yield pa.RecordBatch.from_pydict({"name": [name], "tile": [tile], "salt": [part % salts], "part": [part], "data": [pack.compress(np.ascontiguousarray(values, "<f8").tobytes())]}, schema=PIECES)
 
-    def run(batches):
-        mixer, memo, code = Mixer(), WordHashes(), code_of.value
         for batch in batches:
-            texts = [words_of(t) for t in batch.column(0).to_pylist()]
-            for a, b in runs(texts):
-                slots, bits, _, escaped, _, _ = decisions(code, texts[a:b], memo)
-                mixer.learn_all(slots, bits, 1)
-                distinct = Counter(escaped)
-                lengths, bits, slots = code.spelled(list(distinct))
-                place, _ = spread((np.cumsum(lengths) - lengths).repeat(list(distinct.values())), lengths.repeat(list(distinct.values())))
-                mixer.learn_all([np.take(s, place) for s in slots], np.take(bits, place), 0)
+            parts, texts = batch.column("part").to_numpy(), batch.column("text")
+            for at in np.flatnonzero(np.diff(parts, prepend=-1)).tolist():
+                if mixer.total and parts[at] != part:
+                    yield from close()
+                    mixer = Mixer()
+                part = int(parts[at])
+                own = texts.slice(at, int(np.argmin(np.append(parts[at:], -1) == part))).to_pylist()
+                for some in by_size(own, 4_000_000):
+                    for pieces in runs([words_of(t) for t in own[some]]):
+                        slots, bits, _, escaped, _, _ = decisions(code, pieces, memo)
+                        mixer.learn_all(slots, bits, 1)
+                        distinct = Counter(escaped)
+                        lengths, bits, slots = code.spelled(list(distinct))
+                        place, _ = spread((np.cumsum(lengths) - lengths).repeat(list(distinct.values())), lengths.repeat(list(distinct.values())))
+                        mixer.learn_all([np.take(s, place) for s in slots], np.take(bits, place), 0)
         if mixer.total:
-            pack, salt = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() % salts
-            for name, tile, values in _pieces(mixer):
-                yield pa.RecordBatch.from_pydict({"name": [name], "tile": [tile], "salt": [salt], "data": [pack.compress(np.ascontiguousarray(values, "<f8").tobytes())]}, schema=PIECES)
+            yield from close()
 
-    parts = docs.select(text_or_empty().alias("text")).mapInArrow(run, "name string, tile long, salt long, data binary")
+    n = max(1, math.ceil(tokens / PART))
+    name = F.xxhash64("doc_id", "text")
+    dealt = docs.select("doc_id", "text", F.pmod(name, F.lit(n)).alias("part"), name.alias("name")).repartition(min(n, shuffle_partitions(docs.sparkSession)), "part")
+    parts = dealt.sortWithinPartitions("part", "name", "doc_id").select("part", "text").mapInArrow(run, PIECES_DDL)
     rows = cut(_add_up(_add_up(parts, ["name", "tile", "salt"]), ["name", "tile"]))
     mixer, unpack = Mixer(), zstandard.ZstdDecompressor()
-    for row in rows.collect():
+    for row in rows.toLocalIterator():
         values = np.frombuffer(unpack.decompress(row.data), "<f8")
         if row.name == "weights":
             mixer.total = int(values[-1])
@@ -313,11 +366,11 @@ def _byte_counts(counts: DataFrame, common: int) -> list[int]:
 
 
 def score(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits, bits_per_byte.
 
     The base is a unigram with one added to each count over the words of the training documents and one class of unseen
     words; score is the model's log10 probability of the text as a sequence of the same events, end included.
-    bits_per_byte is the length of the whole text's code, in which unseen words are spelled out. Counts cover all training documents. The `vocabulary` most frequent words of those seen twice (ties by the word) have their counts in every task; counts of all other
+    bits (total, and per byte) is the length of the whole text's code, in which unseen words are spelled out. Counts cover all training documents. The `vocabulary` most frequent words of those seen twice (ties by the word) have their counts in every task; counts of all other
     words come by a join on the word, which no frequent word takes part in. A missing text is empty; a document without an
     identifier is held out; repeated rows are scored each; an empty table gives no rows; other columns are ignored.
     """
@@ -328,15 +381,16 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     ends = train.count()
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, types = total + ends, types + (ends > 0)
-    top = counts.where("c > 1").orderBy(F.desc("c"), "word").limit(vocabulary).collect()
-    common = top[-1].c if len(top) == vocabulary else 1
-    rest = total - ends - sum(r.c for r in top)
+    top = counts.where("c > 1").orderBy(F.desc("c"), "word").limit(vocabulary).toArrow()
+    words, times = top["word"].combine_chunks(), top["c"].to_numpy()
+    common = int(times[-1]) if len(times) == vocabulary else 1
+    rest = total - ends - int(times.sum())
     once = counts.where("c = 1").count()
     new = (once + 1) / (rest + once + 2)  # how much of what is escaped was never seen before: as much as was seen once
-    code = Code([r.word for r in top], [r.c for r in top], ends, rest, _byte_counts(counts, common))
+    code = Code(words.to_pylist(), times.tolist(), ends, rest, _byte_counts(counts, common))
     code_of = spark.sparkContext.broadcast(code)
-    mixer_of = spark.sparkContext.broadcast(learn(train, code_of).prepare())
-    known_of = spark.sparkContext.broadcast(np.array([ends, 0] + [r.c for r in top], np.float64))
+    mixer_of = spark.sparkContext.broadcast(learn(train, code_of, total).prepare())
+    known_of = spark.sparkContext.broadcast(np.concatenate([[ends, 0], times]).astype(np.float64))
     base = math.log10(total + types + 1)
     schema = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("tf", pa.int64()), ("spelled", pa.float64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64())])
 
@@ -345,25 +399,28 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
         logs = np.log10(found + 1)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [words_of(t) for t in raw]
-            for a, b in runs(texts):
-                slots, bits, home, escaped, symbols, of = decisions(code, texts[a:b], memo)
-                values = np.bincount(home, mixer.log2(slots, bits, 1), b - a) * math.log10(2)
-                distinct = list(dict.fromkeys(escaped))
-                lengths, bits, slots = code.spelled(distinct)
-                spelled = np.bincount(np.arange(len(distinct)).repeat(lengths), mixer.log2(slots, bits, 0), len(distinct)) * math.log10(2)
-                spelled = dict(zip(distinct, spelled.tolist()))
-                seen = (np.take(found, symbols) > 0) & (symbols != 1)
-                n_known, n_tokens = np.bincount(of[seen], minlength=b - a).tolist(), np.bincount(of, minlength=b - a).tolist()
-                sums = np.bincount(of, np.where(symbols != 1, np.take(logs, symbols), 0.0), b - a).tolist()
-                values, out = values.tolist(), []
-                for i in range(a, b):
-                    held = ids[i] is None or zlib.crc32(str(ids[i]).encode()) % 7 == 2
-                    out.append((uid + i - a, f" {uid + i - a}", 0, 0.0, ids[i], held, n_tokens[i - a], n_known[i - a], sums[i - a], values[i - a], len(raw[i].encode("utf-8", "surrogatepass"))))
-                rare = Counter(zip(of[symbols == 1].tolist(), escaped))
-                out += [(uid + i, w, c, spelled[w], None, None, None, None, None, None, None) for (i, w), c in rare.items()]
-                uid += b - a
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for some in by_size(texts, 4_000_000):
+                ids, raw = keys[some], texts[some]
+                n = len(raw)
+                values, sums, out = np.zeros(n), np.zeros(n), []
+                n_known, n_tokens = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for pieces in runs([words_of(t) for t in raw]):
+                    slots, bits, home, escaped, symbols, of = decisions(code, pieces, memo)
+                    values += np.bincount(home, mixer.log2(slots, bits, 1), n) * math.log10(2)
+                    distinct = list(dict.fromkeys(escaped))
+                    lengths, bits, slots = code.spelled(distinct)
+                    spelled = np.bincount(np.arange(len(distinct)).repeat(lengths), mixer.log2(slots, bits, 0), len(distinct)) * math.log10(2)
+                    spelled = dict(zip(distinct, spelled.tolist()))
+                    n_known += np.bincount(of[(np.take(found, symbols) > 0) & (symbols != 1)], minlength=n)
+                    n_tokens += np.bincount(of, minlength=n)
+                    sums += np.bincount(of, np.where(symbols != 1, np.take(logs, symbols), 0.0), n)
+                    rare = Counter(zip(of[symbols == 1].tolist(), escaped))
+                    out += [(uid + i, w, c, spelled[w], None, None, None, None, None, None, None) for (i, w), c in rare.items()]
+                for i, (key, text) in enumerate(zip(ids, raw)):
+                    held = key is None or zlib.crc32(str(key).encode()) % 7 == 2
+                    out.append((uid + i, f" {uid + i}", 0, 0.0, key, held, int(n_tokens[i]), int(n_known[i]), float(sums[i]), float(values[i]), len(text.encode("utf-8", "surrogatepass"))))
+                uid += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     scored = rows.mapInArrow(run, "uid long, word string, tf long, spelled double, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, bytes long")
@@ -381,5 +438,12 @@ def score(docs: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
     return joined.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score",
-        (-F.col("coded") * math.log2(10) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
+        (-F.col("coded") * math.log2(10)).alias("bits"), (-F.col("coded") * math.log2(10) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
+
+
+def corpus_bits(scores: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row for each of held_out: n_docs, n_bytes, bits and bits_per_byte over the whole texts. scores as of score(docs)."""
+    sizes = docs.select(in_training().alias("training"), F.octet_length(text_or_empty()).alias("bytes")).groupBy((~F.col("training")).alias("held_out")).agg(F.sum("bytes").alias("n_bytes"))
+    bits = scores.groupBy("held_out").agg(F.count("*").alias("n_docs"), F.sum("bits").alias("bits"))
+    return bits.join(sizes, "held_out").select("held_out", "n_docs", "n_bytes", "bits", (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import ODD_SPACE, WORD, Rows, text_or_empty
+from isopleth.llm.common import ODD_SPACE, WORD, Rows, cut, text_or_empty
 from isopleth.llm.fingerprints import WordHashes, shingles
 from isopleth.llm.linestats import BLANK, BREAK, FEATURES, PIPE, SYMBOL, line_features, line_stats, repeated_lines
 
@@ -104,8 +104,9 @@ def repeat_words(hashes: np.ndarray, n: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: int = 64) -> ChainField:
-    """Fits the field on a bounded sample: the `most_docs` labelled documents of the lowest hashed identifiers.
+def fit_field(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_lines: int = 64, most_lines_in_all: int = 200_000) -> ChainField:
+    """Fits the field on a bounded sample: the `most_docs` labelled documents of the lowest hashed identifiers, whole ones
+    as long as they have `most_lines_in_all` lines together.
 
     Lines of good documents are content; lines of bad ones are boilerplate at first, and after a first fit those that
     look more like content keep that state for a second fit. Chains are cut into runs of `most_lines`. Without labels
@@ -122,11 +123,19 @@ def fit_field(docs: DataFrame, labels: DataFrame, most_docs: int = 3000, most_li
     def features(batches):
         for batch in batches:
             for key, text, quality in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "quality"))):
-                x = chain(text)[0][:most_lines]
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"doc_id": [key], "quality": [int(quality)], "x": [x.ravel().tolist()]})
-
-    found = sorted(rows.mapInArrow(features, "doc_id long, quality long, x array<double>").collect(), key=lambda r: (r.doc_id, r.x))
+                x = chain(text)[0]
+                for run, at in enumerate(range(0, len(x), most_lines)):
+                    yield pa.RecordBatch.from_pydict({"doc_id": [key], "quality": [int(quality)], "run": [run], "lines": [len(x)], "x": [x[at : at + most_lines].ravel().tolist()]})
+
+    runs = cut(rows.mapInArrow(features, "doc_id long, quality long, run long, lines long, x array<double>"))
+    room, whole = most_lines_in_all, []
+    for r in runs.where("run = 0").select("doc_id", "lines").groupBy("doc_id").agg(F.sum("lines").alias("lines")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.lines > room:
+            break
+        room -= r.lines
+        whole.append((r.doc_id,))
+    runs = runs.join(F.broadcast(spark.createDataFrame(whole, "doc_id long")), "doc_id")
+    found = sorted(runs.collect(), key=lambda r: (r.doc_id, r.run, r.x))
     if len({r.quality for r in found}) < 2:
         return ChainField.prior()
     chains = [np.array(r.x).reshape(-1, len(FEATURES)) for r in found]

@@ -1,6 +1,7 @@
 """Token ids of texts by the tokenizers library, remembered per word."""
 
 import os
+import re
 
 import numpy as np
 
@@ -18,15 +19,19 @@ class WordTokens:
     once by the library and remembered; a run of letters with punctuation after it is remembered as those two. Runs
     of letters go to the library many at a time, as one text: each ends with a token that ends a word, and where the
     number of those isn't the number of runs, they go one by one. At `limit` remembered runs the older half is
-    forgotten, so memory stays bounded. Runs of over 64 bytes are not remembered.
+    forgotten, so memory stays bounded. Runs of over 64 bytes are not remembered. Texts with a special token's string go
+    to the library whole, which finds those strings before it does anything else; with special_as_text they are
+    ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 800_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        strings = [] if special_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(strings), re.IGNORECASE).search if strings else lambda text: None
         self.limit, self.known, self.old = limit, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -89,13 +94,14 @@ class WordTokens:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of some texts; what they have that is new is learnt together."""
-        split = [text.encode().translate(_LOWER).split() for text in texts]
+        whole = {i: self._library([text])[0] for i, text in enumerate(texts) if self.special(text)}
+        split = [[] if i in whole else text.encode().translate(_LOWER).split() for i, text in enumerate(texts)]
         found = [list(map(self.known.get, words)) for words in split]
         new = {w for words, parts in zip(split, found) if None in parts for w, ids in zip(words, parts) if ids is None}
         if new:
             own = self._learn(new)
             found = [[own[w] if ids is None else ids for w, ids in zip(words, parts)] if None in parts else parts for words, parts in zip(split, found)]
-        return [b"".join(parts) for parts in found]
+        return [whole[i] if i in whole else b"".join(parts) for i, parts in enumerate(found)]
 
     @classmethod
     def load(cls, path: str, limit: int = 800_000) -> "WordTokens":

@@ -16,13 +16,12 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, start long"
 ROWS = [
     (5, "Hello, world!  it's 2024", 1), (3, None, 1), (9, "", 1), (3, "a b\nc\t d", 2), (None, "no id", 3), (-4, "ÉCOLE naïve Σίσυφος ΟΔΟΣ", 1),
-    (11, "x" * 5000 + " y" * 4000, 0), (12, "odd space here\x1cthere", 0), (13, "é ́a 中文 字", 0), (14, "<|endoftext|> tail", 0),
+    (11, "x" * 5000 + " y" * 4000, 0), (12, "odd space here\x1cthere", 0), (13, "é ́a 中文 字", 0), (14, "<|endoftext|> tail", 0), (15, "a<|ENDOFTEXT|> B <|startoftext|>c", 0),
 ]
 
 
 def plain(text, end):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -33,6 +32,10 @@ def test_remembered_words_equal_the_library():
         for text in [r[1] for r in ROWS] + more + more[::-1]:
             assert np.frombuffer(encoder.encode(text or ""), "<u4").tolist() == plain(text, 0)[:-1], text
     assert len(encoder.known) <= 500
+    plainly = Tokenizer.from_file(VOCABULARY)
+    plainly.encode_special_tokens = True
+    for text in ("a <|endoftext|> b", "A<|ENDOFTEXT|>"):
+        assert np.frombuffer(WordTokens(VOCABULARY, special_as_text=True).encode(text), "<u4").tolist() == plainly.encode(text, add_special_tokens=False).ids
 
 
 def test_remembered_words_equal_the_library_on_documents():
@@ -100,3 +103,9 @@ def test_pack(spark):
             ids = np.array(plain(text, 0), "<u4")
             assert sorted(pieces[key]) == [(i, a, len(ids[a : a + 256]), zlib.crc32(ids[a : a + 256].tobytes())) for i, a in enumerate(range(0, len(ids), 256))]
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_pack_over_many_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = packing.pack(docs.repartition(211), VOCABULARY).groupBy("sequence_id").agg({"length": "sum"}).toPandas().iloc[:, 1]
+    assert found.max() <= 2048 and len(found) <= 1.01 * -(-found.sum() // 2048) + 1
