@@ -308,10 +308,9 @@ def learn(docs: DataFrame, code_of, tokens: int, salts: int = 8) -> Mixer:
                     for pieces in runs([words_of(t) for t in own[some]]):
                         slots, bits, _, escaped, _, _ = decisions(code, pieces, memo)
                         mixer.learn_all(slots, bits, 1)
-                        distinct = Counter(escaped)
-                        lengths, bits, slots = code.spelled(list(distinct))
-                        place, _ = spread((np.cumsum(lengths) - lengths).repeat(list(distinct.values())), lengths.repeat(list(distinct.values())))
-                        mixer.learn_all([np.take(s, place) for s in slots], np.take(bits, place), 0)
+                        # spelling is learnt from words, not from their repeats: it tells words that are new
+                        _, bits, slots = code.spelled(list(dict.fromkeys(escaped)))
+                        mixer.learn_all(slots, bits, 0)
         if mixer.total:
             yield from close()
 
