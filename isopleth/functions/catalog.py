@@ -41,6 +41,42 @@ ZONES = [
     (0.0, 40.0, -20.0, 55.0, "North Africa / Mediterranean"), (10.0, 55.0, 60.0, 150.0, "Asia"), (-50.0, -10.0, 110.0, 180.0, "Oceania / Australia"), (-90.0, 90.0, -180.0, 180.0, "Global"),
 ]
 
+# The variable that a dataset's download takes for a hazard.
+HAZARD_VARIABLES = {
+    "reanalysis-era5-single-levels": {
+        "Mean surface temperature": "2m_temperature", "Extreme heat": "maximum_2m_temperature_since_previous_post_processing", "Cold spell": "minimum_2m_temperature_since_previous_post_processing",
+        "Frost": "minimum_2m_temperature_since_previous_post_processing", "Mean precipitation": "total_precipitation", "Heavy precipitation and pluvial floods": "total_precipitation",
+        "Mean wind speed": "10m_u_component_of_wind", "Severe wind storm": "10m_wind_gust_since_previous_post_processing", "Tropical cyclone": "mean_sea_level_pressure", "Permafrost": "soil_temperature_level_1",
+        "Relative sea level": "mean_sea_level_pressure", "Radiation at surface": "surface_solar_radiation_downwards",
+    },
+    "reanalysis-era5-land": {"Mean surface temperature": "2m_temperature", "Extreme heat": "2m_temperature", "Mean precipitation": "total_precipitation", "River flood": "total_precipitation", "Heavy precipitation and pluvial floods": "total_precipitation"},
+    "reanalysis-cerra-single-levels": {
+        "Mean surface temperature": "2m_temperature", "Extreme heat": "2m_temperature", "Cold spell": "2m_temperature", "Frost": "2m_temperature", "Mean precipitation": "total_precipitation",
+        "Heavy precipitation and pluvial floods": "total_precipitation", "Mean wind speed": "10m_wind_speed", "Severe wind storm": "10m_wind_speed", "Radiation at surface": "2m_temperature",
+    },
+    "cams-global-reanalysis-eac4": {
+        "Mean wind speed": "10m_u_component_of_wind", "Severe wind storm": "10m_v_component_of_wind", "Tropical cyclone": "mean_sea_level_pressure", "Sand and dust storm": "dust_aerosol_optical_depth_550nm",
+        "Air pollution weather": "particulate_matter_10um", "Atmospheric CO₂ at surface": "total_aerosol_optical_depth_550nm", "Radiation at surface": "total_aerosol_optical_depth_550nm",
+    },
+}
+# The dataset, and its variables, that only forecasts have.
+FORECAST_DATASET = "reanalysis-cerra-single-levels"
+FORECAST_ONLY = [
+    "total_precipitation", "10m_wind_gust_since_previous_post_processing", "maximum_2m_temperature_since_previous_post_processing", "minimum_2m_temperature_since_previous_post_processing",
+    "surface_net_short_wave_radiation_flux", "surface_net_long_wave_radiation_flux", "surface_solar_radiation_downwards", "surface_thermal_radiation_downwards",
+]
+
+
+def hazard_variable(dataset: Column, hazard: Column, default: Column) -> Column:
+    """The variable to ask a dataset for, by the hazard, else the default."""
+    table = F.create_map(*(F.lit(x) for name, pairs in HAZARD_VARIABLES.items() for hazard_name, variable in pairs.items() for x in (f"{name}|{hazard_name}", variable)))
+    return F.coalesce(table[F.concat_ws("|", dataset, F.trim(hazard))], default)
+
+
+def product_type(dataset: Column, variable: Column, default: Column) -> Column:
+    """forecast where only forecasts have the variable, else the default."""
+    return F.when((dataset == FORECAST_DATASET) & variable.isin(FORECAST_ONLY), "forecast").otherwise(default)
+
 
 def portal(url: Column) -> Column:
     """The portal that a URL's host belongs to."""

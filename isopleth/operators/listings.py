@@ -184,3 +184,14 @@ def pattern_truth(points: DataFrame, queries: list[tuple[str, dict[str, list[str
     rows = points.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*scored), lambda s: s["score"] >= 2)).alias("s"))
     order = Window.partitionBy("query").orderBy("id")
     return rows.select("s.query", "id", "s.score").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+
+
+def available(sources: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Sources that have no schedule yet."""
+    return sources.join(schedules.select("source_id").distinct(), "source_id", "left_anti")
+
+
+def with_schedule(entries: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Entries with their schedule and whether they have one."""
+    known = schedules.select("source_id", F.col("cron_expression").alias("schedule"))
+    return entries.join(known, "source_id", "left").withColumn("scheduled", F.col("schedule").isNotNull())

@@ -100,6 +100,14 @@ def _asked(spark, sf_dir):
     return questions, chunks
 
 
+def dataset_contexts(entries: DataFrame, generate: models.Generate) -> DataFrame:
+    """entries with a context that a model writes once for each dataset name."""
+    write = F.udf(lambda name: generate(f"Describe the dataset {name} in two sentences."), "string")
+    # the model is asked in one place for each name, and not again for each entry
+    names = entries.select("dataset_name").where("dataset_name is not null").distinct().withColumn("context", write("dataset_name"))
+    return entries.join(names, "dataset_name", "left")
+
+
 @register("rag_search")
 def rag_search(spark, sf_dir):
     """The short plan over documents; rows only, as models have no SQL twin."""

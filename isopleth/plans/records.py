@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from isopleth.functions import descriptions, texts
+from isopleth.functions import catalog, descriptions, scalars, texts
 from isopleth.operators import bookkeeping, collection, listings, payload
 from isopleth.plans.registry import register
-from isopleth.sources import delimited, logs
+from isopleth.sources import delimited, logs, metadata
 from isopleth.sources.scratch import folder
 
 
@@ -439,3 +439,44 @@ def slug_names(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", texts.slugify(text).alias("slug"))
 
 
+
+
+@register("hazard_variables", """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'total_precipitation' ELSE 'own' END WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'total_precipitation' ELSE 'own' END ELSE 'own' END AS variable, CASE WHEN p_size % 3 = 0 AND p_partkey % 2 = 0 THEN 'forecast' ELSE 'analysis' END AS product FROM part""")
+def hazard_variables(spark, sf_dir):
+    """What to ask a dataset for, by hazard."""
+    n = F.col("p_size") % 3
+    dataset = F.when(n == 0, "reanalysis-cerra-single-levels").when(n == 1, "reanalysis-era5-land").otherwise("none")
+    variable = catalog.hazard_variable(dataset, F.when(F.col("p_partkey") % 2 == 0, " Mean precipitation ").otherwise("Drought"), F.lit("own"))
+    return _read(spark, sf_dir, "part").select("p_partkey", variable.alias("variable"), catalog.product_type(dataset, variable, F.lit("analysis")).alias("product"))
+
+
+@register("temperatures", "SELECT event_id, CASE WHEN value > 200 AND value < 330 THEN round(value - 273.15, 6) END AS celsius, CASE WHEN value > -100 AND value < 60 THEN round(value + 273.15, 6) END AS kelvin FROM events")
+def temperatures(spark, sf_dir):
+    """Kelvins and degrees Celsius of the earth's surface."""
+    return _read(spark, sf_dir, "events").select("event_id", F.round(scalars.as_celsius(F.col("value")), 6).alias("celsius"), F.round(scalars.as_kelvin(F.col("value")), 6).alias("kelvin"))
+
+
+@register("model_answers", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN c_nationkey END AS nation, CASE WHEN c_custkey % 2 = 0 THEN [3, c_nationkey] END AS shape FROM customer")
+def model_answers(spark, sf_dir):
+    """JSON of models with and without a fence, and written shapes."""
+    n, body = F.col("c_custkey") % 4, F.concat(F.lit('{"nation": '), F.col("c_nationkey").cast("string"), F.lit("}"))
+    fence = lambda kind: F.concat(F.lit("Here:\n```" + kind + "\n"), body, F.lit("\n```\nbye"))
+    answer = F.when(n == 0, body).when(n == 1, fence("json")).when(n == 2, fence("")).otherwise(F.concat(F.lit("no "), body))
+    shape = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("(3, "), F.col("c_nationkey").cast("string"), F.lit(")"))).otherwise("3 by 4")
+    return _read(spark, sf_dir, "customer").select("c_custkey", scalars.model_json(answer, "nation int")["nation"].alias("nation"), scalars.shape_of(shape).alias("shape"))
+
+
+@register("available_sources", f"WITH {SOURCES} SELECT source_id FROM src WHERE n % 3 <> 0")
+def available_sources(spark, sf_dir):
+    """Sources without a schedule."""
+    sources = _sources(spark, sf_dir)
+    return listings.available(sources, sources.where(F.col("source_id").cast("long") % 3 == 0)).select("source_id")
+
+
+@register("scanned_table", "SELECT count(*) AS rows_sampled, strftime(min(ts), '%Y-%m-%d') AS time_start, strftime(max(ts), '%Y-%m-%d') AS time_end, min(value) AS lat_min, max(value) AS lat_max FROM (SELECT * FROM events WHERE event_id % 2 = 0 ORDER BY event_id LIMIT 5000)")
+def scanned_table(spark, sf_dir):
+    """Columns, period and extent of a table's first rows, of a file that is written from events first."""
+    base = folder(spark, "scan")
+    rows = _read(spark, sf_dir, "events").where("event_id % 2 = 0").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Date"), F.col("value").cast("string").alias("Latitude"))
+    rows.coalesce(1).sortWithinPartitions("event_id").drop("event_id").withColumn("k", F.lit("x")).write.option("header", True).csv(base)
+    return metadata.scan_table(delimited.read(spark, base)).select("rows_sampled", "time_start", "time_end", "lat_min", "lat_max")

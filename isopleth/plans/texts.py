@@ -122,7 +122,8 @@ def catalog_ids(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", texts.source_id(F.col("p_name"), F.col("p_partkey")).alias("source_id"), texts.catalog_variable(F.col("p_type")).alias("variable"))
 
 
-@register("point_ids")
+@register("point_ids", """WITH h AS (SELECT page_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(url)) AS h FROM pages)
+SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%02x', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS id FROM h""")
 def point_ids(spark, sf_dir):
-    """Name-based UUIDs of all pages; tested against the standard library."""
+    """Name-based UUIDs of all pages."""
     return _read(spark, sf_dir, "pages").select("page_id", collection.uuid5(F.col("url")).alias("id"))

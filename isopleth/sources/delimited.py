@@ -89,11 +89,12 @@ def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def as_time(value: Column) -> Column:
-    """A time written in one of the known forms, from a bare year to a time of day; of a decimal year the year counts."""
+    """A time written in one of the known forms: from a bare year, a year with a month after a point or dash, or six digits of day, month and year, to a time of day."""
     whole = F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in TIME_FORMATS))
-    month = F.when(value.rlike(r"^\d{4}-\d{2}$"), F.try_to_timestamp(F.concat(value, F.lit("-01")), F.lit("yyyy-MM-dd")))
-    year = F.when(value.rlike(r"^(1[6-9]|20|21)\d\d(\.\d+)?$"), F.try_to_timestamp(F.concat(F.left(value, F.lit(4)), F.lit("-01-01")), F.lit("yyyy-MM-dd")))
-    return F.coalesce(whole, month, year)
+    year = F.when(value.rlike(r"^(1[6-9]|20|21)\d\d$"), F.try_to_timestamp(F.concat(value, F.lit("-1-1")), F.lit("yyyy-M-d")))
+    month = F.when(value.rlike(r"^(1[6-9]|20|21)\d\d[-.]\d{1,2}$"), F.try_to_timestamp(F.concat(F.translate(value, ".", "-"), F.lit("-1")), F.lit("yyyy-M-d")))
+    short = F.when(value.rlike(r"^\d{6}$"), F.try_to_timestamp(value, F.lit("ddMMyy")))
+    return F.coalesce(whole, month, year, short)
 
 
 def classify(rows: DataFrame) -> dict[str, str]:

@@ -114,7 +114,7 @@ def _read_slab(source, header: dict, variable: dict, starts: list[int], counts:
     return np.stack(out)
 
 
-def _values(source, header, variable) -> np.ndarray:
+def read_values(source, header, variable) -> np.ndarray:
     return _read_slab(source, header, variable, [0] * len(variable["dims"]), [header["dims"][d][1] for d in variable["dims"]])
 
 
@@ -160,7 +160,7 @@ def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
             known = {x["name"]: x for x in h["variables"]}
             lows, highs = [], []
             for dim, start, count in zip(dims, row["starts"], row["counts"]):
-                there = _values(source, h, known[dim])[start : start + count].astype(float) if dim in known else np.array([np.nan])
+                there = read_values(source, h, known[dim])[start : start + count].astype(float) if dim in known else np.array([np.nan])
                 lows.append(float(there.min()))
                 highs.append(float(there.max()))
         if not np.isfinite(cells).any():

@@ -34,3 +34,8 @@ def export_json(rows: DataFrame, most: int = JSON_ROWS) -> tuple[list[str], bool
     """(at most `most` rows as JSON texts, whether there were more)."""
     found = [r.j for r in rows.select(F.to_json(F.struct("*")).alias("j")).limit(most + 1).collect()]
     return found[:most], len(found) > most
+
+
+def export_golden(queries: DataFrame, path: str, facts: dict[str, object]) -> None:
+    """Writes annotated queries as JSON lines, each with the facts of the whole set (version, collection, counts)."""
+    queries.select("*", *(F.lit(value).alias(name) for name, value in facts.items())).write.mode("overwrite").json(path)

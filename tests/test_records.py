@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isopleth.functions import catalog, descriptions, texts
+from isopleth.functions import catalog, descriptions, scalars, texts
 from isopleth.operators import bookkeeping, collection, payload, scores, summarize
 from isopleth.plans import answer, ingest
 from isopleth.sources import archives, delimited, grid
@@ -70,6 +70,9 @@ def test_texts(spark):
     assert row.slug == "t_" + "x" * 57 and row.none == "export" and row.title == "2M Temp'S É-X" and row.zone == "Global"
     assert row.station == "De Bilt, Netherlands" and row.month == "March 2024" and row.none_month is None
     assert (row.year.year, row.dash.month) == (1998, 7)
+    times = spark.createDataFrame([("200304",), ("2019.5",), ("48.0",), ("17",), ("2023",)], "t string").select(F.date_format(delimited.as_time(F.col("t")), "yyyy-MM-dd")).collect()
+    assert [r[0] for r in times] == ["2004-03-20", "2019-05-01", None, None, "2023-01-01"]
+    assert one(spark, x=scalars.rounded(F.lit(0.0625)), m=scalars.with_defaults(F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3)))).m == {"a": 1, "b": 3}
 
 
 def test_files_of_different_headers(spark, tmp_path):
@@ -156,6 +159,18 @@ def test_ingest_into_a_collection(spark, tmp_path):
     assert rows[0].text.startswith("Climate variable: V (v) | Dataset: s1 | Time: 2020-01-01 | Date: January 2020 | Mean: 2.00") and len(rows[0].embedding) == 256
 
 
+def test_metadata_of_grids(spark, tmp_path):
+    from isopleth.sources import metadata
+    from tests.test_sources import netcdf
+
+    netcdf(tmp_path / "a.nc", np.ones((3, 4, 5)))
+    (tmp_path / "b.nc").write_bytes(b"no")
+    found = {r.file.rsplit("/", 1)[-1]: r for r in metadata.scan_grids(spark, str(tmp_path)).collect()}
+    a = found["a.nc"]
+    assert (a.variables, a.units, a.lat_min, a.lat_max, a.lon_max, a.description) == (["air"], ["K"], 48.0, 49.0, 18.0, "Variables: air") and found["b.nc"].error
+    assert metadata._dates(np.array([0.0, 36.0]), "hours since 2000-01-01 00:00:00") == ("2000-01-01", "2000-01-02")
+
+
 def test_group_stats_are_exact(spark):
     rng = np.random.default_rng(4)
     values = np.concatenate([np.round(rng.normal(size=500), 1), rng.normal(size=77)])
@@ -167,6 +182,12 @@ def test_group_stats_are_exact(spark):
         assert (found[k].p10, found[k].median, found[k].p90, found[k].std) == tuple(pytest.approx(x, abs=1e-6) for x in (*np.percentile(own, [10, 50, 90]), own.std()))
 
 
+def test_contexts_are_written_once(spark):
+    entries = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "n int, dataset_name string")
+    found = {r.n: r.context for r in answer.dataset_contexts(entries, lambda prompt: prompt[:24]).collect()}
+    assert found == {1: "Describe the dataset a i", 2: "Describe the dataset a i", 3: None}
+
+
 def test_whole_plan(spark):
     from isopleth.functions import models
 
