@@ -1,8 +1,9 @@
 """Quality classifier by co-training: one view reads the text, the other the page's metadata.
 
-Both views are logistic models. In each round either view labels the documents of an unlabelled pool that it is most
-confident of, and the other view learns from those labels too. At the end each view is calibrated on labelled rows it
-was not fitted on, the calibrated views are combined, and every document is scored.
+Both views are logistic models. In each round either view labels all unlabelled documents that it is sure of, and the
+other view takes one of Newton's steps on the labelled documents and those; slopes and curvatures are summed where the
+documents are. At the end each view is calibrated on labelled rows it was not fitted on, the calibrated views are
+combined, and every document is scored.
 """
 
 import zlib
@@ -11,10 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import text_or_empty
+from isopleth.llm.common import new_folder, text_or_empty
 from isopleth.llm.fingerprints import WordHashes, words_of
 from isopleth.llm.linestats import BLANK, BREAK, FEATURES, line_features, line_stats, repeated_lines
 from isopleth.llm.quality import repeat_words
@@ -86,34 +88,51 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([logits, both]), -30, 30)))
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_metadata: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> CoTrained:
+def sigmoid(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+def pool_sums(views: tuple[np.ndarray, np.ndarray], weights: list[np.ndarray], sure: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(slope, curvature, rows) for each view and class: of the rows that the other view is sure to be of that class."""
+    p = [sigmoid(x, w) for x, w in zip(views, weights)]
+    out = []
+    for own, other in ((0, 1), (1, 0)):
+        for label, rows in ((0.0, p[other] <= 1 - sure), (1.0, p[other] >= sure)):
+            x, q = views[own][rows], p[own][rows]
+            out.append((x.T @ (label - q), (x * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ x, float(rows.sum())))
+    return out
+
+
+def step(x: np.ndarray, y: np.ndarray, w: np.ndarray, sums: list[tuple[np.ndarray, np.ndarray, float]], share: float, l2: float = 1.0) -> np.ndarray:
+    """A view's weights after one of Newton's steps on its labelled rows and what the other view handed on.
+
+    The rows of a class that were handed on weigh `share` of all labelled rows together, however many they are.
+    """
+    p = sigmoid(x, w)
+    slope, curve = x.T @ (y - p) - l2 * w, (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + l2 * np.eye(len(w))
+    for own_slope, own_curve, rows in sums:
+        if rows:
+            slope, curve = slope + own_slope * (share * len(y) / rows), curve + own_curve * (share * len(y) / rows)
+    return w + np.linalg.solve(curve, slope)
+
+
+def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool, rounds: int = 4, sure: float = 0.95, share: float = 0.25) -> CoTrained:
     """Fits both views; a fifth of the labelled rows (every fifth as given) is kept for calibration.
 
-    Each round a view hands on at most `share` of the pool per class, of those whose probability is at least `sure`.
+    pool(weights, sure) gives pool_sums over all unlabelled rows; each round asks it once, and either view learns from
+    the rows that the other is sure of, then with fresh labels in the next round.
     """
-    content, metadata, pool_content, pool_metadata = (np.asarray(a, float) for a in (content, metadata, pool_content, pool_metadata))
+    content, metadata = np.asarray(content, float), np.asarray(metadata, float)
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    views, pools, base = (content[~held], metadata[~held]), (pool_content, pool_metadata), y[~held]
-    given = [np.full(len(pool_content), -1.0), np.full(len(pool_content), -1.0)]  # pseudo-labels that a view has got
-    most, exchanged, done = max(1, int(share * len(pool_content))), [0, 0], 0
+    views, base, exchanged, done = (content[~held], metadata[~held]), y[~held], (0, 0), 0
     weights = [logistic(v, base) for v in views]
-    for done in range(1, rounds + 1 if len(pool_content) else 1):
-        news = 0
-        for own, other in ((0, 1), (1, 0)):
-            p = 1 / (1 + np.exp(-np.clip(pools[own] @ weights[own], -30, 30)))
-            for label, confidence in ((1.0, p), (0.0, 1 - p)):
-                open_rows = np.flatnonzero((given[other] < 0) & (confidence >= sure))
-                best = open_rows[np.argsort(-confidence[open_rows], kind="stable")[:most]]
-                given[other][best] = label
-                exchanged[own] += len(best)
-                news += len(best)
-        weights = []
-        for view, pool, labels in zip(views, pools, given):
-            got = labels >= 0
-            weights.append(logistic(np.concatenate([view, pool[got]]), np.concatenate([base, labels[got]]), np.concatenate([np.ones(len(base)), np.full(got.sum(), 0.5)])))
-        if not news:
+    for done in range(1, rounds + 1):
+        sums = pool(weights, sure)
+        exchanged = (int(sums[2][2] + sums[3][2]), int(sums[0][2] + sums[1][2]))
+        weights = [step(v, base, w, own, share) for v, w, own in zip(views, weights, (sums[:2], sums[2:]))]
+        if not any(exchanged):
             break
     fit = held if held.any() else np.ones(len(y), bool)
     logits = np.column_stack([content[fit] @ weights[0], metadata[fit] @ weights[1]])
@@ -121,7 +140,7 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, pool_cont
     scales = np.array([logistic(np.column_stack([z, one]), y[fit], l2=0.1) for z in logits.T])
     calibrated = logits * scales[:, 0] + scales[:, 1]
     combined = logistic(np.column_stack([one, calibrated]), y[fit], l2=0.1)
-    return CoTrained(weights[0], weights[1], scales, combined, done, tuple(exchanged))
+    return CoTrained(weights[0], weights[1], scales, combined, done, exchanged)
 
 
 DDL = "doc_id long, content_score double, metadata_score double, score double, kept boolean"
@@ -133,54 +152,98 @@ def _views(docs: DataFrame) -> DataFrame:
     return docs.select(column("doc_id", "long"), text_or_empty().alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "double"))
 
 
-def _matrices(batch: pa.RecordBatch, memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    content = np.array([content_view(t, memo) for t in batch.column("text").to_pylist()]).reshape(-1, CONTENT)
-    metadata = np.array([metadata_view(*v) for v in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]).reshape(-1, METADATA)
-    return content, metadata
+FEATURES_DDL = "doc_id long, content binary, lang string, source string, n_chars double"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, the content view packed as 32-bit numbers, and what the metadata view reads; written once, as each round reads it."""
+
+    def run(batches):
+        memo = WordHashes()
+        for batch in batches:
+            packed = [content_view(t, memo).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *(batch.column(c) for c in ("lang", "source", "n_chars"))], ["doc_id", "content", "lang", "source", "n_chars"])
+
+    path = new_folder(docs.sparkSession, "features")
+    _views(docs).mapInArrow(run, FEATURES_DDL).write.parquet(path)
+    return docs.sparkSession.read.schema(FEATURES_DDL).parquet(path)
+
 
+def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    content = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.float32).reshape(-1, CONTENT)
+    seen: dict[tuple, np.ndarray] = {}
+    rows = zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
+    metadata = np.array([seen.setdefault(v, metadata_view(*v)) if v not in seen else seen[v] for v in rows]).reshape(-1, METADATA)
+    return content.astype(float), metadata.astype(float)
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_pool: int = 4000) -> CoTrained | None:
-    """Fits on bounded samples: the labelled and the unlabelled documents of the lowest hashed identifiers.
 
-    `most_labelled` and `most_pool` bound what the driver gets, which is feature rows alone. None where the sample
-    lacks good or bad documents.
+def _pool(rows: DataFrame):
+    """pool_sums over all rows: each task adds up its own, tasks' sums are added in groups, and the driver gets one row per group."""
+    schema = pa.schema([("part", pa.int64()), ("data", pa.binary())])
+
+    def packed(part: int, sums) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": [part], "data": [np.concatenate([np.concatenate([s, c.ravel(), [n]]) for s, c, n in sums]).tobytes()]}, schema=schema)
+
+    def pool(weights: list[np.ndarray], sure: float):
+        def run(batches):
+            total = None
+            for batch in batches:
+                own = pool_sums(_matrices(batch), weights, sure)
+                total = own if total is None else [tuple(x + y for x, y in zip(a, b)) for a, b in zip(total, own)]
+            if total is not None:
+                yield packed(TaskContext.get().partitionId(), total)
+
+        def add(batches):
+            found = [np.frombuffer(d, "<f8") for _, d in sorted((p, d) for batch in batches for p, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))]
+            if found:
+                yield pa.RecordBatch.from_pydict({"part": [0], "data": [np.sum(found, axis=0).tobytes()]}, schema=schema)
+
+        groups = rows.mapInArrow(run, "part long, data binary").repartition(16, F.pmod("part", F.lit(16))).mapInArrow(add, "part long, data binary")
+        found = [np.frombuffer(r.data, "<f8") for r in groups.collect()]
+        sizes = [CONTENT, CONTENT, METADATA, METADATA]
+        total = np.sum(found, axis=0) if found else np.zeros(sum(n * n + n + 1 for n in sizes))
+        out, at = [], 0
+        for n in sizes:
+            out.append((total[at : at + n], total[at + n : at + n + n * n].reshape(n, n), total[at + n + n * n]))
+            at += n + n * n + 1
+        return out
+
+    return pool
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, known: DataFrame | None = None) -> CoTrained | None:
+    """Fits on a bounded sample of labelled documents, those of the lowest hashed identifiers, and on all unlabelled ones.
+
+    `most_labelled` bounds the labelled feature rows that the driver gets. known: features of docs where there are any.
+    None where the sample lacks good or bad documents.
     """
     spark = docs.sparkSession
     labelled = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("quality"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = labelled.orderBy(*order).limit(most_labelled).collect()
+    picked = labelled.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(most_labelled).collect()
     if len({r.quality for r in picked}) < 2:
         return None
-    known = spark.createDataFrame(picked, "doc_id long, quality double")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    pool = ids.join(labelled, "doc_id", "left_anti").orderBy(*order).limit(most_pool).collect()
-    chosen = known.unionByName(spark.createDataFrame([(r.doc_id, -1.0) for r in pool], known.schema))
-    rows = _views(docs).join(F.broadcast(chosen), "doc_id")
-
-    def features(batches):
-        memo = WordHashes()
-        for batch in batches:
-            content, metadata = _matrices(batch, memo)
-            both = np.concatenate([content, metadata], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in both], pa.binary())], ["doc_id", "quality", "x"])
-
-    found = sorted(map(tuple, rows.mapInArrow(features, "doc_id long, quality double, x binary").collect()))
-    x = np.frombuffer(b"".join(r[2] for r in found), np.float32).reshape(len(found), CONTENT + METADATA)
+    rows = features(docs) if known is None else known
+    chosen = spark.createDataFrame(picked, "doc_id long, quality double")
+    found = sorted(map(tuple, rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(c for c in rows.columns if c != "doc_id")).collect()), key=str)
     y = np.array([r[1] for r in found])
-    if len(set(y[y >= 0])) < 2:
+    if len(set(y)) < 2:
         return None
-    x, pool = x[y >= 0], x[y < 0]
-    return co_train(x[:, :CONTENT], x[:, CONTENT:], y[y >= 0], pool[:, :CONTENT], pool[:, CONTENT:])
+    batch = pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in found], kind) for i, (name, kind) in enumerate([("content", pa.binary()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.float64())], 2)})
+    content, metadata = _matrices(batch)
+    unlabelled = rows.join(labelled.select("doc_id"), "doc_id", "left_anti")
+    return co_train(content, metadata, y, _pool(unlabelled))
 
 
-def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5, known: DataFrame | None = None) -> DataFrame:
     """One row per document, in one pass without a shuffle: the calibrated views, their combination, kept or not.
 
     Without a model (no labels of both kinds) all scores are null and every document is kept. Missing texts count as
     empty; missing metadata is a value of its own; repeated rows and missing identifiers are scored like any other;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows. known: features of docs where there are any.
     """
 
+    made = known is not None
+
     def run(batches):
         memo = WordHashes()
         for batch in batches:
@@ -188,11 +251,20 @@ def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataF
                 empty = pa.nulls(batch.num_rows, pa.float64())
                 columns = [empty, empty, empty, pa.array([True] * batch.num_rows, pa.bool_())]
             else:
-                p = model.score(*_matrices(batch, memo))
+                if not made:
+                    packed = pa.array([content_view(t, memo).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+                    batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), packed, *(batch.column(c) for c in ("lang", "source", "n_chars"))], ["doc_id", "content", "lang", "source", "n_chars"])
+                p = model.score(*_matrices(batch))
                 columns = [pa.array(c) for c in p.T] + [pa.array(p[:, 2] >= least)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "content_score", "metadata_score", "score", "kept"])
 
-    return _views(docs).mapInArrow(run, DDL)
+    return (known if made else _views(docs)).mapInArrow(run, DDL)
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """score(docs) by a model fitted on docs, whose features are made once for both."""
+    known = features(docs)
+    return score(docs, fit(docs, labels, known=known), known=known)
 
 
 def keep_good(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> DataFrame:

@@ -7,7 +7,8 @@ a key that both share. (A set in which two or more parts are empty gives keys fo
 common part that isn't empty exists.) Sets that share a key are joined to the least identifier of that key, first within
 a batch and then over all, so a key that very many sets share gives each of them one row.
 
-Candidate groups are verified in tiles. A group too large for one tile is cut into size bands, and bands into blocks;
+The keys are a filter ahead of the tiles: they decide which documents meet, the tiles compare them. Candidate groups are
+verified in tiles. A group too large for one tile is cut into size bands, and bands into blocks;
 each pair of blocks of the same or neighbouring bands is a tile. In a tile, hashed bitmaps bound the overlap of a pair from above by
 bit counts; pairs that could reach the threshold are compared exactly by intersecting sorted arrays, but for pairs
 already connected in the tile.
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import cut, shuffle_partitions, text_or_empty
+from isopleth.llm.common import cut, fresh_name, shuffle_partitions, text_or_empty
 from isopleth.llm.components import components
 from isopleth.llm.fingerprints import WordHashes, mix, shingles, words_of
 from isopleth.llm.tokens import by_size
@@ -248,5 +249,6 @@ def near_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col:
 
 def keep_first(docs: DataFrame, percent: int = 90, words: int = 3) -> DataFrame:
     """The documents with the smallest identifier of their component, with all their columns; documents without an identifier stay."""
-    gone = cut(near_components(docs, percent, words).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "gone_")
+    gone = cut(near_components(docs, percent, words).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")

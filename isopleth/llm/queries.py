@@ -48,8 +48,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     from isopleth.llm import cotrain
 
-    docs = _table(spark, sf_dir, "documents")
-    return cotrain.score(docs, cotrain.fit(docs, _table(spark, sf_dir, "labels")))
+    return cotrain.fit_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,36 @@ def test_co_training_on_held_out_labels(spark):
     assert abs(np.mean([r.score for r in found]) - share) < 0.05  # calibrated
 
 
+def test_co_training_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    memo, rows = WordHashes(), {r.doc_id: r for r in docs.collect()}
+    views = {k: (cotrain.content_view(r.text or "", memo).astype(float), cotrain.metadata_view(r.lang, r.source, r.n_chars).astype(float)) for k, r in rows.items()}
+    first = sorted((str((k, float(q))), k) for k, q in known.items() if k in rows)
+    inputs = [(views[k], float(known[k])) for _, k in first]
+    free = [v for k, v in views.items() if k not in known]
+
+    def pool(weights, sure):
+        out = []
+        for own, other in ((0, 1), (1, 0)):
+            for label in (0.0, 1.0):
+                slope, curve, n = np.zeros(len(weights[own])), np.zeros((len(weights[own]),) * 2), 0.0
+                for v in free:
+                    p = 1 / (1 + np.exp(-np.clip(v[other] @ weights[other], -30, 30)))
+                    if (p >= sure) if label else (p <= 1 - sure):
+                        q = 1 / (1 + np.exp(-np.clip(v[own] @ weights[own], -30, 30)))
+                        slope, curve, n = slope + v[own] * (label - q), curve + max(q * (1 - q), 1e-6) * np.outer(v[own], v[own]), n + 1
+                out.append((slope, curve, n))
+        return out
+
+    model = cotrain.co_train(np.array([v[0] for v, _ in inputs]), np.array([v[1] for v, _ in inputs]), np.array([q for _, q in inputs]), pool)
+    assert sum(model.exchanged) > 0
+    for r in cotrain.fit_and_score(docs, labels).collect():
+        expected = model.score(views[r.doc_id][0][None], views[r.doc_id][1][None])[0]
+        assert (r.content_score, r.metadata_score, r.score) == pytest.approx(tuple(expected), abs=1e-6)
+
+
 def test_co_training_edges(spark):
     docs = spark.createDataFrame([(i if i else None, t, None, 5) for i, t in enumerate(TEXTS * 2)], "doc_id long, text string, lang string, score int")
     none = spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int")
