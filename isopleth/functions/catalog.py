@@ -117,3 +117,18 @@ def is_permanent(error: Column) -> Column:
     """Whether trying again cannot help: a client's error but for time-outs and rate limits, HTML for data, no chunks."""
     status = F.regexp_extract(error, r"\b(4\d\d)\b", 1)
     return F.coalesce(((status != "") & ~status.isin("408", "429")) | any_in(F.lower(error), ["html", "0 data chunks"]), F.lit(False))
+
+
+def error_label(kind: Column, code: Column, host: Column, message: Column) -> Column:
+    """A failure in a few words. kind: http, connection, timeout, value or another; a code and a host where they are known."""
+    at = F.when(F.coalesce(host, F.lit("")) != "", F.concat(F.lit(" - "), host)).otherwise("")
+    remote = F.concat(F.lit(" - "), F.coalesce(F.nullif(host, F.lit("")), F.lit("remote")))
+    text, number = F.left(message, F.lit(120)), code.cast("string")
+    http = (
+        F.when(code.isin(401, 403), F.concat(F.lit("HTTP "), number, F.lit(" (auth required)"), at))
+        .when(code == 404, F.concat(F.lit("HTTP 404 (URL dead)"), at)).when(code == 429, F.concat(F.lit("HTTP 429 (rate-limited) - "), F.coalesce(host, F.lit(""))))
+        .when(code.between(400, 499), F.concat(F.lit("HTTP "), number, remote)).when(code.between(500, 599), F.concat(F.lit("HTTP "), number, F.lit(" (server error)"), remote))
+        .otherwise(F.concat(F.lit("HTTP error: "), text))
+    )
+    page = (kind == "value") & F.contains(F.lower(message), F.lit("html"))
+    return F.when(kind == "http", http).when(kind == "connection", F.concat(F.lit("Network error: "), text)).when(kind == "timeout", F.concat(F.lit("Timeout: "), text)).when(page, "Server returned HTML (likely a portal page, not data)").otherwise(F.left(message, F.lit(200)))

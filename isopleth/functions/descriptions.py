@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isopleth.functions.catalog import region
+from isopleth.functions.texts import url_host, url_path
 
 # Readable names of variables.
 VARIABLE_NAMES = {
@@ -163,3 +164,19 @@ def enriched(rows: DataFrame, table: DataFrame) -> DataFrame:
     own = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
     joined = rows.join(known, rows["variable"] == known["_v"], "left")
     return joined.withColumns({"long_name": F.coalesce("_l", own("long_name")), "variable_description": F.coalesce("_d", own("variable_description"))}).drop("_v", "_l", "_d")
+
+
+def name_from_url(url: Column, portal: Column) -> Column:
+    """A dataset's title from its URL, as its portal writes them: by the last part of the path, the part after Datasets, the last long part, or the file's name."""
+    path = F.btrim(url_path(url), F.lit("/"))
+    host, parts = F.coalesce(url_host(url), F.lit("")), F.split(path, "/")
+    last = F.element_at(parts, -1)
+    words = lambda x: F.translate(x, "-_", "  ")
+    behind = F.get(F.split(F.element_at(F.split(path, "atasets/"), -1), "/"), F.lit(0))
+    long = F.get(F.filter(F.reverse(parts), lambda x: (x != "") & ~F.startswith(x, F.lit(".")) & (F.char_length(x) > 3)), F.lit(0))
+    stem = F.regexp_replace(last, r"\.[^.]*$", "")
+    listed = F.contains(path, F.lit("atasets/"))
+    found = F.when((portal == "CDS") | F.contains(host, F.lit("cds.climate.copernicus.eu")), title(words(last)))
+    found = found.when(((portal == "NOAA") | F.contains(host, F.lit("psl.noaa.gov"))) & listed, title(F.translate(behind, "._", "  ")))
+    found = found.when((portal == "NASA") & long.isNotNull(), title(words(long))).when(portal == "MARINE", F.upper(words(last)))
+    return found.when(F.char_length(stem) > 2, title(words(stem)))

@@ -40,6 +40,34 @@ def cited(rows: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(pairs.select(*keys).distinct(), keys, "left_semi")
 
 
+def cited_datasets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows that fit a cited pair: by its dataset name where it has one, else by its source id, and by its variable where it has one.
+
+    rows and pairs: dataset_name, source_id, variable. A pair that says nothing is no pair.
+    """
+    given = pairs.select(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("dataset_name", "source_id", "variable")))
+    given = given.withColumn("source_id", F.when(F.col("dataset_name").isNull(), F.col("source_id"))).distinct()
+    found = None
+    for keys in (["dataset_name", "variable"], ["dataset_name"], ["source_id", "variable"], ["source_id"], ["variable"]):
+        own = given.where(F.expr(" and ".join(f"{c} is {'not ' if c in keys else ''}null" for c in ("dataset_name", "source_id", "variable"))))
+        marked = own.select(*keys).withColumn("_" + "_".join(keys), F.lit(True))
+        rows = rows.join(marked, keys, "left")
+        hit = F.coalesce(F.col("_" + "_".join(keys)), F.lit(False))
+        found = hit if found is None else found | hit
+    kept = rows.where(found)
+    return kept.select(*(c for c in kept.columns if not c.startswith(("_dataset_name", "_source_id", "_variable"))))
+
+
+def short_circuit(rows: DataFrame, url: str, order: list[str], outcome: DataFrame) -> DataFrame:
+    """Rows with what became of their URL: the first row of a URL is done, the others take over its status; adds is_first and status.
+
+    outcome: a frame of the URL and its status, of the rows that were done; a URL without one is pending.
+    """
+    place = F.row_number().over(Window.partitionBy(url).orderBy(*order))
+    known = outcome.select(F.col(url).alias("_u"), F.col("status"))
+    return rows.withColumn("is_first", place == 1).join(known, F.col(url) == F.col("_u"), "left").withColumn("status", F.coalesce("status", F.lit("pending"))).drop("_u")
+
+
 def forward_fill(df: DataFrame, partition: str, order: list[str], value: str, name: str) -> DataFrame:
     """The last value that isn't missing up to each row."""
     frame = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -166,3 +166,11 @@ def mmr(hits: DataFrame, take: int, balance: float = 0.55, source: str = "source
 def data_boost(hits: DataFrame) -> DataFrame:
     """Data chunks before summaries, each in score order: adds place from 1."""
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("is_summary", F.desc("score"), "id")))
+
+
+def source_guarantee(chosen: DataFrame, lists: DataFrame, least: int = 3) -> DataFrame:
+    """chosen, and from all ranked lists the best hits of sources it lacks until a query has `least` sources."""
+    hits = lists.groupBy("query_id", "id", "source").agg(F.max("score").alias("score"))
+    extra = [c for c in chosen.columns if c not in hits.columns]
+    hits = hits.select("*", *(F.lit(None).cast(chosen.schema[c].dataType).alias(c) for c in extra))
+    return min_source_backfill(chosen, hits, least).drop("backfilled")

@@ -105,3 +105,37 @@ def distinct_values(df: DataFrame, columns: list[str], most: int = 10) -> DataFr
     some = first.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("some"))
     per = values.groupBy("name").agg(F.count("*").alias("n_values"), F.min("value").alias("one")).join(some, "name")
     return per.select("name", "n_values", F.when(F.col("n_values") == 1, F.col("one")).when(F.col("n_values") <= most, F.array_join("some", "|")).alias("kept"))
+
+
+def overall_status(progress: DataFrame, key: str, target: int) -> DataFrame:
+    """Per source the state of its target phase, else metadata_only where phase 0 is completed, else pending."""
+    at = lambda phase: F.max(F.when(F.col("phase") == phase, F.col("status")))
+    per = progress.groupBy(key).agg(at(target).alias("own"), at(0).alias("zero"))
+    fallback = F.when((F.lit(target) > 0) & (F.col("zero") == "completed"), "metadata_only").otherwise("pending")
+    return per.select(key, F.when(F.col("own").isin("completed", "failed", "processing"), F.col("own")).otherwise(fallback).alias("state"))
+
+
+def progress_totals(states: DataFrame, total: int, skipped: int = 0) -> DataFrame:
+    """One row of counts over the states of progress_rollup: total, processed, failed, metadata_only, skipped, pending.
+
+    The total is at least the number of sources; what is left of it is pending, never less than none.
+    """
+    count = lambda s: F.count_if(F.col("state") == s).alias(s)
+    found = states.agg(F.greatest(F.count("*"), F.lit(total)).alias("total"), count("processed"), count("failed"), count("metadata_only"))
+    left = F.col("total") - F.col("processed") - F.col("failed") - F.col("metadata_only") - skipped
+    return found.withColumns({"skipped": F.lit(skipped).cast("long"), "pending": F.greatest(F.lit(0), left)})
+
+
+def full_summary(chunks: DataFrame, key: str, entry: dict[str, Column] | None = None) -> DataFrame:
+    """One summary row per dataset of normalized chunks: names, units, bounds, times, statistics, count; entry fields fill what is missing.
+
+    chunks have the columns of payload.normalize, and chunk_index as their order.
+    """
+    low, high = lambda c: F.min(c).alias(c), lambda c: F.max(c).alias(c)
+    text = lambda c: F.nullif(joined(c), F.lit("")).alias(c)
+    span = lambda f, c: f(F.nullif(F.col(c), F.lit(""))).alias(c)
+    found = chunks.groupBy(key).agg(
+        text("variable"), text("long_name"), text("unit"), low("latitude_min"), high("latitude_max"), low("longitude_min"), high("longitude_max"), span(F.min, "time_start"), span(F.max, "time_end"),
+        F.avg("stats_mean").alias("stats_mean"), low("stats_min"), high("stats_max"), F.count("*").alias("chunk_count"), F.min_by("resolution_deg", "chunk_index").alias("resolution_deg"),
+    ).withColumn("is_dataset_summary", F.lit(True))
+    return found.withColumns({c: F.coalesce(F.col(c), v) if c in found.columns else v for c, v in (entry or {}).items()})

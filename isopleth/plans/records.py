@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from isopleth.functions import catalog, descriptions, scalars, texts
-from isopleth.operators import bookkeeping, collection, listings, payload
+from isopleth.operators import bookkeeping, collection, listings, payload, relate, summarize
 from isopleth.plans.registry import register
 from isopleth.sources import delimited, logs, metadata
 from isopleth.sources.scratch import folder
@@ -480,3 +480,79 @@ def scanned_table(spark, sf_dir):
     rows = _read(spark, sf_dir, "events").where("event_id % 2 = 0").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Date"), F.col("value").cast("string").alias("Latitude"))
     rows.coalesce(1).sortWithinPartitions("event_id").drop("event_id").withColumn("k", F.lit("x")).write.option("header", True).csv(base)
     return metadata.scan_table(delimited.read(spark, base)).select("rows_sampled", "time_start", "time_end", "lat_min", "lat_max")
+
+
+PROGRESS = "p AS (SELECT o_custkey, o_orderkey % 4 AS phase, arg_max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'processing' END, o_orderkey) AS status FROM orders GROUP BY 1, 2)"
+
+
+def _progress(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("processing")
+    rows = _read(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 4).alias("phase"), "o_orderkey", status.alias("status"))
+    return rows.groupBy("o_custkey", "phase").agg(F.max_by("status", "o_orderkey").alias("status"))
+
+
+@register("overall_status", f"WITH {PROGRESS} SELECT o_custkey, coalesce(max(status) FILTER (WHERE phase = 2), CASE WHEN max(status) FILTER (WHERE phase = 0) = 'completed' THEN 'metadata_only' ELSE 'pending' END) AS state FROM p GROUP BY 1")
+def overall_status(spark, sf_dir):
+    """The state of each source for its target phase."""
+    return summarize.overall_status(_progress(spark, sf_dir), "o_custkey", 2)
+
+
+@register("progress_totals", f"""WITH {PROGRESS}, s AS (SELECT o_custkey, CASE WHEN bool_or(phase > 0 AND status = 'completed') THEN 'processed' WHEN bool_or(phase > 0 AND status = 'failed') THEN 'failed' WHEN bool_or(phase = 0 AND status = 'completed') THEN 'metadata_only' ELSE 'pending' END AS state FROM p GROUP BY 1),
+ t AS (SELECT greatest(count(*), 5000) AS total, count(*) FILTER (WHERE state = 'processed') AS processed, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'metadata_only') AS metadata_only, CAST(3 AS BIGINT) AS skipped FROM s) SELECT *, greatest(0, total - processed - failed - metadata_only - skipped) AS pending FROM t""")
+def progress_totals(spark, sf_dir):
+    """Totals over all sources, and what is pending."""
+    return summarize.progress_totals(summarize.progress_rollup(_progress(spark, sf_dir), "o_custkey"), 5000, 3)
+
+
+@register("full_summaries", """SELECT 'd' || l_suppkey AS dataset_name, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS variable, string_agg(DISTINCT CASE WHEN l_linestatus = 'O' THEN 'K' END, ', ') AS unit, min(l_quantity) AS latitude_min, max(l_tax) AS longitude_max, min(strftime(l_shipdate, '%Y-%m-%d')) AS time_start,
+ round(avg(l_discount), 6) AS stats_mean, max(l_extendedprice) AS stats_max, count(*) AS chunk_count, 'Flood' AS hazard_type FROM lineitem GROUP BY 1""")
+def full_summaries(spark, sf_dir):
+    """One summary per dataset, with names, units, bounds and what its entry adds."""
+    raw = _read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("dataset_name"), F.col("l_returnflag").alias("variable"), F.when(F.col("l_linestatus") == "O", "K").otherwise("").alias("unit"), F.col("l_quantity").alias("lat_min"), F.col("l_tax").alias("lon_max"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("time_start"), F.array("l_discount", F.lit(0.0), F.lit(0.0), "l_extendedprice", F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("stats"), F.col("l_orderkey").alias("chunk_index"),
+    )
+    rows = summarize.full_summary(payload.normalize(raw, falsy=False), "dataset_name", {"hazard_type": F.lit("Flood")})
+    return rows.select("dataset_name", "variable", "unit", "latitude_min", "longitude_max", "time_start", F.round("stats_mean", 6).alias("stats_mean"), "stats_max", "chunk_count", "hazard_type")
+
+
+@register("cited_datasets", """WITH c AS (SELECT p_partkey AS id, p_brand AS dataset_name, p_type AS source_id, 'v' || (p_size % 5) AS variable FROM part)
+SELECT id FROM c WHERE (dataset_name = 'Brand#1' AND variable = 'v1') OR dataset_name = 'Brand#2' OR (source_id = (SELECT min(p_type) FROM part) AND variable = 'v2') OR source_id = (SELECT max(p_type) FROM part)""")
+def cited_datasets(spark, sf_dir):
+    """rows of cited pairs, by dataset first, else by source."""
+    part = _read(spark, sf_dir, "part")
+    ends = part.agg(F.min("p_type").alias("low"), F.max("p_type").alias("high"))
+    none = F.lit("")
+    pairs = ends.select(F.explode(F.array(
+        F.struct(F.lit("Brand#1").alias("dataset_name"), F.lit("x").alias("source_id"), F.lit("v1").alias("variable")), F.struct(F.lit(" Brand#2 ").alias("dataset_name"), none.alias("source_id"), none.alias("variable")),
+        F.struct(none.alias("dataset_name"), F.col("low").alias("source_id"), F.lit("v2").alias("variable")), F.struct(none.alias("dataset_name"), F.col("high").alias("source_id"), none.alias("variable")),
+    )).alias("p")).select("p.*")
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("dataset_name"), F.col("p_type").alias("source_id"), F.concat(F.lit("v"), (F.col("p_size") % 5).cast("string")).alias("variable"))
+    return relate.cited_datasets(rows, pairs).select("id")
+
+
+@register("short_circuit", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) = 1 AS is_first, CASE o_custkey % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'completed' ELSE 'pending' END AS status FROM orders")
+def short_circuit(spark, sf_dir):
+    """The first row of a URL is done, the others take over its status."""
+    orders = _read(spark, sf_dir, "orders")
+    outcome = orders.select("o_custkey").distinct().where("o_custkey % 3 < 2").withColumn("status", F.when(F.col("o_custkey") % 3 == 0, "failed").otherwise("completed"))
+    return relate.short_circuit(orders, "o_custkey", ["o_totalprice", "o_orderkey"], outcome).select("o_orderkey", "is_first", "status")
+
+
+@register("error_labels", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'HTTP 403 (auth required) - h.org' WHEN 1 THEN 'HTTP 404 (URL dead)' WHEN 2 THEN 'HTTP 429 (rate-limited) - h.org' WHEN 3 THEN 'HTTP 418 - remote' WHEN 4 THEN 'HTTP 503 (server error) - h.org' WHEN 5 THEN 'Network error: ' || left(url, 120) WHEN 6 THEN 'Server returned HTML (likely a portal page, not data)' ELSE left(url, 200) END AS label FROM pages""")
+def error_labels(spark, sf_dir):
+    """failures in a few words."""
+    n = F.col("page_id") % 8
+    kind = F.when(n < 5, "http").when(n == 5, "connection").otherwise("value")
+    code = F.when(n == 0, 403).when(n == 1, 404).when(n == 2, 429).when(n == 3, 418).when(n == 4, 503)
+    message = F.when(n == 6, "got HTML").otherwise(F.col("url"))
+    return _read(spark, sf_dir, "pages").select("page_id", catalog.error_label(kind, code, F.when(n.isin(0, 2, 4), "h.org"), message).alias("label"))
+
+
+@register("names_from_urls", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'Sis Agro Indicators' WHEN 1 THEN 'Ncep Reanalysis2' WHEN 2 THEN 'Gpm Imerg' WHEN 3 THEN 'SST MED' WHEN 4 THEN 'My Data' END AS name FROM pages""")
+def names_from_urls(spark, sf_dir):
+    """X11: a dataset's title as its portal writes it."""
+    n = F.col("page_id") % 6
+    url = F.when(n == 0, "https://cds.climate.copernicus.eu/api/sis-agro_indicators/").when(n == 1, "https://psl.noaa.gov/Datasets/ncep.reanalysis2/air.nc").when(n == 2, "https://x.nasa.gov/gpm_imerg/v07/a").when(n == 3, "https://m.eu/p/sst-med").when(n == 4, "https://a.org/x/my_data.nc").otherwise("https://a.org")
+    portal = F.when(n == 2, "NASA").when(n == 3, "MARINE")
+    return _read(spark, sf_dir, "pages").select("page_id", descriptions.name_from_url(url, portal).alias("name"))

@@ -106,6 +106,16 @@ def min_source_backfill(spark, sf_dir):
     return retrieve.min_source_backfill(hits.where("rank <= 5"), hits, 4).select("query_id", "id", "score", "source", "backfilled")
 
 
+@register("source_guarantee", FUSED + """, top AS (SELECT query_id, id, score, 's' || label AS source FROM a WHERE rank <= 3), have AS (SELECT query_id, count(DISTINCT source) AS n FROM top GROUP BY 1), best AS (SELECT query_id, 's' || label AS source, id, max(score) AS score FROM lists GROUP BY 1, 2, 3),
+ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) AS r FROM best) WHERE r = 1), new AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_id ORDER BY o.score DESC, o.id) AS place FROM one o WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = o.query_id AND t.source = o.source))
+SELECT query_id, id, score, source FROM top UNION ALL SELECT new.query_id, id, score, source FROM new JOIN have USING (query_id) WHERE place + n <= 3""")
+def source_guarantee(spark, sf_dir):
+    """At least three sources per query, from all ranked lists."""
+    lists = _lists(spark, sf_dir).withColumn("source", F.concat(F.lit("s"), F.col("label").cast("string")))
+    chosen = lists.where("list_id = 0 and rank <= 3").select("query_id", "id", "score", "source")
+    return retrieve.source_guarantee(chosen, lists, 3).select("query_id", "id", "score", "source")
+
+
 @register("mmr")
 def mmr(spark, sf_dir):
     """Maximal marginal relevance over the sixty nearest; tested against a plain loop."""
