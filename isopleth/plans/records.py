@@ -539,7 +539,7 @@ def short_circuit(spark, sf_dir):
     return relate.short_circuit(orders, "o_custkey", ["o_totalprice", "o_orderkey"], outcome).select("o_orderkey", "is_first", "status")
 
 
-@register("error_labels", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'HTTP 403 (auth required) - h.org' WHEN 1 THEN 'HTTP 404 (URL dead)' WHEN 2 THEN 'HTTP 429 (rate-limited) - h.org' WHEN 3 THEN 'HTTP 418 - remote' WHEN 4 THEN 'HTTP 503 (server error) - h.org' WHEN 5 THEN 'Network error: ' || left(url, 120) WHEN 6 THEN 'Server returned HTML (likely a portal page, not data)' ELSE left(url, 200) END AS label FROM pages""")
+@register("error_labels", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'HTTP 403 (auth required) - h.org' WHEN 1 THEN 'HTTP 404 (URL dead)' WHEN 2 THEN 'HTTP 429 (rate-limited) - h.org' WHEN 3 THEN 'HTTP 418 - remote' WHEN 4 THEN 'HTTP 503 (server error) - h.org' WHEN 5 THEN 'Network error: ' || left(url, 120) WHEN 6 THEN 'Server returned HTML (likely a portal page, not data)' ELSE CASE WHEN contains(lower(url), 'html') THEN 'Server returned HTML (likely a portal page, not data)' ELSE left(url, 200) END END AS label FROM pages""")
 def error_labels(spark, sf_dir):
     """failures in a few words."""
     n = F.col("page_id") % 8
