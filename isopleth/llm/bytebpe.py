@@ -117,7 +117,7 @@ class Numbers(dict):
 ROWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("numbers", pa.binary()), ("new", pa.list_(pa.string()))])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 1_000_000, together: int = 4) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 500_000, together: int = 2) -> DataFrame:
     """One row per document: finish(id, number of ids, ids as decimal numbers joined by commas, decoded bytes) of whole texts.
 
     Up to `together` partitions of docs are read by one task, as long as every core has one: the more text a task reads,

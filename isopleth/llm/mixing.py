@@ -74,7 +74,7 @@ class Code:
     def __init__(self, words: list[str], counts: list[int], end: int, rest: int, byte_counts: list[int]):
         self.words, self.places = pa.array(words, pa.string()), None
         self.starts, self.lengths, nodes, self.bits = huffman([end + 1, rest + 1, *counts])
-        self.nodes = nodes.astype(np.int32)
+        self.nodes = nodes.astype(np.intp)
         self.hashes = np.concatenate([np.zeros(2, np.uint64), WordHashes(len(words) + 1).of(words)])
         self.byte_codes = huffman([c + 1 for c in byte_counts])
         self.inner = len(words) + 2  # byte nodes are numbered from here
@@ -117,12 +117,13 @@ class Code:
 def spread(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For runs of places: all places one after another, and the run that each belongs to."""
     ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    shift = np.repeat((starts - ends + lengths).astype(np.int32), lengths)
-    return np.arange(len(owner), dtype=np.int32) + shift, owner
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.repeat((starts - ends + lengths).astype(np.intp), lengths)
+    place += np.arange(len(owner))
+    return place, owner
 
 
-def decisions(code: Code, texts: list["Piece"], memo: WordHashes):
+def decisions(code: Code, texts: list["Piece"], memo: WordHashes, homes: bool = True):
     """(slots of the three predictors, bits, text of each decision; escaped words; symbol and text of each token) of some runs of texts."""
     words = [w for t in texts for w in t.words]
     sizes = np.array([len(t.words) + t.ends for t in texts], np.int64)
@@ -148,9 +149,15 @@ def decisions(code: Code, texts: list["Piece"], memo: WordHashes):
     place, owner = spread(code.starts[symbols], code.lengths[symbols])
     nodes = np.take(code.nodes, place)
     turned = nodes.astype(np.uint64) * _M
-    slots = [nodes, ((np.take(before, owner) + turned) * np.uint64(0xC2B2AE3D27D4EB4F) >> SHIFT).astype(np.int32), ((np.take(both, owner) + turned) * np.uint64(0xD6E8FEB86659FD93) >> SHIFT).astype(np.int32)]
-    home = np.repeat(np.array([t.number for t in texts], np.int32), sizes)
-    return slots, np.take(code.bits, place), np.take(home, owner), escaped, symbols, home
+    slots = [nodes]
+    for context, factor in ((before, 0xC2B2AE3D27D4EB4F), (both, 0xD6E8FEB86659FD93)):
+        hashed = np.take(context, owner)
+        hashed += turned
+        hashed *= np.uint64(factor)
+        hashed >>= SHIFT
+        slots.append(hashed.view(np.intp))
+    home = np.repeat(np.array([t.number for t in texts], np.intp), sizes)
+    return slots, np.take(code.bits, place), np.take(home, owner) if homes else None, escaped, symbols, home
 
 
 class Mixer:
@@ -178,12 +185,19 @@ class Mixer:
         return (n > 0).astype(np.int8) + (n > 4) + (n > 40)
 
     def _mix(self, logits, known1, known2, level: int):
-        gate = known2 * np.int8(4) + known1 + np.int8(16 * level)
-        mixed = np.take(self.weights[:, 3], gate)
+        gate = (known2 * np.int8(4) + known1 + np.int8(16 * level)).astype(np.intp)  # as indexes are, once for all look-ups
+        mixed = np.take(np.ascontiguousarray(self.weights[:, 3]), gate)
         for i, x in enumerate(logits):
-            mixed += np.take(np.ascontiguousarray(self.weights[:, i]), gate) * x
+            part = np.take(np.ascontiguousarray(self.weights[:, i]), gate)
+            part *= x
+            mixed += part
         np.clip(mixed, -12, 12, out=mixed)
-        step = gate * np.int64(STEPS) + np.clip(np.rint(mixed * 2), -(STEPS // 2), STEPS // 2).astype(np.int64) + STEPS // 2
+        place = mixed * np.float32(2)
+        np.rint(place, out=place)
+        np.clip(place, -(STEPS // 2), STEPS // 2, out=place)
+        step = gate * STEPS
+        step += place.astype(np.intp)
+        step += STEPS // 2
         return gate, mixed, step
 
     def learn(self, slots, bits, level: int) -> None:
@@ -216,8 +230,14 @@ class Mixer:
             some, these = [s[at : at + BATCH] for s in slots], bits[at : at + BATCH]
             logits = [np.take(x, s) for x, s in zip(self.logits, some)]
             _, mixed, step = self._mix(logits, np.take(self.known[1], some[1]), np.take(self.known[2], some[2]), level)
-            p = 0.5 / (1 + np.exp(-mixed)) + 0.5 * np.take(self.refined, step)
-            out[at : at + BATCH] = np.log2(np.where(these, p, 1 - p))
+            np.negative(mixed, out=mixed)
+            np.exp(mixed, out=mixed)
+            mixed += np.float32(1)
+            p = np.reciprocal(mixed, out=mixed)
+            p += np.take(self.refined, step)
+            p *= np.float32(0.5)
+            np.log2(np.where(these, p, np.float32(1) - p), out=p)
+            out[at : at + BATCH] = p
         return out
 
 
@@ -306,7 +326,7 @@ def learn(docs: DataFrame, code_of, tokens: int, salts: int = 8) -> Mixer:
                 own = texts.slice(at, int(np.argmin(np.append(parts[at:], -1) == part))).to_pylist()
                 for some in by_size(own, 4_000_000):
                     for pieces in runs([words_of(t) for t in own[some]]):
-                        slots, bits, _, escaped, _, _ = decisions(code, pieces, memo)
+                        slots, bits, _, escaped, _, _ = decisions(code, pieces, memo, homes=False)
                         mixer.learn_all(slots, bits, 1)
                         # spelling is learnt from words, not from their repeats: it tells words that are new
                         _, bits, slots = code.spelled(list(dict.fromkeys(escaped)))

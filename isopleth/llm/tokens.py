@@ -30,8 +30,10 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        strings = [] if special_as_text else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(strings), re.IGNORECASE).search if strings else lambda text: None
+        strings = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pattern, first = re.compile("|".join(map(re.escape, strings)), re.IGNORECASE), os.path.commonprefix(strings)
+        first = first if first.lower() == first.upper() else ""  # a beginning without letters is looked for first
+        self.special = lambda text: bool(strings) and first in text and pattern.search(text) is not None
         self.limit, self.known, self.old = limit, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
