@@ -6,8 +6,8 @@
    as in lines of few distinct shingles, the line is signed again over all of its shingles.
 2. Banding: fifteen bands of four minima, each minimum in three. Of pairs of J = 0.8, 0.75 % share no band, of J = 0.86 0.1 %.
    In buckets of up to 32 lines each line meets each. Lines of larger buckets are keyed again by 36 bands of six minima,
-   which takes apart what only templates or common words brought together (of pairs of J = 0.8 that meet in large buckets
-   alone, 4 % share none of these, simulated). In buckets of these bands that are still larger, each line meets two hubs first; all
+   which takes apart what only templates or common words brought together (of pairs of J = 0.8 that share a band, 3 %
+   share none of these, of J = 0.86 0.6 %: what is lost where pairs meet in large buckets alone). In buckets of these bands that are still larger, each line meets two hubs first; all
    pairs that links do not join by then follow, in salted blocks.
 3. Pairs that agree in nine minima (at J = 0.8 all but one in ten thousand do) are verified by the exact Jaccard
    similarity of their character 5-shingles, at 0.8.
