@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isopleth.sources.scratch import folder
+
 
 def latest_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The row of each key that is last by the given columns."""
@@ -125,3 +127,20 @@ def best_fuzzy(names: DataFrame, catalog: DataFrame, least: float = 0.4, block:
 
     best = met.select("name", F.array_min(F.transform("entries", scored)).alias("b")).groupBy("name").agg(F.min("b").alias("b")).where(F.col("b.s") <= -least)
     return names.select(F.col(column).alias("name")).join(best, "name").select("name", F.col("b.m").alias("match"), (-F.col("b.s")).alias("score"))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Rows with their number from 0 within their group, by the given columns.
+
+    Rows are sorted over all tasks and written with their place; what a task has of a group is numbered on from the
+    counts of the tasks before it. So a group may be of any size. Rows that agree in group and order are numbered in
+    no certain order.
+    """
+    spark, path = df.sparkSession, folder(df.sparkSession, "numbered")
+    df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_task", F.shiftright("_at", 33))
+    starts = placed.groupBy(F.struct(group).alias("_group"), "_task").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select("_group", "_task", (before - F.col("_first")).alias("_shift"))
+    # a group is compared as a struct, which a missing one equals too
+    return placed.withColumn("_group", F.struct(group)).join(starts, ["_group", "_task"]).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)

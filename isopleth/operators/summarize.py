@@ -1,8 +1,14 @@
 """Aggregations: chunk statistics, dataset summaries, facets, rollups of progress."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isopleth.sources.scratch import folder
+
 
 def finite(value: str) -> Column:
     """Neither missing, NaN nor infinite."""
@@ -27,29 +33,72 @@ def chunk_stats8(cells: DataFrame, keys: list[str], value: str, exact: bool = Tr
     return found.select(*keys, *(F.round(c, 6).alias(n) for c, n in zip(stats, names)), "n_cells")
 
 
-def group_stats8(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The same statistics, exactly, for few groups that may each hold most of the cells.
-
-    Equal values are counted before anything is shuffled by group; percentiles come from running counts over a group's
-    sorted distinct values, which spill, so no group is held in memory.
+def _blocks(keys: list, schema):
+    """For mapInArrow: sorted (keys, value, count) rows to blocks of one group each, with merged moments."""
+
+    def changes(batch):
+        found = np.zeros(batch.num_rows, bool)
+        found[:1] = True
+        for column in batch.columns[: len(keys)]:
+            here, before = column.slice(1), column.slice(0, len(column) - 1)
+            differ = pc.or_(pc.fill_null(pc.not_equal(here, before), False), pc.not_equal(pc.is_null(here), pc.is_null(before)))
+            found[1:] |= np.asarray(differ.to_numpy(zero_copy_only=False), bool)
+        return np.flatnonzero(found)
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = changes(batch)
+            v, c = batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1).to_numpy()
+            lengths = np.diff(np.append(starts, batch.num_rows))
+            n = np.add.reduceat(c, starts)
+            first = v[starts]
+            mean = first + np.add.reduceat(c * (v - np.repeat(first, lengths)), starts) / n
+            m2 = np.add.reduceat(c * (v - np.repeat(mean, lengths)) ** 2, starts)
+            offsets = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (v, c)]
+            numbers = [pa.array(x) for x in (np.arange(at, at + len(starts)), n, mean, m2, first, v[np.append(starts[1:], batch.num_rows) - 1])]
+            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(starts)) for x in batch.columns[: len(keys)]), *numbers, *lists], [*keys, "_at", "_n", "_mean", "_m2", "_min", "_max", "_values", "_counts"])
+            at += len(starts)
+
+    return run, ", ".join(f"`{k}` {schema[k].dataType.simpleString()}" for k in keys) + ", _at long, _n long, _mean double, _m2 double, _min double, _max double, _values array<double>, _counts array<long>"
+
+
+def group_stats8(cells: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """The same statistics, exactly, whatever share of the cells a group has; weight: a column of how often a row counts.
+
+    Equal values are counted before anything is shuffled by group, then sorted over all tasks by group and value. Runs
+    of them become blocks with counts and moments, which are written. Moments of a group are those of its blocks, merged
+    by counted deviations (Chan), so a mean far above the deviation costs no digits. Running counts over a group's blocks
+    tell in which of them a percentile lies, and only those are read for their values. So no task holds a group: it
+    holds one row per block of up to a batch of different values.
     """
-    v = F.col(value).cast("double")
-    counts = cells.where(finite(value)).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
-    within = Window.partitionBy(*keys)
-    running = counts.withColumn("_below", F.sum("_c").over(within.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_below", F.coalesce("_below", F.lit(0))).withColumn("_n", F.sum("_c").over(within))
-    at = lambda share: F.lit(share) * (F.col("_n") - 1)
-    here = lambda place: F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("_c")), F.col("_v")))
+    spark, v = cells.sparkSession, F.col(value).cast("double")
+    counts = cells.where(finite(value)).groupBy(*keys, (v + 0.0).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_c"))
+    run, ddl = _blocks(keys, counts.schema)
+    path = folder(spark, "blocks")
+    counts.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").mapInArrow(run, ddl).write.parquet(path)
+    blocks = spark.read.schema(ddl).parquet(path)
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low, total = F.min("_min").over(group), F.sum("_n").over(group)
+    running = blocks.drop("_values", "_counts").withColumns({"_below": before, "_total": total, "_m": low + F.sum(F.col("_n") * (F.col("_mean") - low)).over(group) / total})
     shares = {"p10": 0.1, "median": 0.5, "p90": 0.9}
-    found = running.groupBy(*keys).agg(
-        F.sum("_c").alias("n_cells"), F.sum(F.col("_v") * F.col("_c")).alias("_s"), F.sum(F.col("_v") * F.col("_v") * F.col("_c")).alias("_q"), F.min("_v").alias("min"), F.max("_v").alias("max"),
-        *(here(F.floor(at(p))).alias(f"_l{n}") for n, p in shares.items()), *(here(F.ceil(at(p))).alias(f"_h{n}") for n, p in shares.items()),
+    places = {f"{end}{name}": f(F.lit(p) * (F.col("_total") - 1)) for name, p in shares.items() for end, f in (("_l", F.floor), ("_h", F.ceil))}
+    inside = {c: (F.col("_below") <= place) & (place < F.col("_below") + F.col("_n")) for c, place in places.items()}
+    asked = running.select("_at", *(F.when(inside[c], place - F.col("_below")).alias(c) for c, place in places.items())).where(" or ".join(f"{c} is not null" for c in places))
+    at = "element_at(_values, aggregate(_counts, named_struct('left', {0}, 'i', 1), (a, c) -> if(a.left < c, named_struct('left', cast(0 as bigint), 'i', a.i), named_struct('left', a.left - c, 'i', a.i + 1)), a -> a.i))"
+    # once the place is inside a value's count, `left` is 0, and the counts that follow, at least 1, leave it there
+    found = blocks.select("_at", "_values", "_counts").join(asked, "_at").select("_at", *(F.expr(f"if({c} is null, null, {at.format(c)})").alias(c) for c in places))
+    sums = running.join(found, "_at", "left").groupBy(*keys).agg(
+        F.max("_total").alias("n_cells"), F.max("_m").alias("mean"), F.sum(F.col("_m2") + F.col("_n") * (F.col("_mean") - F.col("_m")) * (F.col("_mean") - F.col("_m"))).alias("_m2"), F.min("_min").alias("min"), F.max("_max").alias("max"), *(F.max(c).alias(c) for c in places),
     )
-    n = F.col("n_cells")
-    mean = F.col("_s") / n
-    part = lambda p: F.lit(p) * (n - 1) - F.floor(F.lit(p) * (n - 1))
-    stats = {"mean": mean, "std": F.sqrt(F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))), "min": F.col("min"), "max": F.col("max")}
+    part = lambda p: F.lit(p) * (F.col("n_cells") - 1) - F.floor(F.lit(p) * (F.col("n_cells") - 1))
+    stats = {"mean": F.col("mean"), "std": F.sqrt(F.col("_m2") / F.col("n_cells")), "min": F.col("min"), "max": F.col("max")}
     stats |= {name: F.col(f"_l{name}") + (F.col(f"_h{name}") - F.col(f"_l{name}")) * part(p) for name, p in shares.items()} | {"range": F.col("max") - F.col("min")}
-    return found.select(*keys, *(F.round(c, 6).alias(name) for name, c in stats.items()), "n_cells")
+    return sums.select(*keys, *(F.round(c, 6).alias(name) for name, c in stats.items()), "n_cells")
 
 
 def joined(value: str, separator: str = ", ") -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from isopleth.functions import descriptions, models
 from isopleth.operators import collection as store
-from isopleth.operators import payload, summarize
+from isopleth.operators import payload, relate, summarize
 from isopleth.plans.registry import register
 from isopleth.plans.tables import CHUNKS, chunk_stats8
 from isopleth.sources import archives
@@ -17,13 +17,13 @@ STATS = ["mean", "std", "min", "max", "p10", "median", "p90", "range"]
 def described(chunks: DataFrame, verbosity: str = "medium", embed: models.Embed = models.hashed_embedding) -> DataFrame:
     """Chunks (source_id, variable, unit, place, time_start, time_end and the statistics) with chunk_index, id, text and embedding.
 
-    A chunk's index counts within its source by variable, time and place; its id is a name-based UUID of source and index,
-    so that a source read again replaces its own rows.
+    A chunk's index counts within its source by variable, file, station column, time and place, then by its numbers, so it
+    does not depend on partitions; its id is a name-based UUID of source and index, so that a source read again replaces
+    its own rows. Chunks are sorted over all tasks and numbered by counts, so no source is held by one.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source_id").orderBy("variable", "time_start", "place")
-    rows = chunks.withColumn("chunk_index", F.row_number().over(order) - 1).withColumn("chunk_id", payload.chunk_ids(F.col("source_id"), F.col("chunk_index")))
+    order = [c for c in ("variable", "file", "station_col", "time_start", "time_end", "place", *STATS) if c in chunks.columns]
+    rows = relate.numbered(chunks, "source_id", order, "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int"))
+    rows = rows.withColumn("chunk_id", payload.chunk_ids(F.col("source_id"), F.col("chunk_index")))
     none = F.lit(None).cast("double")
     text = descriptions.describe(F.col("variable"), F.col("source_id"), F.col("time_start"), (none, none, none, none), F.array(*STATS), F.col("unit"), verbosity)
     return rows.withColumn("id", store.uuid5(F.col("chunk_id"))).withColumn("text", text).withColumn("embedding", models.embedded(F.col("text"), embed))
@@ -32,7 +32,7 @@ def described(chunks: DataFrame, verbosity: str = "medium", embed: models.Embed
 def load_chunks(spark: SparkSession, path: str, source_id: str, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, errors) of all files below a path."""
     found = archives.load(spark, path, scratch or folder(spark, "unpacked"))
-    chunks = found.where("error is null").withColumn("source_id", F.lit(source_id)).select("source_id", "file", "variable", "unit", "place", "time_start", "time_end", *STATS)
+    chunks = found.where("error is null").withColumn("source_id", F.lit(source_id)).select("source_id", "file", "variable", "unit", "station_col", "place", "time_start", "time_end", *STATS)
     return chunks, found.where("error is not null").select("file", "error")
 
 
@@ -43,11 +43,7 @@ def ingest(spark: SparkSession, path: str, source_id: str, into: store.Collectio
     """
     chunks, _ = load_chunks(spark, path, source_id)
     rows = described(chunks, embed=embed).withColumn("run", F.lit(run))
-    if not into.versions():
-        return into.commit(rows)
-    if rows.isEmpty():
-        return into.versions()[-1]
-    return into.commit(store.delete_where(into.read(), "source_id", source_id).unionByName(rows, allowMissingColumns=True))
+    return into.replace("source_id", source_id, rows, unless_empty=True)
 
 
 def metadata_rows(entries: DataFrame, embed: models.Embed = models.hashed_embedding) -> DataFrame:

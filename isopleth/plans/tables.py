@@ -39,12 +39,20 @@ def dataset_summary(spark, sf_dir):
  LATERAL (SELECT unnest(['l_returnflag', 'l_linestatus']) AS station_col, unnest([l_returnflag, l_linestatus]) AS station) b)
 SELECT variable, station_col, station, {STATS} FROM long WHERE isfinite(v) GROUP BY 1, 2, 3""")
 def series_by_station(spark, sf_dir):
-    """Statistics per variable, station column and station, by two unpivots and one shuffle."""
+    """Statistics per variable, station column and station; values are counted before they are copied per station."""
     rows = _read(spark, sf_dir, "lineitem")
     pairs = lambda columns: F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns)))
-    rows = rows.withColumn("a", pairs(["l_quantity", "l_extendedprice", "l_discount"])).withColumn("b", pairs(["l_returnflag", "l_linestatus"]))
-    rows = rows.select(F.col("a.name").alias("variable"), F.col("b.name").alias("station_col"), F.col("b.value").alias("station"), F.col("a.value").alias("v"))
-    return summarize.group_stats8(rows, ["variable", "station_col", "station"], "v")
+    rows = rows.select(pairs(["l_quantity", "l_extendedprice", "l_discount"]).alias("a"), "l_returnflag", "l_linestatus")
+    rows = rows.groupBy(F.col("a.name").alias("variable"), "l_returnflag", "l_linestatus", F.col("a.value").alias("v")).agg(F.count("*").alias("c")).withColumn("b", pairs(["l_returnflag", "l_linestatus"]))
+    rows = rows.select("variable", F.col("b.name").alias("station_col"), F.col("b.value").alias("station"), "v", "c")
+    return summarize.group_stats8(rows, ["variable", "station_col", "station"], "v", "c")
+
+
+@register("pressure_stats", f"""WITH cells AS (SELECT l_returnflag AS station, 101325 + l_discount / 10 + l_tax / 100 AS v FROM lineitem) SELECT station, {STATS} FROM cells WHERE isfinite(v) GROUP BY 1""")
+def pressure_stats(spark, sf_dir):
+    """Statistics of few large groups whose mean is far above their deviation."""
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("station"), (F.lit(101325) + F.col("l_discount") / 10 + F.col("l_tax") / 100).alias("v"))
+    return summarize.group_stats8(rows, ["station"], "v")
 
 
 @register("csv_block_chunks", f"""WITH numbered AS (SELECT event_id // 1000 AS block, value AS v FROM events) SELECT CAST(block AS BIGINT) AS block, {STATS} FROM numbered WHERE isfinite(v) GROUP BY 1""")

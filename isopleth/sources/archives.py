@@ -15,7 +15,7 @@ from isopleth.functions.texts import is_html, magic_format
 from isopleth.sources import delimited, grid
 from isopleth.sources.grid import open_file, write_file
 
-# Fixed value: bytes that one compressed file may unpack to.
+# Fixed value: bytes that one archive or compressed file may unpack to.
 MOST_BYTES = 3000 * 1024 * 1024
 # Member suffixes that are read, and the format of each.
 MEMBERS = {".nc": "netcdf", ".nc4": "netcdf", ".h5": "hdf5", ".tif": "geotiff", ".tiff": "geotiff", ".csv": "csv", ".tsv": "csv", ".txt": "csv", ".grib": "grib", ".grib2": "grib"}
@@ -32,48 +32,53 @@ class TooLarge(ValueError):
     """A file unpacks to more than the bound."""
 
 
-def _bounded(source, most: int):
-    """Pieces of a stream, up to a bound."""
-    total = 0
-    while piece := source.read(PIECE):
-        total += len(piece)
-        if total > most:
-            raise TooLarge(f"unpacks to more than {most >> 20} MB")
-        yield piece
+class _Bound:
+    """Hands on pieces of streams, up to a bound on all of them together."""
+
+    def __init__(self, most: int):
+        self.most, self.left = most, most
+
+    def __call__(self, source):
+        while piece := source.read(PIECE):
+            self.left -= len(piece)
+            if self.left < 0:
+                raise TooLarge(f"unpacks to more than {self.most >> 20} MB")
+            yield piece
 
 
 def members(source, name: str, most: int = MOST_BYTES):
     """(member name, pieces of its bytes) of an archive, or of a compressed file; names with a leading dot and folders are skipped.
 
+    `most` bounds all members together, of those whose pieces are taken.
     Nothing is unpacked under a member's own name, so a name that points outside does no harm.
     """
-    kind = SUFFIXES.get(suffix_of(name))
+    kind, bounded = SUFFIXES.get(suffix_of(name)), _Bound(most)
     if kind == "gz":
         inner = name.rsplit("/", 1)[-1][: -len(suffix_of(name))] or "member"
         stream = io.BufferedReader(gzip.GzipFile(fileobj=source), PIECE)
         head = stream.peek(512)
         if len(head) >= 262 and head[257:262] == b"ustar":
             with tarfile.open(fileobj=stream, mode="r|") as tar:
-                yield from _tar(tar, most)
+                yield from _tar(tar, bounded)
         else:
-            yield inner if suffix_of(inner) else inner + ".nc", _bounded(stream, most)
+            yield inner if suffix_of(inner) else inner + ".nc", bounded(stream)
     elif kind == "tar":
         with tarfile.open(fileobj=source, mode="r|*") as tar:
-            yield from _tar(tar, most)
+            yield from _tar(tar, bounded)
     elif kind == "zip":
         with zipfile.ZipFile(source) as archive:
             for info in archive.infolist():
                 base = info.filename.rsplit("/", 1)[-1]
                 if not info.is_dir() and base and not base.startswith(".") and "__MACOSX" not in info.filename:
                     with archive.open(info) as inner:
-                        yield info.filename, _bounded(inner, most)
+                        yield info.filename, bounded(inner)
 
 
-def _tar(tar: tarfile.TarFile, most: int):
+def _tar(tar: tarfile.TarFile, bounded: _Bound):
     for info in tar:
         base = info.name.rsplit("/", 1)[-1]
         if info.isfile() and base and not base.startswith("."):
-            yield info.name, _bounded(tar.extractfile(info), most)
+            yield info.name, bounded(tar.extractfile(info))
 
 
 _FOUND = pa.schema([("archive", pa.string()), ("member", pa.string()), ("path", pa.string()), ("format", pa.string()), ("error", pa.string())])
@@ -123,7 +128,7 @@ STATS = ["mean", "std", "min", "max", "p10", "median", "p90", "range"]
 
 
 def load(spark: SparkSession, path: str, scratch: str) -> DataFrame:
-    """Chunk statistics of all files below a path, whatever their formats: file, variable, unit, place, time_start, time_end, the eight statistics, error.
+    """Chunk statistics of all files below a path, whatever their formats: file, variable, unit, station_col, place, time_start, time_end, the eight statistics, error.
 
     Archives and compressed files are unpacked under `scratch` first, once; what is inside them is read like any other
     file, but not archives in archives. A file that can't be read, by its format or its content, gives one row with its
@@ -138,19 +143,19 @@ def load(spark: SparkSession, path: str, scratch: str) -> DataFrame:
             errors += [(r.archive, r.error)] if r.error else []
     of = lambda kind: [p for p, k in opened if k == kind]
     errors += [(p, f"{k or 'unknown'} files are not read") for p, k in opened if k not in ("netcdf", "geotiff", "csv")]
-    columns = ["file", "variable", "unit", "place", "time_start", "time_end", *STATS, "error"]
-    none = "file string, variable string, unit string, place string, time_start string, time_end string, " + ", ".join(f"{s} double" for s in STATS) + ", error string"
-    parts = [spark.createDataFrame([(p, *[None] * 13, e) for p, e in errors], none)]
+    columns = ["file", "variable", "unit", "station_col", "place", "time_start", "time_end", *STATS, "error"]
+    none = "file string, variable string, unit string, station_col string, place string, time_start string, time_end string, " + ", ".join(f"{s} double" for s in STATS) + ", error string"
+    parts = [spark.createDataFrame([(p, *[None] * 14, e) for p, e in errors], none)]
     text = lambda c: F.col(c).cast("string")
     for kind, scan in (("netcdf", grid.scan_netcdf), ("geotiff", grid.scan_geotiff)):
         if of(kind):
             stats = grid.slab_stats(scan(spark, of(kind)))
-            parts.append(stats.select("file", "variable", "unit", F.array_join(F.transform("starts", lambda s: s.cast("string")), ",").alias("place"), F.lit(None).cast("string").alias("time_start"), F.lit(None).cast("string").alias("time_end"), *STATS, "error"))
+            parts.append(stats.select("file", "variable", "unit", F.lit(None).cast("string").alias("station_col"), F.array_join(F.transform("starts", lambda s: s.cast("string")), ",").alias("place"), F.lit(None).cast("string").alias("time_start"), F.lit(None).cast("string").alias("time_end"), *STATS, "error"))
     if of("csv"):
         for rows in delimited.layouts(spark, of("csv")):
             chunks = delimited.chunks(rows)
             if "station" in chunks.columns:
-                parts.append(chunks.select(F.col("_file").alias("file"), "variable", F.lit(None).cast("string").alias("unit"), F.coalesce(text("station"), text("block")).alias("place"), "time_start", "time_end", *STATS, F.lit(None).cast("string").alias("error")))
+                parts.append(chunks.select(F.col("_file").alias("file"), "variable", F.lit(None).cast("string").alias("unit"), text("station_col"), F.coalesce(text("station"), text("block")).alias("place"), "time_start", "time_end", *STATS, F.lit(None).cast("string").alias("error")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part.select(*columns))

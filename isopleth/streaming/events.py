@@ -50,3 +50,16 @@ def ingest_directory(spark, folder: str, schema: str, handle, checkpoint: str, f
     query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def ingest_stream(stream: DataFrame, into, name: str, checkpoint: str, transform=lambda rows: rows, add: str = "upsert"):
+    """Writes a stream's batches to a Collection, each exactly once; waits until what there is has been read.
+
+    A batch's number goes into the version that has its rows, in one file: a batch that is repeated, as the stream was
+    stopped after the version was published, changes nothing, and one that was stopped before has left only files that no
+    version names. add: `upsert`, or `append` for rows whose keys may repeat. Names tell streams into one collection apart.
+    """
+    write = getattr(into, add)
+    query = stream.writeStream.foreachBatch(lambda batch, number: write(transform(batch), batch=(name, number)) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

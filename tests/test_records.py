@@ -146,6 +146,27 @@ def test_unpacking_is_bounded(tmp_path):
             list(pieces)
 
 
+def test_an_archive_is_bounded_as_a_whole():
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for i in range(3):
+            archive.writestr(f"{i}.csv", "0" * 600)
+    with pytest.raises(archives.TooLarge):
+        for _, pieces in archives.members(packed, "x.zip", most=1500):
+            list(pieces)
+
+
+def test_ids_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", "v", f"f{i % 7}", c, "2020", "2020", "p", *[float(rng.integers(3))] * 8) for i in range(40) for c in ("station", "region")]
+    schema = "source_id string, variable string, file string, station_col string, time_start string, time_end string, place string, " + ", ".join(f"{s} double" for s in ingest.STATS)
+    found = []
+    for n in (1, 5):
+        chunks = spark.createDataFrame(rows, schema).repartition(n).withColumn("unit", F.lit("K"))
+        found.append(sorted((r.chunk_id, r.file, r.station_col, r["mean"]) for r in ingest.described(chunks).collect()))
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) == 80
+
+
 def test_ingest_into_a_collection(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text("time,v\n2020-01-01,1\n2020-01-02,3\n")
@@ -182,6 +203,16 @@ def test_group_stats_are_exact(spark):
         assert (found[k].p10, found[k].median, found[k].p90, found[k].std) == tuple(pytest.approx(x, abs=1e-6) for x in (*np.percentile(own, [10, 50, 90]), own.std()))
 
 
+def test_group_stats_far_above_their_deviation(spark):
+    values = 101325 + np.random.default_rng(0).normal(size=20000) * 0.005
+    rows = spark.createDataFrame([(None if i % 4 else "a", float(v)) for i, v in enumerate(values)], "k string, v double").repartition(5)
+    found = {r.k: r for r in summarize.group_stats8(rows, ["k"], "v").collect()}
+    for k, own in (("a", values[::4]), (None, np.delete(values, np.s_[::4]))):
+        assert [found[k][c] for c in ("mean", "std", "p10", "median", "p90", "n_cells")] == [pytest.approx(x, abs=1.1e-6) for x in (own.mean(), own.std(), *np.percentile(own, [10, 50, 90]), len(own))]
+    weighted = summarize.group_stats8(spark.createDataFrame([("a", 1.0, 3), ("a", 5.0, 1), ("a", float("inf"), 9)], "k string, v double, c int"), ["k"], "v", "c").first()
+    assert (weighted["mean"], weighted.n_cells, weighted.median, weighted.p90) == (2.0, 4, 1.0, 3.8)
+
+
 def test_contexts_are_written_once(spark):
     entries = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "n int, dataset_name string")
     found = {r.n: r.context for r in answer.dataset_contexts(entries, lambda prompt: prompt[:24]).collect()}
