@@ -42,14 +42,14 @@ ROWS = [
 @pytest.mark.parametrize("least,best,part_docs,part_chars", [(1, 10, 2, 10**6), (2, 2, 16384, 40), (3, 10, 5, 10**6)])
 def test_edges(spark, least, best, part_docs, part_chars, monkeypatch):
     docs = spark.createDataFrame(ROWS, "lang string, source string, text string").selectExpr("*", "1 AS term", "2 AS n", "'x' AS part", "3 AS p0").repartition(2)
-    monkeypatch.setattr(divergence.term_counts, "__defaults__", (part_docs, part_chars))
+    monkeypatch.setattr(divergence.term_counts, "__defaults__", (1, part_docs, part_chars))
     found = divergence.divergence(docs, least, best).select("lang", "source", "part", "item", "value", "rank").collect()
     assert sorted(map(tuple, found)) == plain(ROWS, least, best)
 
 
 def test_term_counts_are_exact(spark):
     docs = spark.createDataFrame(ROWS, "lang string, source string, text string")
-    found = {(r.lang, r.term): (r.n_docs, sorted(map(tuple, r.sources))) for r in divergence.term_counts(docs, 3).collect()}
+    found = {(r.lang, r.term): (r.n_docs, sorted(map(tuple, r.sources))) for r in divergence.term_counts(docs, 1, 3).collect()}
     assert found["en", "the"] == (5, [("a", 6, 3), ("b", 5002, 2)])
     assert found["de", "stra\xdfe"] == (1, [("a", 2, 1)]) and found["de", "stra\xdfe\xa0weg"] == (1, [("b", 1, 1)])
     assert found["en", "x"] == (1, [("a", 1, 1)]) and ("en", "12") not in found
