@@ -58,25 +58,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (), query_id: str = "query_id", vector: str = "embedding", id_col: str = "id", same=None) -> DataFrame:
-    """The k points most alike by cosine to each query: query_id, id, score (6 places), rank from 1, and `keep` columns.
-
-    Queries are packed into blocks, points into packs, each one binary row; a pack meets every block once, as one matrix
-    product that hands on k rows per query at most. So the points are read once whatever the number of queries, nothing
-    comes to the driver but the queries' count, and the shuffle carries k rows per query and pack. Blocks are
-    broadcast while they are few; beyond BLOCKS they come by a shuffled join. same: an optional (query column, point
-    column) pair that must be equal. Vectors must have one length; a missing one matches nothing.
-    """
-    fields = [f for f in points.schema.fields if f.name in keep]
-    wanted = [query_id, vector] + ([same[0]] if same else [])
-    rows = queries.select(*wanted).where(F.col(vector).isNotNull())
-    blocks = max(1, -(-rows.count() // BLOCK))
-    ddl = ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"id {points.schema[id_col].dataType.simpleString()}", "score double", *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
-    columns = list(dict.fromkeys([id_col, vector, *(f.name for f in fields), *([same[1]] if same else [])]))
-    numbered = rows.select(F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"), *wanted).repartition(blocks, "_block").sortWithinPartitions("_block")
-    asked = _packed(numbered, "_block", 1 << 30).withColumnRenamed("data", "queries")
-    packs = _packed(points.where(F.col(vector).isNotNull()).select(F.lit(0).alias("_pack"), *columns), "_pack", PACK).select("data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("number"))
-    both = packs.join(F.broadcast(asked) if blocks <= BLOCKS else asked, "number").select("queries", "data")
+def _scorer(query_id: str, vector: str, id_col: str, keep: list[str], k: int, same=None):
+    """For mapInArrow: pairs of packed queries and packed points to the k best points of each query among them."""
 
     def best(batches):
         for batch in batches:
@@ -92,14 +75,45 @@ def knn(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (), que
                 # of equal scores the smaller ids come first, as points are in their order
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 at, c = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
-                out = pd.DataFrame({"query_id": names[at], "id": ids[by_id[c]], "score": scores[at, c], **{f.name: p[f.name].to_pandas().to_numpy()[by_id[c]] for f in fields}})
+                out = pd.DataFrame({"query_id": names[at], "id": ids[by_id[c]], "score": scores[at, c], **{f: p[f].to_pandas().to_numpy()[by_id[c]] for f in keep}})
                 yield pa.RecordBatch.from_pandas(out[np.isfinite(out["score"])], preserve_index=False)
 
-    found = both.mapInArrow(best, ddl)
+    return best
+
+
+def _result(queries: DataFrame, points: DataFrame, query_id: str, id_col: str, fields: list) -> str:
+    return ", ".join([f"query_id {queries.schema[query_id].dataType.simpleString()}", f"id {points.schema[id_col].dataType.simpleString()}", "score double", *(f"{f.name} {f.dataType.simpleString()}" for f in fields)])
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn(queries: DataFrame, points: DataFrame, k: int, keep: list[str] = (), query_id: str = "query_id", vector: str = "embedding", id_col: str = "id", same=None) -> DataFrame:
+    """The k points most alike by cosine to each query: query_id, id, score (6 places), rank from 1, and `keep` columns.
+
+    Queries are packed into blocks, points into packs, each one binary row; a pack meets every block once, as one matrix
+    product that hands on k rows per query at most. So the points are read once whatever the number of queries, nothing
+    comes to the driver but the queries' count, and the shuffle carries k rows per query and pack. Blocks are
+    broadcast while they are few; beyond BLOCKS they come by a shuffled join. same: an optional (query column, point
+    column) pair that must be equal. Vectors must have one length; a missing one matches nothing.
+    """
+    fields = [f for f in points.schema.fields if f.name in keep]
+    wanted = [query_id, vector] + ([same[0]] if same else [])
+    rows = queries.select(*wanted).where(F.col(vector).isNotNull())
+    blocks = max(1, -(-rows.count() // BLOCK))
+    ddl = _result(queries, points, query_id, id_col, fields)
+    columns = list(dict.fromkeys([id_col, vector, *(f.name for f in fields), *([same[1]] if same else [])]))
+    numbered = rows.select(F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"), *wanted).repartition(blocks, "_block").sortWithinPartitions("_block")
+    asked = _packed(numbered, "_block", 1 << 30).withColumnRenamed("data", "queries")
+    packs = _packed(points.where(F.col(vector).isNotNull()).select(F.lit(0).alias("_pack"), *columns), "_pack", PACK).select("data", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("number"))
+    both = packs.join(F.broadcast(asked) if blocks <= BLOCKS else asked, "number").select("queries", "data")
+
+    found = both.mapInArrow(_scorer(query_id, vector, id_col, [f.name for f in fields], k, same), ddl)
+    return _first(found, k)
+
+
 def grouped_topk(hits: DataFrame, key: str, group_size: int, group_limit: int) -> DataFrame:
     """The first group_size hits per key, of the group_limit keys of the best score: adds group_rank and place."""
     within = Window.partitionBy("query_id", key).orderBy(F.desc("score"), "id")

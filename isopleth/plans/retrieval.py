@@ -6,8 +6,9 @@ A vector's label stands for its source, its id modulo 3 for its variable, modulo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isopleth.operators import evaluate, retrieve
+from isopleth.operators import evaluate, retrieve, vectorindex
 from isopleth.plans.registry import register
+from isopleth.sources.scratch import folder
 
 KEEP = ["label"]
 
@@ -56,6 +57,22 @@ def knn_topk(spark, sf_dir):
     return _nearest(spark, sf_dir, 10).select("query_id", "id", "label", "score", "rank")
 
 
+def _index(spark, sf_dir, **options):
+    return vectorindex.VectorIndex.build(_points(spark, sf_dir), folder(spark, "index"), **options)
+
+
+@register("knn_indexed")
+def knn_indexed(spark, sf_dir):
+    """Nearest neighbours from the lists nearest to each query; rows only, as a few true neighbours are missed (recall is tested)."""
+    return _index(spark, sf_dir).search(_queries(_points(spark, sf_dir)), 10, KEEP).select("query_id", "id", "label", "score", "rank")
+
+
+@register("knn_indexed_exact", f"WITH {SCORED}, {knn_sql(k=10)} SELECT query_id, id, label, score, rank FROM knn")
+def knn_indexed_exact(spark, sf_dir):
+    """The same index, reading on until no list can hold a better point."""
+    return _index(spark, sf_dir).search(_queries(_points(spark, sf_dir)), 10, KEEP, exact=True).select("query_id", "id", "label", "score", "rank")
+
+
 @register("knn_filtered_topk", f"WITH {SCORED}, {knn_sql(k=10, where='label = query_label')} SELECT query_id, id, label, score, rank FROM knn")
 def knn_filtered_topk(spark, sf_dir):
     """Nearest neighbours of the query's own label."""
