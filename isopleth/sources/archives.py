@@ -141,6 +141,7 @@ def load(spark: SparkSession, path: str, scratch: str) -> DataFrame:
         for r in unpack(spark, spark.createDataFrame([(p,) for p in packed], "path string"), scratch.rstrip("/")).collect():
             opened += [(r.path, r.format)] if r.error is None else []
             errors += [(r.archive, r.error)] if r.error else []
+    opened = [(p, "netcdf" if k == "hdf5" else k) for p, k in opened]  # one reader tells them apart by their first bytes
     of = lambda kind: [p for p, k in opened if k == kind]
     errors += [(p, f"{k or 'unknown'} files are not read") for p, k in opened if k not in ("netcdf", "geotiff", "csv")]
     columns = ["file", "variable", "unit", "station_col", "place", "time_start", "time_end", *STATS, "error"]

@@ -1,4 +1,4 @@
-"""Gridded files: NetCDF classic variables in slabs, baseline GeoTIFF by strips.
+"""Gridded files: NetCDF variables (classic and HDF5) in slabs, GeoTIFF by strips and tiles.
 
 Headers are read first, one small task per file; what they describe becomes one row per slab or strip, which any task can then read
 by itself, so a large file is shared out and no task holds more than one slab.
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isopleth.sources import hdf5
+
 # Slab lengths along times and along places.
 TIME_STEPS, PLACES = 90, 40
 # NetCDF classic types.
@@ -118,10 +120,48 @@ def read_values(source, header, variable) -> np.ndarray:
     return _read_slab(source, header, variable, [0] * len(variable["dims"]), [header["dims"][d][1] for d in variable["dims"]])
 
 
+class Classic:
+    """A NetCDF classic file as scan_grids asks for it."""
+
+    def __init__(self, source):
+        self.source, self.header = source, netcdf_header(source)
+        self.known = {v["name"]: v for v in self.header["variables"]}
+
+    def variables(self) -> list[str]:
+        coordinates = {d for d, _ in self.header["dims"]}
+        return [n for n, v in self.known.items() if n not in coordinates and v["dims"] and v["type"] != "S1"]
+
+    def dims(self, name: str) -> list[tuple[str, int]]:
+        return [self.header["dims"][d] for d in self.known[name]["dims"]]
+
+    def attributes(self, name: str) -> dict:
+        return self.known[name]["attributes"]
+
+    def fill(self, name: str):
+        own = self.attributes(name)
+        return (own.get("_FillValue") or own.get("missing_value") or [None])[0]
+
+    def coordinates(self, name: str, start: int, count: int) -> np.ndarray | None:
+        if name not in self.known or self.known[name]["type"] == "S1":
+            return None
+        return read_values(self.source, self.header, self.known[name])[start : start + count].astype(float)
+
+    def read(self, name: str, starts: list[int], counts: list[int]) -> np.ndarray:
+        return _read_slab(self.source, self.header, self.known[name], starts, counts)
+
+
+def open_grid(source):
+    """A gridded file by its first bytes: NetCDF classic, or HDF5 (NetCDF-4)."""
+    magic = source.read(8)
+    source.seek(0)
+    return hdf5.Hdf5(source) if magic == hdf5.MAGIC else Classic(source)
+
+
 def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per slab with finite cells: file, variable, unit, slab, dims, starts, lows and highs of coordinates, values (doubles).
 
-    Only numeric variables over at least one dimension that are no coordinates; fill values are NaN. A file that can't be read gives one row with its error.
+    NetCDF classic and NetCDF-4 (HDF5) files. Only numeric variables over at least one dimension that are no coordinates;
+    fill values are NaN. A file that can't be read gives one row with its error.
     """
 
     def headers(batches):
@@ -130,16 +170,13 @@ def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 rows, error = [], None
                 try:
                     with open_file(name) as source:
-                        h = netcdf_header(source)
-                    coordinates = {d for d, _ in h["dims"]}
-                    for v in h["variables"]:
-                        if v["name"] in coordinates or not v["dims"] or v["type"] == "S1":
-                            continue
-                        shape = [h["dims"][d] for d in v["dims"]]
+                        found = open_grid(source)
+                        shapes = {v: found.dims(v) for v in found.variables()}
+                    for v, shape in shapes.items():
                         lengths = [slab_length(*d) for d in shape]
                         for n in np.ndindex(*(-(-size // length) if length else 0 for (_, size), length in zip(shape, lengths))):
                             starts = [i * length for i, length in zip(n, lengths)]
-                            rows.append((name, v["name"], starts, [min(length, size - s) for s, length, (_, size) in zip(starts, lengths, shape)], None))
+                            rows.append((name, v, starts, [min(length, size - s) for s, length, (_, size) in zip(starts, lengths, shape)], None))
                 except Exception as failed:  # noqa: BLE001  one bad file is one row
                     error = f"{type(failed).__name__}: {failed}"
                     rows = [(name, None, [], [], error)]
@@ -149,23 +186,20 @@ def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     def filled(row: dict, out: dict) -> dict | None:
         """A slab's row; none without finite cells."""
         with open_file(row["file"]) as source:
-            h = netcdf_header(source)
-            v = next(x for x in h["variables"] if x["name"] == row["variable"])
-            cells = _read_slab(source, h, v, row["starts"], row["counts"]).astype(np.float64)
-            fill = (v["attributes"].get("_FillValue") or v["attributes"].get("missing_value") or [None])[0]
+            found, name = open_grid(source), row["variable"]
+            cells, own, fill = found.read(name, row["starts"], row["counts"]).astype(np.float64), found.attributes(name), found.fill(name)
             if fill is not None:
                 cells[cells == fill] = np.nan
-            cells = cells * (v["attributes"].get("scale_factor") or [1])[0] + (v["attributes"].get("add_offset") or [0])[0]
-            dims = [h["dims"][d][0] for d in v["dims"]]
-            known = {x["name"]: x for x in h["variables"]}
-            lows, highs = [], []
+            cells = cells * (own.get("scale_factor") or [1])[0] + (own.get("add_offset") or [0])[0]
+            dims, lows, highs = [d for d, _ in found.dims(name)], [], []
             for dim, start, count in zip(dims, row["starts"], row["counts"]):
-                there = read_values(source, h, known[dim])[start : start + count].astype(float) if dim in known else np.array([np.nan])
-                lows.append(float(there.min()))
-                highs.append(float(there.max()))
+                there = found.coordinates(dim, start, count)
+                lows.append(float(there.min()) if there is not None else np.nan)
+                highs.append(float(there.max()) if there is not None else np.nan)
         if not np.isfinite(cells).any():
             return None
-        return out | {"unit": v["attributes"].get("units"), "dims": dims, "lows": lows, "highs": highs, "values": cells.ravel().tolist()}
+        unit = own.get("units")
+        return out | {"unit": unit if isinstance(unit, str) else None, "dims": dims, "lows": lows, "highs": highs, "values": cells.ravel().tolist()}
 
     def slabs(batches):
         for batch in batches:
@@ -181,9 +215,10 @@ def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
     planned = files.mapInArrow(headers, "file string, variable string, starts array<long>, counts array<long>, error string")
-    return planned.repartition(spark.sparkContext.defaultParallelism).mapInArrow(slabs, "file string, variable string, unit string, dims array<string>, starts array<long>, lows array<double>, highs array<double>, values array<double>, error string")
+    return planned.repartition(spark.sparkContext.defaultParallelism).mapInArrow(slabs, SLABS)
 
 
+SLABS = "file string, variable string, unit string, dims array<string>, starts array<long>, lows array<double>, highs array<double>, values array<double>, error string"
 _SLABS = pa.schema([("file", pa.string()), ("variable", pa.string()), ("unit", pa.string()), ("dims", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("lows", pa.list_(pa.float64())), ("highs", pa.list_(pa.float64())), ("values", pa.list_(pa.float64())), ("error", pa.string())])
 
 
