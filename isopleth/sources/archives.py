@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.functions.texts import is_html, magic_format
-from isopleth.sources import delimited, grid
+from isopleth.sources import delimited, grib, grid
 from isopleth.sources.grid import open_file, write_file
 
 # Fixed value: bytes that one archive or compressed file may unpack to.
@@ -143,7 +143,7 @@ def load(spark: SparkSession, path: str, scratch: str) -> DataFrame:
             errors += [(r.archive, r.error)] if r.error else []
     opened = [(p, "netcdf" if k == "hdf5" else k) for p, k in opened]  # one reader tells them apart by their first bytes
     of = lambda kind: [p for p, k in opened if k == kind]
-    errors += [(p, f"{k or 'unknown'} files are not read") for p, k in opened if k not in ("netcdf", "geotiff", "csv")]
+    errors += [(p, f"{k or 'unknown'} files are not read") for p, k in opened if k not in ("netcdf", "geotiff", "grib", "csv")]
     columns = ["file", "variable", "unit", "station_col", "place", "time_start", "time_end", *STATS, "error"]
     none = "file string, variable string, unit string, station_col string, place string, time_start string, time_end string, " + ", ".join(f"{s} double" for s in STATS) + ", error string"
     parts = [spark.createDataFrame([(p, *[None] * 14, e) for p, e in errors], none)]
@@ -152,6 +152,10 @@ def load(spark: SparkSession, path: str, scratch: str) -> DataFrame:
         if of(kind):
             stats = grid.slab_stats(scan(spark, of(kind)))
             parts.append(stats.select("file", "variable", "unit", F.lit(None).cast("string").alias("station_col"), F.array_join(F.transform("starts", lambda s: s.cast("string")), ",").alias("place"), F.lit(None).cast("string").alias("time_start"), F.lit(None).cast("string").alias("time_end"), *STATS, "error"))
+    if of("grib"):
+        slabs = grib.scan_grib(spark, of("grib"))
+        tagged = F.concat(F.coalesce(F.concat(F.lit("npts="), text("grid_npts"), F.lit(":")), F.lit("")), F.array_join(F.transform("starts", lambda s: s.cast("string")), ","))
+        parts.append(grid.slab_stats(slabs.withColumn("place", tagged), ["place", "time_start", "time_end"]).withColumn("station_col", F.lit(None).cast("string")))
     if of("csv"):
         for rows in delimited.layouts(spark, of("csv")):
             chunks = delimited.chunks(rows)

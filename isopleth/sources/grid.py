@@ -222,8 +222,10 @@ SLABS = "file string, variable string, unit string, dims array<string>, starts a
 _SLABS = pa.schema([("file", pa.string()), ("variable", pa.string()), ("unit", pa.string()), ("dims", pa.list_(pa.string())), ("starts", pa.list_(pa.int64())), ("lows", pa.list_(pa.float64())), ("highs", pa.list_(pa.float64())), ("values", pa.list_(pa.float64())), ("error", pa.string())])
 
 
-def slab_stats(slabs: DataFrame) -> DataFrame:
-    """The eight statistics of each slab's finite cells, without a row per cell."""
+def slab_stats(slabs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The eight statistics of each slab's finite cells, without a row per cell; keep: further columns to hand on."""
+    kept = ["file", "variable", "unit", "starts", "error", *keep]
+    names = ["mean", "std", "min", "max", "p10", "median", "p90", "range"]
 
     def stats(batches):
         for batch in batches:
@@ -233,10 +235,9 @@ def slab_stats(slabs: DataFrame) -> DataFrame:
                 cells = cells[np.isfinite(cells)]
                 p = np.percentile(cells, [10, 50, 90]) if len(cells) else [None] * 3
                 rows.append([float(cells.mean()), float(cells.std()), float(cells.min()), float(cells.max()), *map(float, p), float(np.ptp(cells))] if len(cells) else [None] * 8)
-            names = ["mean", "std", "min", "max", "p10", "median", "p90", "range"]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("file", "variable", "unit", "starts", "error")] + [pa.array(c, pa.float64()) for c in zip(*rows)], ["file", "variable", "unit", "starts", "error", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(c, pa.float64()) for c in zip(*rows)], [*kept, *names])
 
-    return slabs.mapInArrow(stats, "file string, variable string, unit string, starts array<long>, error string, mean double, std double, min double, max double, p10 double, median double, p90 double, range double")
+    return slabs.mapInArrow(stats, ", ".join([*(f"`{c}` {slabs.schema[c].dataType.simpleString()}" for c in kept), *(f"{n} double" for n in names)]))
 
 
 # TIFF field sizes by type, and the tags that are read.
