@@ -5,7 +5,9 @@ by itself, so a large file is shared out and no task holds more than one slab.
 """
 
 import math
+import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -242,31 +244,132 @@ def slab_stats(slabs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
 # TIFF field sizes by type, and the tags that are read.
 _FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
-_TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 278: "rows_per_strip", 279: "sizes", 277: "bands", 339: "format", 33550: "scale", 33922: "tie", 42113: "nodata"}
+_TAGS = {
+    256: "width", 257: "height", 258: "bits", 259: "compression", 270: "description", 273: "offsets", 277: "bands", 278: "rows_per_strip", 279: "sizes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height",
+    324: "tile_offsets", 325: "tile_sizes", 339: "format", 33550: "scale", 33922: "tie", 42112: "metadata", 42113: "nodata",
+}
+# What names a variable in a file's metadata.
+_NAMING = ("description", "name", "variable", "title", "label")
 
 
 def tiff_header(source) -> dict:
-    """The fields of the first image of a TIFF file."""
+    """The fields of the first image of a TIFF or BigTIFF file."""
     order = {b"II": "<", b"MM": ">"}[source.read(2)]
-    source.seek(4)
-    source.seek(struct.unpack(order + "I", source.read(4))[0])
-    count = struct.unpack(order + "H", source.read(2))[0]
-    entries, found = source.read(12 * count), {"order": order, "compression": [1], "bands": [1], "format": [1]}
+    big = struct.unpack(order + "H", source.read(2))[0] == 43
+    source.seek(8 if big else 4)
+    wide, room = ("Q", 8) if big else ("I", 4)
+    source.seek(struct.unpack(order + wide, source.read(room))[0])
+    count = struct.unpack(order + ("Q" if big else "H"), source.read(8 if big else 2))[0]
+    each = 20 if big else 12
+    entries, found = source.read(each * count), {"order": order, "compression": [1], "bands": [1], "format": [1], "planar": [1], "predictor": [1]}
     for i in range(count):
-        tag, kind, n = struct.unpack_from(order + "HHI", entries, 12 * i)
+        tag, kind, n = struct.unpack_from(order + "HH" + wide, entries, each * i)
         if tag in _TAGS and kind in _FIELD:
             size = struct.calcsize(_FIELD[kind]) * n
-            if size > 4:
-                source.seek(struct.unpack_from(order + "I", entries, 12 * i + 8)[0])
+            place = each * i + 4 + room
+            if size > room:
+                source.seek(struct.unpack_from(order + wide, entries, place)[0])
                 raw = source.read(size)
             else:
-                raw = entries[12 * i + 8 : 12 * i + 8 + size]
-            found[_TAGS[tag]] = raw.rstrip(b"\0").decode() if kind == 2 else list(struct.unpack(f"{order}{n}{_FIELD[kind]}", raw))
+                raw = entries[place : place + size]
+            found[_TAGS[tag]] = raw.rstrip(b"\0").decode("utf-8", "replace") if kind == 2 else list(struct.unpack(f"{order}{n}{_FIELD[kind]}", raw))
     return found
 
 
+def tiff_name(header: dict) -> str:
+    """The variable: the image's description, else the first metadata item that is a name of some kind, else the band."""
+    if header.get("description", "").strip():
+        return header["description"].strip()
+    for name, value in re.findall(r'<Item name="([^"]*)"[^>]*>([^<]*)</Item>', header.get("metadata", "")):
+        if any(word in name.lower() for word in _NAMING) and value.strip():
+            return value.strip()
+    return "band_1"
+
+
+def _lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes from the highest bit, one bit longer when the table is one short of full."""
+    out, table, previous, width = [], [], b"", 9
+    held = bits = 0
+    start = [bytes([i]) for i in range(256)] + [b"", b""]
+    for byte in raw:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, previous, width = start.copy(), b"", 9
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif previous:
+            entry = previous + previous[:1]
+        else:
+            raise ValueError("LZW data without a clear code")
+        out.append(entry)
+        if previous:
+            table.append(previous + entry[:1])
+        previous = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def _packbits(raw: bytes) -> bytes:
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n, at = raw[at], at + 1
+        if n < 128:
+            out += raw[at : at + n + 1]
+            at += n + 1
+        elif n > 128:
+            out += raw[at : at + 1] * (257 - n)
+            at += 1
+    return bytes(out)
+
+
+# Compressions that are read.
+_UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+
+
+def tiff_blocks(header: dict) -> tuple[int, int, int, int]:
+    """Rows and columns of a block, and blocks down and across the first band: strips span the width."""
+    rows = header["tile_height"][0] if "tile_offsets" in header else min(header.get("rows_per_strip", header["height"])[0], header["height"][0])
+    columns = header["tile_width"][0] if "tile_offsets" in header else header["width"][0]
+    return rows, columns, -(-header["height"][0] // rows), -(-header["width"][0] // columns)
+
+
+def read_block(source, header: dict, block: int) -> tuple[np.ndarray, int, int]:
+    """The first band's cells of a block, and the row and column where it begins."""
+    rows, columns, _, across = tiff_blocks(header)
+    row, column = block // across * rows, block % across * columns
+    tiled = "tile_offsets" in header
+    offset, size = ((header["tile_offsets"], header["tile_sizes"]) if tiled else (header["offsets"], header["sizes"]))
+    bits, bands = header["bits"][0], header["bands"][0] if header["planar"][0] == 1 else 1
+    kind = np.dtype(header["order"] + {1: "u", 2: "i", 3: "f"}[header["format"][0]] + str(bits // 8))
+    high = rows if tiled else min(rows, header["height"][0] - row)
+    if size[block] == 0:  # a block of a sparse file that was never written
+        return np.zeros((min(high, header["height"][0] - row), min(columns, header["width"][0] - column))), row, column
+    source.seek(offset[block])
+    raw = _UNPACK[header["compression"][0]](source.read(size[block]))[: high * columns * bands * kind.itemsize]
+    if header["predictor"][0] == 3:  # rows of sorted bytes, each the difference to the one a sample before
+        planes = np.frombuffer(raw, np.uint8).reshape(high, -1, bands).cumsum(axis=1, dtype=np.uint8).reshape(high, kind.itemsize, columns * bands)
+        cells = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(high, columns, bands)
+    else:
+        cells = np.frombuffer(raw, kind).reshape(high, columns, bands)
+        if header["predictor"][0] == 2:
+            cells = cells.astype(kind.newbyteorder("=")).cumsum(axis=1, dtype=kind.newbyteorder("="))
+    cells = cells[: header["height"][0] - row, : header["width"][0] - column, 0].astype(np.float64)
+    return cells, row, column
+
+
 def scan_geotiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per strip of an uncompressed one-band GeoTIFF with finite cells: like scan_netcdf, with row and column bounds as latitudes and longitudes."""
+    """One row per block of a GeoTIFF's first band with finite cells: like scan_netcdf, with row and column bounds as latitudes and longitudes.
+
+    Blocks are strips or tiles, as they are or compressed by LZW, deflate or runs, with differences undone; of a tile that
+    crosses the edge only cells inside count.
+    """
 
     def plan(batches):
         for batch in batches:
@@ -275,31 +378,28 @@ def scan_geotiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 try:
                     with open_file(name) as source:
                         h = tiff_header(source)
-                    if "offsets" not in h or h["compression"][0] != 1 or h["bands"][0] != 1:
-                        error = "only uncompressed files of one band in strips are read"
+                    if h["compression"][0] not in _UNPACK or h["predictor"][0] not in (1, 2, 3) or h["bits"][0] % 8:
+                        error = f"compression {h['compression'][0]} with predictor {h['predictor'][0]} and {h['bits'][0]} bits is not read"
                     else:
-                        n = len(h["offsets"])
+                        _, _, down, across = tiff_blocks(h)
+                        n = down * across
                 except Exception as failed:  # noqa: BLE001  one bad file is one row
                     error = f"{type(failed).__name__}: {failed}"
-                yield pa.RecordBatch.from_pydict({"file": [name] * n, "strip": list(range(n)), "error": pa.array([error] * n, pa.string())})
+                yield pa.RecordBatch.from_pydict({"file": [name] * n, "block": list(range(n)), "error": pa.array([error] * n, pa.string())})
 
     def filled(row: dict, out: dict) -> dict | None:
         with open_file(row["file"]) as source:
             h = tiff_header(source)
-            source.seek(h["offsets"][row["strip"]])
-            kind = np.dtype(h["order"] + {1: "u", 2: "i", 3: "f"}[h["format"][0]] + str(h["bits"][0] // 8))
-            cells = np.frombuffer(source.read(h["sizes"][row["strip"]]), kind).astype(np.float64)
-        width, per = h["width"][0], h.get("rows_per_strip", h["height"])[0]
+            cells, top, left = read_block(source, h, row["block"])
         if h.get("nodata"):
             cells[cells == float(h["nodata"])] = np.nan
         if not np.isfinite(cells).any():
             return None
-        first = row["strip"] * per
-        last = first + len(cells) // width
-        (sx, sy), (_, _, _, x, y, _) = h.get("scale", [1.0, 1.0])[:2], h.get("tie", [0.0] * 6)[:6]
-        return out | {"starts": [first, 0], "lows": [y - last * sy, x], "highs": [y - first * sy, x + width * sx], "values": cells.tolist()}
+        (sx, sy), (i, j, _, x, y, _) = h.get("scale", [1.0, 1.0])[:2], h.get("tie", [0.0] * 6)[:6]
+        north, west = y - (top - j) * sy, x + (left - i) * sx
+        return out | {"variable": tiff_name(h), "starts": [top, left], "lows": [north - cells.shape[0] * sy, west], "highs": [north, west + cells.shape[1] * sx], "values": cells.ravel().tolist()}
 
-    def strips(batches):
+    def blocks(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 out = {"file": row["file"], "variable": "band_1", "unit": None, "dims": ["lat", "lon"], "starts": [], "error": row["error"]}
@@ -312,5 +412,5 @@ def scan_geotiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([out], schema=_SLABS)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    planned = files.mapInArrow(plan, "file string, strip long, error string").repartition(spark.sparkContext.defaultParallelism)
-    return planned.mapInArrow(strips, "file string, variable string, unit string, dims array<string>, starts array<long>, lows array<double>, highs array<double>, values array<double>, error string")
+    planned = files.mapInArrow(plan, "file string, block long, error string").repartition(spark.sparkContext.defaultParallelism)
+    return planned.mapInArrow(blocks, SLABS)
