@@ -193,6 +193,31 @@ def plan_fields(found: list[dict]) -> list[tuple]:
     return out
 
 
+def block_rows(source, found: list[dict], row: dict):
+    """The rows of a block of times and grid rows: one for each run of columns with finite cells."""
+    own = [found[i] for i in row["numbers"]]
+    cells = np.stack([read_rows(source, f, row["row"], row["rows"]) for f in own])
+    grid, levels = own[0]["grid"], row["levels"]
+    cells = cells.reshape(-1, levels, *cells.shape[1:])
+    lat0, lon0, lat1, lon1 = grid["corners"]
+    if lon1 < lon0:
+        lon1 += 360
+    lats = np.linspace(lat0, lat1, grid["ny"])[row["row"] : row["row"] + row["rows"]]
+    lons = np.linspace(lon0, lon1, grid["nx"])
+    level = [f["level"] for f in own[:levels]]
+    for x in range(0, grid["nx"], PLACES):
+        part = cells[..., x : x + PLACES]
+        if np.isfinite(part).any():
+            east = lons[x : x + PLACES]
+            dims, starts = ["time", "level", "lat", "lon"], [row["time"], 0, row["row"], x]
+            lows, highs = [np.nan, min(level), lats.min(), east.min()], [np.nan, max(level), lats.max(), east.max()]
+            keep = [0, 1, 2, 3] if levels > 1 else [0, 2, 3]
+            yield {
+                "variable": row["variable"], "unit": row["unit"], "dims": [dims[i] for i in keep], "starts": [starts[i] for i in keep], "lows": [float(lows[i]) for i in keep], "highs": [float(highs[i]) for i in keep],
+                "time_start": str(own[0]["time"]), "time_end": str(own[-1]["time"]), "grid_npts": row["npts"] if row["grids"] > 1 else None, "values": part.ravel().tolist(), "error": None,
+            }
+
+
 def scan_grib(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per slab with finite cells, as scan_netcdf gives them, over time, level where there are several, latitude and longitude.
 
@@ -216,39 +241,15 @@ def scan_grib(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 columns = list(zip(*rows)) if rows else [()] * len(_PLANNED)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLANNED)], schema=_PLANNED)
 
-    def read(row):
-        with open_file(row["file"]) as source:
-            found = list(fields(source))
-            own = [found[i] for i in row["numbers"]]
-            cells = np.stack([read_rows(source, f, row["row"], row["rows"]) for f in own])
-        grid, levels = own[0]["grid"], row["levels"]
-        cells = cells.reshape(-1, levels, *cells.shape[1:])
-        lat0, lon0, lat1, lon1 = grid["corners"]
-        if lon1 < lon0:
-            lon1 += 360
-        lats = np.linspace(lat0, lat1, grid["ny"])[row["row"] : row["row"] + row["rows"]]
-        lons = np.linspace(lon0, lon1, grid["nx"])
-        level = [f["level"] for f in own[:levels]]
-        for x in range(0, grid["nx"], PLACES):
-            part = cells[..., x : x + PLACES]
-            if np.isfinite(part).any():
-                east = lons[x : x + PLACES]
-                dims, starts = ["time", "level", "lat", "lon"], [row["time"], 0, row["row"], x]
-                lows, highs = [np.nan, min(level), lats.min(), east.min()], [np.nan, max(level), lats.max(), east.max()]
-                keep = [0, 1, 2, 3] if levels > 1 else [0, 2, 3]
-                yield {
-                    "file": row["file"], "variable": row["variable"], "unit": row["unit"], "dims": [dims[i] for i in keep], "starts": [starts[i] for i in keep], "lows": [float(lows[i]) for i in keep], "highs": [float(highs[i]) for i in keep],
-                    "time_start": str(own[0]["time"]), "time_end": str(own[-1]["time"]), "grid_npts": row["npts"] if row["grids"] > 1 else None, "values": part.ravel().tolist(), "error": None,
-                }
-
     def slabs(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 error = row["error"]
                 if error is None:
                     try:
-                        for out in read(row):
-                            yield pa.RecordBatch.from_pylist([out], schema=_SLABS)
+                        with open_file(row["file"]) as source:
+                            for out in block_rows(source, list(fields(source)), row):
+                                yield pa.RecordBatch.from_pylist([{"file": row["file"]} | out], schema=_SLABS)
                     except Exception as failed:  # noqa: BLE001  one bad block is one row
                         error = f"{type(failed).__name__}: {failed}"
                 if error is not None:

@@ -159,6 +159,35 @@ def open_grid(source):
     return hdf5.Hdf5(source) if magic == hdf5.MAGIC else Classic(source)
 
 
+def slab_plan(found) -> list[tuple[str, list[int], list[int]]]:
+    """(variable, starts, counts) of all slabs of a gridded file."""
+    slabs = []
+    for v in found.variables():
+        shape = found.dims(v)
+        lengths = [slab_length(*d) for d in shape]
+        for n in np.ndindex(*(-(-size // length) if length else 0 for (_, size), length in zip(shape, lengths))):
+            starts = [i * length for i, length in zip(n, lengths)]
+            slabs.append((v, starts, [min(length, size - s) for s, length, (_, size) in zip(starts, lengths, shape)]))
+    return slabs
+
+
+def slab_row(found, name: str, starts: list[int], counts: list[int]) -> dict | None:
+    """What a slab's row says: unit, dims, lows and highs of coordinates, values; none without finite cells."""
+    cells, own, fill = found.read(name, starts, counts).astype(np.float64), found.attributes(name), found.fill(name)
+    if fill is not None:
+        cells[cells == fill] = np.nan
+    cells = cells * (own.get("scale_factor") or [1])[0] + (own.get("add_offset") or [0])[0]
+    if not np.isfinite(cells).any():
+        return None
+    dims, lows, highs = [d for d, _ in found.dims(name)], [], []
+    for dim, start, count in zip(dims, starts, counts):
+        there = found.coordinates(dim, start, count)
+        lows.append(float(there.min()) if there is not None else np.nan)
+        highs.append(float(there.max()) if there is not None else np.nan)
+    unit = own.get("units")
+    return {"unit": unit if isinstance(unit, str) else None, "dims": dims, "lows": lows, "highs": highs, "values": cells.ravel().tolist()}
+
+
 def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per slab with finite cells: file, variable, unit, slab, dims, starts, lows and highs of coordinates, values (doubles).
 
@@ -172,44 +201,22 @@ def scan_netcdf(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 rows, error = [], None
                 try:
                     with open_file(name) as source:
-                        found = open_grid(source)
-                        shapes = {v: found.dims(v) for v in found.variables()}
-                    for v, shape in shapes.items():
-                        lengths = [slab_length(*d) for d in shape]
-                        for n in np.ndindex(*(-(-size // length) if length else 0 for (_, size), length in zip(shape, lengths))):
-                            starts = [i * length for i, length in zip(n, lengths)]
-                            rows.append((name, v, starts, [min(length, size - s) for s, length, (_, size) in zip(starts, lengths, shape)], None))
+                        rows = [(name, *slab, None) for slab in slab_plan(open_grid(source))]
                 except Exception as failed:  # noqa: BLE001  one bad file is one row
                     error = f"{type(failed).__name__}: {failed}"
                     rows = [(name, None, [], [], error)]
                 columns = list(zip(*rows)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.string())], ["file", "variable", "starts", "counts", "error"])
 
-    def filled(row: dict, out: dict) -> dict | None:
-        """A slab's row; none without finite cells."""
-        with open_file(row["file"]) as source:
-            found, name = open_grid(source), row["variable"]
-            cells, own, fill = found.read(name, row["starts"], row["counts"]).astype(np.float64), found.attributes(name), found.fill(name)
-            if fill is not None:
-                cells[cells == fill] = np.nan
-            cells = cells * (own.get("scale_factor") or [1])[0] + (own.get("add_offset") or [0])[0]
-            dims, lows, highs = [d for d, _ in found.dims(name)], [], []
-            for dim, start, count in zip(dims, row["starts"], row["counts"]):
-                there = found.coordinates(dim, start, count)
-                lows.append(float(there.min()) if there is not None else np.nan)
-                highs.append(float(there.max()) if there is not None else np.nan)
-        if not np.isfinite(cells).any():
-            return None
-        unit = own.get("units")
-        return out | {"unit": unit if isinstance(unit, str) else None, "dims": dims, "lows": lows, "highs": highs, "values": cells.ravel().tolist()}
-
     def slabs(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 out = {"file": row["file"], "variable": row["variable"], "unit": None, "dims": None, "starts": row["starts"], "lows": None, "highs": None, "values": None, "error": row["error"]}
                 if row["error"] is None:
                     try:
-                        out = filled(row, out)
+                        with open_file(row["file"]) as source:
+                            found = slab_row(open_grid(source), row["variable"], row["starts"], row["counts"])
+                        out = out | found if found else None
                     except Exception as failed:  # noqa: BLE001  one bad slab is one row
                         out["error"] = f"{type(failed).__name__}: {failed}"
                 if out:
@@ -364,6 +371,26 @@ def read_block(source, header: dict, block: int) -> tuple[np.ndarray, int, int]:
     return cells, row, column
 
 
+def block_count(header: dict) -> int:
+    """How many blocks the first band has, if they can be read."""
+    if header["compression"][0] not in _UNPACK or header["predictor"][0] not in (1, 2, 3) or header["bits"][0] % 8:
+        raise ValueError(f"compression {header['compression'][0]} with predictor {header['predictor'][0]} and {header['bits'][0]} bits is not read")
+    _, _, down, across = tiff_blocks(header)
+    return down * across
+
+
+def block_row(source, header: dict, block: int) -> dict | None:
+    """What a block's row says; none without finite cells."""
+    cells, top, left = read_block(source, header, block)
+    if header.get("nodata"):
+        cells[cells == float(header["nodata"])] = np.nan
+    if not np.isfinite(cells).any():
+        return None
+    (sx, sy), (i, j, _, x, y, _) = header.get("scale", [1.0, 1.0])[:2], header.get("tie", [0.0] * 6)[:6]
+    north, west = y - (top - j) * sy, x + (left - i) * sx
+    return {"variable": tiff_name(header), "starts": [top, left], "lows": [north - cells.shape[0] * sy, west], "highs": [north, west + cells.shape[1] * sx], "values": cells.ravel().tolist()}
+
+
 def scan_geotiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per block of a GeoTIFF's first band with finite cells: like scan_netcdf, with row and column bounds as latitudes and longitudes.
 
@@ -378,34 +405,20 @@ def scan_geotiff(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 try:
                     with open_file(name) as source:
                         h = tiff_header(source)
-                    if h["compression"][0] not in _UNPACK or h["predictor"][0] not in (1, 2, 3) or h["bits"][0] % 8:
-                        error = f"compression {h['compression'][0]} with predictor {h['predictor'][0]} and {h['bits'][0]} bits is not read"
-                    else:
-                        _, _, down, across = tiff_blocks(h)
-                        n = down * across
+                    n = block_count(h)
                 except Exception as failed:  # noqa: BLE001  one bad file is one row
                     error = f"{type(failed).__name__}: {failed}"
                 yield pa.RecordBatch.from_pydict({"file": [name] * n, "block": list(range(n)), "error": pa.array([error] * n, pa.string())})
 
-    def filled(row: dict, out: dict) -> dict | None:
-        with open_file(row["file"]) as source:
-            h = tiff_header(source)
-            cells, top, left = read_block(source, h, row["block"])
-        if h.get("nodata"):
-            cells[cells == float(h["nodata"])] = np.nan
-        if not np.isfinite(cells).any():
-            return None
-        (sx, sy), (i, j, _, x, y, _) = h.get("scale", [1.0, 1.0])[:2], h.get("tie", [0.0] * 6)[:6]
-        north, west = y - (top - j) * sy, x + (left - i) * sx
-        return out | {"variable": tiff_name(h), "starts": [top, left], "lows": [north - cells.shape[0] * sy, west], "highs": [north, west + cells.shape[1] * sx], "values": cells.ravel().tolist()}
-
     def blocks(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 out = {"file": row["file"], "variable": "band_1", "unit": None, "dims": ["lat", "lon"], "starts": [], "error": row["error"]}
                 if row["error"] is None:
                     try:
-                        out = filled(row, out)
+                        with open_file(row["file"]) as source:
+                            found = block_row(source, tiff_header(source), row["block"])
+                        out = out | found if found else None
                     except Exception as failed:  # noqa: BLE001
                         out["error"] = f"{type(failed).__name__}: {failed}"
                 if out:
