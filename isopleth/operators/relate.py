@@ -144,3 +144,55 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFram
     starts = starts.select("_group", "_task", (before - F.col("_first")).alias("_shift"))
     # a group is compared as a struct, which a missing one equals too
     return placed.withColumn("_group", F.struct(group)).join(starts, ["_group", "_task"]).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose texts contain each other, a's in b's: of inner (a, a_text) and outer (b, b_text), texts not empty.
+
+    Each outer text is listed under its runs of one, two and three characters; an inner text looks into the shortest
+    list among those of its own runs (of three, or of its length), and into none if one of them is empty.
+    """
+    runs = lambda t, k: f"if(char_length({t}) < {k}, array(), transform(sequence(1, char_length({t}) - {k} + 1), i -> substring({t}, i, {k})))"
+    lists = outer.select("b", "b_text", F.explode(F.expr(f"array_distinct(concat({', '.join(runs('b_text', k) for k in (1, 2, 3))}))")).alias("run"))
+    lengths = lists.groupBy("run").agg(F.count("*").alias("n"))
+    own = F.expr(f"array_distinct(case char_length(a_text) when 1 then {runs('a_text', 1)} when 2 then {runs('a_text', 2)} else {runs('a_text', 3)} end)")
+    shortest = inner.select("a", "a_text", F.explode(own).alias("run")).join(lengths, "run", "left").groupBy("a", "a_text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("s"))
+    return shortest.where("s.n > 0").select("a", "a_text", F.col("s.run").alias("run")).join(lists, "run").where(F.contains("b_text", "a_text")).select("a", "b")
+
+
+def fuzzy_candidates(names: DataFrame, catalog: DataFrame, least: float = 0.4) -> DataFrame:
+    """Pairs (name, match) that may score `least` by best_fuzzy, from inverted lists; each pair once.
+
+    Sharing enough words: words are ordered by how many catalog names have them, rare ones first. Of n words at least
+    least * n must be shared, so two names share one of their first n - that + 1, and only those are listed and looked
+    up, for names of fitting sizes. Containing: by lists of character runs, in both directions (see _contained). A blank
+    name is contained in all: it meets the first of the catalog, and a blank catalog name meets all names.
+    """
+    clean = lambda df, c, a: df.select(F.col(c).alias(a)).where(f"{a} is not null").distinct().withColumn(f"{a}_text", F.lower(F.trim(a)))
+    left, right = clean(names, names.columns[0], "a"), clean(catalog, catalog.columns[0], "b")
+    words = lambda df, a: df.select(a, F.array_distinct(F.split(f"{a}_text", r"\s+")).alias("words")).select(a, F.size("words").alias("n"), F.explode("words").alias("word"))
+    known = words(right, "b").groupBy("word").agg(F.count("*").alias("rarity"))
+
+    def first(df: DataFrame, a: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("rarity", F.lit(0)).alias("r"), "word")))
+        rows = words(df, a).join(known, "word", "left").groupBy(a, "n").agg(ordered.alias("ordered"))
+        most = F.col("n") - F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.lit(1)) + 1
+        return rows.select(a, F.col("n").alias(f"{a}_n"), F.explode(F.slice("ordered", F.lit(1), most.cast("int"))).alias("o")).select(a, f"{a}_n", F.col("o.word").alias("word"))
+
+    shared = first(left, "a").join(first(right, "b"), "word").where(F.least("a_n", "b_n") >= F.lit(least) * F.greatest("a_n", "b_n") - 1e-9).select("a", "b")
+    texts, entries = left.where("a_text <> ''"), right.where("b_text <> ''")
+    inside = _contained(texts, entries)
+    around = _contained(entries.toDF("a", "a_text"), texts.toDF("b", "b_text")).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    one = lambda df: F.broadcast(df.agg(F.min("b").alias("b")).where("b is not null"))  # noqa: E731  one row
+    blank = left.where("a_text = ''").select("a").crossJoin(one(right)).unionByName(left.select("a").crossJoin(one(right.where("b_text = ''"))))
+    return shared.unionByName(inside).unionByName(around).unionByName(blank).distinct().select(F.col("a").alias("name"), F.col("b").alias("match"))
+
+
+def best_fuzzy_indexed(names: DataFrame, catalog: DataFrame, least: float = 0.4) -> DataFrame:
+    """best_fuzzy's rows, from the candidates of inverted lists alone. `least` is at most 0.7."""
+    low, entry = F.lower(F.trim("name")), F.lower(F.trim("match"))
+    own, other = (F.array_distinct(F.split(t, r"\s+")) for t in (low, entry))
+    ratio = F.size(F.array_intersect(own, other)) / F.greatest(F.size(own), F.size(other))
+    score = F.when(low == entry, 1.0).when(F.contains(entry, low) | F.contains(low, entry), F.greatest(ratio, F.lit(0.7))).otherwise(ratio)
+    best = fuzzy_candidates(names, catalog, least).select("name", F.struct((-F.round(score, 6)).alias("s"), F.col("match").alias("m")).alias("b")).groupBy("name").agg(F.min("b").alias("b")).where(F.col("b.s") <= -least)
+    return names.select(F.col(names.columns[0]).alias("name")).join(best, "name").select("name", F.col("b.m").alias("match"), (-F.col("b.s")).alias("score"))

@@ -265,10 +265,20 @@ def update_by_filter(spark, sf_dir):
     return collection.update_where(rows, F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.lit(0.0), "c_mktsegment": F.lit("updated")})
 
 
-@register("fuzzy_match", """WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT DISTINCT p_type AS entry FROM part), s AS (SELECT name, entry, list_distinct(string_split_regex(lower(trim(name)), '\\s+')) AS a, list_distinct(string_split(lower(entry), ' ')) AS b FROM n, c),
+FUZZY = """WITH n AS (SELECT DISTINCT p_name AS name FROM part), c AS (SELECT DISTINCT p_type AS entry FROM part), s AS (SELECT name, entry, list_distinct(string_split_regex(lower(trim(name)), '\\s+')) AS a, list_distinct(string_split(lower(entry), ' ')) AS b FROM n, c),
 v AS (SELECT name, entry, CASE WHEN lower(trim(name)) = lower(entry) THEN 1.0 ELSE greatest(CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(a), len(b)), CASE WHEN contains(lower(entry), lower(trim(name))) OR contains(lower(trim(name)), lower(entry)) THEN 0.7 ELSE 0 END) END AS score FROM s)
-SELECT name, entry AS match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(score, 6) DESC, entry) AS r FROM v) WHERE r = 1 AND score >= 0.4""")
+SELECT name, entry AS match, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY round(score, 6) DESC, entry) AS r FROM v) WHERE r = 1 AND score >= 0.4"""
+
+
+@register("fuzzy_match", FUZZY)
 def fuzzy_match(spark, sf_dir):
     """The best match of each part's name among the part types."""
     parts = _read(spark, sf_dir, "part")
     return relate.best_fuzzy(parts.select("p_name").distinct(), parts.select("p_type"))
+
+
+@register("fuzzy_match_indexed", FUZZY)
+def fuzzy_match_indexed(spark, sf_dir):
+    """The same by inverted lists of rare words and of character runs."""
+    parts = _read(spark, sf_dir, "part")
+    return relate.best_fuzzy_indexed(parts.select("p_name").distinct(), parts.select("p_type"))
