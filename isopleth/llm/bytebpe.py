@@ -24,6 +24,8 @@ from isopleth.llm.tokens import by_size
 
 #: Places of the literal rank map, each a small map of the pairs whose hash falls in it.
 BUCKETS = 16384
+#: Bytes from which a word is folded by its different pairs, not by their places.
+LONG = 200
 #: Stands for a pair that makes no piece; sorts after all pieces.
 NONE = "\U0010ffff"
 
@@ -106,6 +108,61 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     return F.when(F.length(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(word)), state(word, all_made(word)), step, lambda acc: acc["pieces"]))
 
 
+def fold_long(word: Column, ranks: Column) -> Column:
+    """The same pieces of a long word, without a look at all its places in each step.
+
+    The state is the pieces and the different pairs that may be there, each as the piece it makes and the pair, so the
+    least of them comes next. One that isn't there any more goes. Otherwise it is replaced, everywhere where no lower rank
+    can arise, else in its first place, and the pairs beside the places of the new piece join the others. A step is a few
+    searches by Spark's own string functions; what is looked up one by one are as many pairs as there are merges.
+    Where two pairs make the least piece, the first of both places is merged alone.
+    """
+
+    def made(pair: Column) -> Column:
+        return F.element_at(ranks, F.xxhash64(pair).bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1)[pair]
+
+    def known(pairs: Column) -> Column:
+        return F.filter(F.transform(F.array_distinct(pairs), lambda pair: F.concat(made(pair), pair)), lambda x: x.isNotNull())
+
+    def beside(pieces: Column, best: Column) -> Column:
+        """The pairs at the places of a piece."""
+        between = F.split(pieces, F.concat(F.lit("\\Q"), best, F.lit("\\E")), -1)
+        inner = F.size(between)
+        left = F.transform(F.slice(between, F.lit(1), inner - 1), lambda x: F.when(x != "", F.concat(F.right(x, F.lit(1)), best)).otherwise(F.concat(best, best)))
+        right = F.transform(F.slice(between, F.lit(2), inner - 1), lambda x: F.when(x != "", F.concat(best, F.left(x, F.lit(1)))).otherwise(F.concat(best, best)))
+        return known(F.concat(left, right))
+
+    def state(pieces: Column, pairs: Column) -> Column:
+        return F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
+
+    def step(acc: Column, _: Column) -> Column:
+        pieces, pairs = acc["pieces"], acc["pairs"]
+
+        def merge(least: Column) -> Column:
+            best, pair = F.substring(least, 1, 1), F.substring(least, 2, 2)
+            rest = F.array_remove(pairs, least)
+            # in their order, what makes the same piece comes next
+            same = F.filter(rest, lambda x: F.startswith(x, best) & F.contains(pieces, F.substring(x, 2, 2)))
+            rivals = F.when(F.startswith(F.array_min(rest), best), same).otherwise(F.array().cast("array<string>"))
+
+            def one() -> Column:
+                place = lambda x: F.struct(F.call_function("instr", pieces, F.substring(x, 2, 2)).alias("at"), x.alias("x"))
+                first = F.array_min(F.transform(F.concat(F.array(least), rivals), place))
+                after = let(first, lambda f: F.concat(F.substring(pieces, F.lit(1), f["at"] - 1), best, F.substring(pieces, f["at"] + 2, F.length(pieces))))
+                return let(after, lambda a: state(a, F.array_union(pairs, beside(a, best))))
+
+            every = let(F.replace(pieces, pair, best), lambda a: state(a, F.array_union(rest, beside(a, best))))
+            chosen = F.when((F.ascii(best) % 2 == 1) & (F.size(rivals) == 0), every).otherwise(one())
+            return F.when(F.contains(pieces, pair), chosen).otherwise(state(pieces, rest))
+
+        return F.when(F.size(pairs) == 0, acc).otherwise(let(F.array_min(pairs), merge))
+
+    singles = F.split(word, "")
+    first = known(F.zip_with(F.slice(singles, F.lit(1), F.length(word) - 1), F.slice(singles, F.lit(2), F.length(word) - 1), lambda a, b: F.concat(a, b)))
+    # a step merges or drops a pair; each merge brings two pairs at most
+    return F.aggregate(F.sequence(F.lit(1), 4 * F.length(word)), state(word, first), step, lambda acc: acc["pieces"])
+
+
 class Numbers(dict):
     """The numbers of words, in the order in which they first came."""
 
@@ -145,7 +202,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
                     if len(known) > at:
                         order = np.frombuffer(numbers, np.int32)
                         fresh, first = np.unique(order, return_index=True)
-                        new = [found[i].encode().decode("latin-1").translate(singles) for i in first[fresh >= at].tolist()]
+                        # a word that is a piece is that piece
+                        raw = [found[i].encode() for i in first[fresh >= at].tolist()]
+                        new = [marks.get(w) or w.decode("latin-1").translate(singles) for w in raw]
                     out.append((key, at, numbers.tobytes(), new))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
 
@@ -175,7 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
     rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // together))
     first = rows.mapInArrow(new_words, "id long, at long, numbers binary, new array<string>")
-    folded = first.select("id", "at", "numbers", F.transform("new", lambda w: fold_merges(w, literal)).alias("new"))
+    folded = first.select("id", "at", "numbers", F.transform("new", lambda w: F.when(F.length(w) < LONG, fold_merges(w, literal)).otherwise(fold_long(w, literal))).alias("new"))
     return folded.mapInArrow(assemble, ddl)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -29,8 +30,22 @@ def test_long_and_multi_byte_words(spark):
     singles, back = {b: marks[bytes([b])] for b in range(256)}, {m: ranks[piece] for piece, m in marks.items()}
     rows = spark.createDataFrame([(w, w.encode().decode("latin-1").translate(singles)) for w in words], "word string, raw string")
     literal = bytebpe.rank_literal(ranks)
-    for r in rows.select("word", bytebpe.fold_merges(F.col("raw"), literal).alias("pieces")).collect():
-        assert [back[m] for m in r.pieces] == encoder._core_bpe.encode_single_piece(r.word.encode())
+    for r in rows.select("word", bytebpe.fold_merges(F.col("raw"), literal).alias("pieces"), bytebpe.fold_long(F.col("raw"), literal).alias("long")).where("length(raw) < 1000 or word like 'xx%'").collect():
+        whole = [ranks[r.word.encode()]] if r.word.encode() in ranks else None
+        assert [back[m] for m in r.pieces] == [back[m] for m in r.long] == (whole or encoder._core_bpe.encode_single_piece(r.word.encode()))
+
+
+def test_very_long_words(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(50_000)), "x" * 50_000, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20_000)), "ababa" * 4000 + "b", "中文字" * 5000, "\u00e9" * 9000]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    encoder, began = library(), time.time()
+    found = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in bytebpe.digest_bpe(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    took = time.time() - began
+    for i, w in enumerate(words):
+        ids = encoder.encode_ordinary(w)
+        assert found[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), i
+    assert took < 120
 
 
 def test_digest(spark):
