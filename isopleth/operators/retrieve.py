@@ -134,33 +134,62 @@ def rrf_fuse(lists: DataFrame, weights: dict[int, float], k: int = 60, least: fl
     return fused.withColumn("top", top).where(F.col("rrf") >= least * F.col("top")).drop("top")
 
 
-def diversity_quota(hits: DataFrame, per_source: int = 3, per_pair: int = 2) -> DataFrame:
+def grouped_list(hits: DataFrame, key: str = "dataset", group_size: int = 2, groups: int = 15) -> DataFrame:
+    """A ranked list of its own from another: the first hits of each key, key by key, the keys with the best scores first (ties by the list's order); rank from 1."""
+    within = Window.partitionBy("query_id", key)
+    some = hits.withColumn("_n", F.row_number().over(within.orderBy("rank"))).where(F.col("_n") <= group_size)
+    some = some.withColumns({"_best": F.max("score").over(within), "_first": F.min("rank").over(within)})
+    some = some.withColumn("_group", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("_best"), "_first"))).where(F.col("_group") <= groups)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_group", "_n"))).drop("_n", "_best", "_first", "_group")
+
+
+def diversity_quota(hits: DataFrame, per_source: int = 3, per_pair: int = 2, tie: str = "id") -> DataFrame:
     """At most per_pair data hits per (source, variable) and then per_source hits per source, best first; summaries count for their source alone."""
-    order = [F.desc("score"), F.col("id")]
+    order = [F.desc("score"), F.col(tie)]
     pair = F.row_number().over(Window.partitionBy("query_id", "source", "variable", "is_summary").orderBy(*order))
     source = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(*order))
     kept = hits.withColumn("pair_place", pair).where(F.col("is_summary") | (F.col("pair_place") <= per_pair)).drop("pair_place")
     return kept.withColumn("source_place", source).where(F.col("source_place") <= per_source).drop("source_place")
 
 
-def min_source_backfill(chosen: DataFrame, hits: DataFrame, least: int = 4) -> DataFrame:
+def min_source_backfill(chosen: DataFrame, hits: DataFrame, least: int = 4, tie: str = "id") -> DataFrame:
     """chosen, and the best hits of sources it lacks until a query has `least` sources: adds backfilled."""
     have = chosen.groupBy("query_id").agg(F.countDistinct("source").alias("have"))
-    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "id"))).where("r = 1").drop("r")
+    best = hits.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), tie))).where("r = 1").drop("r")
     new = best.join(chosen.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti").join(have, "query_id", "left")
-    new = new.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") + F.coalesce("have", F.lit(0)) <= least)
+    new = new.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), tie))).where(F.col("r") + F.coalesce("have", F.lit(0)) <= least)
     return chosen.withColumn("backfilled", F.lit(False)).unionByName(new.select(*chosen.columns).withColumn("backfilled", F.lit(True)))
 
 
-def mmr(hits: DataFrame, take: int, balance: float = 0.55, source: str = "source", dataset: str = "dataset", variable: str = "variable") -> DataFrame:
+def chosen_order(lists: DataFrame, weights: dict[int, float], boosted: Column, per_source: int = 3, per_pair: int = 2, sources: int = 4, guaranteed: int = 3) -> DataFrame:
+    """What a search makes of its ranked lists, in order: query_id, id, score, source, variable, dataset, is_summary, place from 1.
+
+    Lists are fused; where `boosted`, a column of the lists that is the same for a query, data come before summaries. Quotas take
+    hits by their own scores, in that order where scores are equal. Sources are filled up from the fused hits, then, where there
+    are still fewer than guaranteed, from all lists by score; what is filled in comes last.
+    """
+    flagged = lists.select("query_id", "list_id", "id", "score", "rank", "source", "variable", "dataset", "is_summary", boosted.alias("_boost"))
+    fused = rrf_fuse(flagged, weights)
+    summary_last = F.when(F.col("_boost") & F.col("is_summary"), 1).otherwise(0)
+    fused = fused.withColumn("_fused", F.row_number().over(Window.partitionBy("query_id").orderBy(summary_last, F.desc("rrf"), "id"))).drop("rrf", "_boost")
+    filled = min_source_backfill(diversity_quota(fused, per_source, per_pair, "_fused"), fused, sources, "_fused")
+    filled = filled.withColumn("_step", F.col("backfilled").cast("int")).drop("backfilled")
+    others = lists.groupBy("query_id", "id").agg(*(F.min_by(c, F.struct("list_id", "rank")).alias(c) for c in ("score", "source", "variable", "dataset", "is_summary"))).withColumns({"_fused": F.lit(None).cast("int"), "_step": F.lit(2)})
+    whole = min_source_backfill(filled, others, guaranteed).drop("backfilled")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_step", F.desc("score"), F.coalesce("_fused", F.lit(0)), "id"))
+    return whole.withColumn("place", place).select("query_id", "id", "score", "source", "variable", "dataset", "is_summary", "place")
+
+
+def mmr(hits: DataFrame, take: int, balance: float = 0.55, source: str = "source", dataset: str = "dataset", variable: str = "variable", order: str | None = None) -> DataFrame:
     """Maximal marginal relevance per query on a bounded candidate list: adds mmr_rank from 1.
 
     Likeness of two hits is 0.5 for the same source, 0.3 for the same dataset and 0.2 for the same variable. Where a query has no more than `take` hits they keep
-    their order. Candidates come best first (ties by id) and the first of equally good ones is taken.
+    their order. Candidates come by `order`, else best first (ties by id), and the first of equally good ones is taken.
     """
 
     def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        by = [order] if order else ["score", "id"]
+        frame = frame.sort_values(by, ascending=[True] if order else [False, True], kind="stable").reset_index(drop=True)
         if len(frame) <= take:
             return frame.assign(mmr_rank=np.arange(1, len(frame) + 1, dtype=np.int32))
         keys = [pd.factorize(frame[c], use_na_sentinel=False)[0] for c in (source, dataset, variable)]

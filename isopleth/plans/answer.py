@@ -19,42 +19,84 @@ def search(questions: DataFrame, chunks: DataFrame, top_k: int = 10, embed: mode
     return kept.select("query_id", "id", "score", "source", "variable", F.col("mmr_rank").alias("rank")).join(questions, "query_id")
 
 
-def search_all(questions: DataFrame, chunks: DataFrame, variants: DataFrame | None = None, top_k: int = 10, sources: int = 4, embed: models.Embed = models.hashed_embedding, rerank: models.Rerank | None = models.lexical_overlap) -> DataFrame:
-    """The whole plan: query_id, id, score, source, variable, rank.
+#: Lists of a search: the question's own, the same by dataset, up to 98 wordings, then topics.
+OWN, GROUPED, VARIANT, TOPIC = 0, 1, 2, 100
+WEIGHTS = {OWN: 1.0, GROUPED: 1.0, **{n: 0.6 for n in range(VARIANT, TOPIC)}, **{n: 0.9 for n in range(TOPIC, TOPIC + 20)}}
+KEEP = ["source", "variable", "dataset", "is_summary"]
 
-    1. The question, its variants (query_id, n, text) and a text per topic where it has several are searched at once.
-    2. Their ranked lists are fused, the question's own list with full weight, variants with 0.6, topics with 0.9.
-    3. Quotas by source and variable; sources are filled up; data go before summaries.
-    4. The best are put in order again by a model that reads question and chunk together, where one is given.
-    5. Marginal relevance picks the last list.
+
+def ranked_lists(questions: DataFrame, chunks: DataFrame, variants: DataFrame | None = None, embed: models.Embed = models.hashed_embedding) -> DataFrame:
+    """The ranked lists of each question: query_id, list_id, id, score, rank, KEEP, topics (how many the question has).
+
+    60 hits of the question, the same grouped by dataset (two of each of the best fifteen), 20 of each other wording
+    and, where there are several, of each topic. All are searched at once.
     """
-    own = questions.select("query_id", F.lit(0).alias("list_id"), F.col("question").alias("text"))
-    topics = questions.select("query_id", F.posexplode(descriptions.topic_queries(texts.topics(F.col("question")))).alias("n", "text")).select("query_id", (100 + F.col("n")).alias("list_id"), "text")
+    found = texts.topics(F.col("question"))
+    own = questions.select("query_id", F.lit(OWN).alias("list_id"), F.col("question").alias("text"))
+    topics = questions.select("query_id", F.posexplode(descriptions.topic_queries(found)).alias("n", "text")).select("query_id", (TOPIC + F.col("n")).alias("list_id"), "text")
     asked = own.unionByName(topics)
     if variants is not None:
-        asked = asked.unionByName(variants.select("query_id", F.col("n").cast("int").alias("list_id"), "text"))
+        asked = asked.unionByName(variants.select("query_id", (F.col("n") + VARIANT - 1).cast("int").alias("list_id"), "text"))
     # a search has a number of its own, and its list is told apart again afterwards
     asked = asked.withColumn("search", F.concat_ws(":", F.col("query_id").cast("string"), F.col("list_id").cast("string"))).withColumn("embedding", models.embedded(F.col("text"), embed))
-    keep = ["source", "variable", "dataset", "is_summary"]
-    hits = retrieve.knn(asked, chunks, 60, keep, query_id="search").withColumnRenamed("query_id", "search")
-    lists = hits.join(asked.select("search", "query_id", "list_id"), "search").drop("search")
-    weights = {0: 1.0, **{n: 0.6 for n in range(1, 100)}, **{n: 0.9 for n in range(100, 120)}}
-    fused = retrieve.rrf_fuse(lists, weights).drop("rrf")
-    kept = retrieve.diversity_quota(fused)
-    filled = retrieve.min_source_backfill(kept, fused, sources).drop("backfilled")
-    boosted = retrieve.data_boost(filled).where(F.col("place") <= 5 * top_k)
+    hits = retrieve.knn(asked, chunks, 60, KEEP, query_id="search").withColumnRenamed("query_id", "search")
+    lists = hits.join(asked.select("search", "query_id", "list_id"), "search").drop("search").where((F.col("list_id") == OWN) | (F.col("rank") <= 20))
+    grouped = retrieve.grouped_list(lists.where(F.col("list_id") == OWN)).withColumn("list_id", F.lit(GROUPED))
+    return lists.unionByName(grouped).join(questions.select("query_id", F.size(found).alias("topics")), "query_id")
+
+
+def search_all(questions: DataFrame, chunks: DataFrame, variants: DataFrame | None = None, top_k: int = 10, embed: models.Embed = models.hashed_embedding, rerank: models.Rerank | None = None) -> DataFrame:
+    """The whole plan: query_id, id, score, source, variable, rank.
+
+    1. The question, its variants (query_id, n, text) and a text per topic where it has several are searched at once.
+    2. Their lists are fused, the question's own ones with full weight, variants with 0.6, topics with 0.9.
+    3. Where there are several topics data go before summaries; quotas by source and variable; sources are filled up to four,
+       and at least three are guaranteed (see retrieve.chosen_order).
+    4. The best are put in order again by a model that reads question and chunk together, where one is given.
+    5. Marginal relevance picks the last list.
+    """
+    lists = ranked_lists(questions, chunks, variants, embed)
+    chosen = retrieve.chosen_order(lists, WEIGHTS, F.col("topics") > 1)
     if rerank:
-        read = boosted.join(chunks.select("id", "text"), "id").join(questions, "query_id")
+        read = chosen.where(F.col("place") <= 5 * top_k).join(chunks.select("id", "text"), "id").join(questions, "query_id")
         read = read.withColumn("again", models.reranked(F.col("question"), F.col("text"), rerank)).drop("text", "question")
         order = Window.partitionBy("query_id").orderBy(F.desc("again"), "place")
-        boosted = read.withColumn("place", F.row_number().over(order)).drop("again")
-    picked = retrieve.mmr(boosted.where(F.col("place") <= 3 * top_k).drop("place"), 2 * top_k).where(F.col("mmr_rank") <= top_k)
+        chosen = read.withColumn("place", F.row_number().over(order)).drop("again").where(F.col("place") <= 3 * top_k)
+    picked = retrieve.mmr(chosen, 2 * top_k, order="place").where(F.col("mmr_rank") <= top_k)
     return picked.select("query_id", "id", "score", "source", "variable", F.col("mmr_rank").alias("rank"))
 
 
+def rewritten(found: DataFrame, questions: DataFrame, chunks: DataFrame, generate: models.Generate) -> DataFrame:
+    """query_id, question: other words for weak questions whose first five chunks a model finds insufficient.
+
+    A wording of up to ten characters, or the question itself again, is none; without an answer nothing is asked again.
+    """
+    shown = found.where(F.col("rank") <= 5).join(chunks.select("id", "text"), "id")
+    line = F.concat(F.lit("- "), "source", F.lit("/"), "variable", F.lit(": "), F.left("text", F.lit(120)))
+    listed = shown.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    weak = weak_questions(found).select("query_id").join(questions, "query_id").join(listed, "query_id")
+    grade = F.udf(lambda q, lines: generate(f"Question: {q}\nRetrieved:\n{lines}\nIs this sufficient or insufficient to answer it? Answer in one word."), "string")
+    ask = F.udf(lambda q: generate(f"This search found nothing of use:\n{q}\nWrite one better search, with names of variables and datasets, and nothing else."), "string")
+    bad = weak.where(F.lower(grade("question", "lines")).contains("insufficient"))
+    new = bad.withColumn("new", F.trim(F.lit("\"' \n"), ask("question")))
+    return new.where((F.char_length("new") > 10) & (F.lower("new") != F.lower("question"))).select("query_id", F.col("new").alias("question"))
+
+
+def search_with_retry(questions: DataFrame, chunks: DataFrame, generate: models.Generate, variants: DataFrame | None = None, top_k: int = 10, embed: models.Embed = models.hashed_embedding, rerank: models.Rerank = models.lexical_overlap) -> DataFrame:
+    """search_all, and for weak questions once more in other words: of 40 hits the first 30 are read again by a model, and
+    those that it gives 0.1 or more join the list, if their source and variable are new."""
+    found = search_all(questions, chunks, variants, top_k, embed)
+    again = rewritten(found, questions, chunks, generate)
+    hits = retrieve.knn(again.withColumn("embedding", models.embedded(F.col("question"), embed)), chunks, 40, ["source", "variable"]).where(F.col("rank") <= 30)
+    read = hits.join(chunks.select("id", "text"), "id").join(again, "query_id").withColumn("score", models.reranked(F.col("question"), F.col("text"), rerank)).where(F.col("score") >= 0.1)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    return with_retry(found, read.withColumn("rank", F.row_number().over(order)).select(*found.columns))
+
+
 def with_retry(found: DataFrame, again: DataFrame) -> DataFrame:
-    """found, and of a second search only hits whose (source, variable) the first lacks, ranked behind it."""
-    new = again.join(found.select("query_id", "source", "variable").distinct(), ["query_id", "source", "variable"], "left_anti")
+    """found, and of a second search the first hit of each (source, variable) that the first lacks, ranked behind it."""
+    pair = ["query_id", "source", "variable"]
+    new = again.join(found.select(*pair).distinct(), pair, "left_anti").withColumn("p", F.row_number().over(Window.partitionBy(*pair).orderBy("rank", "id"))).where("p = 1")
     last = found.groupBy("query_id").agg(F.max("rank").alias("last"))
     placed = new.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).join(last, "query_id", "left")
     return found.unionByName(placed.withColumn("rank", (F.coalesce("last", F.lit(0)) + F.col("r")).cast("int")).select(*found.columns))
@@ -84,8 +126,8 @@ def plain_answers(found: DataFrame, chunks: DataFrame, most: int = 5) -> DataFra
 
 
 def weak_questions(found: DataFrame, least: int = 3, score: float = 0.2) -> DataFrame:
-    """Questions whose answer rests on too few or too distant chunks, to be asked again in other words."""
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best")).where((F.col("n") < least) | (F.col("best") < score))
+    """Questions whose answer rests on too few chunks or a first one that is too distant, to be asked again in other words."""
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min_by("score", "rank").alias("best")).where((F.col("n") < least) | (F.col("best") < score))
 
 
 def _asked(spark, sf_dir):

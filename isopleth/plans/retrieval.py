@@ -194,3 +194,44 @@ SELECT label, round(avg(v) FILTER (WHERE own), 6) AS intra, round(avg(v) FILTER
 def intra_inter_similarity(spark, sf_dir):
     """Mean similarity within labels and to other labels, without forming pairs."""
     return evaluate.group_similarity(_points(spark, sf_dir), "label")
+
+
+SEARCH = """WITH near AS (SELECT q.vec_id AS query_id, l.list_id, p.vec_id AS id, p.label, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings q CROSS JOIN (VALUES (0, 0), (2, 1), (100, 2), (101, 3)) l(list_id, ahead) JOIN embeddings a ON a.vec_id = q.vec_id + l.ahead CROSS JOIN embeddings p WHERE q.vec_id % 50 = 0 AND (l.list_id < 100 OR q.label % 2 = 0)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, list_id ORDER BY score DESC, id) AS rank FROM near),
+plain AS (SELECT query_id, list_id, id, score, rank, 's' || label AS source, 'v' || (id % 3) AS variable, 'd' || (id % 7) AS dataset, id % 11 = 0 AS is_summary FROM placed WHERE rank <= CASE list_id WHEN 0 THEN 60 ELSE 20 END),
+twos AS (SELECT *, row_number() OVER (PARTITION BY query_id, dataset ORDER BY rank) AS n, max(score) OVER (PARTITION BY query_id, dataset) AS best, min(rank) OVER (PARTITION BY query_id, dataset) AS first FROM plain WHERE list_id = 0),
+grouped AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY best DESC, first) AS g FROM twos WHERE n <= 2),
+lists AS (SELECT * FROM plain UNION ALL SELECT query_id, 1, id, score, row_number() OVER (PARTITION BY query_id ORDER BY g, n), source, variable, dataset, is_summary FROM grouped WHERE g <= 15),
+summed AS (SELECT query_id, id, round(sum(CAST(CASE WHEN list_id < 2 THEN 1.0 WHEN list_id < 100 THEN 0.6 ELSE 0.9 END AS DOUBLE) / (60 + rank)), 9) AS rrf, arg_min(score, list_id) AS score, any_value(source) AS source, any_value(variable) AS variable, any_value(dataset) AS dataset, bool_or(is_summary) AS is_summary, max(list_id) >= 100 AS boosted FROM lists GROUP BY 1, 2),
+boost AS (SELECT query_id, bool_or(list_id >= 100) AS boosted FROM lists GROUP BY 1),
+best AS (SELECT *, max(rrf) OVER (PARTITION BY query_id) AS top FROM summed),
+fused AS (SELECT f.* EXCLUDE (boosted), row_number() OVER (PARTITION BY f.query_id ORDER BY CASE WHEN b.boosted AND is_summary THEN 1 ELSE 0 END, rrf DESC, id) AS fused FROM best f JOIN boost b ON b.query_id = f.query_id WHERE rrf >= 0.4 * top),
+pairs AS (SELECT *, row_number() OVER (PARTITION BY query_id, source, variable, is_summary ORDER BY score DESC, fused) AS p FROM fused),
+quota AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, fused) AS s FROM pairs WHERE is_summary OR p <= 2),
+chosen AS (SELECT query_id, id, score, source, variable, dataset, is_summary, fused, 0 AS step FROM quota WHERE s <= 3),
+missing AS (SELECT f.*, row_number() OVER (PARTITION BY f.query_id, f.source ORDER BY score DESC, fused) AS r FROM fused f WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = f.query_id AND c.source = f.source)),
+filler AS (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY score DESC, fused) + (SELECT count(DISTINCT c.source) FROM chosen c WHERE c.query_id = m.query_id) AS n FROM missing m WHERE r = 1),
+filled AS (SELECT * FROM chosen UNION ALL SELECT query_id, id, score, source, variable, dataset, is_summary, fused, 1 FROM filler WHERE n <= 4),
+every AS (SELECT query_id, id, arg_min(score, list_id * 1000 + rank) AS score, any_value(source) AS source, any_value(variable) AS variable, any_value(dataset) AS dataset, bool_or(is_summary) AS is_summary FROM lists GROUP BY 1, 2),
+lacking AS (SELECT e.*, row_number() OVER (PARTITION BY e.query_id, e.source ORDER BY score DESC, id) AS r FROM every e WHERE NOT EXISTS (SELECT 1 FROM filled c WHERE c.query_id = e.query_id AND c.source = e.source)),
+last AS (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY score DESC, id) + (SELECT count(DISTINCT c.source) FROM filled c WHERE c.query_id = m.query_id) AS n FROM lacking m WHERE r = 1),
+whole AS (SELECT * FROM filled UNION ALL SELECT query_id, id, score, source, variable, dataset, is_summary, 0, 2 FROM last WHERE n <= 3)
+SELECT query_id, id, score, source, variable, dataset, is_summary, CAST(row_number() OVER (PARTITION BY query_id ORDER BY step, score DESC, fused, id) AS INTEGER) AS place FROM whole"""
+
+
+@register("search_ranking", SEARCH)
+def search_ranking(spark, sf_dir):
+    """A search's ranked lists fused, boosted, bounded by quotas and filled up, in order.
+
+    A vector's neighbours by id stand for other wordings (the next one) and topics (the two after it, where its label is even).
+    """
+    points = _points(spark, sf_dir)
+    asked = points.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label", F.explode(F.array(*(F.struct(F.lit(n).alias("list_id"), F.lit(a).alias("ahead")) for n, a in ((0, 0), (2, 1), (100, 2), (101, 3))))).alias("l"))
+    asked = asked.select("query_id", F.col("l.list_id").alias("list_id"), (F.col("query_id") + F.col("l.ahead")).alias("id"), (F.col("label") % 2 == 0).alias("several")).where("list_id < 100 or several")
+    searches = asked.join(points.select("id", "embedding"), "id").withColumn("search", F.concat_ws(":", "query_id", "list_id"))
+    hits = retrieve.knn(searches, points, 60, KEEP, query_id="search").withColumnRenamed("query_id", "search").join(searches.select("search", "query_id", "list_id", "several"), "search")
+    lists = hits.where("list_id = 0 or rank <= 20").select("query_id", "list_id", "id", "score", "rank", F.concat(F.lit("s"), "label").alias("source"), F.concat(F.lit("v"), F.col("id") % 3).alias("variable"), F.concat(F.lit("d"), F.col("id") % 7).alias("dataset"), (F.col("id") % 11 == 0).alias("is_summary"), "several")
+    grouped = retrieve.grouped_list(lists.where("list_id = 0")).withColumn("list_id", F.lit(1))
+    weights = {0: 1.0, 1: 1.0, 2: 0.6, 100: 0.9, 101: 0.9}
+    return retrieve.chosen_order(lists.unionByName(grouped), weights, F.col("several"))
