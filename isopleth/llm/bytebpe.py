@@ -1,26 +1,24 @@
 """Byte-level BPE: encoding by a fold of ranked merges in Spark's higher-order functions, decoding by joined pieces.
 
-The plan is narrow, one stage without a shuffle. A first step cuts texts into words and passes on, with each document,
-the numbers of its words and the words that its task has not met before; higher-order functions fold the merges over
-the bytes of those words, with the ranks as a literal map; a last step joins the ids of each document's words. Spark
-runs the three steps of a partition in one task, one after the other on the same rows, so the last step knows all words
-of a row when it comes; the row also says how many words were known before it, and a mismatch ends the task.
+Texts are cut into words, and each different word of all texts is folded once: higher-order functions merge its bytes'
+pieces, with the ranks as a literal map. Words and their ids travel in packed rows, a row per part of the documents and
+bucket of words, so Spark moves few rows. Within a bucket the steps before and after the fold run in one task, one after
+the other on the same rows; a row says how many words were known before it, and a mismatch ends the task.
 """
 
 import base64
 import hashlib
 import json
-from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import Rows, text_or_empty
-from isopleth.llm.tokens import by_size
+from isopleth.llm.common import Rows, filesystem, new_folder, shuffle_partitions, text_or_empty
 
 #: Places of the literal rank map, each a small map of the pairs whose hash falls in it.
 BUCKETS = 16384
@@ -126,11 +124,13 @@ def fold_long(word: Column, ranks: Column) -> Column:
 
     def beside(pieces: Column, best: Column) -> Column:
         """The pairs at the places of a piece."""
-        between = F.split(pieces, F.concat(F.lit("\\Q"), best, F.lit("\\E")), -1)
-        inner = F.size(between)
-        left = F.transform(F.slice(between, F.lit(1), inner - 1), lambda x: F.when(x != "", F.concat(F.right(x, F.lit(1)), best)).otherwise(F.concat(best, best)))
-        right = F.transform(F.slice(between, F.lit(2), inner - 1), lambda x: F.when(x != "", F.concat(best, F.left(x, F.lit(1)))).otherwise(F.concat(best, best)))
-        return known(F.concat(left, right))
+
+        def ends(between: Column) -> Column:
+            left = F.transform(F.slice(between, F.lit(1), F.size(between) - 1), lambda x: F.when(x != "", F.concat(F.right(x, F.lit(1)), best)).otherwise(F.concat(best, best)))
+            right = F.transform(F.slice(between, F.lit(2), F.size(between) - 1), lambda x: F.when(x != "", F.concat(best, F.left(x, F.lit(1)))).otherwise(F.concat(best, best)))
+            return F.array_distinct(F.concat(left, right))
+
+        return known(let(F.split(pieces, F.concat(F.lit("\\Q"), best, F.lit("\\E")), -1), ends))
 
     def state(pieces: Column, pairs: Column) -> Column:
         return F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
@@ -171,71 +171,155 @@ class Numbers(dict):
         return number
 
 
-ROWS = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("numbers", pa.binary()), ("new", pa.list_(pa.string()))])
+_CUT = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("id", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("words", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary())])
+_CUT_DDL = "part long, bucket int, id long, low binary, high binary, words binary, lengths binary, numbers binary"
+_NEW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("places", pa.binary()), ("at", pa.int64()), ("new", pa.list_(pa.string()))])
+_IDS = pa.schema([("part", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, remembered: int = 500_000, together: int = 2) -> DataFrame:
-    """One row per document: finish(id, number of ids, ids as decimal numbers joined by commas, decoded bytes) of whole texts.
+def _split(raw: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    Up to `together` partitions of docs are read by one task, as long as every core has one: the more text a task reads,
-    the fewer words are folded twice. `remembered` bounds the words that a task keeps: where a document would pass it, both Python steps forget all of
-    them before that document (`at` is 0 then). Row order within a task is that of the input, and a task that runs
-    again gives the same rows.
+
+def cut_words(docs: DataFrame, pattern: str, buckets: int, part_docs: int, part_chars: int, part_words: int) -> DataFrame:
+    """Texts (id, text) as numbers of words, per part of the documents, and each part's different words by bucket.
+
+    A part is a run of a partition's documents. Words are numbered as they come, so frequent ones have small numbers; a
+    document's numbers are kept as their lower sixteen bits and the rest. A part always has a row of words.
     """
     words = regex.compile(pattern).findall
-    marks = marks_of(read_ranks(ranks_path))
-    singles = {b: marks[bytes([b])] for b in range(256)}
 
-    def new_words(batches):
-        known = Numbers()
+    def close(part: int, known: Numbers):
+        strings = [w.encode() for w in known]
+        number = np.fromiter((xxhash.xxh32_intdigest(w) for w in strings), np.int64, len(strings)) % buckets
+        order = np.argsort(number, kind="stable")
+        bounds = np.searchsorted(number[order], np.arange(buckets + 1))
+        for bucket in range(buckets):
+            own = order[bounds[bucket] : bounds[bucket + 1]]
+            if len(own) or bucket == part % buckets:
+                some = [strings[i] for i in own.tolist()]
+                yield part, bucket, None, None, None, b"".join(some), np.fromiter(map(len, some), "<u4", len(some)).tobytes(), own.astype("<u4").tobytes()
+
+    def run(batches):
+        part, known, n_docs, size, rows = TaskContext.get().partitionId() << 32, Numbers(), 0, 0, Rows(_CUT, 1000)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for some in by_size(texts.to_pylist()):
-                out = []
-                for key, text in zip(keys[some], texts.slice(some.start, some.stop - some.start).to_pylist()):
-                    found = words(text)
-                    if len(known) > remembered:
-                        known = Numbers()
-                    at = len(known)
-                    numbers = array("i", map(known.__getitem__, found))
-                    new = []
-                    if len(known) > at:
-                        order = np.frombuffer(numbers, np.int32)
-                        fresh, first = np.unique(order, return_index=True)
-                        # a word that is a piece is that piece
-                        raw = [found[i].encode() for i in first[fresh >= at].tolist()]
-                        new = [marks.get(w) or w.decode("latin-1").translate(singles) for w in raw]
-                    out.append((key, at, numbers.tobytes(), new))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), ROWS)], schema=ROWS)
+            for i, key in enumerate(keys):
+                text = texts[i].as_py()
+                order = np.fromiter(map(known.__getitem__, words(text)), np.int64)
+                rows.add(part, None, key, (order & 0xFFFF).astype("<u2").tobytes(), (order >> 16).astype("<u2").tobytes(), None, None, None)
+                n_docs, size = n_docs + 1, size + len(text)
+                if n_docs >= part_docs or size >= part_chars or len(known) >= part_words:
+                    for row in close(part, known):
+                        rows.add(*row)
+                    part, known, n_docs, size = part + 1, Numbers(), 0, 0
+                if rows.full():
+                    yield rows.take()
+        if n_docs:
+            for row in close(part, known):
+                rows.add(*row)
+        yield rows.take()
 
-    def assemble(batches):
+    return docs.mapInArrow(run, _CUT_DDL)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, part_docs: int = 16_384, part_chars: int = 32_000_000, part_words: int = 1_000_000) -> DataFrame:
+    """One row per document: finish(id, number of ids, ids as decimal numbers joined by commas, decoded bytes) of whole texts.
+
+    Texts are cut into parts of numbered words, which are written; each different word of all parts comes to one bucket,
+    is folded there once, and its ids go back to the parts that have it, where each document's words are joined. Memory is a part's or a bucket's
+    different words. There are as many buckets as shuffle partitions.
+    """
+    spark, marks = docs.sparkSession, marks_of(read_ranks(ranks_path))
+    buckets = shuffle_partitions(spark)
+    singles = {b: marks[bytes([b])] for b in range(256)}
+    kind = "<u2" if max(read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
+    path = new_folder(spark, "words")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    cut_words(texts, pattern, buckets, part_docs, part_chars, part_words).write.option("compression", "zstd").partitionBy("part").parquet(path)
+
+    def gather(batches):
+        """Of each part's words those that the bucket has not met before, and the place of each among the bucket's."""
+        known, current = Numbers(), None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["bucket"] != current:
+                    known, current = Numbers(), row["bucket"]
+                words, at = _split(row["words"], np.frombuffer(row["lengths"], "<u4")), len(known)
+                # a word that is a piece is that piece; a part has no word twice
+                new = [marks.get(w) or w.decode("latin-1").translate(singles) for w in words if w not in known]
+                places = np.fromiter(map(known.__getitem__, words), "<u4", len(words))
+                out.append((row["part"], row["bucket"], row["numbers"], places.tobytes(), at, new))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _NEW)] if out else [pa.array([], f.type) for f in _NEW], schema=_NEW)
+
+    def give_back(batches):
+        """The ids of each part's words; rows come in the order in which gather met them."""
         ranks = read_ranks(ranks_path)
-        marks = marks_of(ranks)
-        piece_of, name_of = {m: piece for piece, m in marks.items()}, {m: str(ranks[piece]) for piece, m in marks.items()}
-        counts, names, pieces, rows = array("q"), [], [], Rows(schema, 500)
+        rank_of, current, ids = {m: ranks[piece] for piece, m in marks_of(ranks).items()}, None, []
         for batch in batches:
-            for key, at, numbers, new in zip(*(batch.column(c).to_pylist() for c in ("id", "at", "numbers", "new"))):
-                if at == 0:
-                    counts, names, pieces = array("q"), [], []
-                if at != len(names):
-                    raise ValueError("rows did not come in the order in which their words were numbered")
-                counts.extend(map(len, new))
-                names += [",".join(map(name_of.__getitem__, w)) for w in new]
-                pieces += [b"".join(map(piece_of.__getitem__, w)) for w in new]
-                order = np.frombuffer(numbers, np.int32)
+            rows = Rows(_IDS, 1 << 30)
+            for row in batch.to_pylist():
+                if row["bucket"] != current:
+                    ids, current = [], row["bucket"]
+                if row["at"] != len(ids):
+                    raise ValueError("rows did not come in the order in which their words were met")
+                ids += [np.fromiter(map(rank_of.__getitem__, w), kind, len(w)).tobytes() for w in row["new"]]
+                own = [ids[i] for i in np.frombuffer(row["places"], "<u4").tolist()]
+                rows.add(row["part"], row["numbers"], np.fromiter(map(len, own), "<u4", len(own)).tobytes(), b"".join(own))
+            yield rows.take()
+
+    def assemble(batches):
+        piece_of = {rank: piece for piece, rank in read_ranks(ranks_path).items()}
+        name_of, rows, part, held = {rank: str(rank) for rank in piece_of}, Rows(schema, 500), None, []
+
+        def close():
+            numbers = np.concatenate([np.frombuffer(r["numbers"], "<u4") for r in held]).tolist()
+            lengths = np.concatenate([np.frombuffer(r["lengths"], "<u4") for r in held]) // np.dtype(kind).itemsize
+            flat, ends = np.frombuffer(b"".join(r["ids"] for r in held), kind).tolist(), np.cumsum(lengths).tolist()
+            counts, names, pieces = np.zeros(len(numbers), np.int64), [""] * len(numbers), [b""] * len(numbers)
+            counts[numbers] = lengths
+            for number, a, b in zip(numbers, [0, *ends], ends):
+                own = flat[a:b]
+                names[number] = name_of[own[0]] if b - a == 1 else ",".join([name_of[i] for i in own])
+                pieces[number] = piece_of[own[0]] if b - a == 1 else b"".join([piece_of[i] for i in own])
+            for doc in _documents(path, part):
+                order = np.frombuffer(doc["low"], "<u2").astype(np.int64) | np.frombuffer(doc["high"], "<u2").astype(np.int64) << 16
                 own = order.tolist()
-                total = int(np.frombuffer(counts, np.int64)[order].sum()) if own else 0
-                rows.add(*finish(key, total, ",".join(map(names.__getitem__, own)), b"".join(map(pieces.__getitem__, own))))
+                rows.add(*finish(doc["id"], int(counts[order].sum()), ",".join(map(names.__getitem__, own)), b"".join(map(pieces.__getitem__, own))))
                 if rows.full():
                     yield rows.take()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    if held:
+                        yield from close()
+                    part, held = row["part"], []
+                held.append(row)
+        if held:
+            yield from close()
         yield rows.take()
 
     literal = rank_literal(read_ranks(ranks_path))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    rows = rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // together))
-    first = rows.mapInArrow(new_words, "id long, at long, numbers binary, new array<string>")
-    folded = first.select("id", "at", "numbers", F.transform("new", lambda w: F.when(F.length(w) < LONG, fold_merges(w, literal)).otherwise(fold_long(w, literal))).alias("new"))
-    return folded.mapInArrow(assemble, ddl)
+    words = spark.read.schema(_CUT_DDL).parquet(path).where("bucket is not null").select("part", "bucket", "words", "lengths", "numbers")
+    met = words.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "part").mapInArrow(gather, "part long, bucket int, numbers binary, places binary, at long, new array<string>")
+    folded = met.select("part", "bucket", "numbers", "places", "at", F.transform("new", lambda w: F.when(F.length(w) < LONG, fold_merges(w, literal)).otherwise(fold_long(w, literal))).alias("new"))
+    back = folded.mapInArrow(give_back, "part long, numbers binary, lengths binary, ids binary")
+    return back.repartitionById(buckets, F.expr(f"cast(pmod(shiftright(part, 32), {buckets}) as int)")).sortWithinPartitions("part").mapInArrow(assemble, ddl)
+
+
+def _documents(path: str, part: int):
+    """The documents of a part, as cut_words wrote them."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, plain = filesystem(path)
+    for info in system.get_file_info(fs.FileSelector(f"{plain}/part={part}")):
+        if info.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(info.path, filesystem=system).iter_batches(500, columns=["bucket", "id", "low", "high"]):
+                yield from (row for row in batch.to_pylist() if row["bucket"] is None)
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -70,10 +70,10 @@ def test_documents(spark):
         assert found[r.doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
-def test_forgetting(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+def test_parts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
     finish = lambda key, total, ids, decoded: (key, total)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64())])
-    runs = [{tuple(r) for r in bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN, finish, "doc_id long, n long", schema, remembered=n).collect()} for n in (300, 400_000)]
-    assert runs[0] == runs[1]
+    runs = [sorted(tuple(r) for r in bytebpe.encode(docs, RANKS, public_tokenizers.PATTERN, finish, "doc_id long, n long", schema, *sizes).collect()) for sizes in ((3, 10**6, 10**6), (10**6, 5000, 10**6), (10**6, 10**9, 300), ())]
+    assert runs[0] == runs[1] == runs[2] == runs[3] and len(runs[0]) == docs.count()
