@@ -302,10 +302,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
             yield from close()
         yield rows.take()
 
-    literal = rank_literal(read_ranks(ranks_path))
+    literal = rank_literal(read_ranks(ranks_path))  # bound to a variable, so the plan has it once
     words = spark.read.schema(_CUT_DDL).parquet(path).where("bucket is not null").select("part", "bucket", "words", "lengths", "numbers")
     met = words.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "part").mapInArrow(gather, "part long, bucket int, numbers binary, places binary, at long, new array<string>")
-    folded = met.select("part", "bucket", "numbers", "places", "at", F.transform("new", lambda w: F.when(F.length(w) < LONG, fold_merges(w, literal)).otherwise(fold_long(w, literal))).alias("new"))
+    folded = met.select("part", "bucket", "numbers", "places", "at", let(literal, lambda ranks: F.transform("new", lambda w: F.when(F.length(w) < LONG, fold_merges(w, ranks)).otherwise(fold_long(w, ranks)))).alias("new"))
     back = folded.mapInArrow(give_back, "part long, numbers binary, lengths binary, ids binary")
     return back.repartitionById(buckets, F.expr(f"cast(pmod(shiftright(part, 32), {buckets}) as int)")).sortWithinPartitions("part").mapInArrow(assemble, ddl)
 
