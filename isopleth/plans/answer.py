@@ -78,7 +78,7 @@ def rewritten(found: DataFrame, questions: DataFrame, chunks: DataFrame, generat
     grade = F.udf(lambda q, lines: generate(f"Question: {q}\nRetrieved:\n{lines}\nIs this sufficient or insufficient to answer it? Answer in one word."), "string")
     ask = F.udf(lambda q: generate(f"This search found nothing of use:\n{q}\nWrite one better search, with names of variables and datasets, and nothing else."), "string")
     bad = weak.where(F.lower(grade("question", "lines")).contains("insufficient"))
-    new = bad.withColumn("new", F.trim(F.lit("\"' \n"), ask("question")))
+    new = bad.withColumn("new", F.trim(ask("question"), F.lit("\"' \n")))
     return new.where((F.char_length("new") > 10) & (F.lower("new") != F.lower("question"))).select("query_id", F.col("new").alias("question"))
 
 

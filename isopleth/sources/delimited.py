@@ -11,7 +11,7 @@ from isopleth.operators.summarize import chunk_stats8
 # Tokens that mean a missing value, besides the empty one.
 MISSING = ["mq", "MQ", "Mq", "/", "---", "--", "NULL", "null", "n/a", "N/A", "NaN", "nan", "NA"]
 # Chunk and sample sizes.
-BLOCK_ROWS, SAMPLE_ROWS, STATIONS = 10_000, 100, 100
+BLOCK_ROWS, SAMPLE_ROWS, STATIONS, LISTED = 10_000, 100, 100, 10
 TIME_FORMATS = ["yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd"]
 
 
@@ -123,11 +123,33 @@ def _long(rows: DataFrame, columns: list[str], name: str, value: str) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(c).alias(name), F.col(c).cast("string").alias(value)) for c in columns)))
 
 
+def series_metadata(rows: DataFrame, columns: list[str], most: int = LISTED) -> DataFrame:
+    """What each file's text columns say about its series: _file, metadata (names and texts).
+
+    A column of one value gives that value; one of up to `most` gives `<column>_all`, the values in file order as JSON, and
+    `<column>_count`; one of more gives nothing. Columns of far more values are left out before values are counted.
+    """
+    guess = rows.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+    files = rows.select("_file").distinct()
+    named = files.select("_file", F.explode(F.array(*map(F.lit, columns))).alias("name"))
+    likely = rows.select("_file", "_row", _long(rows, columns, "name", "value").alias("x")).select("_file", "_row", "x.*").where("value is not null")
+    per_file = likely.groupBy("_file", "name").agg(F.approx_count_distinct("value").alias("guess")).where(F.col("guess") <= 2 * most + 2) if max(guess) > most else likely.select("_file", "name").distinct()
+    large = likely.select("_file", "name").distinct().join(per_file, ["_file", "name"], "left_anti")
+    values = likely.join(per_file.select("_file", "name"), ["_file", "name"]).groupBy("_file", "name", "value").agg(F.min("_row").alias("first"))
+    listed = values.groupBy("_file", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias("v"))
+    known = named.join(large, ["_file", "name"], "left_anti").join(listed, ["_file", "name"], "left").withColumn("v", F.coalesce("v", F.array().cast("array<string>"))).where(F.size("v") <= most)
+    entry = lambda key, value: F.struct(key.alias("key"), value.alias("value"))
+    several = F.array(entry(F.concat("name", F.lit("_all")), F.to_json("v")), entry(F.concat("name", F.lit("_count")), F.size("v").cast("string")))
+    entries = known.select("_file", F.explode(F.when(F.size("v") == 1, F.array(entry(F.col("name"), F.get("v", F.lit(0))))).otherwise(several)).alias("e"))
+    return entries.groupBy("_file").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("metadata"))
+
+
 def chunks(rows: DataFrame) -> DataFrame:
-    """Chunk statistics of a delimited file: file, variable, station_col, station, block, time_start, time_end and the eight statistics.
+    """Chunk statistics of a delimited file: file, variable, station_col, station, block, time_start, time_end, the eight statistics and metadata.
 
     With a time column there is a chunk per variable and station, or per variable where no column has from two to a hundred
-    values; without one, a chunk per variable and 10,000 rows. A file without numbers gives no chunks.
+    values; without one, a chunk per variable and 10,000 rows. A series without stations carries what the text columns say
+    (see series_metadata). A file without numbers gives no chunks.
     """
     kinds = classify(rows)
     of = lambda kind: [c for c, k in kinds.items() if k == kind]
@@ -149,4 +171,7 @@ def chunks(rows: DataFrame) -> DataFrame:
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     spans = long.where("v is not null").groupBy(*keys).agg(F.min_by("t", "_row").alias("time_start"), F.max_by("t", "_row").alias("time_end"))
     found = chunk_stats8(long, keys, "v").alias("a").join(spans.alias("b"), same)
-    return found.select("a.*", "b.time_start", "b.time_end")
+    found = found.select("a.*", "b.time_start", "b.time_end")
+    if not (times and others and not stations):
+        return found.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    return found.join(series_metadata(rows, others), "_file", "left")

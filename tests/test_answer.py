@@ -29,5 +29,37 @@ def test_plan(spark):
     assert found.withColumn("s", models.reranked(F.col("question"), F.col("variable"))).where("query_id = 2 and rank = 1").first().s == 0.5
 
 
+def test_weak_questions_are_asked_again(spark):
+    words = ["drought", "rain", "wind", "heat"]
+    rows = [(i, f"{words[i % 4]} statistics of station {i}", f"s{i % 3}", words[i % 4], f"d{i % 2}", False) for i in range(24)]
+    chunks = spark.createDataFrame(rows, "id long, text string, source string, variable string, dataset string, is_summary boolean").withColumn("embedding", models.embedded(F.col("text")))
+    questions = spark.createDataFrame([(1, "wind statistics"), (2, "zebra"), (3, "quagga"), (4, "okapi")], "query_id long, question string")
+
+    def generate(prompt):
+        if "in one word" in prompt:
+            return None if "okapi" in prompt else "Insufficient."
+        return '"heat statistics station"' if "zebra" in prompt else "Quagga"
+
+    found = answer.search_all(questions, chunks, top_k=4)
+    assert {r.query_id for r in answer.weak_questions(found).collect()} == {2, 3, 4}
+    asked = answer.rewritten(found, questions, chunks, generate).collect()
+    assert [tuple(r) for r in asked] == [(2, "heat statistics station")]
+    whole = answer.search_with_retry(questions, chunks, generate, top_k=4)
+    more = {tuple(r) for r in whole.collect()} - {tuple(r) for r in found.collect()}
+    assert more and {r[0] for r in more} == {2} and min(r[-1] for r in more) == 5 and len({(r[3], r[4]) for r in more}) == len(more)
+
+
+def test_lists_of_a_search(spark):
+    rows = [(i, f"{w} statistics of station {i}", f"s{i % 6}", w, f"d{i % 3}", i % 5 == 0) for i, w in enumerate(["drought", "rain", "wind", "heat"] * 20)]
+    chunks = spark.createDataFrame(rows, "id long, text string, source string, variable string, dataset string, is_summary boolean").withColumn("embedding", models.embedded(F.col("text")))
+    questions = spark.createDataFrame([(1, "drought and rain statistics"), (2, "wind statistics")], "query_id long, question string")
+    variants = spark.createDataFrame([(2, 1, "heat statistics station")], "query_id long, n int, text string")
+    lists = answer.ranked_lists(questions, chunks, variants)
+    sizes = {(r.query_id, r.list_id): (r.n, r.top) for r in lists.groupBy("query_id", "list_id").agg(F.count("*").alias("n"), F.max("rank").alias("top")).collect()}
+    assert sizes[1, 0] == (60, 60) and sizes[1, 1] == (6, 6) and sizes[2, 2] == (20, 20) and sizes[1, 100] == sizes[1, 101] == (20, 20) and len(sizes) == 7
+    placed = answer.retrieve.chosen_order(lists, answer.WEIGHTS, F.col("topics") > 1).orderBy("query_id", "place").collect()
+    assert [r.place for r in placed if r.query_id == 1] == list(range(1, sum(r.query_id == 1 for r in placed) + 1)) and len({r.source for r in placed if r.query_id == 2}) >= 4
+
+
 def test_registered(spark):
     assert registry.queries()["rag_search"](spark, "/root/testdata/sf0.001").count() > 0

@@ -79,6 +79,16 @@ def test_station_series(spark, tmp_path):
     assert (found["B"].mean, found["B"].time_start) == (10.2, "2020-01-03")
 
 
+def test_series_say_what_their_texts_are(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("time,v,unit,empty\n2020-01-01,1,K,\n2020-01-02,2,K,\n")
+    rows = delimited.read(spark, str(tmp_path / "one.csv"))
+    (found,) = delimited.chunks(rows).collect()
+    assert found.metadata == {"unit": "K", "empty_all": "[]", "empty_count": "0"} and found.time_end == "2020-01-02"
+    several = spark.createDataFrame([("f", i, "b" if i % 2 else "a", str(i), "x" if i == 3 else None) for i in range(40)] + [("g", i, "c", str(i % 11), None) for i in range(22)], "_file string, _row long, few string, many string, once string")
+    found = {r._file: r.metadata for r in delimited.series_metadata(several, ["few", "many", "once"]).collect()}
+    assert found == {"f": {"few_all": '["a","b"]', "few_count": "2", "once": "x"}, "g": {"few": "c", "once_all": "[]", "once_count": "0"}}
+
+
 def test_blocks_and_blanks(spark, tmp_path):
     (tmp_path / "b.txt").write_text("# note\nx  y\n1  2\n3  ---\n5  6\n")
     rows = delimited.read(spark, str(tmp_path / "b.txt"))
