@@ -9,6 +9,7 @@ the other on the same rows; a row says how many words were known before it, and
 import base64
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +192,8 @@ def cut_words(docs: DataFrame, pattern: str, buckets: int, part_docs: int, part_
     words = regex.compile(pattern).findall
 
     def close(part: int, known: Numbers):
-        strings = [w.encode() for w in known]
-        number = np.fromiter((xxhash.xxh32_intdigest(w) for w in strings), np.int64, len(strings)) % buckets
+        strings = list(map(str.encode, known))
+        number = np.fromiter(map(zlib.crc32, strings), np.int64, len(strings)) % buckets
         order = np.argsort(number, kind="stable")
         bounds = np.searchsorted(number[order], np.arange(buckets + 1))
         for bucket in range(buckets):
@@ -224,7 +225,7 @@ def cut_words(docs: DataFrame, pattern: str, buckets: int, part_docs: int, part_
     return docs.mapInArrow(run, _CUT_DDL)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, part_docs: int = 16_384, part_chars: int = 32_000_000, part_words: int = 1_000_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, schema: pa.Schema, part_docs: int = 16_384, part_chars: int = 16_000_000, part_words: int = 1_000_000) -> DataFrame:
     """One row per document: finish(id, number of ids, ids as decimal numbers joined by commas, decoded bytes) of whole texts.
 
     Texts are cut into parts of numbered words, which are written; each different word of all parts comes to one bucket,
