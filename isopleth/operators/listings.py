@@ -15,10 +15,10 @@ def with_state(entries: DataFrame, states: DataFrame) -> DataFrame:
     """Catalog entries with the ingest state of their source id, else of their dataset's name, else of the first state that names the dataset.
 
     entries: source_id, dataset_name. states: key, dataset_name, done, total, finished. Adds done, total, finished,
-    is_partial; states without both counts tell nothing.
+    is_partial; states without both counts tell nothing. Of several states of a key the furthest counts.
     """
     value = F.struct("done", "total", F.coalesce("finished", F.lit(False)).alias("finished"))
-    by_key = states.groupBy("key").agg(F.first(value).alias("s"))
+    by_key = states.groupBy("key").agg(F.max(value).alias("s"))
     by_name = states.where("dataset_name is not null").groupBy("dataset_name").agg(F.min_by(value, "key").alias("_c")).withColumnRenamed("dataset_name", "_n")
     found = entries.join(by_key.select(F.col("key").alias("_a"), F.col("s").alias("_sa")), F.col("source_id") == F.col("_a"), "left")
     found = found.join(by_key.select(F.col("key").alias("_b"), F.col("s").alias("_sb")), F.col("dataset_name") == F.col("_b"), "left")

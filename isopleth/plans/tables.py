@@ -57,7 +57,7 @@ def pressure_stats(spark, sf_dir):
 
 @register("csv_block_chunks", f"""WITH numbered AS (SELECT event_id // 1000 AS block, value AS v FROM events) SELECT CAST(block AS BIGINT) AS block, {STATS} FROM numbered WHERE isfinite(v) GROUP BY 1""")
 def csv_block_chunks(spark, sf_dir):
-    """Statistics per block of rows, by the row number captured at the scan."""
+    """Statistics per block of a thousand event numbers, which stand for rows of a file here."""
     rows = _read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 1000).cast("long").alias("block"), F.col("value").alias("v"))
     return summarize.chunk_stats8(rows, ["block"], "v")
 
