@@ -178,6 +178,16 @@ _NEW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.b
 _IDS = pa.schema([("part", pa.int64()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest takes, after a byte that says how many."""
+    kind = "<u1" if (most := values.max(initial=0)) < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+    return bytes([int(kind[-1])]) + values.astype(kind).tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _split(raw: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
@@ -187,7 +197,8 @@ def cut_words(docs: DataFrame, pattern: str, buckets: int, part_docs: int, part_
     """Texts (id, text) as numbers of words, per part of the documents, and each part's different words by bucket.
 
     A part is a run of a partition's documents. Words are numbered as they come, so frequent ones have small numbers; a
-    document's numbers are kept as their lower sixteen bits and the rest. A part always has a row of words.
+    document's numbers are kept as their lower sixteen bits and the rest, a bucket's words with the steps between their
+    numbers. A part always has a row of words.
     """
     words = regex.compile(pattern).findall
 
@@ -200,7 +211,7 @@ def cut_words(docs: DataFrame, pattern: str, buckets: int, part_docs: int, part_
             own = order[bounds[bucket] : bounds[bucket + 1]]
             if len(own) or bucket == part % buckets:
                 some = [strings[i] for i in own.tolist()]
-                yield part, bucket, None, None, None, b"".join(some), np.fromiter(map(len, some), "<u4", len(some)).tobytes(), own.astype("<u4").tobytes()
+                yield part, bucket, None, None, None, b"".join(some), _pack(np.fromiter(map(len, some), np.int64, len(some))), _pack(np.diff(own, prepend=0))
 
     def run(batches):
         part, known, n_docs, size, rows = TaskContext.get().partitionId() << 32, Numbers(), 0, 0, Rows(_CUT, 1000)
@@ -248,7 +259,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
             for row in batch.to_pylist():
                 if row["bucket"] != current:
                     known, current = Numbers(), row["bucket"]
-                words, at = _split(row["words"], np.frombuffer(row["lengths"], "<u4")), len(known)
+                words, at = _split(row["words"], _unpack(row["lengths"])), len(known)
                 # a word that is a piece is that piece; a part has no word twice
                 new = [marks.get(w) or w.decode("latin-1").translate(singles) for w in words if w not in known]
                 places = np.fromiter(map(known.__getitem__, words), "<u4", len(words))
@@ -268,7 +279,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
                     raise ValueError("rows did not come in the order in which their words were met")
                 ids += [np.fromiter(map(rank_of.__getitem__, w), kind, len(w)).tobytes() for w in row["new"]]
                 own = [ids[i] for i in np.frombuffer(row["places"], "<u4").tolist()]
-                rows.add(row["part"], row["numbers"], np.fromiter(map(len, own), "<u4", len(own)).tobytes(), b"".join(own))
+                rows.add(row["part"], row["numbers"], _pack(np.fromiter(map(len, own), np.int64, len(own))), b"".join(own))
             yield rows.take()
 
     def assemble(batches):
@@ -276,8 +287,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, finish, ddl: str, sch
         name_of, rows, part, held = {rank: str(rank) for rank in piece_of}, Rows(schema, 500), None, []
 
         def close():
-            numbers = np.concatenate([np.frombuffer(r["numbers"], "<u4") for r in held]).tolist()
-            lengths = np.concatenate([np.frombuffer(r["lengths"], "<u4") for r in held]) // np.dtype(kind).itemsize
+            numbers = np.concatenate([np.cumsum(_unpack(r["numbers"])) for r in held]).tolist()
+            lengths = np.concatenate([_unpack(r["lengths"]) for r in held]) // np.dtype(kind).itemsize
             flat, ends = np.frombuffer(b"".join(r["ids"] for r in held), kind).tolist(), np.cumsum(lengths).tolist()
             counts, names, pieces = np.zeros(len(numbers), np.int64), [""] * len(numbers), [b""] * len(numbers)
             counts[numbers] = lengths
