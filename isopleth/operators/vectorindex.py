@@ -11,26 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from isopleth.operators.retrieve import BLOCK, BLOCKS, PACK, _first, _matrix, _packed, _result, _scorer, knn
+from isopleth.operators.retrieve import BLOCK, BLOCKS, PACK, _first, _matrix, _packed, _result, _scorer, _slices, _unit, knn
 from isopleth.sources.store import Store
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-
-
 def centroids(vectors: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Unit centroids of unit vectors by k-means on the sphere; one that loses all its vectors takes the worst placed one."""
     rng = np.random.default_rng(seed)
     found = vectors[rng.choice(len(vectors), min(lists, len(vectors)), replace=False)].copy()
     for _ in range(rounds):
-        likeness = vectors @ found.T
-        nearest = likeness.argmax(axis=1)
+        nearest, best = np.zeros(len(vectors), int), np.zeros(len(vectors))
+        for part in _slices(len(vectors), len(found)):
+            likeness = vectors[part] @ found.T
+            nearest[part], best[part] = likeness.argmax(axis=1), likeness.max(axis=1)
         sums = np.zeros_like(found)
         np.add.at(sums, nearest, vectors)
         empty = np.flatnonzero(np.bincount(nearest, minlength=len(found)) == 0)
         if len(empty):
-            sums[empty] = vectors[np.argsort(likeness.max(axis=1), kind="stable")[: len(empty)]]
+            sums[empty] = vectors[np.argsort(best, kind="stable")[: len(empty)]]
         found = _unit(sums)
     return found
 
@@ -128,23 +126,30 @@ def _likeness(vectors: pa.Array, coarse: np.ndarray) -> np.ndarray:
     return found @ coarse.T if found.shape[1] == coarse.shape[1] else np.zeros((len(found), len(coarse)))
 
 
+def _parts(batches, coarse: np.ndarray):
+    """Batches in slices of so many vectors that their likeness to all centroids stays small, however many lists there are."""
+    for batch in batches:
+        for part in _slices(batch.num_rows, len(coarse)):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def _placing(coarse: np.ndarray, vector: int):
     def place(batches):
-        for batch in batches:
-            if batch.num_rows:
-                likeness = _likeness(batch.column(vector), coarse)
-                nearest = likeness.argmax(axis=1)
-                angle = np.arccos(np.clip(likeness[np.arange(len(nearest)), nearest], -1, 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(angle)], [*batch.schema.names, "list", "_angle"])
+        for batch in _parts(batches, coarse):
+            likeness = _likeness(batch.column(vector), coarse)
+            nearest = likeness.argmax(axis=1)
+            angle = np.arccos(np.clip(likeness[np.arange(len(nearest)), nearest], -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest, pa.int32()), pa.array(angle)], [*batch.schema.names, "list", "_angle"])
 
     return place
 
 
-def _pairs(batch: pa.RecordBatch, chosen: np.ndarray) -> pa.RecordBatch:
-    """A row per query and list that is chosen for it."""
+def _pairs(batch: pa.RecordBatch, chosen: np.ndarray, most: int = 16_384):
+    """A row per query and list that is chosen for it, in batches of at most `most`."""
     at, lists = np.nonzero(chosen)
-    rows = pa.array(at)
-    return pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], ["list", *batch.schema.names[:2]])
+    for start in range(0, len(at), most):
+        rows = pa.array(at[start : start + most])
+        yield pa.RecordBatch.from_arrays([pa.array(lists[start : start + most], pa.int32()), batch.column(0).take(rows), batch.column(1).take(rows)], ["list", *batch.schema.names[:2]])
 
 
 def _nearest(batch: pa.RecordBatch, coarse: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +161,8 @@ def _nearest(batch: pa.RecordBatch, coarse: np.ndarray, probes: int) -> tuple[np
 
 def _probing(coarse: np.ndarray, probes: int):
     def probe(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield _pairs(batch, _nearest(batch, coarse, probes)[1])
+        for batch in _parts(batches, coarse):
+            yield from _pairs(batch, _nearest(batch, coarse, probes)[1])
 
     return probe
 
@@ -167,15 +171,14 @@ def _bounded(coarse: np.ndarray, radii: np.ndarray, sizes: np.ndarray, probes: i
     """Lists beyond the probed ones that may hold a point as good as the k-th; scores have six places."""
 
     def rest(batches):
-        for batch in batches:
-            if batch.num_rows:
-                likeness, near = _nearest(batch, coarse, probes)
-                least = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
-                least = np.where(np.isnan(least), -2.0, least)
-                norms = np.linalg.norm(_matrix(batch.column(1)), axis=1)
-                best = np.cos(np.maximum(np.arccos(np.clip(likeness, -1, 1)) - radii[None, :], 0))
-                best[norms == 0] = 1.0
-                # a list may also hold zero vectors, which score 0
-                yield _pairs(batch, ~near & (sizes[None, :] > 0) & (np.maximum(best, 0.0) + 1e-6 >= least[:, None]))
+        for batch in _parts(batches, coarse):
+            likeness, near = _nearest(batch, coarse, probes)
+            least = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            least = np.where(np.isnan(least), -2.0, least)
+            norms = np.linalg.norm(_matrix(batch.column(1)), axis=1)
+            best = np.cos(np.maximum(np.arccos(np.clip(likeness, -1, 1)) - radii[None, :], 0))
+            best[norms == 0] = 1.0
+            # a list may also hold zero vectors, which score 0
+            yield from _pairs(batch, ~near & (sizes[None, :] > 0) & (np.maximum(best, 0.0) + 1e-6 >= least[:, None]))
 
     return rest

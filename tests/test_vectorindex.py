@@ -1,12 +1,14 @@
 """The inverted file of vectors against the full scan."""
 
 import glob
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from isopleth.operators import retrieve
+from isopleth.operators import retrieve, vectorindex
 from isopleth.operators.vectorindex import VectorIndex, centroids
 from isopleth.plans import registry
 from tests.oracle import compare, connect
@@ -74,3 +76,15 @@ def test_registered_search(spark, sf):
     assert compare(spark, connect(sf), sf, registry.queries()["knn_indexed_exact"], registry.oracle_sql()["knn_indexed_exact"]) > 0
     best = registry.queries()["knn_topk"](spark, sf).collect()
     assert recall(registry.queries()["knn_indexed"](spark, sf).collect(), best) >= 0.9
+
+
+def test_memory_of_placing_and_bounding_is_bounded():
+    rng = np.random.default_rng(5)
+    coarse = rng.normal(size=(4096, 8))
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(rng.normal(size=80_000).astype(np.float32)), 8).cast(pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), vectors, pa.array(np.full(10_000, 0.9))], ["id", "embedding", "least"])
+    for run in (vectorindex._placing(coarse, 1), vectorindex._bounded(coarse, np.zeros(4096), np.ones(4096, int), 4)):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in run([batch])) >= 10_000
+        assert tracemalloc.get_traced_memory()[1] < 100_000_000  # 10,000 x 4,096 products alone are 328 MB
+        tracemalloc.stop()
