@@ -133,3 +133,14 @@ def test_directory_is_ingested_once(spark, tmp_path):
     (folder / "b.csv").write_text("3,4\n")
     run()
     assert seen == [1, 3]
+
+
+def test_fan_out_deals_a_key_over_tasks(spark):
+    left = spark.createDataFrame([(i, None if i % 50 == 7 else i % 50 == 3) for i in range(600)], "a long, k boolean").select("a", F.col("k").cast("int").alias("k")).coalesce(1)
+    right = spark.createDataFrame([(i, 0 if i % 9 else None) for i in range(90)] + [(500, 1), (501, 1), (502, 5)], "b long, l int")
+    pairs = relate.fan_out(left, right, "k", "l", each=1000)
+    want = left.join(right, F.col("k") == F.col("l"))
+    assert pairs.columns == want.columns and sorted(map(tuple, pairs.collect())) == sorted(map(tuple, want.collect()))
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < pairs.count() / 3
+    assert relate.fan_out(left.limit(0), right, "k", "l").count() == 0
