@@ -383,14 +383,16 @@ UNION ALL SELECT 'clamped', CAST(n_nationkey AS VARCHAR), greatest(1, least(n_na
 def orders_of_lists(spark, sf_dir):
     """Lists in their orders; the place that each item has."""
     def places(rows, kind, item, *order):
-        return rows.select(F.lit(kind).alias("kind"), item.cast("string").alias("item"), F.row_number().over(listings.Window.orderBy(*order)).cast("long").alias("place"))
+        listed = rows.select(F.lit(kind).alias("kind"), item.cast("string").alias("item"), *(o.alias(f"_{i}") for i, (o, _) in enumerate(order)))
+        by = [F.desc(f"_{i}") if down else F.asc(f"_{i}") for i, (_, down) in enumerate(order)]
+        return relate.numbered(listed, "kind", by, "place").select("kind", "item", (F.col("place") + 1).alias("place"))
 
     orders, part, supplier, nation = (_read(spark, sf_dir, name) for name in ("orders", "part", "supplier", "nation"))
     created = F.when(F.col("o_orderkey") % 4 != 0, F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
     size = F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("long"))
-    found = places(orders, "created", F.col("o_orderkey"), F.desc(F.coalesce(created, F.lit(0))), F.col("o_orderkey"))
-    found = found.union(places(part, "size", F.col("p_partkey"), F.coalesce(size, F.lit(listings.UNKNOWN_SIZE)), F.col("p_partkey")))
-    found = found.union(places(supplier, "name", F.col("s_name"), F.lower("s_name").desc()))
+    found = places(orders, "created", F.col("o_orderkey"), (F.coalesce(created, F.lit(0)), True), (F.col("o_orderkey"), False))
+    found = found.union(places(part, "size", F.col("p_partkey"), (F.coalesce(size, F.lit(listings.UNKNOWN_SIZE)), False), (F.col("p_partkey"), False)))
+    found = found.union(places(supplier, "name", F.col("s_name"), (F.lower("s_name"), True)))
     return found.union(nation.select(F.lit("clamped"), F.col("n_nationkey").cast("string"), listings.clamped(F.col("n_nationkey") * 2).cast("long")))
 
 

@@ -232,3 +232,8 @@ def test_whole_plan(spark):
     assert [r.rank for r in first] == [1, 2, 3, 4, 5] and {r.variable for r in first} <= {"drought", "wind", "rain", "heat"} and len({r.source for r in first}) >= 4
     again = answer.with_retry(spark.createDataFrame(first).where("rank < 3"), spark.createDataFrame(found).where("query_id = 1")).orderBy("rank").collect()
     assert [r.rank for r in again] == list(range(1, len(again) + 1)) and len({(r.source, r.variable) for r in again}) == len(again)
+
+
+def test_orders_of_lists_have_no_single_task(spark, capsys):
+    __import__("__spark_entry__").queries()["orders_of_lists"](spark, "/root/testdata/sf0.001").explain()
+    assert "SinglePartition" not in capsys.readouterr().out
