@@ -10,7 +10,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -152,6 +151,15 @@ def _views(docs: DataFrame) -> DataFrame:
     return docs.select(column("doc_id", "long"), text_or_empty().alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "double"))
 
 
+#: Words whose hashes a worker remembers, and documents whose texts it holds as Python strings at once.
+REMEMBERED, TEXTS = 100_000, 256
+
+
+def _contents(texts: pa.Array, memo: WordHashes) -> list[bytes]:
+    """The content view of each text, packed."""
+    return [content_view(t, memo).tobytes() for at in range(0, len(texts), TEXTS) for t in texts.slice(at, TEXTS).to_pylist()]
+
+
 FEATURES_DDL = "doc_id long, content binary, lang string, source string, n_chars double"
 
 
@@ -159,9 +167,9 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, the content view packed as 32-bit numbers, and what the metadata view reads; written once, as each round reads it."""
 
     def run(batches):
-        memo = WordHashes()
+        memo = WordHashes(REMEMBERED)
         for batch in batches:
-            packed = [content_view(t, memo).tobytes() for t in batch.column("text").to_pylist()]
+            packed = _contents(batch.column("text"), memo)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary()), *(batch.column(c) for c in ("lang", "source", "n_chars"))], ["doc_id", "content", "lang", "source", "n_chars"])
 
     path = new_folder(docs.sparkSession, "features")
@@ -230,8 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, known: Da
         return None
     batch = pa.RecordBatch.from_pydict({name: pa.array([r[i] for r in found], kind) for i, (name, kind) in enumerate([("content", pa.binary()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.float64())], 2)})
     content, metadata = _matrices(batch)
-    unlabelled = rows.join(labelled.select("doc_id"), "doc_id", "left_anti")
-    return co_train(content, metadata, y, _pool(unlabelled))
+    # joined and written once, as every round reads them
+    path = new_folder(spark, "unlabelled")
+    rows.join(labelled.select("doc_id"), "doc_id", "left_anti").write.parquet(path)
+    return co_train(content, metadata, y, _pool(spark.read.schema(rows.schema).parquet(path)))
 
 
 def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5, known: DataFrame | None = None) -> DataFrame:
@@ -245,14 +255,14 @@ def score(docs: DataFrame, model: CoTrained | None, least: float = 0.5, known: D
     made = known is not None
 
     def run(batches):
-        memo = WordHashes()
+        memo = WordHashes(REMEMBERED)
         for batch in batches:
             if model is None:
                 empty = pa.nulls(batch.num_rows, pa.float64())
                 columns = [empty, empty, empty, pa.array([True] * batch.num_rows, pa.bool_())]
             else:
                 if not made:
-                    packed = pa.array([content_view(t, memo).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+                    packed = pa.array(_contents(batch.column("text"), memo), pa.binary())
                     batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), packed, *(batch.column(c) for c in ("lang", "source", "n_chars"))], ["doc_id", "content", "lang", "source", "n_chars"])
                 p = model.score(*_matrices(batch))
                 columns = [pa.array(c) for c in p.T] + [pa.array(p[:, 2] >= least)]
@@ -272,12 +282,11 @@ def keep_good(docs: DataFrame, model: CoTrained | None, least: float = 0.5) -> D
     if model is None:
         return docs
 
-    @F.pandas_udf("boolean")
-    def kept(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        memo = WordHashes()
-        content = np.array([content_view(t, memo) for t in text]).reshape(-1, CONTENT)
-        metadata = np.array([metadata_view(None if pd.isna(a) else a, None if pd.isna(b) else b, c) for a, b, c in zip(lang, source, n_chars)]).reshape(-1, METADATA)
-        return pd.Series(model.score(content, metadata)[:, 2] >= least)
+    @F.arrow_udf("boolean")
+    def kept(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.Array:
+        packed = pa.array(_contents(text, WordHashes(REMEMBERED)), pa.binary())
+        batch = pa.RecordBatch.from_arrays([packed, lang, source, n_chars], ["content", "lang", "source", "n_chars"])
+        return pa.array(model.score(*_matrices(batch))[:, 2] >= least)
 
     column = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
     return docs.where(kept(text_or_empty(), column("lang", "string"), column("source", "string"), column("n_chars", "double")))

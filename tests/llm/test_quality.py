@@ -128,3 +128,13 @@ def test_logistic():
     x = rng.normal(size=(4000, 3))
     y = (rng.random(4000) < 1 / (1 + np.exp(-(x @ [1, -2, 0.5])))).astype(float)
     assert cotrain.logistic(x, y) == pytest.approx([1, -2, 0.5], abs=0.2)
+
+
+def test_co_training_joins_labels_once(spark, monkeypatch, capsys):
+    seen, pool = [], cotrain._pool
+    monkeypatch.setattr(cotrain, "_pool", lambda rows: (seen.append(rows), pool(rows))[1])
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "#### ####", "en", "s", 15) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert cotrain.fit(docs, labels) is not None
+    seen[0].explain()
+    assert "Join" not in capsys.readouterr().out and sorted(r.doc_id for r in seen[0].collect()) == list(range(20, 40))
