@@ -1,14 +1,20 @@
 """N-gram Jaccard join: components of documents whose sets of 3-word shingles are at least 90 % alike.
 
-Candidates come without loss from a pigeonhole argument. Sizes fall into bands so narrow that linked sets are in the
+First a count puts aside what can be linked with nothing: of linked sets each has at least 90 % of its shingles in
+common with another document, so a document with fewer shingles that occur elsewhere is done. Occurrences are found by
+40 bits of the shingles' hashes, which takes some for shared that are not, never the reverse.
+
+Candidates among the others come without loss from a pigeonhole argument. Sizes fall into bands so narrow that linked sets are in the
 same or in neighbouring bands. At a level (two neighbouring bands) linked sets differ in at most d elements; the hash
 range is cut into d + 2 parts, so at least two parts hold the same elements in both sets, and the hash of a part's elements is
 a key that both share. (A set in which two or more parts are empty gives keys for its empty parts too; otherwise a
 common part that isn't empty exists.) Sets that share a key are joined to the least identifier of that key, first within
 a batch and then over all, so a key that very many sets share gives each of them one row.
 
-The keys are a filter ahead of the tiles: they decide which documents meet, the tiles compare them. Candidate groups are
-verified in tiles. A group too large for one tile is cut into size bands, and bands into blocks;
+The keys are a filter ahead of the tiles: they decide which documents meet, the tiles compare them. Where common
+shingles chain many sets into a group of more than a tile, it is split: with the shingles of a group ordered from rare
+to frequent, linked sets share one of the first of each (of size s, the first s - ceil(0.9 s) + 1), so what those connect
+are the new groups. Groups are verified in tiles. A group too large for one tile is cut into size bands, and bands into blocks;
 each pair of blocks of the same or neighbouring bands is a tile. In a tile, hashed bitmaps bound the overlap of a pair from above by
 bit counts; pairs that could reach the threshold are compared exactly by intersecting sorted arrays, but for pairs
 already connected in the tile.
@@ -16,7 +22,7 @@ already connected in the tile.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isopleth.llm.common import cut, fresh_name, shuffle_partitions, text_or_empty
@@ -24,7 +30,9 @@ from isopleth.llm.components import components
 from isopleth.llm.fingerprints import WordHashes, mix, shingles, words_of
 from isopleth.llm.tokens import by_size
 
-PROFILE, EXACT, CANDIDATE = 0, 1, 2
+PROFILE, SHARED, EXACT, CANDIDATE = 0, 1, 2, 3
+#: Bits of a shingle's hash that are left out where occurrences are counted; counts gathered in a task before they are handed on.
+LEFT_OUT, TOGETHER = 24, 2_000_000
 #: Shingles in a tile's half at most, and rows that may be broadcast; beyond it a shuffled join is taken.
 TILE, BROADCAST_ROWS = 1_500_000, 500_000
 
@@ -83,10 +91,83 @@ def _frame(kind: int, key, a, b) -> pa.RecordBatch:
 
 
 DDL = "kind int, key long, a long, b long"
+COUNTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+
+
+def shared_counts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of kind, a, b: PROFILE (document, set size) of each row, SHARED (document, shingles that occur elsewhere too), to be added up.
 
+    A shingle that several texts of a run have is counted there and sent on once, without a document, so one that very
+    many texts have gives each run one row.
+    """
+
+    def emit(batches):
+        memo = WordHashes()
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for some in by_size(texts, 4_000_000):
+                own = pa.array(ids[some], pa.int64())
+                sets = [shingle_set(t, memo, words) for t in texts[some]]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                spread = -1 - np.arange(len(sets))
+                yield pa.RecordBatch.from_arrays([pa.array(spread), own, pa.array(sizes)], schema=COUNTS)
+                there = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0))
+                if not len(there):
+                    continue
+                hashes = (np.concatenate([sets[i] for i in there]) >> np.uint64(LEFT_OUT)).astype(np.int64)
+                owner = np.repeat(there, sizes[there])
+                order = np.argsort(hashes)
+                hashes, owner = hashes[order], owner[order]
+                starts = np.flatnonzero(np.diff(hashes, prepend=-1))
+                repeats = np.diff(np.append(starts, len(hashes)))
+                several = repeats > 1
+                counted = np.bincount(owner[np.repeat(several, repeats)], minlength=len(sets))
+                found = np.flatnonzero(counted)
+                yield pa.RecordBatch.from_arrays([pa.array(spread[found]), own.take(pa.array(found)), pa.array(-counted[found])], schema=COUNTS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[starts]), own.take(pa.array(owner[starts], mask=several)), pa.array(np.zeros(len(starts), np.int64))], schema=COUNTS
+                )
+
+    def add(batches):
+        last, waiting, gathered, n_gathered = None, None, [], 0
+        as_batch = lambda kind, a, b: pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, pa.array(b)], ["kind", "a", "b"])
+
+        def hand_on():
+            ids, n = np.unique(np.concatenate(gathered), return_counts=True)
+            return as_batch(SHARED, pa.array(ids), n.astype(np.int64))
 
-def profiles_and_links(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind, a, b: PROFILE (document, set size), EXACT (document, one with the same set), CANDIDATE (document, one with a common key)."""
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for kind, which in ((PROFILE, (key < 0) & (n >= 0)), (SHARED, (key < 0) & (n < 0))):
+                if which.any():
+                    yield as_batch(kind, batch.column(1).filter(pa.array(which)), np.abs(n[which]))
+            if not (key >= 0).any():
+                continue
+            at = int(np.argmax(key >= 0))  # rows are sorted by key
+            key, ids = key[at:], batch.column(1).slice(at)
+            valid, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+            same = key[1:] == key[:-1]
+            shared = np.append(False, same) | np.append(same, False)
+            if last == key[0]:  # goes on from the batch before
+                shared[0] = True
+                if waiting is not None:
+                    gathered.append(np.array([waiting]))
+                waiting = None
+            gathered.append(ids[shared & valid])
+            n_gathered += len(gathered[-1])
+            last, waiting = key[-1], ids[-1] if valid[-1] and not shared[-1] else None
+            if n_gathered >= TOGETHER:
+                yield hand_on()
+                gathered, n_gathered = [], 0
+        if gathered:
+            yield hand_on()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(emit, "key long, id long, n long")
+    return rows.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(add, "kind int, a long, b long")
+
+
+def set_links(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of kind, a, b: EXACT (document, one with the same set), CANDIDATE (document, one with a common key)."""
 
     def emit(batches):
         memo, bands = WordHashes(), Bands(percent)
@@ -95,7 +176,6 @@ def profiles_and_links(docs: DataFrame, percent: int, words: int, id_col: str, t
             for some in by_size(texts, 4_000_000):
                 own = ids[some]
                 sets = [shingle_set(t, memo, words) for t in texts[some]]
-                yield _frame(PROFILE, [hash((i, 7)) for i in own], pa.array(own, pa.int64()), [len(s) for s in sets])
                 there = [i for i, s in enumerate(sets) if len(s) and own[i] is not None]
                 if not there:
                     continue
@@ -119,7 +199,7 @@ def profiles_and_links(docs: DataFrame, percent: int, words: int, id_col: str, t
         last = {}
         for batch in batches:
             kind, key, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "key", "a", "b"))
-            ready = (kind == PROFILE) | (a != b)
+            ready = a != b
             if ready.any():
                 yield batch.filter(pa.array(ready))
             for which in (EXACT, CANDIDATE):
@@ -223,6 +303,37 @@ def verified_links(docs: DataFrame, members: DataFrame, percent: int, words: int
     return rows.mapInArrow(verify, "a long, b long")
 
 
+def split_groups(docs: DataFrame, members: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
+    """members with groups that are connected by rare shared shingles alone; those that share none with others are left out. Linked ones stay together."""
+
+    def emit(batches):
+        memo = WordHashes()
+        for batch in batches:
+            for some in by_size(texts := batch.column(2).to_pylist(), 4_000_000):
+                sets = [shingle_set(t, memo, words) for t in texts[some]]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                row = np.repeat(np.arange(len(sets)), sizes)
+                whole = np.array([mix(s).sum() for s in sets], np.uint64)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[some].take(pa.array(row)), batch.column(1)[some].take(pa.array(row)), pa.array(whole[row].view(np.int64)), pa.array(sizes[row]), pa.array(np.concatenate(sets).view(np.int64))],
+                        ["id", "group", "whole", "size", "h"],
+                    )
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    small = members.count() <= BROADCAST_ROWS
+    named = members.select("id", "group")
+    rows = cut(texts.join(F.broadcast(named) if small else named, "id").select("id", "group", "text").mapInArrow(emit, "id long, group long, whole long, size long, h long"))
+    often = rows.groupBy("group", "h").agg(F.count("*").alias("n")).where("n > 1")
+    one = Window.partitionBy("id", "whole")
+    shared = rows.join(often, ["group", "h"]).withColumns({"place": F.row_number().over(one.orderBy("n", "h")), "all": F.count("*").over(one)})
+    # shingles that no other set of the group has come first
+    first = cut(shared.where(F.expr(f"place + size - all <= size - ceil({percent} * size / 100) + 1")).select("id", "group", "h"))
+    links = first.join(first.groupBy("group", "h").agg(F.min("id").alias("least")), ["group", "h"]).where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    found = components(links)
+    return members.drop("group").join(found.select(F.col("node").alias("id"), F.col("component").alias("group")), "id")
+
+
 def near_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest identifier reachable by links, itself included).
 
@@ -230,17 +341,28 @@ def near_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col:
     empty texts and documents without an identifier are linked with nothing; rows with the same identifier are one node;
     an empty table gives no rows; other columns are ignored.
     """
-    rows = cut(profiles_and_links(docs, percent, words, id_col, text_col))
-    profiles = rows.where(F.col("kind") == PROFILE).select(F.col("a").alias("id"), F.col("b").alias("size"))
+    counted = cut(shared_counts(docs, words, id_col, text_col))
+    profiles = counted.where(F.col("kind") == PROFILE).select(F.col("a").alias("id"), F.col("b").alias("size"))
+    sizes = profiles.where("id is not null and size > 0").groupBy("id").agg(F.max("size").alias("size"), F.min("size").alias("least"))
+    shared = counted.where(F.col("kind") == SHARED).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
+    able = cut(shared.join(sizes, "id").where(f"100 * n >= {percent} * least").select("id", "size"))
+    n_able = able.count()
+    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias(text_col))
+    names = able.select(F.col("id").alias(id_col))
+    some = docs.join(F.broadcast(names) if n_able <= BROADCAST_ROWS else names, id_col, "left_semi")
+    rows = cut(set_links(some, percent, words, id_col, text_col))
     exact = rows.where(F.col("kind") == EXACT).select("a", "b")
     candidates = rows.where(F.col("kind") == CANDIDATE).select("a", "b")
     # a set's copies hang on the least identifier of a batch, those on the least of all; only that one is compared
     groups = components(candidates.union(exact))
     heads = groups.withColumnRenamed("node", "id").join(exact.select(F.col("a").alias("id")), "id", "left_anti")
     several = heads.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = profiles.where("id is not null").groupBy("id").agg(F.max("size").alias("size"))
-    members = cut(heads.join(several, "component", "left_semi").join(sizes, "id").select("id", "size", F.col("component").alias("group")))
-    links = exact if members.isEmpty() else exact.union(cut(verified_links(docs, members, percent, words, id_col, text_col, tile)))
+    members = cut(heads.join(several, "component", "left_semi").join(able, "id").select("id", "size", F.col("component").alias("group")))
+    large = cut(members.groupBy("group").agg(F.sum("size").alias("all")).where(F.col("all") > tile).select("group"))
+    if not large.isEmpty():
+        split = split_groups(some, cut(members.join(large, "group", "left_semi")), percent, words, id_col, text_col)
+        members = cut(members.join(large, "group", "left_anti").select("id", "size", "group").union(split.select("id", "size", "group")))
+    links = exact if members.isEmpty() else exact.union(cut(verified_links(some, members, percent, words, id_col, text_col, tile)))
     found = components(links)
     return profiles.join(found, profiles["id"] == found["node"], "left").select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")

@@ -86,3 +86,34 @@ def test_edges(spark):
     assert sorted(map(tuple, nj.near_components(docs).collect())) == [(4, 2, 4), (5, 2, 4), (5, 2, 4)]
     assert nj.near_components(docs.limit(0)).count() == 0
     assert nj.keep_first(docs).collect()[0].doc_id == 4
+
+
+def compared(spark, monkeypatch, rows, **how):
+    """The components found, and how many documents of how many groups came to the tiles."""
+    seen, before = [], nj.verified_links
+    monkeypatch.setattr(nj, "verified_links", lambda docs, members, *rest: seen.append(members.select("id", "group").collect()) or before(docs, members, *rest))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_components(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    return found, len(seen and seen[0]), len({r.group for r in (seen and seen[0])})
+
+
+def test_documents_of_common_phrases_are_not_compared(spark, monkeypatch):
+    rng = random.Random(3)
+    phrases = [[f"p{k}x{i}" for i in range(20)] for k in range(8)]
+    texts = [" ".join([*rng.choice(phrases), *(f"own{i}x{j}" for j in range(10)), *rng.choice(phrases)]) for i in range(150)]
+    rows = list(enumerate([*texts, f"{texts[7]} more"]))
+    found, n, _ = compared(spark, monkeypatch, rows)
+    assert found == brute(rows) and found[150][1] == 7
+    assert n == 2
+
+
+def test_chained_groups_are_split(spark, monkeypatch):
+    rng = random.Random(4)
+    lines = [[f"l{k}x{i}" for i in range(12)] for k in range(60)]
+    texts = []
+    for i in range(40):  # pairs of near copies, made of lines that other pairs have too
+        words = [w for k in rng.sample(range(60), 8) for w in lines[k]]
+        texts += [" ".join(words), " ".join([*words[:-1], f"end{i}"])]
+    rows = list(enumerate(texts))
+    found, n, groups = compared(spark, monkeypatch, rows, tile=2000)
+    assert found == brute(rows) and found[1][1] == 0
+    assert groups >= 10
