@@ -1,5 +1,7 @@
 """Aggregations: chunk statistics, dataset summaries, facets, rollups of progress."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from isopleth.sources.scratch import folder
 
+#: Rows that one task sorts; blocks whose places may be broadcast, beyond it they are joined by a shuffle.
+ROWS, BROADCAST_BLOCKS = 1 << 19, 200_000
+
 
 def finite(value: str) -> Column:
     """Neither missing, NaN nor infinite."""
@@ -66,20 +71,36 @@ def _blocks(keys: list, schema):
     return run, ", ".join(f"`{k}` {schema[k].dataType.simpleString()}" for k in keys) + ", _at long, _n long, _mean double, _m2 double, _min double, _max double, _values array<double>, _counts array<long>"
 
 
+def counted(rows: DataFrame, count: str) -> DataFrame:
+    """Equal rows of an Arrow batch as one, with how often it is there; equal rows of other batches stay apart, so nothing grows with the different ones."""
+    columns = rows.columns
+
+    def run(batches):
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(columns, use_threads=False).aggregate([([], "count_all")]).select([*columns, "count_all"])
+            yield from found.rename_columns([*columns, count]).combine_chunks().to_batches()
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{ddl}, `{count}` long")
+
+
 def group_stats8(cells: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """The same statistics, exactly, whatever share of the cells a group has; weight: a column of how often a row counts.
 
-    Equal values are counted before anything is shuffled by group, then sorted over all tasks by group and value. Runs
-    of them become blocks with counts and moments, which are written. Moments of a group are those of its blocks, merged
-    by counted deviations (Chan), so a mean far above the deviation costs no digits. Running counts over a group's blocks
-    tell in which of them a percentile lies, and only those are read for their values. So no task holds a group: it
-    holds one row per block of up to a batch of different values.
+    Equal values of a batch are counted before anything is shuffled (those with a weight have been), written, and sorted
+    by group and value over as many tasks as their number asks for. Runs of them become blocks with counts and moments,
+    which are written. Moments of a group are those of its blocks, merged by counted deviations (Chan), so a mean far
+    above the deviation costs no digits. Running counts over a group's blocks tell in which of them a percentile lies.
+    So no task holds a group: it sorts ROWS rows, or holds one row per block of up to a batch of rows.
     """
     spark, v = cells.sparkSession, F.col(value).cast("double")
-    counts = cells.where(finite(value)).groupBy(*keys, (v + 0.0).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).cast("long").alias("_c"))
+    cells = cells.where(finite(value)).select(*keys, (v + 0.0).alias("_v"), *([F.col(weight).cast("long").alias("_c")] if weight else []))
+    counts = cells if weight else counted(cells, "_c")
+    counts.write.parquet(path := folder(spark, "counts"))
+    counts = spark.read.schema(counts.schema).parquet(path)
     run, ddl = _blocks(keys, counts.schema)
-    path = folder(spark, "blocks")
-    counts.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").mapInArrow(run, ddl).write.parquet(path)
+    path, tasks = folder(spark, "blocks"), max(1, math.ceil(counts.count() / ROWS))
+    counts.repartitionByRange(tasks, *keys, "_v").sortWithinPartitions(*keys, "_v").mapInArrow(run, ddl).write.parquet(path)
     blocks = spark.read.schema(ddl).parquet(path)
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_n").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -91,7 +112,8 @@ def group_stats8(cells: DataFrame, keys: list[str], value: str, weight: str | No
     asked = running.select("_at", *(F.when(inside[c], place - F.col("_below")).alias(c) for c, place in places.items())).where(" or ".join(f"{c} is not null" for c in places))
     at = "element_at(_values, aggregate(_counts, named_struct('left', {0}, 'i', 1), (a, c) -> if(a.left < c, named_struct('left', cast(0 as bigint), 'i', a.i), named_struct('left', a.left - c, 'i', a.i + 1)), a -> a.i))"
     # once the place is inside a value's count, `left` is 0, and the counts that follow, at least 1, leave it there
-    found = blocks.select("_at", "_values", "_counts").join(asked, "_at").select("_at", *(F.expr(f"if({c} is null, null, {at.format(c)})").alias(c) for c in places))
+    few = blocks.count() <= BROADCAST_BLOCKS
+    found = blocks.select("_at", "_values", "_counts").join(F.broadcast(asked) if few else asked, "_at").select("_at", *(F.expr(f"if({c} is null, null, {at.format(c)})").alias(c) for c in places))
     sums = running.join(found, "_at", "left").groupBy(*keys).agg(
         F.max("_total").alias("n_cells"), F.max("_m").alias("mean"), F.sum(F.col("_m2") + F.col("_n") * (F.col("_mean") - F.col("_m")) * (F.col("_mean") - F.col("_m"))).alias("_m2"), F.min("_min").alias("min"), F.max("_max").alias("max"), *(F.max(c).alias(c) for c in places),
     )

@@ -43,7 +43,7 @@ def series_by_station(spark, sf_dir):
     rows = _read(spark, sf_dir, "lineitem")
     pairs = lambda columns: F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns)))
     rows = rows.select(pairs(["l_quantity", "l_extendedprice", "l_discount"]).alias("a"), "l_returnflag", "l_linestatus")
-    rows = rows.groupBy(F.col("a.name").alias("variable"), "l_returnflag", "l_linestatus", F.col("a.value").alias("v")).agg(F.count("*").alias("c")).withColumn("b", pairs(["l_returnflag", "l_linestatus"]))
+    rows = summarize.counted(rows.select(F.col("a.name").alias("variable"), "l_returnflag", "l_linestatus", F.col("a.value").alias("v")), "c").withColumn("b", pairs(["l_returnflag", "l_linestatus"]))
     rows = rows.select("variable", F.col("b.name").alias("station_col"), F.col("b.value").alias("station"), "v", "c")
     return summarize.group_stats8(rows, ["variable", "station_col", "station"], "v", "c")
 

@@ -237,3 +237,13 @@ def test_whole_plan(spark):
 def test_orders_of_lists_have_no_single_task(spark, capsys):
     __import__("__spark_entry__").queries()["orders_of_lists"](spark, "/root/testdata/sf0.001").explain()
     assert "SinglePartition" not in capsys.readouterr().out
+
+
+def test_group_stats_take_tasks_by_the_number_of_rows(spark, tmp_path, monkeypatch):
+    """However few shuffle partitions there are, no task sorts much more than ROWS rows, and results stay."""
+    monkeypatch.setattr(summarize, "ROWS", 1000, raising=False)
+    monkeypatch.setattr(summarize, "folder", lambda spark, kind: str(tmp_path / kind))
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 0.5).alias("v"))
+    found = {r.k: r for r in summarize.group_stats8(rows, ["k"], "v").collect()}
+    assert [(found[k].n_cells, found[k].median, found[k].min, found[k].max) for k in (0, 1)] == [(15000, 7499.5, 0.0, 14999.0), (15000, 7500.0, 0.5, 14999.5)]
+    assert max(r.n for r in spark.read.parquet(str(tmp_path / "blocks")).groupBy(F.input_file_name()).agg(F.sum("_n").alias("n")).collect()) <= 2000
