@@ -1,15 +1,18 @@
 """Line dedup: near-equal lines by MinHash, verified exactly, one line kept per component. DataFrame operations alone.
 
-1. Each distinct line (in lower case, without blanks around it) gets twenty minima of the hashed character 5-shingles
-   that are verified later, one per residue class of the hash, in one pre-aggregated pass over all shingles. Of a long
-   line only hashes below a bound that falls with its length count, about 160 of them; where a minimum is missing then,
-   as in lines of few distinct shingles, the line is signed again over all of its shingles.
-2. Banding: fifteen bands of four minima, each minimum in three. Of pairs of J = 0.8, 0.75 % share no band, of J = 0.86 0.1 %.
-   In buckets of up to 32 lines each line meets each. Lines of larger buckets are keyed again by 36 bands of six minima,
-   which takes apart what only templates or common words brought together (of pairs of J = 0.8 that share a band, 3 %
-   share none of these, of J = 0.86 0.6 %: what is lost where pairs meet in large buckets alone). In buckets of these bands that are still larger, each line meets two hubs first; all
+1. Each distinct line (in lower case, without blanks around it) gets twenty minima of its hashed character 8-grams, one
+   per residue class of the hash, in one pre-aggregated pass over all of them. Of a long line only hashes below a bound
+   that falls with its length count, about 160 of them; where a minimum is missing then, as in lines of few distinct
+   8-grams, the line is signed again over all of its 8-grams. Unlike lines of one language have many of the 5-shingles
+   in common that are verified later (long ones 3 %), and so more and more neighbours the more lines there are, but hardly
+   any 8-gram (0.1 %). Of lines whose 5-shingles are alike by J = 0.8, edited at random places, the 8-grams are alike by 0.70 to 0.73. Lines of up to 16
+   characters, and those of few distinct shingles, whose 8-grams may differ more, are signed a second time by 5-shingles.
+2. Banding: twenty bands of three minima, each minimum in three. Of pairs of J = 0.7 of 8-grams 0.5 % share no band, of J = 0.8 0.02 %.
+   In buckets of up to 32 lines each line meets each. Lines of larger buckets are keyed again by 36 bands of four minima,
+   which takes apart what only templates or common passages brought together (of pairs of J = 0.7 2 % share none of these,
+   of J = 0.8 0.2 %: what is lost where pairs meet in large buckets alone). In buckets of these bands that are still larger, each line meets two hubs first; all
    pairs that links do not join by then follow, in salted blocks.
-3. Pairs that agree in nine minima (at J = 0.8 all but one in ten thousand do) are verified by the exact Jaccard
+3. Pairs that agree in six minima (at J = 0.7 all but one in ten thousand do) are verified by the exact Jaccard
    similarity of their character 5-shingles, at 0.8.
 4. Distributed union-find joins the verified pairs; the first line of a component by (document, text, line number) stays.
 
@@ -24,14 +27,16 @@ from pyspark.sql import functions as F
 from isopleth.llm.common import cut, fresh_name, named, new_folder, text_or_empty
 from isopleth.llm.components import components
 
-SHINGLE, MINIMA, SAMPLE = 5, 20, 160
-#: Fifteen bands of four minima, from three orthogonal squares of order 5: each minimum is in three, two bands share one at most.
-BANDS = [(x, 5 + (x + y) % 5, 10 + (x + 2 * y) % 5, 15 + (x + 3 * y) % 5) for y in range(3) for x in range(5)]
-#: Bands of six minima for the lines of large buckets.
-DEEP = [tuple(sorted(random.Random(number).sample(range(MINIMA), 6))) for number in range(36)]
+SHINGLE, GRAM, MINIMA, SAMPLE = 5, 8, 20, 160
+#: Characters up to which a line is signed by its shingles too.
+SHORT = 16
+#: Twenty bands of three minima: each minimum is in three, two bands share one at most.
+BANDS = [(x, (x + 1) % MINIMA, (x + 4) % MINIMA) for x in range(MINIMA)]
+#: Bands of four minima for the lines of large buckets.
+DEEP = [tuple(sorted(random.Random(number).sample(range(MINIMA), 4))) for number in range(36)]
 POSITIVE = (1 << 63) - 1
-#: Minima in which a pair must agree to be compared; at J = 0.8 one pair in ten thousand agrees in fewer.
-AGREE = 9
+#: Minima in which a pair must agree to be compared; at J = 0.7 of 8-grams one pair in ten thousand agrees in fewer.
+AGREE = 6
 #: Minima of a line up to which one in a band is enough for a key.
 FEW = 10
 #: Lines of a bucket that all meet each other; of a larger one, lines that are compared as one block.
@@ -60,43 +65,49 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def minima_of(lines: DataFrame, sampled: bool) -> DataFrame:
-    """One row per distinct line (h1, h2): the least doc_id, copies, size in bytes, minima m0 to m19; sampled: of a long line, of hashes below its bound alone."""
-    names = ("h1", "h2", "doc_id", "size", "n")
-    shingles = lines.select("h1", "h2", "doc_id", F.octet_length("norm").alias("size"), F.encode("norm", "UTF-16BE").alias("units"))
-    shingles = shingles.withColumn("n", F.greatest(F.lit(1), F.floor(F.length("units") / 2).cast("int") - (SHINGLE - 1)))
-    shingles = shingles.select(*names, "units", F.explode(F.expr("sequence(0, n - 1)")).alias("i"))
+    """One row per distinct line (h1, h2): the least doc_id, copies, n (its 8-grams), held (how many minima), minima m0 to m19; sampled: of a long line, of hashes below its bound alone.
+
+    A line of up to SHORT characters, and any that is not sampled, has a second row, of its shingles (small).
+    """
+    names = ("h1", "h2", "doc_id", "n")
+    grams = lines.select("h1", "h2", "doc_id", F.encode("norm", "UTF-16BE").alias("units"))
+    number = lambda size: F.greatest(F.lit(1), F.floor(F.length("units") / 2).cast("int") - (size - 1))
+    second = F.when(F.length("units") <= 2 * SHORT, number(SHINGLE)).otherwise(0) if sampled else number(SHINGLE)
+    grams = grams.withColumns({"n": number(GRAM), "second": second})
+    grams = grams.select(*names, "units", F.explode(F.expr("sequence(0, n + second - 1)")).alias("i"))
     most = f"if(n <= {SAMPLE}, {POSITIVE}L, ({POSITIVE}L div n) * {SAMPLE})" if sampled else f"{POSITIVE}L"
-    shingles = shingles.select(*names, "i", F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE})) & {POSITIVE}L").alias("h")).where(f"i = 0 or h <= {most}")
-    shingles = shingles.select("h1", "h2", "doc_id", "size", F.expr("if(i = 0, 1L, 0L)").alias("one"), F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"if(h <= {most}, cast(h % {MINIMA} as int), -1)").alias("j"))
-    return shingles.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.sum("one").alias("copies"), F.max("size").alias("size"), *(F.min(F.expr(f"if(j = {j}, h, null)")).alias(f"m{j}") for j in range(MINIMA))
+    piece = f"substring(units, 2 * if(i < n, i, i - n) + 1, if(i < n, {2 * GRAM}, {2 * SHINGLE}))"
+    grams = grams.select(*names, "i", F.expr(f"xxhash64({piece}) & {POSITIVE}L").alias("h")).where(f"i = 0 or h <= {most}")
+    grams = grams.select(*names, F.expr("i >= n").alias("small"), F.expr("if(i = 0, 1L, 0L)").alias("one"), F.expr("cast(shiftright(h, 32) as int)").alias("h"), F.expr(f"if(h <= {most}, cast(h % {MINIMA} as int), -1)").alias("j"))
+    return grams.groupBy("h1", "h2", "small").agg(
+        F.min("doc_id").alias("doc_id"), F.sum("one").alias("copies"), F.max("n").alias("n"), F.expr("bit_count(bit_or(if(j < 0, 0, shiftleft(1, j))))").alias("held"), *(F.min(F.expr(f"if(j = {j}, h, null)")).alias(f"m{j}") for j in range(MINIMA))
     )
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: p (its name in pairs), h2, doc_id, copies, minima m0 to m19, thin.
+    """Rows of distinct lines: p (a line's name in pairs), h2, small (minima of shingles), doc_id, copies, minima m0 to m19, thin.
 
-    A long line that lacks a minimum, as one of few distinct shingles does, is thin: it is still to be signed again.
+    A long line that lacks a minimum, and one of few minima, as one of few distinct 8-grams, is thin: it is still to be signed again.
     """
-    lacks = F.expr(" or ".join(f"m{j} is null" for j in range(MINIMA)))
-    return minima_of(lines, True).select(F.col("h1").alias("p"), "h2", "doc_id", "copies", ((F.col("size") > SAMPLE) & lacks).alias("thin"), *(f"m{j}" for j in range(MINIMA)))
+    lacks = (F.col("n") > SAMPLE) & (F.col("held") < MINIMA) | (F.col("n") > SHORT - GRAM + 1) & (F.col("held") <= FEW)
+    return minima_of(lines, True).select(F.col("h1").alias("p"), "h2", "small", "doc_id", "copies", (~F.col("small") & lacks).alias("thin"), *(f"m{j}" for j in range(MINIMA)))
 
 
 def thin_signatures(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """p, h2, doc_id, copies and the minima of thin lines over all of their shingles, from the first document of each."""
+    """p, h2, small, doc_id, copies and the minima of thin lines over all of their 8-grams, and of few distinct shingles over these, from the first document of each."""
     thin = cut(signed.where("thin").select("p", "h2", "doc_id", "copies"))
     homes = _maybe_broadcast(cut(thin.select(F.col("doc_id").alias("home")).distinct()))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(homes, F.col("doc_id") == F.col("home"), "left_semi")
     names = _maybe_broadcast(thin.select("p", "h2", "doc_id"), 32)
-    lines = lines_of(some).where(F.octet_length("norm") > SAMPLE).withColumnRenamed("h1", "p").join(names, ["p", "h2", "doc_id"], "left_semi").withColumnRenamed("p", "h1")
-    again = minima_of(lines, False).select(F.col("h1").alias("p"), "h2", *(f"m{j}" for j in range(MINIMA)))
-    return thin.join(again, ["p", "h2"]).select("p", "h2", "doc_id", "copies", *(f"m{j}" for j in range(MINIMA)))
+    lines = lines_of(some).where(F.octet_length("norm") > SHORT).withColumnRenamed("h1", "p").join(names, ["p", "h2", "doc_id"], "left_semi").withColumnRenamed("p", "h1")
+    again = minima_of(lines, False).where(f"not small or held <= {FEW}").select(F.col("h1").alias("p"), "h2", "small", *(f"m{j}" for j in range(MINIMA)))
+    return thin.join(again, ["p", "h2"]).select("p", "h2", "small", "doc_id", "copies", *(f"m{j}" for j in range(MINIMA)))
 
 
 def keyed(signed: DataFrame, bands: list[tuple[int, ...]] = BANDS) -> DataFrame:
     """(p, key): the buckets of each line. Bands with one minimum count for lines of few minima alone."""
     there = lambda places: sum(F.col(f"m{j}").isNotNull().cast("int") for j in places)
-    few = there(range(MINIMA)) <= FEW
+    few = there(range(MINIMA)) <= FEW  # without a name of its own: the optimizer would rewrite that by each of its minima
     keys = [
         F.when((there(band) >= 2) | few & (there(band) == 1), F.xxhash64(F.lit(number), *(F.coalesce(f"m{j}", F.lit(-1)) for j in band)))
         for number, band in enumerate(bands)
@@ -155,7 +166,7 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The distinct pairs that agree in at least AGREE minima, as six bits of each tell: agreeing minima are never taken for others."""
     parts = [" | ".join(f"shiftleft(cast(coalesce(hash(m{j}) & 63, 0) as bigint), {6 * (j - at)})" for j in range(at, at + 10)) for at in range(0, MINIMA, 10)]
     own, other = ([F.expr(part).alias(f"{name}{i}") for i, part in enumerate(parts)] for name in "st")
-    both = pairs.distinct().join(signed.select("p", *own), "p").join(signed.select(F.col("p").alias("q"), *other), "q")
+    both = pairs.distinct().join(signed.select("p", "small", *own), "p").join(signed.select(F.col("p").alias("q"), "small", *other), ["q", "small"])
     agree = " + ".join(f"if((shiftright(s{j // 10} ^ t{j // 10}, {6 * (j % 10)}) & 63) = 0, 1, 0)" for j in range(MINIMA))
     return both.where(f"{agree} >= {AGREE}").select("p", "q").distinct()
 
@@ -171,7 +182,7 @@ def shingle_hashes(norm: str) -> Column:
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): the pairs of lines whose Jaccard similarity is at least 0.8. A line's text comes from its first document."""
     ends = cut(pairs.select(F.explode(F.array("p", "q")).alias("p")).distinct())
-    homes = cut(signed.select("p", "doc_id").join(_maybe_broadcast(ends), "p", "left_semi"))
+    homes = cut(signed.where("not small").select("p", "doc_id").join(_maybe_broadcast(ends), "p", "left_semi"))
     texts = lines_of(docs).select(F.col("h1").alias("p"), "doc_id", "norm").join(_maybe_broadcast(homes), ["p", "doc_id"], "left_semi")
     texts = texts.select("p", "norm").dropDuplicates(["p"])
     both = pairs.join(texts.withColumnRenamed("norm", "x"), "p").join(texts.select(F.col("p").alias("q"), F.col("norm").alias("y")), "q")
@@ -204,10 +215,10 @@ def gone_lines(docs: DataFrame) -> DataFrame:
     spark, path = docs.sparkSession, new_folder(docs.sparkSession, "signatures")
     signatures(lines_of(docs)).write.parquet(path)
     signed = spark.read.parquet(path)
-    signed = signed.where("not thin").drop("thin").union(cut(thin_signatures(docs, signed)))
+    signed = signed.where("not thin").drop("thin").unionByName(cut(thin_signatures(docs, signed)))
     found = cut(components(near_links(docs, signed)).select(F.col("node").alias("p"), "component"))
     # lines that are copied or joined to others, by the name of what they are one of
-    near = signed.select("p", "h2", "copies").join(_maybe_broadcast(found), "p", "left").where("copies > 1 or component is not null")
+    near = signed.where("not small").select("p", "h2", "copies").join(_maybe_broadcast(found), "p", "left").where("copies > 1 or component is not null")
     near = cut(near.select("p", "h2", F.coalesce("component", "p").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2")))
     places = lines_of(docs).select("doc_id", "version", "pos", F.col("h1").alias("p"), "h2").join(_maybe_broadcast(near, 40), ["p", "h2"]).select("doc_id", "version", "pos", "c", "c2")
     places = cut(places)

@@ -180,3 +180,15 @@ def test_lines_of_few_distinct_shingles(spark):
     rows = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)] + [(702, "y" * 30000 + "\n" + "y" * 29999)]
     found = {r.doc_id: r.text for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == brute(rows) and found[702] == "y" * 30000
+
+
+def test_unlike_lines_of_one_language_hardly_meet(spark):
+    rng = random.Random(6)
+    syllables = ["th", "in", "er", "an", "on", "re", "ti", "ou"]
+    rows = [(i, "".join(rng.choice(syllables) + rng.choice(["", "", " "]) for _ in range(400))) for i in range(600)]
+    rows += [(600 + i, rows[i][1][:-9] + "another x") for i in range(20)]
+    signed = ld.signatures(ld.lines_of(spark.createDataFrame(rows, "doc_id long, text string"))).withColumn("p", F.col("doc_id"))
+    keys = ld.cut(ld.keyed(signed))
+    buckets = ld.buckets_of(keys)
+    pairs = {tuple(r) for r in ld.small_pairs(keys, buckets, small=600).distinct().collect()}
+    assert {(600 + i, i) for i in range(20)} <= pairs and len(pairs) < 2000
