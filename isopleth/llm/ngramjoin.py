@@ -2,7 +2,9 @@
 
 First a count puts aside what can be linked with nothing: of linked sets each has at least 90 % of its shingles in
 common with another document, so a document with fewer shingles that occur elsewhere is done. Occurrences are found by
-40 bits of the shingles' hashes, which takes some for shared that are not, never the reverse.
+40 bits of the shingles' hashes, which takes some for shared that are not, never the reverse. Most documents are put
+aside by a quarter of the range of hashes alone (a half at 80 %): a document with more shingles there that occur nowhere else than a tenth of
+its whole set is done too. Linked documents stay together, so the whole range is counted among those that are left.
 
 Candidates among the others come without loss from a pigeonhole argument. Sizes fall into bands so narrow that linked sets are in the
 same or in neighbouring bands. At a level (two neighbouring bands) linked sets differ in at most d elements; the hash
@@ -94,8 +96,10 @@ DDL = "kind int, key long, a long, b long"
 COUNTS = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
 
-def shared_counts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of kind, a, b: PROFILE (document, set size) of each row, SHARED (document, shingles that occur elsewhere too), to be added up.
+def shared_counts(docs: DataFrame, words: int, id_col: str, text_col: str, share: float = 1) -> DataFrame:
+    """Rows of kind, a, b: PROFILE (document, set size << 32 | shingles counted) of each row, SHARED (document, shingles that occur elsewhere too), to be added up.
+
+    Counted are shingles whose hash lies in the first `share` of the range.
 
     A shingle that several texts of a run have is counted there and sent on once, without a document, so one that very
     many texts have gives each run one row.
@@ -108,9 +112,12 @@ def shared_counts(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
             for some in by_size(texts, 4_000_000):
                 own = pa.array(ids[some], pa.int64())
                 sets = [shingle_set(t, memo, words) for t in texts[some]]
+                whole = np.array([len(s) for s in sets], np.int64)
+                if share < 1:
+                    sets = [s[: np.searchsorted(s, np.uint64(int(share * 2**64)))] for s in sets]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 spread = -1 - np.arange(len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(spread), own, pa.array(sizes)], schema=COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), own, pa.array(whole << 32 | sizes)], schema=COUNTS)
                 there = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0))
                 if not len(there):
                     continue
@@ -166,6 +173,19 @@ def shared_counts(docs: DataFrame, words: int, id_col: str, text_col: str) -> Da
     return rows.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(add, "kind int, a long, b long")
 
 
+def able_to_link(counted: DataFrame, percent: int) -> DataFrame:
+    """(id, size) of the documents that may be linked. counted: of shared_counts.
+
+    A row of a linked set has at most 100 - percent of a hundred of its shingles for itself, wherever they are counted;
+    of several rows with one identifier it is enough that one may be linked.
+    """
+    profiles = counted.where((F.col("kind") == PROFILE) & F.col("a").isNotNull()).select(F.col("a").alias("id"), F.shiftright("b", 32).alias("size"), F.expr("b & 4294967295").alias("n"))
+    need = F.expr(f"100 * n - {100 - percent} * size")
+    sizes = profiles.where("size > 0").groupBy("id").agg(F.max("size").alias("size"), F.min(need).alias("need"))
+    shared = counted.where(F.col("kind") == SHARED).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("shared"))
+    return cut(sizes.join(shared, "id", "left").where("100 * coalesce(shared, 0) >= need").select("id", "size"))
+
+
 def set_links(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of kind, a, b: EXACT (document, one with the same set), CANDIDATE (document, one with a common key)."""
 
@@ -341,15 +361,19 @@ def near_components(docs: DataFrame, percent: int = 90, words: int = 3, id_col:
     empty texts and documents without an identifier are linked with nothing; rows with the same identifier are one node;
     an empty table gives no rows; other columns are ignored.
     """
-    counted = cut(shared_counts(docs, words, id_col, text_col))
-    profiles = counted.where(F.col("kind") == PROFILE).select(F.col("a").alias("id"), F.col("b").alias("size"))
-    sizes = profiles.where("id is not null and size > 0").groupBy("id").agg(F.max("size").alias("size"), F.min("size").alias("least"))
-    shared = counted.where(F.col("kind") == SHARED).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
-    able = cut(shared.join(sizes, "id").where(f"100 * n >= {percent} * least").select("id", "size"))
-    n_able = able.count()
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_or_empty(text_col).alias(text_col))
-    names = able.select(F.col("id").alias(id_col))
-    some = docs.join(F.broadcast(names) if n_able <= BROADCAST_ROWS else names, id_col, "left_semi")
+
+    def only(ids: DataFrame) -> DataFrame:
+        names = ids.select(F.col("id").alias(id_col))
+        return docs.join(F.broadcast(names) if ids.count() <= BROADCAST_ROWS else names, id_col, "left_semi")
+
+    share = min(1, 2.5 * (100 - percent) / 100)
+    counted = cut(shared_counts(docs, words, id_col, text_col, share))
+    profiles = counted.where(F.col("kind") == PROFILE).select(F.col("a").alias("id"), F.shiftright("b", 32).alias("size"))
+    able = able_to_link(counted, percent)
+    if share < 1:
+        able = able_to_link(cut(shared_counts(only(able), words, id_col, text_col)), percent)
+    some = only(able)
     rows = cut(set_links(some, percent, words, id_col, text_col))
     exact = rows.where(F.col("kind") == EXACT).select("a", "b")
     candidates = rows.where(F.col("kind") == CANDIDATE).select("a", "b")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from isopleth.llm import ngramjoin as nj
 from isopleth.llm.fingerprints import words_of
@@ -117,3 +118,21 @@ def test_chained_groups_are_split(spark, monkeypatch):
     found, n, groups = compared(spark, monkeypatch, rows, tile=2000)
     assert found == brute(rows) and found[1][1] == 0
     assert groups >= 10
+
+
+def test_a_part_of_the_shingles_puts_unlike_documents_aside(spark):
+    rng = random.Random(9)
+    common = [f"common{i}" for i in range(60)]
+    texts = [" ".join(common + [f"w{rng.randrange(10**9)}" for _ in range(340)]) for _ in range(200)]
+    texts += [t + " end" for t in texts[:10]] + ["a b", "a b", "", "lone words here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    part, every = (nj.cut(nj.shared_counts(docs, 3, "doc_id", "text", share)) for share in (0.25, 1))
+    able = {r.id for r in nj.able_to_link(part, 90).collect()}
+    linked = {*range(10), *range(200, 210), 210, 211}
+    assert linked == {r.id for r in nj.able_to_link(every, 90).collect()}
+    assert linked <= able and len(able) <= len(linked) + 1
+    rows = [r.where(f"kind = {nj.SHARED}").agg(F.sum("b")).first()[0] for r in (part, every)]
+    assert 0 < rows[0] < 0.4 * rows[1]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.near_components(docs).collect()}
+    assert all(found[i][1] == (i - 200 if 200 <= i < 210 else 210 if i == 211 else i) for i in range(len(texts)))
+    assert found[0][0] == 398 and found[210][0] == 1 and found[212][0] == 0
