@@ -24,7 +24,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import cut, fresh_name, named, new_folder, text_or_empty
+from isopleth.llm.common import cut, fresh_name, named, new_folder, text_or_empty, written
 from isopleth.llm.components import components
 
 SHINGLE, GRAM, MINIMA, SAMPLE = 5, 8, 20, 160
@@ -41,6 +41,8 @@ AGREE = 6
 FEW = 10
 #: Lines of a bucket that all meet each other; of a larger one, lines that are compared as one block.
 SMALL, BLOCK = 32, 512
+#: Numbers of 64 bits in a line's bitmap of shingles.
+WORDS = 16
 #: Bytes that may be broadcast; beyond it a shuffled join is taken.
 BROADCAST_BYTES = 16 << 20
 #: Blanks around a line, besides the line feeds that end it.
@@ -116,10 +118,15 @@ def keyed(signed: DataFrame, bands: list[tuple[int, ...]] = BANDS) -> DataFrame:
 
 
 def buckets_of(rows: DataFrame) -> DataFrame:
-    """key, n, top (the bucket's first line), end, drawn (a line by the bucket's own order) of each bucket of several lines."""
+    """key, n, top (the bucket's first line), end, drawn (a line by the bucket's own order), mixed (all of its lines by exclusive or) of each bucket of several lines.
+
+    Rows are dealt by key before they are counted: hardly any key repeats within a task, and two numbers a row are a
+    third less to write than sums of one row each.
+    """
     turned = F.expr("p ^ key")
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("top"), F.max("p").alias("end"), F.min(turned).alias("drawn")).where("n > 1")
-    return cut(buckets.select("key", "n", "top", "end", F.expr("drawn ^ key").alias("drawn")))
+    dealt = rows.select("p", "key").repartition("key")
+    buckets = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("top"), F.max("p").alias("end"), F.min(turned).alias("drawn"), F.bit_xor("p").alias("mixed")).where("n > 1")
+    return cut(buckets.select("key", "n", "top", "end", F.expr("drawn ^ key").alias("drawn"), "mixed"))
 
 
 def _pairs(pairs: DataFrame) -> DataFrame:
@@ -128,10 +135,12 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 def small_pairs(rows: DataFrame, buckets: DataFrame, small: int = SMALL) -> DataFrame:
     """(p, q), p > q: all pairs of the buckets of up to `small` lines; a row per bucket that they share."""
-    two = buckets.where("n = 2").select(F.col("end").alias("p"), F.col("top").alias("q"))
-    some = cut(buckets.where(f"n between 3 and {small}").select("key"))
+    two = buckets.where("n <= 3").select(F.col("end").alias("p"), F.col("top").alias("q"))
+    third = F.expr("mixed ^ top ^ end")
+    three = buckets.where("n = 3").select(F.explode(F.array("top", "end")).alias("p"), third.alias("q"))
+    some = cut(buckets.where(f"n between 4 and {small}").select("key"))
     members = cut(rows.join(_maybe_broadcast(some), "key"))
-    return _pairs(two.union(members.alias("a").join(members.alias("b"), F.expr("a.key = b.key and a.p > b.p")).select("a.p", F.col("b.p").alias("q"))))
+    return _pairs(two.union(three).union(members.alias("a").join(members.alias("b"), F.expr("a.key = b.key and a.p > b.p")).select("a.p", F.col("b.p").alias("q"))))
 
 
 def large_members(rows: DataFrame, buckets: DataFrame, small: int = SMALL) -> DataFrame:
@@ -145,28 +154,49 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return _pairs(members.select("p", F.explode(F.array("top", "drawn")).alias("q"))).distinct()
 
 
-def other_pairs(members: DataFrame, labels: DataFrame, done: DataFrame, block: int = BLOCK) -> DataFrame:
+def likely() -> Column:
+    """Whether sketches x and y allow a Jaccard similarity of 0.8.
+
+    A bit can differ only where a shingle falls that one line alone has, and of these similar lines have at most a ninth
+    of the sum of their distinct shingles, so no similar pair is lost.
+    """
+    return F.expr(f"9 * ({' + '.join(f'bit_count(xw{k} ^ yw{k})' for k in range(WORDS))}) <= xn + yn")
+
+
+def other_pairs(members: DataFrame, labels: DataFrame, done: DataFrame, block: int = BLOCK, sketched: DataFrame | None = None) -> DataFrame:
     """(p, q), p > q: all other pairs of large buckets but those that links join already. labels: p, component; done: pairs compared.
 
     A bucket's lines are dealt into blocks, and each pair of blocks is a group of its own, so none has more than about
-    block * block pairs.
+    block * block pairs. sketched: sketches of the lines; pairs that these show to be unlike are left out as blocks meet.
     """
     left = members.where("p <> top and p <> drawn").select("p", "key")
     left = cut(left.join(_maybe_broadcast(labels), "p", "left").select("p", "key", F.coalesce("component", "p").alias("c")))
     open_ = left.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = cut(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    dealt = left.join(_maybe_broadcast(open_), "key").withColumn("own", F.expr("cast(pmod(xxhash64(p), blocks) as int)"))
-    one = dealt.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "p", "c")
-    two = dealt.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("p").alias("q"), F.col("c").alias("d"))
-    pairs = one.join(two, ["key", "i", "j"]).where("c <> d and (i < j or p > q)")
+    dealt = left.join(_maybe_broadcast(open_), "key")
+    if sketched is not None:
+        dealt = dealt.join(_maybe_broadcast(cut(sketched.join(_maybe_broadcast(cut(dealt.select("p").distinct())), "p", "left_semi")), 8 * WORDS + 16), "p")
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(p), blocks) as int)"))
+    held = ["n", *(f"w{k}" for k in range(WORDS))] if sketched is not None else []
+    one = dealt.select("key", F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"), "p", "c", *(F.col(c).alias(f"x{c}") for c in held))
+    two = dealt.select("key", F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"), F.col("p").alias("q"), F.col("c").alias("d"), *(F.col(c).alias(f"y{c}") for c in held))
+    same = F.expr("one.key = two.key and one.i = two.i and one.j = two.j and c <> d and (one.i < one.j or p > q)")
+    pairs = one.alias("one").join(two.alias("two"), same & likely() if held else same)
     return _pairs(pairs.select("p", "q")).distinct().join(done, ["p", "q"], "left_anti")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """p: the lines of pairs."""
+    return cut(pairs.select(F.explode(F.array("p", "q")).alias("p")).distinct())
+
+
 def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The distinct pairs that agree in at least AGREE minima, as six bits of each tell: agreeing minima are never taken for others."""
     parts = [" | ".join(f"shiftleft(cast(coalesce(hash(m{j}) & 63, 0) as bigint), {6 * (j - at)})" for j in range(at, at + 10)) for at in range(0, MINIMA, 10)]
     own, other = ([F.expr(part).alias(f"{name}{i}") for i, part in enumerate(parts)] for name in "st")
-    both = pairs.distinct().join(signed.select("p", "small", *own), "p").join(signed.select(F.col("p").alias("q"), "small", *other), ["q", "small"])
+    pairs = cut(pairs.distinct())
+    signed = signed.join(_maybe_broadcast(ends_of(pairs)), "p", "left_semi")
+    both = pairs.join(signed.select("p", "small", *own), "p").join(signed.select(F.col("p").alias("q"), "small", *other), ["q", "small"])
     agree = " + ".join(f"if((shiftright(s{j // 10} ^ t{j // 10}, {6 * (j % 10)}) & 63) = 0, 1, 0)" for j in range(MINIMA))
     return both.where(f"{agree} >= {AGREE}").select("p", "q").distinct()
 
@@ -179,12 +209,30 @@ def shingle_hashes(norm: str) -> Column:
     return F.element_at(F.transform(F.array(F.encode(norm, "UTF-32")), lambda units: F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: at(units, i)))), 1)
 
 
-def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): the pairs of lines whose Jaccard similarity is at least 0.8. A line's text comes from its first document."""
-    ends = cut(pairs.select(F.explode(F.array("p", "q")).alias("p")).distinct())
+def texts_of(docs: DataFrame, signed: DataFrame, ends: DataFrame) -> DataFrame:
+    """p, norm of lines, in the shared folder. A line's text comes from its first document."""
     homes = cut(signed.where("not small").select("p", "doc_id").join(_maybe_broadcast(ends), "p", "left_semi"))
     texts = lines_of(docs).select(F.col("h1").alias("p"), "doc_id", "norm").join(_maybe_broadcast(homes), ["p", "doc_id"], "left_semi")
-    texts = texts.select("p", "norm").dropDuplicates(["p"])
+    return written(texts.select("p", "norm").dropDuplicates(["p"]), "texts")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """p, n (distinct shingles), w0 and on: bits that tell of how many of a line's distinct shingles fall on them, whether that is odd."""
+    grams = texts.repartition("p").select("p", F.encode("norm", "UTF-32").alias("units"), F.greatest(F.lit(0), F.char_length("norm") - SHINGLE).alias("last"))
+    grams = grams.select("p", "units", F.explode(F.sequence(F.lit(0), "last")).alias("i")).select("p", F.expr(f"xxhash64(substring(units, 4 * i + 1, {4 * SHINGLE}))").alias("h")).distinct()
+    grams = grams.select("p", F.expr(f"cast(h & {WORDS - 1} as int)").alias("w"), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))").alias("bit"))
+    return written(grams.groupBy("p").agg(F.count("*").alias("n"), *(F.expr(f"bit_xor(if(w = {k}, bit, 0L))").alias(f"w{k}") for k in range(WORDS))), "sketches")
+
+
+def likely_pairs(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs that their sketches allow to be similar."""
+    held = ["n", *(f"w{k}" for k in range(WORDS))]
+    one, two = (sketched.select(F.col("p").alias(end), *(F.col(c).alias(f"{side}{c}") for c in held)) for end, side in (("p", "x"), ("q", "y")))
+    return pairs.join(one, "p").join(two, "q").where(likely()).select("p", "q")
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): the pairs of lines whose Jaccard similarity is at least 0.8."""
     both = pairs.join(texts.withColumnRenamed("norm", "x"), "p").join(texts.select(F.col("p").alias("q"), F.col("norm").alias("y")), "q")
     # exists() over one struct computes either array once; common / (all - common) >= 0.8
     sets = F.array(F.struct(shingle_hashes("x").alias("s"), shingle_hashes("y").alias("t")))
@@ -192,8 +240,20 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(near).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
+def labels_of(links: DataFrame) -> DataFrame:
+    """p, component of the lines that have links."""
+    return cut(components(links).select(F.col("node").alias("p"), "component"))
+
+
+def unjoined(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends no links join."""
+    labels = labels_of(links)
+    label = lambda end: _maybe_broadcast(labels.select(F.col("p").alias(end), F.col("component").alias(f"{end}_")))
+    return pairs.join(label("p"), "p", "left").join(label("q"), "q", "left").where("p_ is null or q_ is null or p_ <> q_").select("p", "q")
+
+
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(a, b): links between near-equal distinct lines."""
+    """(a, b): links between near-equal distinct lines; pairs that other links join already aren't all compared."""
     rows = keyed(signed)
     buckets = buckets_of(rows)
     large = cut(large_members(rows, buckets).select("p").distinct())
@@ -202,12 +262,17 @@ def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     members = large_members(deep, deep_buckets)
     first = small_pairs(rows, buckets).union(small_pairs(deep, deep_buckets)).union(hub_pairs(members))
     pairs = cut(alike(first, signed))
-    links = cut(verified(docs, signed, pairs))
+    texts = texts_of(docs, signed, cut(ends_of(pairs).union(members.select("p")).distinct()))
+    sketched = sketches(texts)
+    pairs = cut(likely_pairs(pairs, sketched))
+    # each line with its first likely one, the pairs that those links do not join, and what is not joined then
+    least = cut(pairs.groupBy("p").agg(F.min("q").alias("q")))
+    links = cut(verified(texts, least))
+    links = links.union(cut(verified(texts, cut(unjoined(pairs, links).join(least, ["p", "q"], "left_anti")))))
     if members.isEmpty():
         return links
-    labels = cut(components(links).select(F.col("node").alias("p"), "component"))
-    others = cut(alike(other_pairs(members, labels, pairs), signed))
-    return links if others.isEmpty() else links.union(cut(verified(docs, signed, others)))
+    others = cut(other_pairs(members, labels_of(links), pairs, sketched=sketched))
+    return links if others.isEmpty() else links.union(cut(verified(texts, others)))
 
 
 def gone_lines(docs: DataFrame) -> DataFrame:

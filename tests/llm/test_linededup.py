@@ -192,3 +192,32 @@ def test_unlike_lines_of_one_language_hardly_meet(spark):
     buckets = ld.buckets_of(keys)
     pairs = {tuple(r) for r in ld.small_pairs(keys, buckets, small=600).distinct().collect()}
     assert {(600 + i, i) for i in range(20)} <= pairs and len(pairs) < 2000
+
+
+def test_unlike_lines_of_one_template_are_not_all_compared(spark, monkeypatch):
+    rng, compared, exact = random.Random(11), [], ld.verified
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n - 1)) + "x"
+    base, many = some(255), 150
+    rows = [(i, some(45) + base) for i in range(many)]
+    rows += [(many, rows[0][1][:-1] + "y"), (many + 1, rows[70][1][:-1] + "z")]
+    monkeypatch.setattr(ld, "verified", lambda *x: (compared.append(x[-1].count()), exact(*x))[1])
+    found = {r.doc_id for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_kept}
+    assert found == set(range(many))
+    assert 2 <= sum(compared) < 0.15 * many * (many - 1) / 2  # all pairs of the template before
+
+
+def test_sketches_let_every_similar_pair_pass(spark):
+    rng = random.Random(12)
+    lines, pairs = [], []
+    for length in (3, 8, 40, 90, 300, 1500, 6000):
+        for share in (0, 0.002, 0.01, 0.02, 0.03, 0.05, 0.1):
+            one = "".join(rng.choice("abcde fgh\U0001f600é") for _ in range(length))
+            two = "".join(rng.choice("xyz") if rng.random() < share else c for c in one)
+            pairs.append((len(lines) + 1, len(lines)))
+            lines += [one, two]
+    sketched = ld.sketches(spark.createDataFrame(list(enumerate(lines)), "p long, norm string"))
+    assert {r.p: r.n for r in sketched.collect()} == {p: len(sets(x)) for p, x in enumerate(lines)}
+    passed = {tuple(r) for r in ld.likely_pairs(spark.createDataFrame(pairs, "p long, q long"), sketched).collect()}
+    similar = {(p, q) for p, q in pairs if near(sets(lines[p]), sets(lines[q]))}
+    assert similar <= passed and 5 < len(similar) and len(passed) < len(pairs)
