@@ -8,6 +8,8 @@ from isopleth.llm.common import cut
 
 #: Links up to which the least neighbours are broadcast; beyond it they come by a shuffled join.
 BROADCAST_ROWS = 250_000
+#: Tasks that hold so few links; more would write more files than rows.
+FEW_TASKS = 8
 
 
 def _hooked(pairs: DataFrame, smaller_only: bool, few: bool) -> DataFrame:
@@ -27,7 +29,8 @@ def _hooked(pairs: DataFrame, smaller_only: bool, few: bool) -> DataFrame:
         hung = hung.select(F.col("other").alias("a"), F.col("least").alias("b")).union(least.select(F.col("node").alias("a"), F.col("least").alias("b")))
     else:
         hung = hung.where("other > node").select(F.col("other").alias("a"), F.col("least").alias("b"))
-    return hung.where("a <> b").distinct()
+    hung = hung.where("a <> b").distinct()
+    return hung.coalesce(FEW_TASKS) if few else hung
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,6 +44,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = cut(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and b is not null and a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")).distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(pairs)
+    if before[0] <= BROADCAST_ROWS:
+        pairs = pairs.coalesce(FEW_TASKS)
     while before[0]:
         few = before[0] <= BROADCAST_ROWS
         pairs = cut(_hooked(_hooked(pairs, False, few), True, few))

@@ -11,9 +11,10 @@
    In buckets of up to 32 lines each line meets each. Lines of larger buckets are keyed again by 36 bands of four minima,
    which takes apart what only templates or common passages brought together (of pairs of J = 0.7 2 % share none of these,
    of J = 0.8 0.2 %: what is lost where pairs meet in large buckets alone). In buckets of these bands that are still larger, each line meets two hubs first; all
-   pairs that links do not join by then follow, in salted blocks.
-3. Pairs that agree in six minima (at J = 0.7 all but one in ten thousand do) are verified by the exact Jaccard
-   similarity of their character 5-shingles, at 0.8.
+   pairs that links do not join by then follow, in salted blocks, where sketches are compared.
+3. Pairs that agree in six minima (at J = 0.7 all but one in ten thousand do) are compared by sketches, 1,024 bits of a
+   line's distinct 5-shingles, which lose no similar pair (see likely). What is left is verified by the exact Jaccard
+   similarity of the 5-shingles, at 0.8: each line with one neighbour first, then the pairs that no links join.
 4. Distributed union-find joins the verified pairs; the first line of a component by (document, text, line number) stays.
 
 Lines are named by 128 bits of hashes, in pairs by 64 of them; shingles are compared by 64-bit hashes.
@@ -24,7 +25,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isopleth.llm.common import cut, fresh_name, named, new_folder, text_or_empty, written
+from isopleth.llm.common import cut, fresh_name, named, new_folder, shuffle_partitions, text_or_empty, written
 from isopleth.llm.components import components
 
 SHINGLE, GRAM, MINIMA, SAMPLE = 5, 8, 20, 160
@@ -41,8 +42,8 @@ AGREE = 6
 FEW = 10
 #: Lines of a bucket that all meet each other; of a larger one, lines that are compared as one block.
 SMALL, BLOCK = 32, 512
-#: Numbers of 64 bits in a line's bitmap of shingles.
-WORDS = 16
+#: Numbers of 64 bits in a line's sketch, and shingles that a task makes sketches of.
+WORDS, GRAMS = 16, 1_000_000
 #: Bytes that may be broadcast; beyond it a shuffled join is taken.
 BROADCAST_BYTES = 16 << 20
 #: Blanks around a line, besides the line feeds that end it.
@@ -218,7 +219,9 @@ def texts_of(docs: DataFrame, signed: DataFrame, ends: DataFrame) -> DataFrame:
 
 def sketches(texts: DataFrame) -> DataFrame:
     """p, n (distinct shingles), w0 and on: bits that tell of how many of a line's distinct shingles fall on them, whether that is odd."""
-    grams = texts.repartition("p").select("p", F.encode("norm", "UTF-32").alias("units"), F.greatest(F.lit(0), F.char_length("norm") - SHINGLE).alias("last"))
+    # of so many tasks that each one's shingles fit its memory
+    total = texts.agg(F.sum(F.char_length("norm"))).first()[0] or 0
+    grams = texts.repartition(max(shuffle_partitions(texts.sparkSession), total // GRAMS), "p").select("p", F.encode("norm", "UTF-32").alias("units"), F.greatest(F.lit(0), F.char_length("norm") - SHINGLE).alias("last"))
     grams = grams.select("p", "units", F.explode(F.sequence(F.lit(0), "last")).alias("i")).select("p", F.expr(f"xxhash64(substring(units, 4 * i + 1, {4 * SHINGLE}))").alias("h")).distinct()
     grams = grams.select("p", F.expr(f"cast(h & {WORDS - 1} as int)").alias("w"), F.expr("shiftleft(1L, cast(shiftright(h, 8) & 63 as int))").alias("bit"))
     return written(grams.groupBy("p").agg(F.count("*").alias("n"), *(F.expr(f"bit_xor(if(w = {k}, bit, 0L))").alias(f"w{k}") for k in range(WORDS))), "sketches")
