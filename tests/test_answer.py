@@ -13,6 +13,20 @@ def test_models():
     assert models.lexical_overlap(["rain in may", ""], ["May rain", "x"]) == [2 / 3, 0.0]
 
 
+def test_a_word_is_hashed_once(monkeypatch):
+    hashed, real = [], models.zlib.crc32
+    monkeypatch.setattr(models.zlib, "crc32", lambda x: (hashed.append(x), real(x))[1])
+    texts = ["gale " * 300 + "Frost hail\u00df 12", "", "... !", " ".join(f"sleet{i % 50}" for i in range(500))]
+    got = models.hashed_embedding(texts)
+    assert len(hashed) == len(set(hashed))
+    plain = np.zeros_like(got)
+    for row, text in enumerate(texts):
+        for word in models.words(text):
+            plain[row, real(word.encode()) % models.DIMENSIONS] += 1 if real(word.encode()) >> 31 else -1
+    plain = np.sign(plain) * np.sqrt(np.abs(plain))
+    assert got.dtype == np.float32 and np.array_equal(got, plain / np.maximum(np.linalg.norm(plain, axis=1, keepdims=True), 1e-30))
+
+
 def test_plan(spark):
     rows = [(i, f"{w} statistics of station {i}", f"s{i % 5}", w, f"d{i % 2}", i == 3) for i, w in enumerate(["drought", "rain", "wind", "heat"] * 10)]
     chunks = spark.createDataFrame(rows, "id long, text string, source string, variable string, dataset string, is_summary boolean").withColumn("embedding", models.embedded(F.col("text")))
@@ -61,5 +75,19 @@ def test_lists_of_a_search(spark):
     assert [r.place for r in placed if r.query_id == 1] == list(range(1, sum(r.query_id == 1 for r in placed) + 1)) and len({r.source for r in placed if r.query_id == 2}) >= 4
 
 
+def test_chunks_are_embedded_once(spark, tmp_path):
+    def embed(texts):
+        with (tmp_path / "texts").open("a") as out:
+            out.writelines(f"{text}\n" for text in texts)
+        return models.hashed_embedding(texts)
+
+    rows = [(i, f"{w} statistics of station {i}", f"s{i % 6}", w, f"d{i % 3}", i % 5 == 0) for i, w in enumerate(["drought", "rain", "wind", "heat"] * 20)]
+    chunks = spark.createDataFrame(rows, "id long, text string, source string, variable string, dataset string, is_summary boolean").withColumn("embedding", models.embedded(F.col("text"), embed))
+    questions = spark.createDataFrame([(1, "drought and rain statistics"), (2, "wind statistics")], "query_id long, question string")
+    assert answer.search_all(questions, chunks).count()
+    seen = (tmp_path / "texts").read_text().splitlines()
+    assert sorted(seen) == sorted(r[1] for r in rows)
+
+
 def test_registered(spark):
     assert registry.queries()["rag_search"](spark, "/root/testdata/sf0.001").count() > 0
