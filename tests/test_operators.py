@@ -144,3 +144,14 @@ def test_fan_out_deals_a_key_over_tasks(spark):
     sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < pairs.count() / 3
     assert relate.fan_out(left.limit(0), right, "k", "l").count() == 0
+
+
+def test_fan_out_shuffles_no_copies(spark):
+    left = spark.range(300).selectExpr("id a", "cast(nullif(id % 4, 3) as int) k")
+    right = spark.range(120).selectExpr("id b", "cast(nullif(id % 3, 2) as int) l")
+    want = sorted(map(tuple, left.join(right, F.col("k") == F.col("l")).collect()))
+    for most, parts in ((1000, 8), (30, 8), (30, 1), (1, 1)):
+        pairs = relate.fan_out(left, right, "k", "l", each=50, most=most, parts=parts)
+        assert sorted(map(tuple, pairs.collect())) == want
+        copied = "Generate" in pairs._jdf.queryExecution().optimizedPlan().toString()
+        assert copied == (parts == 1)  # right rows were copied for each cell whatever their number
